@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import tiktoken
 
@@ -29,7 +30,7 @@ class ByteBpe:
     falls into chunks that can be encoded one by one and kept; other texts go to the encoder whole.
     """
 
-    def __init__(self, path: str, special_as_text: bool = False, limit: int = 300_000):
+    def __init__(self, path: str, special_as_text: bool = False, limit: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = byte_alphabet()
@@ -42,8 +43,7 @@ class ByteBpe:
         self.chunks = BoundedCache(lambda chunk: self._pack(" " + chunk), limit)
 
     def _pack(self, text: str) -> bytes:
-        ids = self.plain.encode_ordinary(text)
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return array("I", self.plain.encode_ordinary(text)).tobytes()
 
     def _ordinary(self, text: str) -> bytes:
         if "  " in text or " \n" in text or "\n " in text or _ODD_SPACE.search(text):

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from .language import op3_language_id
+from .lines import op6_line_dedup
+from .media import op10_media
 from .minhash import OP1_SQL, op1_minhash_dedup
+from .packing import op9_packing
+from .pii import op4_pii
+from .quality import op5_quality
+from .tokencount import op2_token_counts
+from .toxicity import op7_toxicity
+from .wordbpe import op8_bpe
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op3_language_id": op3_language_id,
+    "op4_pii": op4_pii,
+    "op5_quality": op5_quality,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op8_bpe": op8_bpe,
+    "op9_packing": op9_packing,
+    "op10_media": op10_media,
 }
 
 ORACLE_SQL = {
