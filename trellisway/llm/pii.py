@@ -254,9 +254,11 @@ def _joined(spans: str):
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return find(documents(spark, sf_dir)).select(
-        "doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans")
+        "doc_id", *map(count, BASE_KINDS), F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans")
     )
 
 

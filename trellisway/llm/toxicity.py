@@ -18,18 +18,17 @@ _EDGES = re.compile(r"[\W_]+")
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``train_rows`` bounds the labelled rows of each label that are learned from, chosen by a hash of doc_id; ``shard_rows``
-    of them train one model in one task, and the models of up to ``max_shards`` tasks are averaged."""
+    """``train_rows`` bounds the labelled rows of each label that are learned from, chosen by a hash of doc_id. Features
+    in fewer than ``min_rows`` of them are not learned: they would only name single documents."""
 
     bits: int = 18
-    alpha: float = 0.3
+    alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 6.0
     l2: float = 0.1
     epochs: int = 4
+    min_rows: int = 5
     train_rows: int = 6000
-    shard_rows: int = 4000
-    max_shards: int = 4
 
 
 def _hash_words(chunk: str) -> bytes:
@@ -106,7 +105,8 @@ def _train(batches, params: ToxicityParams):
         rows += _by_text(batch.column(0).to_pylist(), params.bits)
         labels += batch.column(1).to_pylist()
     if rows:
-        w = ftrl(rows, np.array(labels), params)
+        common = np.bincount(np.concatenate(rows), minlength=1 << params.bits) >= params.min_rows
+        w = ftrl([at[common[at]] for at in rows], np.array(labels), params)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["feature", "weight"])
 
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     """Sparse weights ``(feature, weight)`` from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     usable: condition on doc_id that training rows meet. At most ``train_rows`` rows of each label are used, those with
-    the least hash of doc_id. Rows with a null label or doc_id are not learned from. Without any row the weights
+    the least hash of doc_id, in one task. Rows with a null label or doc_id are not learned from. Without any row the weights
     are empty, and every score is 0.5 or less.
     """
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null")
@@ -125,40 +125,44 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     picked = known.filter("toxic = 1").orderBy("h").limit(params.train_rows).unionByName(
         known.filter("toxic = 0").orderBy("h").limit(params.train_rows)
     )
-    n = min(2 * params.train_rows, known.count())
-    shards = max(1, min(params.max_shards, n // params.shard_rows))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked.select("doc_id", "toxic", "h")), "doc_id")
-    models = (
-        rows.select("text", F.col("toxic").cast("double").alias("toxic"), "h").repartition(shards, "h")
-        .sortWithinPartitions("h").select("text", "toxic").mapInArrow(lambda it: _train(it, params), "feature long, weight double")
-    )
-    mean = models.groupBy("feature").agg((F.sum("weight") / shards).alias("weight")).orderBy("feature").toPandas()
-    return mean["feature"].to_numpy(np.int64), mean["weight"].to_numpy(np.float64)
+    ordered = rows.select("text", F.col("toxic").cast("double").alias("toxic"), "h").repartition(1).sortWithinPartitions("h")
+    model = ordered.select("text", "toxic").mapInArrow(lambda it: _train(it, params), "feature long, weight double")
+    found = model.orderBy("feature").toPandas()
+    return found["feature"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
 
 
-def _score(batches, at, weights, params: ToxicityParams):
+def _score(batches, sent, params: ToxicityParams, text_at: int):
+    at, weights = sent.value
     size = 1 << params.bits
     table = np.zeros(size + 1)
     table[at] = weights
     used = table[:size] != 0
     for batch in sub_batches(batches):
-        owner, ids = features(batch.column(1).to_pylist(), params.bits)
+        owner, ids = features(batch.column(text_at).to_pylist(), params.bits)
         hit = used[ids]
         both = np.unique(owner[hit].astype(np.uint64) << np.uint64(params.bits) | ids[hit])
         total = np.bincount((both >> np.uint64(params.bits)).astype(np.int64), table[(both & np.uint64(size - 1)).astype(np.int64)], batch.num_rows)
         score = 1 / (1 + np.exp(-np.clip(total + table[size], -30, 30)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "toxicity"])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], params: ToxicityParams = ToxicityParams()) -> DataFrame:
-    """``(doc_id, score)`` of every row's whole text: the chance of label 1, by weights of at most 2**bits + 1 numbers.
+def scored_rows(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], params: ToxicityParams = ToxicityParams()) -> DataFrame:
+    """The rows of ``docs`` with ``toxicity``, the chance of label 1 of the whole ``text`` (a string column).
 
-    Null and empty texts score by the intercept alone. Repeated rows and null doc_ids are scored row by row.
+    The model sent to the tasks has at most 2**bits + 1 weights. Null and empty texts score by the intercept alone.
+    Repeated rows and null doc_ids are scored row by row, and other columns stay; a column of the same name is replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda it: _score(it, *sent.value, params), "doc_id long, score double"
-    )
+    docs = docs.drop("toxicity")
+    sent, text_at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(lambda it: _score(it, sent, params, text_at), f"{fields}, toxicity double")
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], params: ToxicityParams = ToxicityParams()) -> DataFrame:
+    """``(doc_id, score)`` of every row's whole text; see :func:`scored_rows`."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return scored_rows(own, model, params).select("doc_id", F.col("toxicity").alias("score"))
 
 
 #: Rows with this remainder are held out.
