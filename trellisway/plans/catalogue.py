@@ -1,4 +1,8 @@
 """Registered queries of the transport library and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import network_queries, path_queries
+
+QUERIES = network_queries.QUERIES | path_queries.QUERIES
+ORACLE_SQL = network_queries.ORACLE_SQL | path_queries.ORACLE_SQL
