@@ -1,0 +1,93 @@
+"""Base spans against the plain patterns, and the spans that weak supervision adds."""
+
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from trellisway.llm.pii import BASE_KINDS, base_spans, find, fit_label_model, luhn, op4_pii, redact
+
+from .helpers import ODD, frame, prose
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain(text):
+    out = []
+    for kind in BASE_KINDS:
+        for m in re.finditer(PATTERNS[kind], text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.text("019 .@-+()ab%_\n,é", max_size=60) | st.from_regex("|".join(f"(?:{p})" for p in PATTERNS.values())))
+def test_base_spans(text):
+    assert base_spans(text) == plain(text)
+
+
+def test_numbers_that_are_no_matches():
+    for text in ["1.2.3.4.5.6.7.8", "256.1.1.1", "0001.2.3.4", "4111 1111 1111 1111", "4111-1111 1111-1112", "a@b@c.d.e@f.g", "٣.1.1.1.1", "+12345678"]:
+        assert base_spans(text) == plain(text)
+
+
+def planted():
+    rows = [(i, prose(i, 30)) for i in range(60)]
+    rows += [(100 + i, f"{prose(i, 5)} ssn: {100 + i}-45-67{10 + i % 80} {prose(i, 4)}") for i in range(30)]
+    rows += [(200 + i, f"write to anna{i} (at) example (dot) org {prose(i, 4)}") for i in range(30)]
+    rows += [(300 + i, f"api key = {hashlib.sha256(str(i).encode()).hexdigest()} {prose(i, 4)}") for i in range(30)]
+    rows += [(400 + i, f"mail anna{i}@example.org or +49 30 12345{i:03d}, host 10.0.0.{i} {prose(i, 3)}") for i in range(30)]
+    rows += [(500 + i, f"about {1000000 + i} pages were printed {prose(i, 4)}") for i in range(30)]
+    return rows
+
+
+def test_added_spans_and_redaction(spark):
+    rows = planted() + ODD
+    docs = frame(spark, rows)
+    found = find(docs).collect()
+    assert len(found) == len(rows)
+    kinds = {r.doc_id: {s.kind for s in r.spans} for r in found}
+    texts = dict(rows)
+    for r in found:
+        if r.doc_id is not None:
+            assert [tuple(s) for s in r.base] == plain(texts[r.doc_id] or "")
+            assert {tuple(s) for s in r.base} <= {tuple(s) for s in r.spans}
+    for first, kind in ((100, "account"), (200, "email_spelled"), (300, "secret"), (400, "email"), (400, "phone"), (400, "ip")):
+        assert all(kind in kinds[first + i] for i in range(30)), kind
+    assert not any(kinds[i] for i in [*range(60), *range(500, 530)])
+    clean = redact(docs)
+    assert clean.columns == docs.columns
+    after = {r.doc_id: r.text for r in clean.collect()}
+    assert "@" not in after[405] and "[EMAIL]" in after[405] and "[IP]" in after[405]
+    assert all(after[i] == texts[i] for i in [*range(60), *range(500, 530), 900, 901, 906])
+
+
+def test_empty_table_and_model(spark):
+    assert find(frame(spark, [])).count() == 0
+    assert redact(frame(spark, [])).count() == 0
+    assert not fit_label_model([]).accepted
+
+
+def test_query(spark, sf_dir):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found = op4_pii(spark, sf_dir).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        base = plain(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in BASE_KINDS)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(spans)

@@ -26,6 +26,9 @@ GAZETTEER = frozenset(
 )
 UNITS = frozenset("% km kg m cm mm g mg l ml pages page seite seiten euros euro dollars usd eur years year jahre ans hours minutes".split())
 
+#: Common last labels of mail domains.
+ENDINGS = frozenset("at be ch co com de edu es eu fr gov info io it net nl org pl pt uk us".split())
+
 _DIGIT = re.compile("[0-9]")
 _TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -105,11 +108,16 @@ def _votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     if kind == "secret":
         mixed = sum(bool(re.search(p, body)) for p in ("[0-9]", "[a-z]", "[A-Z]"))
         random = 1 if _entropy(body) >= 3.2 and mixed >= 2 and len(digits) * 8 >= len(body) else -1
-    elif digits:
+    elif digits and kind != "email_spelled":
         random = -1 if len(set(digits)) <= 2 or digits in "0123456789012345678901234567890" else 0
     else:
         random = 0
-    checksum = (1 if 13 <= len(digits) <= 19 and luhn(digits) else 0) if kind == "account" else 0
+    checksum = 0
+    if kind == "account":
+        checksum = 1 if 13 <= len(digits) <= 19 and luhn(digits) else 0
+    elif kind == "email_spelled":  # a bracketed sign or a known ending is what a checksum is to a number
+        context = max(context, 1 if "(" in body or "[" in body else 0)
+        checksum = 1 if _WORD.findall(body)[-1].lower() in ENDINGS else 0
     return shape, gazetteer, context, unit, random, checksum
 
 

@@ -13,6 +13,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from .bytebpe import byte_alphabet
 from .common import BoundedCache, documents, sub_batches
@@ -26,6 +27,18 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+def _unassigned() -> re.Pattern:
+    """Code points that this Python's Unicode tables don't know: newer tables may take them for letters or change their case."""
+    runs: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c)) == "Cn":
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]")
+
+
 class BacktrackingBpe:
     """Exact BPE merges of one pre-token in linear time.
 
@@ -80,6 +93,9 @@ class BacktrackingBpe:
         self.words = BoundedCache(self.word, limit)
         self.chunks = BoundedCache(self._chunk, limit)
         self.pattern = regex.compile(PATTERN)
+        self.unassigned = _unassigned()
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.pieces = pre_tokenizers.Split(Regex(PATTERN), "removed", invert=True)
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
 
     def _symbols(self, token: str) -> str:
@@ -128,7 +144,7 @@ class BacktrackingBpe:
         if self.suffix:
             symbols = symbols[:-1] + chr(ord(symbols[-1]) + 0x10000)
         longest = {end - match[0]: match for end, match in self.automaton.iter(symbols)}  # a later end is a longer match
-        last, fits, shorter, dead = len(symbols) - 1, self.fits, self.shorter, ()
+        last, fits, shorter, dead = len(symbols) - 1, self.fits, self.shorter, set()
         taken: list[tuple[int, int]] = []
         at, match = -1, longest[-1]
         while True:
@@ -142,7 +158,7 @@ class BacktrackingBpe:
                 continue
             match = shorter[token]
             while match is None:  # no entry fits here: take the previous one back and shorten it
-                dead = {*dead, at}
+                dead.add(at)
                 length, token = taken.pop()
                 at -= length
                 match = shorter[token]
@@ -162,6 +178,8 @@ class BacktrackingBpe:
 
     def _ordinary(self, text: str) -> bytes:
         if not text.isascii():
+            if self.unassigned.search(text):  # the library's own tables decide
+                return b"".join([self.words[p] for p, _ in self.pieces.pre_tokenize_str(self.normalizer.normalize_str(text))])
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower case by character, without regard to the word's end
