@@ -39,7 +39,7 @@ def normalised(values: DataFrame, by: str = "set", value: str = "accessibility")
     """Min-max normalisation per set over all rows; NULL where all are equal."""
     bounds = values.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"))
     spread = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
-    return values.join(F.broadcast(bounds), by).withColumn(f"normalised_{value}", (F.col(value) - F.col("low")) / spread).drop("low", "high")
+    return values.join(bounds, by).withColumn(f"normalised_{value}", (F.col(value) - F.col("low")) / spread).drop("low", "high")
 
 
 def zone_accessibility(values: DataFrame, zones: DataFrame) -> DataFrame:

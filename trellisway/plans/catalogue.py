@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import network_queries, path_queries
+from . import demand_queries, network_queries, path_queries, spatial_queries
 
-QUERIES = network_queries.QUERIES | path_queries.QUERIES
-ORACLE_SQL = network_queries.ORACLE_SQL | path_queries.ORACLE_SQL
+QUERIES = network_queries.QUERIES | path_queries.QUERIES | spatial_queries.QUERIES | demand_queries.QUERIES
+ORACLE_SQL = network_queries.ORACLE_SQL | path_queries.ORACLE_SQL | spatial_queries.ORACLE_SQL | demand_queries.ORACLE_SQL

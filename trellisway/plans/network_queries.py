@@ -234,9 +234,9 @@ ORACLE_SQL = {
     "bike_speed": _from("round(bike_mps, 6) AS bike_mps"),
     "bike_time": _from("round(bike_s, 6) AS bike_s"),
     "bike_speed_gradient_only": _from(f"round(least(5.5 * ({_UP}), freespeed), 6) AS speed"),
-    "surface_comfort": _from("round(rough, 6) AS rough"),
+    "surface_comfort": _from("CAST(round(rough, 6) AS DOUBLE) AS rough"),
     "protection_type": _from("kind"),
-    "crossing_type": _from('"cross"'),
+    "crossing_type": _from("crossing_kind"),
     "link_stress": _from("round(walk_stress, 6) AS walk_stress, round(bike_stress, 6) AS bike_stress"),
     "link_stress_discrete": _from(
         """CASE WHEN NOT allows_bike THEN NULL WHEN NOT allows_car THEN 'GREEN' WHEN junction = 'roundabout' THEN 'RED'
