@@ -61,7 +61,7 @@ def probabilities(data: DataFrame, spec: Specification, values: dict[str, float]
 
 def _terms(data: DataFrame, spec: Specification, values: dict[str, float]) -> tuple[DataFrame, Column, list[Column]]:
     named = probabilities(data, spec, values)
-    chosen = F.element_at("p", F.col(spec.choice).cast("int") + 1)
+    chosen = F.get("p", F.col(spec.choice).cast("int"))
     bad = F.raise_error(F.lit("the choice is none of the alternatives")).cast("double")
     loss = -F.log(F.when(chosen > 0, chosen).when(chosen == 0, 1e-300).otherwise(bad))
     parts = []
