@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -210,6 +210,61 @@ def paths(links: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def _sampled_kernel(batches, sent):
+    graph, attributes = sent.value
+    index = {int(n): i for i, n in enumerate(graph.nodes)}
+    drawn, priced = None, None
+    for batch in batches:
+        out = []
+        for draw, weights, origin, targets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if origin not in index:
+                continue
+            if draw != drawn:
+                drawn, priced = draw, replace(graph, cost=graph.time * (1 + np.array(weights) @ attributes))
+            best = priced.tree([(index[origin], 0.0, 0.0, 0.0)])
+            for target in sorted(set(targets)):
+                at = index.get(target)
+                if at in best:
+                    nodes, place = [], at
+                    while place >= 0:
+                        nodes.append(int(graph.nodes[place]))
+                        place = best[place][3]
+                    out.append((draw, origin, target, *best[at][:3], nodes[::-1]))
+        if out:
+            cols = list(zip(*out, strict=True))
+            types = [*[pa.int64()] * 3, *[pa.float64()] * 3, pa.list_(pa.int64())]
+            names = ["draw", "origin", "target", "cost", "time", "dist", "nodes"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+
+def sampled_paths(links: DataFrame, pairs: DataFrame, draws: DataFrame, attributes: list[str]) -> DataFrame:
+    """F27 with J06: cheapest paths of every pair under every draw of cost weights: ``(draw, origin, target, cost, time, dist, nodes)``.
+
+    links: a, b, time, dist and the attribute columns; a link costs ``time * (1 + sum of weight * attribute)``. draws: ``(draw,
+    weights array<double>)`` in the attributes' order, 0 or more. The links are sent once, within MAX_BROADCAST_LINKS, and
+    draws times origins are spread over the tasks, so a thousand draws are one job. Links with a null are left out.
+    """
+    spark = links.sparkSession
+    ends = [F.col(c).cast("long").alias(c) for c in ("a", "b")]
+    own = links.select(*ends, *(F.col(c).cast("double").alias(c) for c in ("time", "dist", *attributes))).dropna()
+    if own.limit(MAX_BROADCAST_LINKS + 1).count() > MAX_BROADCAST_LINKS:
+        raise ValueError("the graph is too large to send")
+    table = own.toPandas()
+    place = np.arange(len(table), dtype=float)  # carried through the sort, to bring the attributes into the same order
+    graph = Csr.of({"a": table["a"].to_numpy(), "b": table["b"].to_numpy(), "cost": place, "time": table["time"].to_numpy(), "dist": table["dist"].to_numpy()}, False)
+    values = table[attributes].to_numpy(float)[graph.cost.astype(np.int64)].T
+    sent = spark.sparkContext.broadcast((graph, values))
+    asked = pairs.select(F.col("origin").cast("long"), F.col("target").cast("long")).dropna()
+    grouped = asked.groupBy("origin").agg(F.collect_set("target").alias("targets"))
+    listed = draws.select(F.col("draw").cast("long").alias("draw"), F.col("weights").cast("array<double>").alias("weights"))
+    packed = F.broadcast(listed.agg(F.collect_list(F.struct("draw", "weights")).alias("ds")))  # one row: the draws are a parameter
+    work = grouped.join(packed).select(F.explode("ds").alias("d"), "origin", "targets").select("d.draw", "d.weights", "origin", "targets")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return work.repartition(tasks, "draw", "origin").sortWithinPartitions("draw").mapInArrow(
+        lambda it: _sampled_kernel(it, sent), "draw long, origin long, target long, cost double, time double, dist double, nodes array<long>"
+    )
+
+
 def path_links(found: DataFrame) -> DataFrame:
     """The links of each path in order: ``(origin, target, seq, a, b)``."""
     return found.select("origin", "target", F.posexplode("nodes").alias("seq", "a"), "nodes").select(
