@@ -174,7 +174,7 @@ def near_dedup(docs: DataFrame, params: MinHashParams = MinHashParams()) -> Data
     """The documents that :func:`near_duplicates` keeps, with all their columns."""
     found = near_duplicates(docs, params).filter("not kept").select("doc_id").distinct()
     dropped = small_side(materialize(found, f"{TABLE_PREFIX}dropped"))
-    return docs.join(dropped, "doc_id", "left_anti")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 #: The same result in SQL, by the sets themselves.

@@ -166,6 +166,8 @@ class BacktrackingBpe:
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isalpha():
             return self.words[chunk]
+        if not (chunk.isascii() or chunk.isprintable()) and self.unassigned.search(chunk):  # the library's own tables decide
+            return b"".join([self.words[p] for p, _ in self.pieces.pre_tokenize_str(self.normalizer.normalize_str(chunk))])
         return b"".join(map(self.words.__getitem__, self.pattern.findall(chunk)))
 
     def encode(self, text: str) -> bytes:
@@ -178,8 +180,6 @@ class BacktrackingBpe:
 
     def _ordinary(self, text: str) -> bytes:
         if not text.isascii():
-            if self.unassigned.search(text):  # the library's own tables decide
-                return b"".join([self.words[p] for p, _ in self.pieces.pre_tokenize_str(self.normalizer.normalize_str(text))])
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower case by character, without regard to the word's end
