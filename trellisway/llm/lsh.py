@@ -75,14 +75,14 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return mix(keys + np.arange(bands, dtype=np.uint64) * _GOLDEN).view(np.int64)
 
 
-def _local_stars(batches):
+def _local_stars(batches, sized: bool):
     """Within an Arrow batch the least id of a key becomes the hub of the key's other ids.
 
-    Only hubs go on under the band key, so a key that many rows share reaches the shuffle once a batch.
+    Only hubs go on under the band key, so a key that many rows share reaches the shuffle once a batch. A member
+    goes on with its hub as ``peer``, once a batch for however many keys they share.
     """
     for batch in batches:
-        ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+        ids, flat = batch.column("id").to_numpy(), batch.column("keys").flatten().to_numpy(zero_copy_only=False)
         if not len(ids) or not len(flat):
             continue
         row = np.repeat(np.arange(len(ids)), len(flat) // len(ids))
@@ -91,48 +91,56 @@ def _local_stars(batches):
         start = np.ones(len(key), bool)
         start[1:] = key[1:] != key[:-1]
         hub = row[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))]
-        member = ids[hub] != ids[row]
-        keep = start | member
-        key, row, hub, member = key[keep], row[keep], hub[keep], member[keep]
-        key = np.where(member, mix(ids[row].view(np.uint64) ^ key.view(np.uint64)).view(np.int64), key)
-        none = ~member
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(ids[row]), pa.array(sizes[row]), pa.array(ids[hub], mask=none), pa.array(sizes[hub], mask=none)],
-            names=["key", "id", "size", "peer", "peer_size"],
-        )
+        pairs = np.unique((row * len(ids) + hub)[ids[hub] != ids[row]])
+        member, its_hub = pairs // len(ids), pairs % len(ids)
+        row = np.concatenate([row[start], member])
+        peer = np.concatenate([np.zeros(int(start.sum()), np.int64), its_hub])
+        none = np.arange(len(row)) < int(start.sum())
+        key = np.concatenate([key[start], mix(ids[member].view(np.uint64) ^ mix(ids[its_hub].view(np.uint64))).view(np.int64)])
+        columns, names = [pa.array(key), pa.array(ids[row]), pa.array(ids[peer], mask=none)], ["key", "id", "peer"]
+        if sized:
+            sizes = batch.column("size").to_numpy()
+            columns += [pa.array(sizes[row]), pa.array(sizes[peer], mask=none)]
+            names += ["size", "peer_size"]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def star_candidates(sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate edges ``(a, b, kind)``, a > b, from rows ``(id long, size long, keys array<long>)``.
+    """Candidate edges ``(a, b, kind)``, a > b, from rows ``(id long, keys array<long>[, size long])``.
 
     Every bucket of a band key gives two stars and never all its pairs. Kind 0: the hub is the least id, so that a
     group's bands mostly agree on it. Kind 1: the hub is drawn by a hash of key and id, so that bands differ; it is
-    for documents that the first hub does not link. Edges whose sizes alone rule out ``den * overlap >= num * union``
-    are left out. Keys are longs, the same number in every row.
+    for documents that the first hub does not link. Edges whose sizes, where they are given, rule out
+    ``den * overlap >= num * union`` are left out. Keys are longs, the same number in every row.
     """
-    local = sketches.select(F.col("id").cast("long"), F.col("size").cast("long"), "keys").mapInArrow(
-        _local_stars, "key long, id long, size long, peer long, peer_size long"
-    )
+    sized = "size" in sketches.columns
+    own = sketches.select(F.col("id").cast("long"), "keys", *([F.col("size").cast("long")] if sized else []))
+    local = own.mapInArrow(lambda it: _local_stars(it, sized), "key long, id long, peer long" + ", size long, peer_size long" * sized)
     bucket = Window.partitionBy("key")
     shared = F.col("peer").isNull()
+    if sized:
+        least = F.min(F.when(shared, F.struct("id", "size"))).over(bucket)
+        least = F.when(shared, least).otherwise(F.struct(F.col("peer").alias("id"), F.col("peer_size").alias("size")))
+        drawn = F.min(F.when(shared, F.struct(F.xxhash64("key", "id").alias("draw"), "id", "size"))).over(bucket)
+        hub = lambda kind, end: F.struct(F.lit(kind).alias("kind"), F.col(f"{end}.id").alias("hub"), F.col(f"{end}.size").alias("hub_size"))
+    else:
+        # Numbers only: ids in the order that a key's hash gives them by exclusive or, which undoes itself.
+        turn = F.xxhash64("key")
+        least = F.when(shared, F.min(F.when(shared, F.col("id"))).over(bucket)).otherwise(F.col("peer"))
+        drawn = F.min(F.when(shared, F.col("id").bitwiseXOR(turn))).over(bucket).bitwiseXOR(turn)
+        hub = lambda kind, end: F.struct(F.lit(kind).alias("kind"), F.col(end).alias("hub"))
     hubs = local.select(
-        "id", "size",
-        F.when(shared, F.min(F.when(shared, F.struct("id", "size"))).over(bucket))
-        .otherwise(F.struct(F.col("peer").alias("id"), F.col("peer_size").alias("size"))).alias("least"),
-        F.min(F.when(shared, F.struct(F.xxhash64("key", "id").alias("draw"), "id", "size"))).over(bucket).alias("drawn"),
-        F.count("*").over(bucket).alias("members"), shared.alias("shared"),
+        "id", *(["size"] if sized else []), least.alias("least"), drawn.alias("drawn"), F.count("*").over(bucket).alias("members"), shared.alias("shared")
     ).filter("members > 1 or not shared")
-    ends = F.filter(
-        F.array(
-            F.struct(F.lit(0).alias("kind"), F.col("least.id").alias("hub"), F.col("least.size").alias("hub_size")),
-            F.struct(F.lit(1).alias("kind"), F.col("drawn.id").alias("hub"), F.col("drawn.size").alias("hub_size")),
-        ),
-        lambda e: e["hub"].isNotNull() & (e["hub"] != F.col("id"))
-        & (F.lit(den) * F.least(e["hub_size"], F.col("size")) >= F.lit(num) * F.greatest(e["hub_size"], F.col("size")))
-        & (F.col("shared") | (e["kind"] == 0)),
-    )
+
+    def useful(e):
+        ok = e["hub"].isNotNull() & (e["hub"] != F.col("id")) & (F.col("shared") | (e["kind"] == 0))
+        if sized:
+            ok = ok & (F.lit(den) * F.least(e["hub_size"], F.col("size")) >= F.lit(num) * F.greatest(e["hub_size"], F.col("size")))
+        return ok
+
     edges = (
-        hubs.select("id", F.explode(ends).alias("e"))
+        hubs.select("id", F.explode(F.filter(F.array(hub(0, "least"), hub(1, "drawn")), useful)).alias("e"))
         .groupBy(F.greatest("id", "e.hub").alias("a"), F.least("id", "e.hub").alias("b"))
         .agg(F.min("e.kind").alias("kind"))
     )
