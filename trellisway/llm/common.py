@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -71,12 +73,16 @@ def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+_caches: list[weakref.ref] = []
+
+
 class BoundedCache(dict):
     """``cache[key]`` computes a missing value; at ``limit`` entries it starts afresh, which bounds its memory."""
 
     def __init__(self, compute: Callable, limit: int):
         super().__init__()
         self.compute, self.limit = compute, limit
+        _caches.append(weakref.ref(self))
 
     def __missing__(self, key):
         if len(self) >= self.limit:
@@ -85,6 +91,22 @@ class BoundedCache(dict):
         return value
 
 
+def keep_only(*used: BoundedCache) -> None:
+    """Empty the other caches of this worker process, which tasks of other operators have left behind.
+
+    A worker serves many tasks; what the allocators hold of earlier ones goes back to the system.
+    """
+    live = [(ref, cache) for ref in _caches if (cache := ref()) is not None]
+    _caches[:] = [ref for ref, _ in live]
+    for _, cache in live:
+        if not any(cache is u for u in used):
+            cache.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def sub_batches(batches: Iterable[pa.RecordBatch], rows: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that what a step builds for one of them stays small."""
     for batch in batches:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TABLE_PREFIX, BoundedCache, documents, materialize, small_side, sub_batches
+from .common import TABLE_PREFIX, BoundedCache, documents, keep_only, materialize, small_side, sub_batches
 from .components import connected_components
 from .lsh import band_keys, mix, odd_constants, one_permutation, star_candidates
 
@@ -30,7 +30,7 @@ class MinHashParams:
     rows: int = 8
 
 
-_word_hash = BoundedCache(xxhash.xxh64_digest, 300_000)
+_word_hash = BoundedCache(xxhash.xxh64_digest, 200_000)
 
 
 def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +66,7 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
 
 
 def _sketch(batches, params: MinHashParams):
+    keep_only(_word_hash)
     for batch in sub_batches(batches):
         hashes, sizes = shingle_sets(batch.column(1).to_pylist(), params.words)
         owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -83,6 +84,7 @@ def _sketch(batches, params: MinHashParams):
 
 
 def _verified(batches, params: MinHashParams):
+    keep_only(_word_hash)
     sets = BoundedCache(lambda t: shingle_sets([t], params.words)[0], 64)
     for batch in sub_batches(batches):
         a, b, left, right = (c.to_pylist() for c in batch.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import encoder
-from .common import TABLE_PREFIX, documents, materialize, sub_batches
+from .common import TABLE_PREFIX, documents, keep_only, materialize, sub_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -59,6 +59,7 @@ class OpenWindows:
 def _pack(batches, path: str, params: PackingParams):
     """Pieces of a partition; ``open`` marks those of the windows still open at its end."""
     bpe, windows = encoder(path), OpenWindows(params.open_windows, params.window)
+    keep_only(bpe.chunks)
     base = TaskContext.get().partitionId() << 33
     size, end = params.window, params.end_id.to_bytes(4, "little")
     waiting: dict[int, list[tuple]] = {}

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TABLE_PREFIX, documents, materialize, sub_batches
+from .common import TABLE_PREFIX, documents, keep_only, materialize, sub_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("account", "email_spelled", "phone_local", "secret")
@@ -161,6 +161,7 @@ FOUND = (
 
 
 def _find(batches):
+    keep_only()
     for batch in sub_batches(batches):
         base, more = [], []
         for text in batch.column(1).to_pylist():

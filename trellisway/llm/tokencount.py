@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytebpe import encoder
-from .common import TABLE_PREFIX, documents, materialize, sub_batches
+from .common import TABLE_PREFIX, documents, keep_only, materialize, sub_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 50256
@@ -22,6 +22,7 @@ RUN = 4096
 def _flat(batches, path: str, end_id: int, block: int):
     """A partition's token stream in blocks, cut without regard to documents, and its doc_ids in order."""
     bpe, file = encoder(path, special_as_text=True), TaskContext.get().partitionId()
+    keep_only(bpe.chunks)
     end = np.array([end_id], "<u2").tobytes()
     stream, ids, made = bytearray(), [], [0, 0]
 

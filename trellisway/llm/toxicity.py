@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, crc_bucket, documents, sub_batches
+from .common import BoundedCache, crc_bucket, documents, keep_only, sub_batches
 
 _EDGES = re.compile(r"[\W_]+")
 
@@ -35,7 +35,7 @@ def _hash_words(chunk: str) -> bytes:
     return b"".join(xxhash.xxh32_digest(w.encode("utf-8", "surrogatepass")) for w in _EDGES.split(chunk.lower()) if w)
 
 
-_words = BoundedCache(_hash_words, 300_000)
+_words = BoundedCache(_hash_words, 200_000)
 
 
 def features(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +100,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, params: ToxicityParams) ->
 
 
 def _train(batches, params: ToxicityParams):
+    keep_only(_words)
     rows, labels = [], []
     for batch in sub_batches(batches):
         rows += _by_text(batch.column(0).to_pylist(), params.bits)
@@ -133,6 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
 
 
 def _score(batches, sent, params: ToxicityParams, text_at: int):
+    keep_only(_words)
     at, weights = sent.value
     size = 1 << params.bits
     table = np.zeros(size + 1)

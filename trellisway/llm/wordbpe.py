@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from .bytebpe import byte_alphabet
-from .common import BoundedCache, documents, sub_batches
+from .common import BoundedCache, documents, keep_only, sub_batches
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -212,6 +212,7 @@ def coder(path: str) -> BacktrackingBpe:
 
 def _encode(batches, path):
     bpe = coder(path)
+    keep_only(bpe.words, bpe.chunks, bpe.fits)
     for batch in sub_batches(batches):
         packed = [bpe.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
         ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
