@@ -29,7 +29,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """``train_docs`` bounds the labelled documents of each language that are learned from, chosen by a hash of doc_id;
+    """``train_docs`` is the number of labelled documents of each language that are learned from, about, chosen by a hash of doc_id;
     ``grams`` bounds the character n-grams kept of each language, the most frequent first."""
 
     train_docs: int = 1500
@@ -183,7 +183,7 @@ def _grams(batches, params: LanguageParams):
 def fit(docs: DataFrame, params: LanguageParams = LanguageParams(), usable=None) -> LanguageModel:
     """Character n-gram model from the texts and non-null languages of ``docs`` (doc_id, text, lang).
 
-    usable: condition on doc_id that training rows meet. At most ``train_docs`` rows of each language are read,
+    usable: condition on doc_id that training rows meet. About ``train_docs`` rows of each language are read,
     those with the least hash of doc_id. Counting is distributed; the driver gets at most ``grams`` counts a language.
     """
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(
