@@ -1,6 +1,8 @@
 """Fuzzy line dedup against all pairs of lines."""
 
+import random
 from itertools import combinations
+from string import ascii_lowercase
 
 from trellisway.llm.lines import LineParams, dedup_lines, normalise, op6_line_dedup
 
@@ -79,3 +81,14 @@ def test_query_keeps_every_document(spark, sf_dir):
     assert found.count() == docs.count()
     lost = found.filter("not emptied").select("doc_id", "text").subtract(docs.select("doc_id", "text"))
     assert 0 < lost.count() < docs.count()
+
+
+def test_pairs_among_lines_of_one_template(spark):
+    template = prose(7000, 40)[:130]
+    tail = lambda seed, n: "".join(random.Random(seed).choices(ascii_lowercase, k=n))
+    rows = [(i, template + tail(i, 20)) for i in range(160)]
+    rows += [(200 + i, rows[1 + 4 * i][1][:-13] + tail(5000 + i, 13)) for i in range(40)]
+    want = expected(rows)
+    assert sum(gone for _, gone in want.values()) == 40
+    for r in dedup_lines(frame(spark, rows).coalesce(2)).collect():
+        assert (r.text, r._emptied) == want[r.doc_id], r.doc_id

@@ -75,3 +75,19 @@ def test_query_against_sql(spark, sf_dir):
     want = sorted(cur.fetchall())
     got = sorted(tuple(r[n] for n in names) for r in op1_minhash_dedup(spark, sf_dir).collect())
     assert got == want
+
+
+def test_pairs_among_documents_of_one_template(spark):
+    template = prose(7000, 300)
+    rows = [(i, f"{template} {prose(8000 + i, 30)}") for i in range(160)]
+    rows += [(200 + i, " ".join([*rows[1 + 4 * i][1].split()[:-24], prose(9000 + i, 24)])) for i in range(40)]
+    own, _ = expected(rows)
+    assert sum(i != c for i, c in own.items()) == 40
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "50")
+    try:
+        found = near_duplicates(frame(spark, rows).coalesce(1)).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {r.doc_id: r.component_id for r in found} == own

@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import TABLE_PREFIX, BoundedCache, documents, keep_only, materialize, small_side, sub_batches
-from .components import connected_components
-from .lsh import band_keys, mix, odd_constants, one_permutation, star_candidates
+from .lsh import band_keys, linked_components, mix, odd_constants, one_permutation
 
 
 @dataclass(frozen=True)
@@ -159,8 +158,8 @@ def duplicate_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataF
 
     Of each component of linked lines the one first in order of (doc_id, line number) stays. Equal normal forms are one
     vertex, so the copies of a common line cost a partial minimum and no edge. Links are searched by stars of band
-    buckets, verified on full shingle sets, and joined by distributed union-find; stars with drawn hubs are then
-    verified where they cross components. Lines are split at ``\\n``; lines of white space are no lines.
+    buckets, verified on full shingle sets, and joined by distributed union-find, then by all pairs of a bucket that are
+    still apart. Lines are split at ``\\n``; lines of white space are no lines.
 
     Null and empty texts have no lines. Lines of rows with a null doc_id are left as they are. Rows that repeat a doc_id
     share line numbers, so equal rows are deduplicated as one document and keep the same lines.
@@ -169,18 +168,8 @@ def duplicate_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataF
     lines = materialize(
         own.mapInArrow(lambda it: _lines(it, params), "doc_id long, line int, h1 long, h2 long, keys array<long>"), f"{TABLE_PREFIX}lines"
     )
-    candidates = star_candidates(
-        lines.filter("keys is not null").select(F.col("h1").alias("id"), "keys"), params.num, params.den
-    )
-    links = _verify(candidates.filter("kind = 0"), lines, own, params)
-    components = connected_components(links)
-    rest = candidates.filter("kind = 1")
-    for end in ("a", "b"):
-        part = components.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
-        rest = rest.join(part, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    more = _verify(rest.filter("ca <> cb"), lines, own, params)
-    if not more.isEmpty():
-        components = connected_components(links.unionByName(more))
+    sketches = lines.filter("keys is not null").select(F.col("h1").alias("id"), "keys")
+    components = linked_components(sketches, params.num, params.den, lambda edges: _verify(edges, lines, own, params))
     first = F.min(F.struct("doc_id", "line")).alias("first")
     forms = materialize(lines.groupBy("h1", "h2").agg(first, F.count("*").alias("n")), f"{TABLE_PREFIX}line-groups")
     named = small_side(components.select(F.col("id").alias("h1"), "component"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -9,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TABLE_PREFIX, materialize
+from .common import TABLE_PREFIX, materialize, small_side
+from .components import connected_components
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,8 +107,8 @@ def _local_stars(batches, sized: bool):
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def star_candidates(sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate edges ``(a, b, kind)``, a > b, from rows ``(id long, keys array<long>[, size long])``.
+def star_candidates(sketches: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate edges ``(a, b, kind)``, a > b, from rows ``(id long, keys array<long>[, size long])``, and the ids of shared buckets.
 
     Every bucket of a band key gives two stars and never all its pairs. Kind 0: the hub is the least id, so that a
     group's bands mostly agree on it. Kind 1: the hub is drawn by a hash of key and id, so that bands differ; it is
@@ -132,6 +134,7 @@ def star_candidates(sketches: DataFrame, num: int, den: int) -> DataFrame:
     hubs = local.select(
         "id", *(["size"] if sized else []), least.alias("least"), drawn.alias("drawn"), F.count("*").over(bucket).alias("members"), shared.alias("shared")
     ).filter("members > 1 or not shared")
+    hubs = materialize(hubs, f"{TABLE_PREFIX}hubs")
 
     def useful(e):
         ok = e["hub"].isNotNull() & (e["hub"] != F.col("id")) & (F.col("shared") | (e["kind"] == 0))
@@ -144,4 +147,57 @@ def star_candidates(sketches: DataFrame, num: int, den: int) -> DataFrame:
         .groupBy(F.greatest("id", "e.hub").alias("a"), F.least("id", "e.hub").alias("b"))
         .agg(F.min("e.kind").alias("kind"))
     )
-    return materialize(edges, f"{TABLE_PREFIX}candidates")
+    end = "least.id" if sized else "least"
+    crowded = hubs.select(F.explode(F.array("id", end)).alias("id")).dropna().distinct()
+    return materialize(edges, f"{TABLE_PREFIX}candidates"), materialize(crowded, f"{TABLE_PREFIX}crowded")
+
+
+def linked_components(sketches: DataFrame, num: int, den: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components ``(id, component)`` of the verified pairs that share a bucket; ids without a link may be left out.
+
+    ``verify`` gives those of the edges ``(a, b)`` that hold. The two stars of :func:`star_candidates` come first. A bucket
+    that still holds more than one component is open: of its members outside its largest component some become hubs
+    of a round and are compared with every member of another component, which settles a hub for that bucket. Rounds
+    have four times as many hubs each and end when no bucket is open, so that each pair of a bucket has been compared
+    or is joined already. Copies close their buckets in the first stars and cost no pairs.
+    """
+    candidates, crowded = star_candidates(sketches, num, den)
+    links = verify(candidates.filter("kind = 0"))
+    components = connected_components(links)
+    rest = candidates.filter("kind = 1")
+    for end in ("a", "b"):
+        own = components.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+        rest = rest.join(own, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    more = verify(rest.filter("ca <> cb"))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        components = connected_components(links)
+    size = F.col("size").cast("long") if "size" in sketches.columns else F.lit(1).cast("long")
+    members = sketches.select(F.col("id").cast("long").alias("id"), size.alias("size"), "keys").join(small_side(crowded), "id", "left_semi")
+    members = members.select(F.explode("keys").alias("key"), "id", "size").distinct()
+    tested, hubs = candidates.select("a", "b"), 4
+    while True:
+        named = small_side(components.select("id", "component"))
+        members = members.drop("component").join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        members = materialize(members, f"{TABLE_PREFIX}members")
+        parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+        largest = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
+        largest = small_side(materialize(largest.filter("parts > 1").select("key", "main"), f"{TABLE_PREFIX}open"))
+        members = materialize(members.join(largest, "key"), f"{TABLE_PREFIX}members")
+        if members.isEmpty():
+            return components
+        turn = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
+        outside = members.filter("component <> main").select("key", "id", "size", "component").withColumn("r", F.dense_rank().over(turn))
+        drawn = outside.filter(F.col("r") <= hubs).select("key", F.col("id").alias("hub"), F.col("size").alias("hub_size"), F.col("component").alias("hub_part"))
+        drawn = small_side(materialize(drawn, f"{TABLE_PREFIX}drawn"))
+        fits = F.lit(den) * F.least("hub_size", "size") >= F.lit(num) * F.greatest("hub_size", "size")
+        pairs = members.join(drawn, "key").filter((F.col("component") != F.col("hub_part")) & fits)
+        pairs = pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), f"{TABLE_PREFIX}candidates")
+        more = verify(pairs)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            components = connected_components(links)
+        tested = tested.unionByName(pairs)
+        members = members.drop("main").join(drawn.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
+        hubs *= 4

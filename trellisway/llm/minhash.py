@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import TABLE_PREFIX, BoundedCache, documents, keep_only, materialize, small_side, sub_batches
-from .components import connected_components
-from .lsh import band_keys, mix, odd_constants, one_permutation, star_candidates
+from .lsh import band_keys, linked_components, mix, odd_constants, one_permutation
 
 
 @dataclass(frozen=True)
@@ -122,8 +121,8 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     """Component of near-duplicate documents for every row of ``docs`` (doc_id, text; more columns are ignored).
 
     Returns doc_id, n_shingles, component_id (the smallest linked doc_id) and kept (doc_id = component_id). Equal
-    shingle sets collapse to their smallest id first, so thousands of copies cost one sketch. Stars of the least id are
-    verified and joined into components; stars with drawn hubs are then verified where they cross components.
+    shingle sets collapse to their smallest id first, so thousands of copies cost one sketch. Stars of
+    band buckets are verified and joined into components, then all pairs of a bucket that are still apart.
 
     Null, empty and white-space texts have no shingles, are linked with nothing and kept. A null doc_id keeps its
     row, with a null component, as kept. Rows that repeat a doc_id count as one document that has the links
@@ -143,16 +142,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     reps = usable.join(
         groups.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi"
     ).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "keys")
-    candidates = star_candidates(reps, params.num, params.den)
-    links = verify(candidates.filter("kind = 0"), docs, params)
-    components = connected_components(links)
-    rest = candidates.filter("kind = 1")
-    for end in ("a", "b"):
-        own = components.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
-        rest = rest.join(own, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    more = verify(rest.filter("ca <> cb"), docs, params)
-    if not more.isEmpty():
-        components = connected_components(links.unionByName(more))
+    components = linked_components(reps, params.num, params.den, lambda edges: verify(edges, docs, params))
     copied = groups.filter("copies > 1").select("d1", "d2", "rep")
     copied = small_side(materialize(copied, f"{TABLE_PREFIX}copied"))
     spread = F.when(F.col("d1").isNull(), F.xxhash64("doc_id"))
