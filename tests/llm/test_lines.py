@@ -92,3 +92,9 @@ def test_pairs_among_lines_of_one_template(spark):
     assert sum(gone for _, gone in want.values()) == 40
     for r in dedup_lines(frame(spark, rows).coalesce(2)).collect():
         assert (r.text, r._emptied) == want[r.doc_id], r.doc_id
+
+
+def test_lines_that_differ_in_digits_only(spark):
+    text = "1999\n2024\nChapter 12\nChapter 13\n555 120 77 | 12.50\n684 931 25 | 99.75"
+    rows = [(1, text), (2, "Chapter 14\nchapter  12")]
+    assert {r.doc_id: r.text for r in dedup_lines(frame(spark, rows)).collect()} == {1: text, 2: "Chapter 14"}

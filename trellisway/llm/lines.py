@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,12 +29,9 @@ class LineParams:
     rows: int = 4
 
 
-_DIGITS = re.compile("[1-9]")
-
-
 def forms_of(text: str) -> list[str]:
-    """What the lines of a text are compared by: lower case, white space runs as one space, digits as 0."""
-    return [" ".join(line.split()) for line in _DIGITS.sub("0", text.lower()).split("\n")]
+    """What the lines of a text are compared by: lower case, white space runs as one space."""
+    return [" ".join(line.split()) for line in text.lower().split("\n")]
 
 
 def normalise(line: str) -> str:
