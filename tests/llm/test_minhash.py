@@ -3,7 +3,9 @@
 from itertools import combinations
 
 import duckdb
+import pytest
 
+from trellisway.llm.lsh import Bound
 from trellisway.llm.minhash import OP1_SQL, near_dedup, near_duplicates, op1_minhash_dedup
 
 from .helpers import ODD, components, frame, prose
@@ -77,7 +79,8 @@ def test_query_against_sql(spark, sf_dir):
     assert got == want
 
 
-def test_pairs_among_documents_of_one_template(spark):
+@pytest.mark.parametrize("bound", [Bound(), Bound(rows=30)])
+def test_pairs_among_documents_of_one_template(spark, bound):
     template = prose(7000, 300)
     rows = [(i, f"{template} {prose(8000 + i, 30)}") for i in range(160)]
     rows += [(200 + i, " ".join([*rows[1 + 4 * i][1].split()[:-24], prose(9000 + i, 24)])) for i in range(40)]
@@ -87,7 +90,7 @@ def test_pairs_among_documents_of_one_template(spark):
     before = spark.conf.get(key)
     spark.conf.set(key, "50")
     try:
-        found = near_duplicates(frame(spark, rows).coalesce(1)).collect()
+        found = near_duplicates(frame(spark, rows).coalesce(1), bound=bound).collect()
     finally:
         spark.conf.set(key, before)
     assert {r.doc_id: r.component_id for r in found} == own

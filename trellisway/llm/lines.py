@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TABLE_PREFIX, BoundedCache, documents, keep_only, materialize, small_side, sub_batches
-from .lsh import band_keys, linked_components, mix, odd_constants, one_permutation
+from .common import TABLE_PREFIX, BoundedCache, documents, keep_only, materialize, small_lists, small_side, sub_batches
+from .lsh import Bound, band_keys, linked_components, mix, odd_constants, one_permutation
 
 
 @dataclass(frozen=True)
@@ -71,10 +71,14 @@ def shingle_hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]
     return mix(out[inside]), owner[: len(out)][inside]
 
 
+def _digest(form: str) -> bytes:
+    return xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass"))
+
+
 def _lines(batches, params: LineParams):
     """Every line with a word: its place, two hashes of its normal form, and for its first place in a batch its bands."""
     keep_only()
-    known = BoundedCache(lambda x: xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")), 100_000)
+    known = BoundedCache(_digest, 100_000)
     for batch in sub_batches(batches, 500):
         places, forms = [], []
         for doc_id, text in zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True):
@@ -109,53 +113,42 @@ def _lines(batches, params: LineParams):
 
 
 def _texts_of(batches):
+    """The compared form of each wanted line; a row that only shares the doc_id of the wanted one gives none."""
     for batch in sub_batches(batches):
         rows = []
         for text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if text:
                 parts = text.split("\n")
-                rows += [(w["h1"], normalise(parts[w["line"]])) for w in wanted if w["line"] < len(parts)]
+                for w in wanted:
+                    if w["line"] < len(parts):
+                        form = normalise(parts[w["line"]])
+                        if np.frombuffer(_digest(form), np.int64)[0] == w["h1"]:
+                            rows.append((w["id"], form))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["h1", "form"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["id", "text"])
 
 
-def _verified(batches, params: LineParams):
-    keep_only()
-    sets = BoundedCache(lambda t: np.unique(shingle_hashes([t], params.size)[0]), 2000)
-    for batch in sub_batches(batches):
-        a, b, left, right = (c.to_pylist() for c in batch.columns)
-        keep = []
-        for i, (x, y) in enumerate(zip(left, right, strict=True)):
-            s, t = sets[x], sets[y]
-            overlap = len(np.intersect1d(s, t, assume_unique=True))
-            if params.den * overlap >= params.num * (len(s) + len(t) - overlap):
-                keep.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
-
-
-def _verify(edges: DataFrame, lines: DataFrame, docs: DataFrame, params: LineParams) -> DataFrame:
-    """The edges that hold on the full shingle sets; each line's text is cut from one document that has it."""
-    edges = materialize(edges.select("a", "b"), f"{TABLE_PREFIX}line-pairs")
-    ids = small_side(materialize(edges.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), f"{TABLE_PREFIX}line-ids"))
-    places = lines.filter("doc_id is not null").join(ids, "h1", "left_semi").groupBy("h1").agg(F.min(F.struct("doc_id", "line")).alias("p"))
-    wanted = places.groupBy("p.doc_id").agg(F.collect_list(F.struct("h1", "p.line")).alias("wanted"))
-    wanted = small_side(materialize(wanted, f"{TABLE_PREFIX}line-places"), 100_000)
-    forms = docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_texts_of, "h1 long, form string").dropDuplicates(["h1"])
-    forms = materialize(forms, f"{TABLE_PREFIX}line-forms")
-    pairs = (
-        edges.join(forms.select(F.col("h1").alias("a"), F.col("form").alias("left")), "a")
-        .join(forms.select(F.col("h1").alias("b"), F.col("form").alias("right")), "b").select("a", "b", "left", "right")
+def line_sets(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each line's character shingles, one line after the other, and their numbers."""
+    hashes, owner = shingle_hashes(lines, size)
+    return hashes, np.bincount(owner, minlength=len(lines))
+
+
+def _grouped(lines: DataFrame) -> DataFrame:
+    """Each different line once: ``(id, first (doc_id, line, h1), n, low, high)``, with the range of its second hash."""
+    return lines.groupBy("id").agg(
+        F.min(F.struct("doc_id", "line", "h1")).alias("first"), F.count("*").alias("n"), F.min("h2").alias("low"), F.max("h2").alias("high")
     )
-    return materialize(pairs.mapInArrow(lambda it: _verified(it, params), "a long, b long").distinct(), f"{TABLE_PREFIX}line-links")
 
 
-def duplicate_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
+def duplicate_lines(docs: DataFrame, params: LineParams = LineParams(), bound: Bound = Bound()) -> DataFrame:
     """Lines to drop, per document: ``(doc_id, dropped array<int>)``; documents that keep all their lines are left out.
 
-    Of each component of linked lines the one first in order of (doc_id, line number) stays. Equal normal forms are one
-    vertex, so the copies of a common line cost a partial minimum and no edge. Links are searched by stars of band
-    buckets, verified on full shingle sets, and joined by distributed union-find, then by all pairs of a bucket that are
-    still apart. Lines are split at ``\\n``; lines of white space are no lines.
+    Of each component of linked lines the one first in order of (doc_id, line number) stays. Equal compared forms are one
+    vertex, named by 64 bits of a 128-bit hash; the few names that two different lines share are found by
+    the other half and replaced. The copies of a common line cost a partial minimum and no edge. The stars of band buckets
+    give candidate clusters, within which links are verified on full shingle sets (:func:`lsh.linked_components`). Lines are
+    split at ``\\n``; lines of white space are no lines.
 
     Null and empty texts have no lines. Lines of rows with a null doc_id are left as they are. Rows that repeat a doc_id
     share line numbers, so equal rows are deduplicated as one document and keep the same lines.
@@ -163,19 +156,27 @@ def duplicate_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataF
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     lines = materialize(
         own.mapInArrow(lambda it: _lines(it, params), "doc_id long, line int, h1 long, h2 long, keys array<long>"), f"{TABLE_PREFIX}lines"
-    )
-    sketches = lines.filter("keys is not null").select(F.col("h1").alias("id"), "keys")
-    components = linked_components(sketches, params.num, params.den, lambda edges: _verify(edges, lines, own, params))
-    first = F.min(F.struct("doc_id", "line")).alias("first")
-    forms = materialize(lines.groupBy("h1", "h2").agg(first, F.count("*").alias("n")), f"{TABLE_PREFIX}line-groups")
-    named = small_side(components.select(F.col("id").alias("h1"), "component"))
-    grouped = forms.join(named, "h1", "left").withColumn("other", F.when(F.col("component").isNull(), F.col("h2")))
-    best = grouped.groupBy(F.coalesce("component", "h1").alias("c"), "other").agg(F.min("first").alias("best"), F.sum("n").alias("n"))
-    kept = best.filter("n > 1").select(F.col("best.doc_id").alias("doc_id"), F.col("best.line").alias("line"), F.lit(True).alias("kept"))
+    ).withColumn("id", F.col("h1"))
+    forms = materialize(_grouped(lines), f"{TABLE_PREFIX}line-groups")
+    clashes = forms.filter("low <> high").select("id", F.lit(True).alias("clash"))
+    if not clashes.isEmpty():
+        lines = lines.join(small_side(clashes), "id", "left").withColumn("id", F.when(F.col("clash"), F.xxhash64("h1", "h2")).otherwise(F.col("id"))).drop("clash")
+        forms = materialize(_grouped(lines), f"{TABLE_PREFIX}line-groups")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        places = forms.join(small_side(ids), "id", "left_semi").select("id", "first.*")
+        wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("id", "h1", "line")).alias("wanted"))
+        wanted = small_lists(materialize(wanted, f"{TABLE_PREFIX}line-places"), "wanted")
+        return own.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_texts_of, "id long, text string")
+
+    sketches = lines.filter("keys is not null").select("id", "keys")
+    components = linked_components(sketches, texts_of, lambda texts: line_sets(texts, params.size), params.num, params.den, bound)
     # A line goes if its form or its component has more than one place and it is not the first of them.
-    crowded = grouped.filter((F.col("n") > 1) | F.col("component").isNotNull()).select("h1", "h2")
-    crowded = small_side(materialize(crowded, f"{TABLE_PREFIX}line-crowded"))
-    repeated = lines.select("doc_id", "line", "h1", "h2").join(crowded, ["h1", "h2"], "left_semi")
+    crowded = forms.select("id", "first", "n").join(small_side(components), "id", "left").filter("n > 1 or component is not null")
+    crowded = materialize(crowded.select("id", F.coalesce("component", "id").alias("c"), "first"), f"{TABLE_PREFIX}line-crowded")
+    kept = crowded.groupBy("c").agg(F.min("first").alias("best")).select("best.doc_id", "best.line", F.lit(True).alias("kept"))
+    kept = small_side(materialize(kept, f"{TABLE_PREFIX}line-kept"))
+    repeated = lines.select("doc_id", "line", "id").join(small_side(crowded.select("id")), "id", "left_semi")
     dropped = repeated.join(kept, ["doc_id", "line"], "left").filter("kept is null")
     return materialize(
         dropped.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped")), f"{TABLE_PREFIX}line-dropped"
@@ -202,7 +203,7 @@ def _without(batches, names):
 
 def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """The rows of ``docs`` without the lines of :func:`duplicate_lines`, and ``_emptied`` where no line with a word is left."""
-    dropped = small_side(duplicate_lines(docs, params), 200_000)
+    dropped = small_lists(duplicate_lines(docs, params), "dropped")
     joined = docs.join(dropped, docs["doc_id"] == dropped["doc_id"], "left").select(*(docs[c] for c in docs.columns), dropped["dropped"])
     names = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -1,8 +1,9 @@
-"""One-permutation MinHash with optimal densification, band keys and star-shaped candidate edges."""
+"""One-permutation MinHash with optimal densification, band keys, star-shaped candidate edges and verified components."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TABLE_PREFIX, materialize, small_side
+from .common import TABLE_PREFIX, BoundedCache, keep_only, materialize, small_side, sub_batches
 from .components import connected_components
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -77,7 +78,7 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return mix(keys + np.arange(bands, dtype=np.uint64) * _GOLDEN).view(np.int64)
 
 
-def _local_stars(batches, sized: bool):
+def _local_stars(batches):
     """Within an Arrow batch the least id of a key becomes the hub of the key's other ids.
 
     Only hubs go on under the band key, so a key that many rows share reaches the shuffle once a batch. A member
@@ -99,105 +100,203 @@ def _local_stars(batches, sized: bool):
         peer = np.concatenate([np.zeros(int(start.sum()), np.int64), its_hub])
         none = np.arange(len(row)) < int(start.sum())
         key = np.concatenate([key[start], mix(ids[member].view(np.uint64) ^ mix(ids[its_hub].view(np.uint64))).view(np.int64)])
-        columns, names = [pa.array(key), pa.array(ids[row]), pa.array(ids[peer], mask=none)], ["key", "id", "peer"]
-        if sized:
-            sizes = batch.column("size").to_numpy()
-            columns += [pa.array(sizes[row]), pa.array(sizes[peer], mask=none)]
-            names += ["size", "peer_size"]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row]), pa.array(ids[peer], mask=none)], names=["key", "id", "peer"])
 
 
-def star_candidates(sketches: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate edges ``(a, b, kind)``, a > b, from rows ``(id long, keys array<long>[, size long])``, and the ids of shared buckets.
+def star_edges(sketches: DataFrame) -> DataFrame:
+    """Candidate edges ``(a, b)`` from rows ``(id long, keys array<long>)``: of each member of a band bucket to the bucket's least id.
 
-    Every bucket of a band key gives two stars and never all its pairs. Kind 0: the hub is the least id, so that a
-    group's bands mostly agree on it. Kind 1: the hub is drawn by a hash of key and id, so that bands differ; it is
-    for documents that the first hub does not link. Edges whose sizes, where they are given, rule out
-    ``den * overlap >= num * union`` are left out. Keys are longs, the same number in every row.
+    A bucket of n members gives n - 1 edges and never all its pairs. Within an Arrow batch a star has a hub of its own, which
+    is then a member of the bucket's star. Every row has the same number of keys.
     """
-    sized = "size" in sketches.columns
-    own = sketches.select(F.col("id").cast("long"), "keys", *([F.col("size").cast("long")] if sized else []))
-    local = own.mapInArrow(lambda it: _local_stars(it, sized), "key long, id long, peer long" + ", size long, peer_size long" * sized)
-    bucket = Window.partitionBy("key")
-    shared = F.col("peer").isNull()
-    if sized:
-        least = F.min(F.when(shared, F.struct("id", "size"))).over(bucket)
-        least = F.when(shared, least).otherwise(F.struct(F.col("peer").alias("id"), F.col("peer_size").alias("size")))
-        drawn = F.min(F.when(shared, F.struct(F.xxhash64("key", "id").alias("draw"), "id", "size"))).over(bucket)
-        hub = lambda kind, end: F.struct(F.lit(kind).alias("kind"), F.col(f"{end}.id").alias("hub"), F.col(f"{end}.size").alias("hub_size"))
-    else:
-        # Numbers only: ids in the order that a key's hash gives them by exclusive or, which undoes itself.
-        turn = F.xxhash64("key")
-        least = F.when(shared, F.min(F.when(shared, F.col("id"))).over(bucket)).otherwise(F.col("peer"))
-        drawn = F.min(F.when(shared, F.col("id").bitwiseXOR(turn))).over(bucket).bitwiseXOR(turn)
-        hub = lambda kind, end: F.struct(F.lit(kind).alias("kind"), F.col(end).alias("hub"))
-    hubs = local.select(
-        "id", *(["size"] if sized else []), least.alias("least"), drawn.alias("drawn"), F.count("*").over(bucket).alias("members"), shared.alias("shared")
-    ).filter("members > 1 or not shared")
-    hubs = materialize(hubs, f"{TABLE_PREFIX}hubs")
-
-    def useful(e):
-        ok = e["hub"].isNotNull() & (e["hub"] != F.col("id")) & (F.col("shared") | (e["kind"] == 0))
-        if sized:
-            ok = ok & (F.lit(den) * F.least(e["hub_size"], F.col("size")) >= F.lit(num) * F.greatest(e["hub_size"], F.col("size")))
-        return ok
-
-    edges = (
-        hubs.select("id", F.explode(F.filter(F.array(hub(0, "least"), hub(1, "drawn")), useful)).alias("e"))
-        .groupBy(F.greatest("id", "e.hub").alias("a"), F.least("id", "e.hub").alias("b"))
-        .agg(F.min("e.kind").alias("kind"))
-    )
-    end = "least.id" if sized else "least"
-    crowded = hubs.select(F.explode(F.array("id", end)).alias("id")).dropna().distinct()
-    return materialize(edges, f"{TABLE_PREFIX}candidates"), materialize(crowded, f"{TABLE_PREFIX}crowded")
-
-
-def linked_components(sketches: DataFrame, num: int, den: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components ``(id, component)`` of the verified pairs that share a bucket; ids without a link may be left out.
-
-    ``verify`` gives those of the edges ``(a, b)`` that hold. The two stars of :func:`star_candidates` come first. A bucket
-    that still holds more than one component is open: of its members outside its largest component some become hubs
+    own = sketches.select(F.col("id").cast("long").alias("id"), "keys")
+    local = own.mapInArrow(_local_stars, "key long, id long, peer long")
+    least = F.min("id").over(Window.partitionBy("key"))
+    return local.select("id", "peer", least.alias("least")).select(F.col("id").alias("a"), F.coalesce("peer", "least").alias("b")).filter("a <> b")
+
+
+@dataclass(frozen=True)
+class Bound:
+    """A cluster of at most so many rows and characters is compared within one task; one beyond it takes joins."""
+
+    rows: int = 10_000
+    chars: int = 6_000_000
+
+
+def _link_few(ids: list[int], sets: list[set], num: int, den: int) -> list[int]:
+    """Component of each row (its least row): all pairs that are not joined already, by plain sets."""
+    part = [ids.index(i) for i in ids]
+    for j in range(1, len(ids)):
+        for i in range(j):
+            if part[i] != part[j]:
+                m, n = len(sets[i]), len(sets[j])
+                if den * min(m, n) >= num * max(m, n) and m and n:
+                    overlap = len(sets[i] & sets[j])
+                    if den * overlap >= num * (m + n - overlap):
+                        low, high = sorted((part[i], part[j]))
+                        part = [low if p == high else p for p in part]
+    return part
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all the ranges, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def _link_many(ids: np.ndarray, owner: np.ndarray, hashes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The same for many rows: one row at a time is compared with all others at once, through an index from shingles to rows.
+
+    A shingle that more than half of the rows have is kept as the list of those that lack it. Rows are compared until
+    those not yet compared are all in one component, so a cluster of copies takes a few steps.
+    """
+    n = len(ids)
+    part = np.unique(ids, return_index=True)[1][np.unique(ids, return_inverse=True)[1]]
+    code, own = np.divmod(np.unique(np.unique(hashes, return_inverse=True)[1].astype(np.int64) * n + owner), n)
+    size, found = np.bincount(own, minlength=n), np.bincount(code)
+    common = np.flatnonzero(2 * found > n)
+    lacks = np.ones((len(common), n), bool)
+    often = np.isin(code, common)
+    lacks[np.searchsorted(common, code[often]), own[often]] = False
+    lack_code, lack_own = np.nonzero(lacks)
+    lack_start = np.searchsorted(lack_code, np.arange(len(common) + 1))
+    code, own = code[~often], own[~often]
+    start = np.searchsorted(code, np.arange(len(found) + 1))
+    by_row = np.argsort(own, kind="stable")
+    row_code, row_start = code[by_row], np.searchsorted(own[by_row], np.arange(n + 1))
+    compared = np.zeros(n, bool)
+    while True:
+        left = np.flatnonzero(~compared)
+        main = np.bincount(part[left]).argmax() if len(left) else 0
+        outside = left[part[left] != main]
+        if not len(outside):
+            return part
+        i = outside[0]
+        compared[i] = True
+        rare = row_code[row_start[i] : row_start[i + 1]]
+        overlap = np.bincount(own[_spans(start[rare], start[rare + 1] - start[rare])], minlength=n)
+        has = np.flatnonzero(~lacks[:, i])
+        overlap += len(has) - np.bincount(lack_own[_spans(lack_start[has], lack_start[has + 1] - lack_start[has])], minlength=n)
+        linked = (den * overlap >= num * (size + size[i] - overlap)) & (size > 0)
+        if size[i] and linked.any():
+            parts = np.unique(part[linked])
+            part[np.isin(part, parts)] = parts[0]
+
+
+def _solve(batches, sets_of: Callable, num: int, den: int):
+    """Components within each cluster of rows ``(cluster, id, text)``, which come in order of cluster."""
+    keep_only()
+    held: list[tuple] = []
+
+    def components(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        hashes, counts = sets_of([r[2] for r in rows])
+        ends = np.cumsum(counts)
+        first = [i for i in range(len(rows)) if not i or rows[i][0] != rows[i - 1][0]]
+        for a, b in zip(first, [*first[1:], len(rows)], strict=True):
+            ids = [r[1] for r in rows[a:b]]
+            if b - a > 48:
+                at = ends[a] - counts[a]
+                part = _link_many(np.array(ids), np.repeat(np.arange(b - a), counts[a:b]), hashes[at : ends[b - 1]], num, den).tolist()
+            else:
+                part = _link_few(ids, [set(hashes[ends[i] - counts[i] : ends[i]].tolist()) for i in range(a, b)], num, den)
+            groups: dict[int, set[int]] = {}
+            for i, p in zip(ids, part, strict=True):
+                groups.setdefault(p, set()).add(i)
+            yield from ((i, least) for g in groups.values() if len(g) > 1 for least in [min(g)] for i in g)
+
+    def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["id", "component"])
+
+    for batch in sub_batches(batches):
+        held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        whole = len(held)
+        while whole and held[whole - 1][0] == held[-1][0]:
+            whole -= 1
+        if whole:
+            yield out(list(components(held[:whole])))
+            held = held[whole:]
+    if held:
+        yield out(list(components(held)))
+
+
+def _verified(batches, sets_of: Callable, num: int, den: int):
+    keep_only()
+    sets = BoundedCache(lambda t: np.unique(sets_of([t])[0]), 64)
+    for batch in sub_batches(batches):
+        a, b, left, right = (c.to_pylist() for c in batch.columns)
+        keep = []
+        for i, (x, y) in enumerate(zip(left, right, strict=True)):
+            s, t = sets[x], sets[y]
+            overlap = len(np.intersect1d(s, t, assume_unique=True))
+            if len(s) and len(t) and den * overlap >= num * (len(s) + len(t) - overlap):
+                keep.append(i)
+        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+
+
+def linked_components(sketches: DataFrame, texts_of: Callable, sets_of: Callable, num: int, den: int, bound: Bound = Bound()) -> DataFrame:
+    """Components ``(id, component)`` of the ids whose sets are alike and that share a band bucket; ids without a link are left out.
+
+    sketches: ``(id long, keys array<long>)``. ``texts_of(ids)`` gives ``(id, text)`` of a table of ids, and ``sets_of(texts)``
+    the hashed shingles of a list of texts, one text after the other, and their numbers. Two texts are linked where ``den *
+    overlap >= num * union``.
+
+    The stars of all buckets are joined into candidate clusters before any text is read, so a text travels once,
+    however many buckets it is in. A cluster within ``bound`` is compared in one task until each two of its rows are
+    compared or joined. Those of a larger cluster take :func:`_by_rounds`. Neither leaves out a pair that shares a bucket.
+    """
+    clusters = connected_components(star_edges(sketches))
+    clusters = materialize(clusters.select("id", F.col("component").alias("cluster")), f"{TABLE_PREFIX}clusters")
+    texts = texts_of(clusters.select("id"))
+    members = materialize(texts.select("id", "text").join(small_side(clusters), "id").select("cluster", "id", "text"), f"{TABLE_PREFIX}members")
+    large = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
+    large = materialize(large.filter((F.col("n") > bound.rows) | (F.col("chars") > bound.chars)).select("cluster"), f"{TABLE_PREFIX}large")
+    known = small_side(large)
+    one_task = members.join(known, "cluster", "left_anti").repartition("cluster").sortWithinPartitions("cluster", "id")
+    found = one_task.mapInArrow(lambda it: _solve(it, sets_of, num, den), "id long, component long")
+    found = materialize(found, f"{TABLE_PREFIX}components")
+    if large.isEmpty():
+        return found
+    rest = materialize(members.join(known, "cluster", "left_semi").select("id", "text"), f"{TABLE_PREFIX}members")
+    ids = small_side(materialize(rest.select("id").distinct(), f"{TABLE_PREFIX}ids"))
+    return found.unionByName(_by_rounds(sketches.join(ids, "id", "left_semi"), rest, sets_of, num, den))
+
+
+def _by_rounds(sketches: DataFrame, texts: DataFrame, sets_of: Callable, num: int, den: int) -> DataFrame:
+    """Components of the same links by joins, for clusters of any size.
+
+    A bucket that holds more than one component is open: of its members outside its largest component some become hubs
     of a round and are compared with every member of another component, which settles a hub for that bucket. Rounds
     have four times as many hubs each and end when no bucket is open, so that each pair of a bucket has been compared
-    or is joined already. Copies close their buckets in the first stars and cost no pairs.
+    or is joined already. Copies close their buckets in the first round and cost no pairs.
     """
-    candidates, crowded = star_candidates(sketches, num, den)
-    links = verify(candidates.filter("kind = 0"))
-    components = connected_components(links)
-    rest = candidates.filter("kind = 1")
-    for end in ("a", "b"):
-        own = components.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
-        rest = rest.join(own, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    more = verify(rest.filter("ca <> cb"))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        components = connected_components(links)
-    size = F.col("size").cast("long") if "size" in sketches.columns else F.lit(1).cast("long")
-    members = sketches.select(F.col("id").cast("long").alias("id"), size.alias("size"), "keys").join(small_side(crowded), "id", "left_semi")
-    members = members.select(F.explode("keys").alias("key"), "id", "size").distinct()
-    tested, hubs = candidates.select("a", "b"), 4
+    links = tested = components = None
+    members, hubs = sketches.select(F.explode("keys").alias("key"), F.col("id").cast("long").alias("id")).distinct(), 1
     while True:
-        named = small_side(components.select("id", "component"))
-        members = members.drop("component").join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if components is None:
+            members = members.withColumn("component", F.col("id"))
+        else:
+            named = small_side(components.select("id", "component"))
+            members = members.drop("component").join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
         members = materialize(members, f"{TABLE_PREFIX}members")
         parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
         largest = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
         largest = small_side(materialize(largest.filter("parts > 1").select("key", "main"), f"{TABLE_PREFIX}open"))
         members = materialize(members.join(largest, "key"), f"{TABLE_PREFIX}members")
         if members.isEmpty():
-            return components
+            return components if components is not None else members.select("id", "component")
         turn = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
-        outside = members.filter("component <> main").select("key", "id", "size", "component").withColumn("r", F.dense_rank().over(turn))
-        drawn = outside.filter(F.col("r") <= hubs).select("key", F.col("id").alias("hub"), F.col("size").alias("hub_size"), F.col("component").alias("hub_part"))
+        outside = members.filter("component <> main").select("key", "id", "component").withColumn("r", F.row_number().over(turn))
+        drawn = outside.filter(F.col("r") <= hubs).select("key", F.col("id").alias("hub"), F.col("component").alias("hub_part"))
         drawn = small_side(materialize(drawn, f"{TABLE_PREFIX}drawn"))
-        fits = F.lit(den) * F.least("hub_size", "size") >= F.lit(num) * F.greatest("hub_size", "size")
-        pairs = members.join(drawn, "key").filter((F.col("component") != F.col("hub_part")) & fits)
+        pairs = members.join(drawn, "key").filter("component <> hub_part")
         pairs = pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), f"{TABLE_PREFIX}candidates")
-        more = verify(pairs)
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"{TABLE_PREFIX}pairs")
+        sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
+        sides = sides.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
+        more = materialize(sides.mapInArrow(lambda it: _verified(it, sets_of, num, den), "a long, b long").distinct(), f"{TABLE_PREFIX}links")
         if not more.isEmpty():
-            links = links.unionByName(more)
+            links = more if links is None else links.unionByName(more)
             components = connected_components(links)
-        tested = tested.unionByName(pairs)
+        tested = pairs if tested is None else tested.unionByName(pairs)
         members = members.drop("main").join(drawn.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
         hubs *= 4

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import TABLE_PREFIX, BoundedCache, documents, keep_only, materialize, small_side, sub_batches
-from .lsh import band_keys, linked_components, mix, odd_constants, one_permutation
+from .lsh import Bound, band_keys, linked_components, mix, odd_constants, one_permutation
 
 
 @dataclass(frozen=True)
@@ -82,47 +82,12 @@ def _sketch(batches, params: MinHashParams):
         )
 
 
-def _verified(batches, params: MinHashParams):
-    keep_only(_word_hash)
-    sets = BoundedCache(lambda t: shingle_sets([t], params.words)[0], 64)
-    for batch in sub_batches(batches):
-        a, b, left, right = (c.to_pylist() for c in batch.columns)
-        ok = []
-        for x, y in zip(left, right, strict=True):
-            s, t = sets[x], sets[y]
-            overlap = len(np.intersect1d(s, t, assume_unique=True))
-            ok.append(params.den * overlap >= params.num * (len(s) + len(t) - overlap))
-        keep = [i for i, k in enumerate(ok) if k]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"]
-        )
-
-
-def verify(edges: DataFrame, docs: DataFrame, params: MinHashParams) -> DataFrame:
-    """The edges ``(a, b)`` that hold on the full shingle sets; texts travel only for documents of an edge."""
-    edges = materialize(edges.select("a", "b"), f"{TABLE_PREFIX}pairs")
-    ids = materialize(
-        edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{TABLE_PREFIX}ids"
-    )
-    texts = materialize(
-        docs.select("doc_id", "text").join(small_side(ids), "doc_id", "left_semi"), f"{TABLE_PREFIX}texts"
-    )
-    pairs = (
-        edges.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
-        .select("a", "b", "left", "right")
-    )
-    return materialize(
-        pairs.mapInArrow(lambda it: _verified(it, params), "a long, b long").distinct(), f"{TABLE_PREFIX}links"
-    )
-
-
-def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
+def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams(), bound: Bound = Bound()) -> DataFrame:
     """Component of near-duplicate documents for every row of ``docs`` (doc_id, text; more columns are ignored).
 
     Returns doc_id, n_shingles, component_id (the smallest linked doc_id) and kept (doc_id = component_id). Equal
-    shingle sets collapse to their smallest id first, so thousands of copies cost one sketch. Stars of
-    band buckets are verified and joined into components, then all pairs of a bucket that are still apart.
+    shingle sets collapse to their smallest id first, so thousands of copies cost one sketch. The stars of all band
+    buckets give candidate clusters, within which links are verified on full sets (:func:`lsh.linked_components`).
 
     Null, empty and white-space texts have no shingles, are linked with nothing and kept. A null doc_id keeps its
     row, with a null component, as kept. Rows that repeat a doc_id count as one document that has the links
@@ -141,8 +106,12 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     )
     reps = usable.join(
         groups.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi"
-    ).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "keys")
-    components = linked_components(reps, params.num, params.den, lambda edges: verify(edges, docs, params))
+    ).select(F.col("doc_id").alias("id"), "keys")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return docs.withColumnRenamed("doc_id", "id").join(small_side(ids), "id", "left_semi")
+
+    components = linked_components(reps, texts_of, lambda texts: shingle_sets(texts, params.words), params.num, params.den, bound)
     copied = groups.filter("copies > 1").select("d1", "d2", "rep")
     copied = small_side(materialize(copied, f"{TABLE_PREFIX}copied"))
     spread = F.when(F.col("d1").isNull(), F.xxhash64("doc_id"))
