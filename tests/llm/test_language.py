@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from trellisway.llm.language import LanguageModel, Labeller, fit, op3_language_id, predict, viterbi
+from trellisway.llm.language import SCRIPT_NAMES, SCRIPTS, LanguageModel, LanguageParams, Labeller, Units, fit, op3_language_id, predict, viterbi
 
 from .helpers import ODD, frame
 
@@ -33,7 +33,8 @@ def small(spark):
 def test_spans_and_scripts(spark):
     model = fit(small(spark))
     assert model.languages == ["de", "en", "ru"]
-    assert model.scripts["latin"] == {0, 1} and model.scripts["cyrillic"] == {2}
+    seen = {name: model.scripts[i].tolist() for i, name in enumerate(SCRIPT_NAMES) if model.scripts[i].any()}
+    assert seen == {"latin": [True, True, False], "cyrillic": [False, False, True]}
     text = "the dog and the cat are sleeping there on the floor der Hund und die Katze schlafen auf dem Boden собака и кошка спят"
     docs = spark.createDataFrame([(1, text), (2, "12 34 !?"), (3, None), (4, "")], "doc_id long, text string")
     by = {r.doc_id: r for r in predict(docs, model).collect()}
@@ -69,7 +70,40 @@ def test_viterbi_against_all_paths():
 
 
 def test_cache_is_bounded():
-    own = Labeller(LanguageModel(["en"], {}, (0.0,), {"latin": {0}}), limit=10)
+    scripts = np.ones((len(SCRIPT_NAMES), 1), bool)
+    own = Labeller(LanguageModel(["en"], np.zeros((1 << 4, 1), np.float32), scripts, LanguageParams(bits=4)), limit=10)
     for i in range(50):
         own.label(" ".join(f"word{i}{c}" for c in "abcdef"))
         assert len(own.rows) <= 16
+
+
+def test_runs_without_spaces(spark):
+    rows = [(i, "the dog and the cat are sleeping there on the floor by the wall", "en") for i in range(20)]
+    rows += [(100 + i, "我们在这里学习语言和文字的历史以及它们的变化", "zh") for i in range(20)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    own = Labeller(model)
+    assert own.label("the dog " + "语言和文字的历史" * 20)[0] == "zh"
+    assert own.label("dog语言和文字的历史以及它们的变化" * 3)[0] == "zh"
+    assert own.label("the dog and the cat 语言")[0] == "en"
+
+
+def test_word_scores_against_plain_sums(spark):
+    model = fit(small(spark))
+    words = ["Hund", "собака", "dogсобака", "x", "12", "i\u0307", "Straße", "漢字", "the-dog", "a" * 50]
+    got, letters = model.scores(words)
+    for word, row, n in zip(words, got, letters):
+        runs, want = [], np.zeros(3)
+        for c in filter(str.isalpha, word.lower()):
+            name = next((s for a, b, s in SCRIPTS if a <= ord(c) <= b), "other")
+            if runs and runs[-1][0] == name:
+                runs[-1][1].append(c)
+            else:
+                runs.append((name, [c]))
+        assert n == sum(len(r[1]) for r in runs)
+        for name, run in runs:
+            total = sum(model.logs[t].astype(float) for t in Units.of(["".join(run)], model.params.bits).trigrams)
+            allowed = model.scripts[SCRIPT_NAMES.index(name)]
+            if allowed.any():
+                total = np.where(allowed, total, -np.inf)
+                want += np.maximum(total - total.max(), -model.params.clip * max(1, len(run) / model.params.clip_letters))
+        assert np.allclose(row, want, atol=1e-3), word
