@@ -1,6 +1,7 @@
 """Exact encodings and decodings against the tokenizers library."""
 
 import hashlib
+import random
 
 import public_tokenizers
 from hypothesis import given, settings
@@ -59,3 +60,16 @@ def library_once():
     if not _one:
         _one.append(library())
     return _one[0]
+
+
+def test_marks_and_rare_letters():
+    lib, own, draw = library(), coder(PATH), random.Random(1)
+    marks = [chr(c) for c in [*range(0x300, 0x370), *range(0x93C, 0x94E), 0x130, 0x3A3, 0x3C2, 0x10238, 0x1E9B, 0x1AC3, 0x89F, 0x1C, 0xA0, 0x2028, 0x85, 0x200B, 0x1100, 0x1161]]
+
+    def text():
+        part = [lambda: draw.choice(marks), lambda: chr(draw.randrange(0x20, 0x7F)), lambda: chr(draw.randrange(0x80, 0x3000)), lambda: chr(draw.randrange(0xE000, 0x1FA00))]
+        return "".join(draw.choices(part, [45, 30, 15, 10])[0]() for _ in range(draw.randrange(1, 9)))
+
+    texts = ["\U00010238\u0130\u094d", *(text() for _ in range(100_000))]
+    for x, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False)):
+        assert ids_of(own.encode(x)) == e.ids, [hex(ord(c)) for c in x]

@@ -73,10 +73,10 @@ def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def small_lists(df: DataFrame, column: str, max_items: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """The same for rows that hold a list of narrow items: rows and items are counted together."""
-    found = df.agg((F.count("*") + F.coalesce(F.sum(F.size(column)), F.lit(0))).alias("n")).first()
-    return F.broadcast(df) if found["n"] <= max_items else df
+def small_lists(df: DataFrame, column: str, item_bytes: int, max_bytes: int = 32 << 20) -> DataFrame:
+    """The same for rows that hold a list: the size of rows (80 bytes each) and items is summed up first."""
+    found = df.agg((F.count("*") * 80 + F.coalesce(F.sum(F.size(column)), F.lit(0)) * item_bytes).alias("n")).first()
+    return F.broadcast(df) if found["n"] <= max_bytes else df
 
 
 _caches: list[weakref.ref] = []

@@ -166,7 +166,7 @@ def duplicate_lines(docs: DataFrame, params: LineParams = LineParams(), bound: B
     def texts_of(ids: DataFrame) -> DataFrame:
         places = forms.join(small_side(ids), "id", "left_semi").select("id", "first.*")
         wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("id", "h1", "line")).alias("wanted"))
-        wanted = small_lists(materialize(wanted, f"{TABLE_PREFIX}line-places"), "wanted")
+        wanted = small_lists(materialize(wanted, f"{TABLE_PREFIX}line-places"), "wanted", 40)
         return own.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_texts_of, "id long, text string")
 
     sketches = lines.filter("keys is not null").select("id", "keys")
@@ -203,7 +203,7 @@ def _without(batches, names):
 
 def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """The rows of ``docs`` without the lines of :func:`duplicate_lines`, and ``_emptied`` where no line with a word is left."""
-    dropped = small_lists(duplicate_lines(docs, params), "dropped")
+    dropped = small_lists(duplicate_lines(docs, params), "dropped", 4)
     joined = docs.join(dropped, docs["doc_id"] == dropped["doc_id"], "left").select(*(docs[c] for c in docs.columns), dropped["dropped"])
     names = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

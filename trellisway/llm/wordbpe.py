@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 
 import ahocorasick
 import numpy as np
@@ -25,18 +24,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Characters that str.split() takes for white space and the pattern does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-
-
-def _unassigned() -> re.Pattern:
-    """Code points that this Python's Unicode tables don't know: newer tables may take them for letters or change their case."""
-    runs: list[list[int]] = []
-    for c in range(0x110000):
-        if unicodedata.category(chr(c)) == "Cn":
-            if runs and runs[-1][1] == c - 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]")
+_SPACES = re.compile(r"[^\S\x1c-\x1f]+")
 
 
 class BacktrackingBpe:
@@ -93,7 +81,6 @@ class BacktrackingBpe:
         self.words = BoundedCache(self.word, limit)
         self.chunks = BoundedCache(self._chunk, limit)
         self.pattern = regex.compile(PATTERN)
-        self.unassigned = _unassigned()
         self.normalizer = Tokenizer.from_file(path).normalizer
         self.pieces = pre_tokenizers.Split(Regex(PATTERN), "removed", invert=True)
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
@@ -164,10 +151,12 @@ class BacktrackingBpe:
                 match = shorter[token]
 
     def _chunk(self, chunk: str) -> bytes:
+        """Ids of what stands between white space. Composing and lower case don't reach across white space."""
+        if not chunk.isascii():  # the library's own Unicode tables decide
+            return b"".join([self.words[p] for p, _ in self.pieces.pre_tokenize_str(self.normalizer.normalize_str(chunk))])
+        chunk = chunk.lower()
         if chunk.isalpha():
             return self.words[chunk]
-        if not (chunk.isascii() or chunk.isprintable()) and self.unassigned.search(chunk):  # the library's own tables decide
-            return b"".join([self.words[p] for p, _ in self.pieces.pre_tokenize_str(self.normalizer.normalize_str(chunk))])
         return b"".join(map(self.words.__getitem__, self.pattern.findall(chunk)))
 
     def encode(self, text: str) -> bytes:
@@ -179,15 +168,8 @@ class BacktrackingBpe:
         return self._ordinary(text)
 
     def _ordinary(self, text: str) -> bytes:
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # lower case by character, without regard to the word's end
-                text = text.replace("Σ", "σ")
-        text = text.lower()
-        if _SEPARATORS.search(text):
-            return self._chunk(text)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        parts = filter(None, _SPACES.split(text)) if _SEPARATORS.search(text) else text.split()
+        return b"".join(map(self.chunks.__getitem__, parts))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the entries joined by one space, cut from one buffer by offsets."""
