@@ -27,7 +27,7 @@ def check(found, texts):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
         assert r.tail_crc32 == zlib.crc32(payload[-32:])
         assert (r.width, r.height, r.depth) == (P.width, len(payload) // P.width, 8)
-        own = (r.media_bytes, r.media_sha256, r.feature)
+        own = (r.media_bytes, r.media_sha256, r.feature, r.shard, r.offset)
         assert by_text.setdefault(texts[r.doc_id] or "", own) == own
 
 
@@ -36,6 +36,7 @@ def test_query(spark, sf_dir):
     found = M.op10_media(spark, sf_dir).collect()
     assert len(found) == len(texts)
     check(found, texts)
+    assert sorted(map(tuple, M.op10_media(spark, sf_dir).collect())) == sorted(map(tuple, found))
 
 
 def test_odd_rows_and_shards(spark, tmp_path):
@@ -47,7 +48,7 @@ def test_odd_rows_and_shards(spark, tmp_path):
         with tarfile.open(shard.removeprefix("file://")) as tar:
             for member in tar:
                 assert hashlib.sha256(tar.extractfile(member).read()).hexdigest() == member.name.removesuffix(".png")
-    assert M.canonical(index).count() == index.select("digest").distinct().count()
+    assert index.select("digest", "shard", "offset").distinct().count() == index.select("digest").distinct().count()
     (tmp_path / "media/lost.tar").write_bytes(b"")
     assert M.remove_orphans(index, f"file://{tmp_path}/media") == 1
     check(M.read_features(M.with_headers(index)).collect(), dict(rows))

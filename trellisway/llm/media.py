@@ -6,17 +6,17 @@ import hashlib
 import io
 import struct
 import tarfile
-import uuid
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TABLE_PREFIX, BoundedCache, documents, materialize, new_path, sub_batches
+from .common import TABLE_PREFIX, BoundedCache, documents, materialize, new_path, small_side, sub_batches
 
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -79,9 +79,9 @@ def from_png(data: bytes) -> bytes:
 class _Shard:
     """A tar file being written; ``add`` returns the offset of a member's bytes."""
 
-    def __init__(self, folder: str):
-        self.path = f"{folder}/{uuid.uuid4().hex}.tar"
-        self.files, where = fs.FileSystem.from_uri(self.path)
+    def __init__(self, path: str):
+        self.path = path
+        self.files, where = fs.FileSystem.from_uri(path)
         self.out = self.files.open_output_stream(where)
         self.at = 0
 
@@ -99,55 +99,64 @@ class _Shard:
         self.out.close()
 
 
-def _store(batches, folder: str, params: MediaParams):
-    shard, places, rows = None, {}, []
+def _store(batches, folder: str, kind: str, params: MediaParams):
+    """Every row's image, written to shards named by task, attempt and number, so that attempts never share a file."""
+    task = TaskContext.get()
+    name = f"{folder}/{kind}-{task.partitionId():06d}-{task.attemptNumber()}"
+    shard, shards = None, 0
     for batch in sub_batches(batches):
-        for doc_id, text in zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True):
-            payload = payload_of(text, params)
-            key = hashlib.sha256(payload).digest()
-            if key not in places:
-                if shard is None or shard.at > params.shard_bytes:
-                    if shard is not None:
-                        shard.close()
-                    shard, places = _Shard(folder), {}
-                image = to_png(payload, params)
-                digest = hashlib.sha256(image).hexdigest()
-                places[key] = (digest, shard.path, shard.add(f"{digest}.png", image), len(image))
-            rows.append((doc_id, len((text or "").encode("utf-8", "surrogatepass")), *places[key]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _INDEX_TYPES, strict=True)], names=[c.split()[0] for c in INDEX.split(", ")]
-        )
         rows = []
+        for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if shard is None or shard.at > params.shard_bytes:
+                if shard is not None:
+                    shard.close()
+                shard, shards = _Shard(f"{name}-{shards:04d}.tar"), shards + 1
+            image = to_png(payload_of(text, params), params)
+            digest = hashlib.sha256(image).hexdigest()
+            size = len((text or "").encode("utf-8", "surrogatepass"))
+            rows.append((doc_id, key, size, digest, shard.path, shard.add(f"{digest}.png", image), len(image)))
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _STORED_TYPES, strict=True)], names=[c.split()[0] for c in _STORED.split(", ")]
+            )
     if shard is not None:
         shard.close()
 
 
 INDEX = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
 _INDEX_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+_STORED = INDEX.replace("doc_id long, ", "doc_id long, key binary, ")
+_STORED_TYPES = [pa.int64(), pa.binary(), *_INDEX_TYPES[1:]]
 
 
 def store(docs: DataFrame, params: MediaParams = MediaParams(), folder: str | None = None) -> DataFrame:
     """Store every row's text as an image in tar shards; returns the index ``(doc_id, n_bytes, digest, shard, offset, length)``.
 
-    An image's address is its SHA-256; a shard holds equal images once, and the index of a shard names that place for
-    every copy. Each task attempt writes shards under fresh names and the index, which is written after them, names
-    only those of attempts that ended well, so a lost executor costs a retry and leaves at most files that no row names
-    (see :func:`remove_orphans`). The folder is in the shared folder unless given; it needs a scheme that
-    ``pyarrow.fs`` can write.
+    An image's address is its SHA-256, and equal texts are stored once and share one place. The digests of all texts
+    are counted first: a text that stands once is written by the task that reads it, and the copies of another collapse by a
+    partial aggregate before one of them is written. Shards are named by task and attempt, the same in every run; the
+    index, which is written after them, names only those of attempts that ended well, so a lost executor costs a retry and
+    leaves at most files that no row names (see :func:`remove_orphans`). The folder is in the shared folder unless given; it
+    needs a scheme that ``pyarrow.fs`` can write.
 
-    Null and empty texts become one row of padding bytes. Repeated rows share a place. An empty table writes nothing.
+    Null and empty texts become one row of padding bytes. An empty table writes nothing.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, f"{TABLE_PREFIX}media")
     files, where = fs.FileSystem.from_uri(folder)
     files.create_dir(where, recursive=True)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(lambda it: _store(it, folder, params), INDEX), f"{TABLE_PREFIX}index")
-
-
-def canonical(index: DataFrame) -> DataFrame:
-    """One place per digest, the least of its places; the others may be reclaimed when shards are rewritten."""
-    return index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place")).select("digest", "place.*")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"), text.alias("text"))
+    copied = rows.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1").select("key", F.lit(True).alias("copied"))
+    copied = small_side(materialize(copied, f"{TABLE_PREFIX}copied"))
+    written = lambda df, kind: materialize(df.mapInArrow(lambda it: _store(it, folder, kind, params), _STORED), f"{TABLE_PREFIX}index")
+    single = written(rows.join(copied, "key", "left_anti").select("doc_id", "key", "text"), "single")
+    again = rows.join(copied, "key", "left_semi")
+    one = again.groupBy("key").agg(F.first("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "key", "text")
+    places = written(one.repartition("key").sortWithinPartitions("key"), "copied").drop("doc_id")
+    names = [c.split()[0] for c in INDEX.split(", ")]
+    shared = again.select("doc_id", "key").join(small_side(places), "key").select(*names)
+    return materialize(single.select(*names).unionByName(shared), f"{TABLE_PREFIX}index")
 
 
 def remove_orphans(index: DataFrame, folder: str) -> int:
@@ -161,26 +170,35 @@ def remove_orphans(index: DataFrame, folder: str) -> int:
 
 
 class _Reader:
-    """Byte ranges of shards; the last shard stays open."""
+    """Byte ranges of shards; the last shard stays open, and the task's end closes it."""
 
     def __init__(self):
         self.path, self.file = None, None
 
+    def __enter__(self) -> _Reader:
+        return self
+
+    def __exit__(self, *error) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.path = self.file = None
+
     def read(self, path: str, offset: int, length: int) -> bytes:
         if path != self.path:
+            self.__exit__()
             files, where = fs.FileSystem.from_uri(path)
             self.path, self.file = path, files.open_input_file(where)
         return self.file.read_at(length, offset)
 
 
 def _headers(batches, columns: int):
-    reader = _Reader()
-    for batch in sub_batches(batches):
-        at = batch.schema.names.index
-        places = zip(*(batch.column(at(c)).to_pylist() for c in ("shard", "offset")), strict=True)
-        found = [png_header(reader.read(s, o, HEADER_BYTES)) for s, o in places]
-        extra = [pa.array([f[i] for f in found], pa.int32()) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:columns], *extra], names=[*batch.schema.names, "width", "height", "depth"])
+    with _Reader() as reader:
+        for batch in sub_batches(batches):
+            at = batch.schema.names.index
+            places = zip(*(batch.column(at(c)).to_pylist() for c in ("shard", "offset")), strict=True)
+            found = [png_header(reader.read(s, o, HEADER_BYTES)) for s, o in places]
+            extra = [pa.array([f[i] for f in found], pa.int32()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], *extra], names=[*batch.schema.names, "width", "height", "depth"])
 
 
 def with_headers(index: DataFrame) -> DataFrame:
@@ -206,29 +224,29 @@ OUT = (
 
 
 def _read_back(batches):
-    reader = _Reader()
-
-    def load(place):
-        data = reader.read(*place)
-        payload = from_png(data)
-        return (
-            len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data),
-            hashlib.sha256(data).hexdigest(), _features(payload),
-        )
-
-    known = BoundedCache(load, 100_000)
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
     names = [c.split()[0] for c in OUT.split(", ")]
-    for batch in sub_batches(batches):
-        rows = []
-        for doc_id, n_bytes, digest, shard, offset, length in zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True):
-            found = known[shard, offset, length]
-            if found[4] != digest:
-                raise ValueError(f"{shard} at {offset} doesn't hold {digest}")
-            rows.append((doc_id, n_bytes, *found, shard, offset))
-        if rows:
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[6:]], names=[*names, *batch.schema.names[6:]])
+    with _Reader() as reader:
+
+        def load(place):
+            data = reader.read(*place)
+            payload = from_png(data)
+            return (
+                len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data),
+                hashlib.sha256(data).hexdigest(), _features(payload),
+            )
+
+        known = BoundedCache(load, 100_000)
+        for batch in sub_batches(batches):
+            rows = []
+            for doc_id, n_bytes, digest, shard, offset, length in zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True):
+                found = known[shard, offset, length]
+                if found[4] != digest:
+                    raise ValueError(f"{shard} at {offset} doesn't hold {digest}")
+                rows.append((doc_id, n_bytes, *found, shard, offset))
+            if rows:
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, *batch.columns[6:]], names=[*names, *batch.schema.names[6:]])
 
 
 def _ddl(fields) -> str:
@@ -238,11 +256,15 @@ def _ddl(fields) -> str:
 def read_features(index: DataFrame) -> DataFrame:
     """Read every place of the index back, check its digest and compute digests and features of the payload.
 
-    Rows of one shard lie together in the index, so copies in it are read once. Columns after the index's own stay.
+    Each task reads a place once, however many rows of it name the place. Columns after the index's own stay.
     """
     head = len(_INDEX_TYPES)
     return index.mapInArrow(_read_back, OUT + _ddl(index.schema.fields[head:]))
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_features(with_headers(store(documents(spark, sf_dir))))
+    """Digests and features of every document's stored image; shard is the file's name in the media folder.
+
+    Null and empty texts are one row of padding; equal texts have equal values, shard and offset included.
+    """
+    return read_features(with_headers(store(documents(spark, sf_dir)))).withColumn("shard", F.substring_index("shard", "/", -1))
