@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter
 
-from trellisway.llm.quality import chi2_cdf, chi2_quantile, op5_quality, quality
+import numpy as np
+
+from trellisway.llm.quality import VECTOR, QualityParams, chi2_cdf, chi2_quantile, consistency, op5_quality, quality
 
 from .helpers import ODD, frame, prose
 
@@ -63,3 +65,56 @@ def test_empty_table(spark):
 def test_chi_square():
     assert abs(chi2_cdf(5.991464547, 2) - 0.95) < 1e-9
     assert abs(chi2_quantile(0.975, 6) - 14.44937534) < 1e-6
+
+
+def vector(text):
+    n, chars, symbols, dup, repeats, _ = plain(text)
+    lines = sum(1 for x in text.split("\n") if SPACE.sub("", x))
+    upper, marks = sum(c.isupper() for c in text), sum(c in "!?" for c in text)
+    return [np.log(max(chars, 1) / max(n, 1)), np.log1p(100 * symbols / max(chars, 1)), np.sqrt(dup / max(lines, 1)), np.sqrt(repeats / max(n, 1)),
+            np.sqrt(upper / max(chars, 1)), np.log1p(100 * marks / max(chars, 1))]
+
+
+def plain_distances(x, params):
+    """Squared distances of the rows of one matrix by the same determinant steps, in numpy."""
+    floors, k, low = np.array(list(VECTOR.values())), x.shape[1], lambda v, p: np.sort(v, axis=0)[int(np.ceil(p * len(v))) - 1]
+    centre = low(x, 0.5)
+    d2 = (((x - centre) / np.maximum(1.4826 * low(np.abs(x - centre), 0.5), floors)) ** 2).sum(axis=1)
+
+    def fitted(inside, factor):
+        own = x[inside]
+        m = own.mean(axis=0)
+        s = (own.T @ own / len(own) - np.outer(m, m)) * factor
+        s[np.diag_indices(k)] = np.maximum(s.diagonal(), 0) + floors**2
+        return ((x - m) @ np.linalg.inv(s) * (x - m)).sum(axis=1), np.linalg.slogdet(s)[1]
+
+    before = None
+    for _ in range(params.steps):
+        d2, size = fitted(d2 <= low(d2, params.subset), consistency(params.subset, k))
+        if before is not None and abs(size - before) < params.tolerance:
+            break
+        before = size
+    return fitted(d2 <= chi2_quantile(0.975, k), consistency(0.975, k))[0]
+
+
+def test_verdict_against_plain_steps(spark):
+    draw, params, rows = random.Random(2), QualityParams(), []
+    for i in range(420):
+        lang, source = ("en", "web") if i < 150 else ("en", "rare") if i < 170 else ("de", "web") if i < 320 else ("de", "books") if i < 400 else ("fr", "web")
+        text = ". ".join(prose(4000 + 10 * i + j, draw.randrange(8, 20)).capitalize() for j in range(6)) + "." + "!?" * draw.randrange(4)
+        if i % 19 == 0:
+            text = text.upper().replace(" ", " !!? ")
+        rows.append((i, text, lang, source))
+    x, fails = np.array([vector(t) for _, t, *_ in rows]), np.array([plain(t)[5] for _, t, *_ in rows])
+    lang, source = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    groups = {("en", "web"): (lang == "en") & (source == "web"), ("en", "rare"): lang == "en", ("de", "web"): (lang == "de") & (source == "web"),
+              ("de", "books"): (lang == "de") & (source == "books"), ("fr", "web"): np.ones(len(rows), bool)}
+    assert not fails.any()
+    found = {r.doc_id: r for r in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    for (a, b), fit in groups.items():
+        at = np.flatnonzero(fit)
+        d2 = dict(zip(at.tolist(), plain_distances(x[at], params)))
+        for i in np.flatnonzero((lang == a) & (source == b)).tolist():
+            assert abs(found[i].d2 - d2[i]) <= 1e-6 * (1 + d2[i]), (a, b, i)
+            assert found[i].kept == (d2[i] <= chi2_quantile(params.cutoff, len(VECTOR)))
+    assert not any(found[i].kept for i in range(0, 420, 19))

@@ -27,10 +27,13 @@ VECTOR = {
 @dataclass(frozen=True)
 class QualityParams:
     """``subset`` is the share of a group that the minimum-covariance-determinant steps fit, ``cutoff`` the chance that a
-    regular row lies inside the distance that is kept, and groups under ``min_group`` rows join a larger one."""
+    regular row lies inside the distance that is kept. A covariance needs rows: those of a language and source with fewer than
+    ``min_group`` rows that meet the base rules are judged by the fit of their language, or of all rows. Steps end
+    when no group's log determinant moves by ``tolerance``, or after ``steps``."""
 
     subset: float = 0.75
-    steps: int = 3
+    steps: int = 12
+    tolerance: float = 1e-3
     cutoff: float = 0.99999
     min_group: int = 60
 
@@ -109,23 +112,23 @@ def _vector() -> dict[str, Column]:
 
 
 def _grouped(rows: DataFrame, params: QualityParams) -> DataFrame:
-    """Adds ``grp``: language and source, or the language where that group is too small, or all rows.
+    """Adds ``grp``, whose fit judges the row, and ``feeds``, the groups that the row is fitted in.
 
-    A null language or source is a value of its own. Levels are told apart by the number of parts.
+    Groups are a language and source, a language with all its sources, and all rows. A row is judged by the narrowest of its
+    three that has ``min_group`` rows which meet the base rules, else by all rows. A null language or source is a
+    value of its own. Levels are told apart by the number of parts.
     """
-    rows = rows.withColumns(
-        {"_pair": F.to_json(F.struct(F.coalesce(F.col("lang").cast("string"), F.lit("\0")).alias("l"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("s"))),
-         "_lang": F.to_json(F.struct(F.coalesce(F.col("lang").cast("string"), F.lit("\0")).alias("l")))}
-    )
-    pairs = rows.groupBy("_pair", "_lang").agg(F.count("*").alias("n"))
-    langs = pairs.groupBy("_lang").agg(F.sum(F.when(F.col("n") < params.min_group, F.col("n"))).alias("rest"))
-    named = materialize(
-        pairs.join(langs, "_lang").select(
-            "_pair",
-            F.when(F.col("n") >= params.min_group, F.col("_pair")).when(F.col("rest") >= params.min_group, F.col("_lang")).otherwise(F.lit("all")).alias("grp"),
-        ),
-        f"{TABLE_PREFIX}groups",
-    )
+    part = lambda c, n: F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(n)
+    rows = rows.withColumns({"_pair": F.to_json(F.struct(part("lang", "l"), part("source", "s"))), "_lang": F.to_json(F.struct(part("lang", "l")))})
+    good = F.sum(F.when(F.col("base_failed"), 0).otherwise(1))
+    pairs = materialize(rows.groupBy("_pair", "_lang").agg(good.alias("n")), f"{TABLE_PREFIX}pairs")
+    langs = pairs.groupBy("_lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
+    known = pairs.join(langs, "_lang")
+    few = lambda c: F.col(c) < params.min_group
+    all_rows = not langs.filter(few("n_lang")).isEmpty()
+    judge = F.when(~few("n"), F.col("_pair")).when(~few("n_lang"), F.col("_lang")).otherwise(F.lit("all"))
+    feeds = [F.when(~few("n"), F.col("_pair")), F.when(few("least") & ~few("n_lang"), F.col("_lang")), F.lit("all" if all_rows else None).cast("string")]
+    named = materialize(known.select("_pair", judge.alias("grp"), F.array_compact(F.array(*feeds)).alias("feeds")), f"{TABLE_PREFIX}groups")
     return rows.join(small_side(named), "_pair").drop("_pair", "_lang")
 
 
@@ -138,7 +141,7 @@ def _fit(rows: DataFrame, inside: Column, factor: float) -> DataFrame:
     names = list(VECTOR)
     moments = [F.avg(F.when(inside, F.col(a))).alias(f"m_{a}") for a in names]
     moments += [F.avg(F.when(inside, F.col(a) * F.col(b))).alias(f"s_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]]
-    table = rows.groupBy("grp").agg(*moments, F.count("*").alias("n_group"))
+    table = rows.groupBy("grp").agg(*moments)
     for i, a in enumerate(names):
         row = {}
         for j, b in enumerate(names[: i + 1]):
@@ -151,7 +154,7 @@ def _fit(rows: DataFrame, inside: Column, factor: float) -> DataFrame:
                 cov = cov - left * right
             value = F.sqrt(F.greatest(cov, F.lit(1e-6))) if i == j else cov / F.col(f"l_{b}_{b}")
             table = table.withColumn(f"l_{a}_{b}", value)
-    keep = ["grp", "n_group", *(f"m_{a}" for a in names), *(f"l_{a}_{b}" for i, a in enumerate(names) for b in names[: i + 1])]
+    keep = ["grp", *(f"m_{a}" for a in names), *(f"l_{a}_{b}" for i, a in enumerate(names) for b in names[: i + 1])]
     return materialize(table.select(*keep), f"{TABLE_PREFIX}fit")
 
 
@@ -181,9 +184,9 @@ def quality(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFra
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2 and grp. base_failed
     holds the two fixed rules. The others are judged by distance: the transformed statistic vectors of each language and
     source, rows that failed left out, are fitted by minimum-covariance-determinant steps. They start from medians and
-    median deviations, take the nearest ``subset`` of the group, refit, and end with one fit of all rows inside the
-    97.5 % distance. A row is kept if it is inside the ``cutoff`` distance. Groups that stay under ``min_group`` rows
-    reject nothing. All steps are aggregates with partial sums and joins with one row per group.
+    median deviations, take the nearest ``subset`` of the group, refit until the determinants settle, and end with one fit of
+    all rows inside the 97.5 % distance. A row is kept if it is inside the ``cutoff`` distance of the group that judges it
+    (:class:`QualityParams`). All steps are aggregates with partial sums and joins with one row per group.
 
     Null and empty texts have no words, fail and have no distance. Null languages and sources are groups like others.
     Repeated rows and null doc_ids are judged row by row. An empty table gives no rows.
@@ -194,7 +197,7 @@ def quality(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFra
     counted = statistics(own).drop("text").withColumns(_vector()).withColumn("base_failed", failed)
     rows = _grouped(materialize(counted, f"{TABLE_PREFIX}statistics"), params)
     rows = materialize(rows, f"{TABLE_PREFIX}grouped")
-    good = rows.filter("not base_failed").select("grp", *names)
+    good = rows.filter("not base_failed").select(F.explode("feeds").alias("grp"), *names)
     middle = good.groupBy("grp").agg(*[F.percentile_approx(a, 0.5, 10_000).alias(f"c_{a}") for a in names])
     middle = small_side(materialize(middle, f"{TABLE_PREFIX}medians"))
     away = good.join(middle, "grp")
@@ -202,19 +205,24 @@ def quality(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFra
     spread = small_side(materialize(spread, f"{TABLE_PREFIX}spreads"))
     scaled = [((F.col(a) - F.col(f"c_{a}")) / F.greatest(1.4826 * F.col(f"w_{a}"), F.lit(VECTOR[a]))) for a in names]
     start = away.join(spread, "grp").select("grp", *names, sum((s * s for s in scaled), F.lit(0.0)).alias("d2"))
-    current, k = start, len(names)
+    current, k, before = start, len(names), None
+    size = sum((F.log(f"l_{a}_{a}") for a in names), F.lit(0.0)).alias("size")
     for _ in range(params.steps):
         current = _cut(current, params.subset)
         fit = _fit(current, F.col("d2") <= F.col("edge"), consistency(params.subset, k))
         current = _distance(good, fit).select("grp", *names, "d2")
+        if before is not None:
+            moved = fit.select("grp", size).join(before.select("grp", size.alias("old")), "grp").agg(F.max(F.abs(2 * (F.col("size") - F.col("old")))))
+            if (moved.first()[0] or 0.0) < params.tolerance:
+                break
+        before = fit
     fit = _fit(current, F.col("d2") <= chi2_quantile(0.975, k), consistency(0.975, k))
-    judged = _distance(rows.filter("not base_failed"), fit).withColumn(
-        "kept", (F.col("d2") <= chi2_quantile(params.cutoff, k)) | (F.col("n_group") < params.min_group)
-    )
+    judged = _distance(rows.filter("not base_failed"), fit).withColumn("kept", F.col("d2") <= chi2_quantile(params.cutoff, k))
     rest = rows.filter("base_failed").withColumns({"d2": F.lit(None).cast("double"), "kept": F.lit(False)})
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2", "grp"]
     return judged.select(*out).unionByName(rest.select(*out))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document by :func:`quality`; null and empty texts have no words and fail."""
     return quality(documents(spark, sf_dir))
