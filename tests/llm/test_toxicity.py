@@ -59,3 +59,38 @@ def test_ftrl_is_sparse():
         assert w[7] == w.max() > 1
         used.append(np.count_nonzero(w))
     assert used[0] > used[1] > used[2] and used[2] < 40
+
+
+def plain_ftrl(rows, labels, params):
+    """The update rules one coordinate at a time."""
+    z, n, share = {}, {}, sum(labels) / len(labels)
+    last = 1 << params.bits
+
+    def weight(i):
+        l1 = 0.0 if i == last else params.l1
+        v = z.get(i, 0.0)
+        if abs(v) <= l1:
+            return 0.0
+        return -(v - (l1 if v > 0 else -l1)) / ((params.beta + n.get(i, 0.0) ** 0.5) / params.alpha + params.l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(params.epochs):
+        for k in order.permutation(len(rows)):
+            at = [*rows[k].tolist(), last]
+            w = {i: weight(i) for i in at}
+            g = (1 / (1 + np.exp(-sum(w.values()))) - labels[k]) * (0.5 / share if labels[k] else 0.5 / (1 - share))
+            for i in at:
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - before**0.5) / params.alpha * w[i]
+    return {i: w for i in z if (w := weight(i))}
+
+
+def test_ftrl_against_plain_updates():
+    draw = np.random.default_rng(1)
+    rows = [np.unique(draw.integers(0, 60, draw.integers(0, 15))) for _ in range(150)]
+    labels = np.array([float(7 in r or draw.random() < 0.1) for r in rows])
+    params = ToxicityParams(bits=6, l1=0.7)
+    got, want = ftrl(rows, labels, params), plain_ftrl(rows, labels, params)
+    assert set(np.flatnonzero(got).tolist()) == set(want) and 5 < len(want) < 60
+    assert all(abs(got[i] - w) < 1e-9 for i, w in want.items())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import tempfile
 import uuid
@@ -34,8 +36,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
 
 
+#: The folder of all intermediate tables starts with this.
+TABLE_PREFIX = "llm-"
+
+_scopes: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("scopes", default=())
+
+
+def _table_folder(spark: SparkSession) -> str:
+    """One folder per application and scope, so that no application removes another one's tables."""
+    return "/".join([shared_folder(spark), f"{TABLE_PREFIX}{spark.sparkContext.applicationId}", *_scopes.get()])
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_table_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -43,29 +56,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage and survives lost executors: a later failure rereads the table.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return written(df, new_path(df.sparkSession, name))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove_tables(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this module in the shared folder.
+    """Delete this application's intermediate tables, those of the present scope only inside :func:`scratch`.
 
     Call it when the results that read them have been written.
     """
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return
-    for status in fs.listStatus(root):
-        if "-" in status.getPath().getName() and status.getPath().getName().startswith(TABLE_PREFIX):
-            fs.delete(status.getPath(), True)
-
-
-#: Every intermediate table's name starts with this.
-TABLE_PREFIX = "llm-"
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_table_folder(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go when the block ends; write what is to stay to a path named before it."""
+    token = _scopes.set((*_scopes.get(), uuid.uuid4().hex))
+    try:
+        yield
+    finally:
+        remove_tables(spark)
+        _scopes.reset(token)
 
 
 def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TABLE_PREFIX, materialize
+from .common import materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna().filter("a <> b")
     ends = F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w"))))
     work = materialize(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{TABLE_PREFIX}edges"
+        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
     parents = None
     for _ in range(max_rounds):
@@ -30,23 +30,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             work.select(ends.alias("e")).select("e.v", "e.w").groupBy("v").agg(F.min("w").alias("w"))
             .select("v", F.least("v", "w").alias("p"))
         )
-        step = materialize(step, f"{TABLE_PREFIX}step")
+        step = materialize(step, "step")
         up = step.select(F.col("v").alias("p"), F.col("p").alias("pp")).filter("p <> pp")
         jumped = materialize(
-            step.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), f"{TABLE_PREFIX}jump"
+            step.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), "jump"
         )
         if parents is None:
             parents = jumped.select(F.col("v").alias("id"), F.col("p").alias("component"))
         else:
             moved = jumped.select(F.col("v").alias("component"), F.col("p").alias("next"))
             parents = parents.join(moved, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
-        parents = materialize(parents, f"{TABLE_PREFIX}parents")
+        parents = materialize(parents, "parents")
         left = jumped.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         right = jumped.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         work = materialize(
             work.join(left, "a").join(right, "b").filter("pa <> pb")
             .select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct(),
-            f"{TABLE_PREFIX}edges",
+            "edges",
         )
     else:
         if not work.isEmpty():

@@ -299,6 +299,7 @@ HELD_OUT, MOD = 2, 4
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document's whole text by :func:`predict`; null texts and texts without a letter are ``und`` with score 0."""
     docs = documents(spark, sf_dir)
     found = predict(docs, fit(docs, usable=crc_bucket("doc_id", MOD) != HELD_OUT))
     return found.select("doc_id", F.coalesce(crc_bucket("doc_id", MOD) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")

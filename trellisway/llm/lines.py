@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TABLE_PREFIX, BoundedCache, documents, keep_only, materialize, small_lists, small_side, sub_batches
+from .common import BoundedCache, documents, keep_only, materialize, small_lists, small_side, sub_batches
 from .lsh import Bound, band_keys, linked_components, mix, odd_constants, one_permutation
 
 
@@ -155,31 +155,31 @@ def duplicate_lines(docs: DataFrame, params: LineParams = LineParams(), bound: B
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     lines = materialize(
-        own.mapInArrow(lambda it: _lines(it, params), "doc_id long, line int, h1 long, h2 long, keys array<long>"), f"{TABLE_PREFIX}lines"
+        own.mapInArrow(lambda it: _lines(it, params), "doc_id long, line int, h1 long, h2 long, keys array<long>"), "lines"
     ).withColumn("id", F.col("h1"))
-    forms = materialize(_grouped(lines), f"{TABLE_PREFIX}line-groups")
+    forms = materialize(_grouped(lines), "line-groups")
     clashes = forms.filter("low <> high").select("id", F.lit(True).alias("clash"))
     if not clashes.isEmpty():
         lines = lines.join(small_side(clashes), "id", "left").withColumn("id", F.when(F.col("clash"), F.xxhash64("h1", "h2")).otherwise(F.col("id"))).drop("clash")
-        forms = materialize(_grouped(lines), f"{TABLE_PREFIX}line-groups")
+        forms = materialize(_grouped(lines), "line-groups")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         places = forms.join(small_side(ids), "id", "left_semi").select("id", "first.*")
         wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("id", "h1", "line")).alias("wanted"))
-        wanted = small_lists(materialize(wanted, f"{TABLE_PREFIX}line-places"), "wanted", 40)
+        wanted = small_lists(materialize(wanted, "line-places"), "wanted", 40)
         return own.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_texts_of, "id long, text string")
 
     sketches = lines.filter("keys is not null").select("id", "keys")
     components = linked_components(sketches, texts_of, lambda texts: line_sets(texts, params.size), params.num, params.den, bound)
     # A line goes if its form or its component has more than one place and it is not the first of them.
     crowded = forms.select("id", "first", "n").join(small_side(components), "id", "left").filter("n > 1 or component is not null")
-    crowded = materialize(crowded.select("id", F.coalesce("component", "id").alias("c"), "first"), f"{TABLE_PREFIX}line-crowded")
+    crowded = materialize(crowded.select("id", F.coalesce("component", "id").alias("c"), "first"), "line-crowded")
     kept = crowded.groupBy("c").agg(F.min("first").alias("best")).select("best.doc_id", "best.line", F.lit(True).alias("kept"))
-    kept = small_side(materialize(kept, f"{TABLE_PREFIX}line-kept"))
+    kept = small_side(materialize(kept, "line-kept"))
     repeated = lines.select("doc_id", "line", "id").join(small_side(crowded.select("id")), "id", "left_semi")
     dropped = repeated.join(kept, ["doc_id", "line"], "left").filter("kept is null")
     return materialize(
-        dropped.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped")), f"{TABLE_PREFIX}line-dropped"
+        dropped.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped")), "line-dropped"
     )
 
 

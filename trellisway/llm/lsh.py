@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TABLE_PREFIX, BoundedCache, keep_only, materialize, small_side, sub_batches
+from .common import BoundedCache, keep_only, materialize, small_side, sub_batches
 from .components import connected_components
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -245,19 +245,19 @@ def linked_components(sketches: DataFrame, texts_of: Callable, sets_of: Callable
     compared or joined. Those of a larger cluster take :func:`_by_rounds`. Neither leaves out a pair that shares a bucket.
     """
     clusters = connected_components(star_edges(sketches))
-    clusters = materialize(clusters.select("id", F.col("component").alias("cluster")), f"{TABLE_PREFIX}clusters")
+    clusters = materialize(clusters.select("id", F.col("component").alias("cluster")), "clusters")
     texts = texts_of(clusters.select("id"))
-    members = materialize(texts.select("id", "text").join(small_side(clusters), "id").select("cluster", "id", "text"), f"{TABLE_PREFIX}members")
+    members = materialize(texts.select("id", "text").join(small_side(clusters), "id").select("cluster", "id", "text"), "members")
     large = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
-    large = materialize(large.filter((F.col("n") > bound.rows) | (F.col("chars") > bound.chars)).select("cluster"), f"{TABLE_PREFIX}large")
+    large = materialize(large.filter((F.col("n") > bound.rows) | (F.col("chars") > bound.chars)).select("cluster"), "large")
     known = small_side(large)
     one_task = members.join(known, "cluster", "left_anti").repartition("cluster").sortWithinPartitions("cluster", "id")
     found = one_task.mapInArrow(lambda it: _solve(it, sets_of, num, den), "id long, component long")
-    found = materialize(found, f"{TABLE_PREFIX}components")
+    found = materialize(found, "components")
     if large.isEmpty():
         return found
-    rest = materialize(members.join(known, "cluster", "left_semi").select("id", "text"), f"{TABLE_PREFIX}members")
-    ids = small_side(materialize(rest.select("id").distinct(), f"{TABLE_PREFIX}ids"))
+    rest = materialize(members.join(known, "cluster", "left_semi").select("id", "text"), "members")
+    ids = small_side(materialize(rest.select("id").distinct(), "ids"))
     return found.unionByName(_by_rounds(sketches.join(ids, "id", "left_semi"), rest, sets_of, num, den))
 
 
@@ -277,23 +277,23 @@ def _by_rounds(sketches: DataFrame, texts: DataFrame, sets_of: Callable, num: in
         else:
             named = small_side(components.select("id", "component"))
             members = members.drop("component").join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        members = materialize(members, f"{TABLE_PREFIX}members")
+        members = materialize(members, "members")
         parts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
         largest = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
-        largest = small_side(materialize(largest.filter("parts > 1").select("key", "main"), f"{TABLE_PREFIX}open"))
-        members = materialize(members.join(largest, "key"), f"{TABLE_PREFIX}members")
+        largest = small_side(materialize(largest.filter("parts > 1").select("key", "main"), "open"))
+        members = materialize(members.join(largest, "key"), "members")
         if members.isEmpty():
             return components if components is not None else members.select("id", "component")
         turn = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
         outside = members.filter("component <> main").select("key", "id", "component").withColumn("r", F.row_number().over(turn))
         drawn = outside.filter(F.col("r") <= hubs).select("key", F.col("id").alias("hub"), F.col("component").alias("hub_part"))
-        drawn = small_side(materialize(drawn, f"{TABLE_PREFIX}drawn"))
+        drawn = small_side(materialize(drawn, "drawn"))
         pairs = members.join(drawn, "key").filter("component <> hub_part")
         pairs = pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"{TABLE_PREFIX}pairs")
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
         sides = sides.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
-        more = materialize(sides.mapInArrow(lambda it: _verified(it, sets_of, num, den), "a long, b long").distinct(), f"{TABLE_PREFIX}links")
+        more = materialize(sides.mapInArrow(lambda it: _verified(it, sets_of, num, den), "a long, b long").distinct(), "links")
         if not more.isEmpty():
             links = more if links is None else links.unionByName(more)
             components = connected_components(links)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TABLE_PREFIX, BoundedCache, documents, materialize, new_path, small_side, sub_batches
+from .common import BoundedCache, documents, materialize, new_path, small_side, sub_batches
 
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -142,21 +142,21 @@ def store(docs: DataFrame, params: MediaParams = MediaParams(), folder: str | No
     Null and empty texts become one row of padding bytes. An empty table writes nothing.
     """
     spark = docs.sparkSession
-    folder = folder or new_path(spark, f"{TABLE_PREFIX}media")
+    folder = folder or new_path(spark, "media")
     files, where = fs.FileSystem.from_uri(folder)
     files.create_dir(where, recursive=True)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"), text.alias("text"))
     copied = rows.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1").select("key", F.lit(True).alias("copied"))
-    copied = small_side(materialize(copied, f"{TABLE_PREFIX}copied"))
-    written = lambda df, kind: materialize(df.mapInArrow(lambda it: _store(it, folder, kind, params), _STORED), f"{TABLE_PREFIX}index")
+    copied = small_side(materialize(copied, "copied"))
+    written = lambda df, kind: materialize(df.mapInArrow(lambda it: _store(it, folder, kind, params), _STORED), "index")
     single = written(rows.join(copied, "key", "left_anti").select("doc_id", "key", "text"), "single")
     again = rows.join(copied, "key", "left_semi")
     one = again.groupBy("key").agg(F.first("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "key", "text")
     places = written(one.repartition("key").sortWithinPartitions("key"), "copied").drop("doc_id")
     names = [c.split()[0] for c in INDEX.split(", ")]
     shared = again.select("doc_id", "key").join(small_side(places), "key").select(*names)
-    return materialize(single.select(*names).unionByName(shared), f"{TABLE_PREFIX}index")
+    return materialize(single.select(*names).unionByName(shared), "index")
 
 
 def remove_orphans(index: DataFrame, folder: str) -> int:

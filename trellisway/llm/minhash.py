@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TABLE_PREFIX, BoundedCache, documents, keep_only, materialize, small_side, sub_batches
+from .common import BoundedCache, documents, keep_only, materialize, small_side, sub_batches
 from .lsh import Bound, band_keys, linked_components, mix, odd_constants, one_permutation
 
 
@@ -98,11 +98,11 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams(), bo
         docs.mapInArrow(
             lambda it: _sketch(it, params), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"
         ),
-        f"{TABLE_PREFIX}sketch",
+        "sketch",
     )
     usable = sketched.filter("doc_id is not null and n_shingles > 0")
     groups = materialize(
-        usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), f"{TABLE_PREFIX}sets"
+        usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets"
     )
     reps = usable.join(
         groups.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi"
@@ -113,7 +113,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams(), bo
 
     components = linked_components(reps, texts_of, lambda texts: shingle_sets(texts, params.words), params.num, params.den, bound)
     copied = groups.filter("copies > 1").select("d1", "d2", "rep")
-    copied = small_side(materialize(copied, f"{TABLE_PREFIX}copied"))
+    copied = small_side(materialize(copied, "copied"))
     spread = F.when(F.col("d1").isNull(), F.xxhash64("doc_id"))
     with_rep = (
         sketched.select("doc_id", "n_shingles", F.coalesce("d1", spread).alias("d1"), F.coalesce("d2", spread).alias("d2"))
@@ -128,13 +128,14 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams(), bo
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by :func:`near_duplicates`; null and empty texts are linked with nothing."""
     return near_duplicates(documents(spark, sf_dir))
 
 
 def near_dedup(docs: DataFrame, params: MinHashParams = MinHashParams()) -> DataFrame:
     """The documents that :func:`near_duplicates` keeps, with all their columns."""
     found = near_duplicates(docs, params).filter("not kept").select("doc_id").distinct()
-    dropped = small_side(materialize(found, f"{TABLE_PREFIX}dropped"))
+    dropped = small_side(materialize(found, "dropped"))
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

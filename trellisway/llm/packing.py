@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import encoder
-from .common import TABLE_PREFIX, documents, keep_only, materialize, sub_batches
+from .common import documents, keep_only, materialize, sub_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, path: str, params: PackingParams = PackingParams()) ->
     Repeated rows and null doc_ids are packed as documents of their own. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = materialize(rows.mapInArrow(lambda it: _pack(it, path, params), PIECE + ", open boolean"), f"{TABLE_PREFIX}pieces")
+    pieces = materialize(rows.mapInArrow(lambda it: _pack(it, path, params), PIECE + ", open boolean"), "pieces")
     part = F.shiftright("sequence_id", 33)
     merged = (
         pieces.filter("open").withColumn("part", (part / params.merge_partitions).cast("long"))

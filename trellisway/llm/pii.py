@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TABLE_PREFIX, documents, keep_only, materialize, sub_batches
+from .common import documents, keep_only, materialize, sub_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("account", "address", "email_spelled", "iban", "name", "phone_local", "secret")
@@ -302,7 +302,7 @@ def find(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans. Repeated rows and null doc_ids are searched row by row.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialize(rows.mapInArrow(_find, FOUND), f"{TABLE_PREFIX}spans")
+    found = materialize(rows.mapInArrow(_find, FOUND), "spans")
     counts = found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.pattern").agg(F.count("*").alias("n")).collect()
     model = fit_label_model(sorted((r["kind"], r["pattern"], r["n"]) for r in counts))
     sent = docs.sparkSession.sparkContext.broadcast(model.accepted)
@@ -315,6 +315,7 @@ def _joined(spans: str):
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and digest of the base spans of every document, and all its spans; null and empty texts have none."""
     def count(kind: str):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TABLE_PREFIX, documents, materialize, small_side
+from .common import documents, materialize, small_side
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -121,14 +121,14 @@ def _grouped(rows: DataFrame, params: QualityParams) -> DataFrame:
     part = lambda c, n: F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(n)
     rows = rows.withColumns({"_pair": F.to_json(F.struct(part("lang", "l"), part("source", "s"))), "_lang": F.to_json(F.struct(part("lang", "l")))})
     good = F.sum(F.when(F.col("base_failed"), 0).otherwise(1))
-    pairs = materialize(rows.groupBy("_pair", "_lang").agg(good.alias("n")), f"{TABLE_PREFIX}pairs")
+    pairs = materialize(rows.groupBy("_pair", "_lang").agg(good.alias("n")), "pairs")
     langs = pairs.groupBy("_lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
     known = pairs.join(langs, "_lang")
     few = lambda c: F.col(c) < params.min_group
     all_rows = not langs.filter(few("n_lang")).isEmpty()
     judge = F.when(~few("n"), F.col("_pair")).when(~few("n_lang"), F.col("_lang")).otherwise(F.lit("all"))
     feeds = [F.when(~few("n"), F.col("_pair")), F.when(few("least") & ~few("n_lang"), F.col("_lang")), F.lit("all" if all_rows else None).cast("string")]
-    named = materialize(known.select("_pair", judge.alias("grp"), F.array_compact(F.array(*feeds)).alias("feeds")), f"{TABLE_PREFIX}groups")
+    named = materialize(known.select("_pair", judge.alias("grp"), F.array_compact(F.array(*feeds)).alias("feeds")), "groups")
     return rows.join(small_side(named), "_pair").drop("_pair", "_lang")
 
 
@@ -155,7 +155,7 @@ def _fit(rows: DataFrame, inside: Column, factor: float) -> DataFrame:
             value = F.sqrt(F.greatest(cov, F.lit(1e-6))) if i == j else cov / F.col(f"l_{b}_{b}")
             table = table.withColumn(f"l_{a}_{b}", value)
     keep = ["grp", *(f"m_{a}" for a in names), *(f"l_{a}_{b}" for i, a in enumerate(names) for b in names[: i + 1])]
-    return materialize(table.select(*keep), f"{TABLE_PREFIX}fit")
+    return materialize(table.select(*keep), "fit")
 
 
 def _distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
 
 def _cut(rows: DataFrame, share: float) -> DataFrame:
     """Adds ``edge``, the distance within which ``share`` of the row's group lies."""
-    edges = materialize(rows.groupBy("grp").agg(F.percentile_approx("d2", share, 10_000).alias("edge")), f"{TABLE_PREFIX}edges")
+    edges = materialize(rows.groupBy("grp").agg(F.percentile_approx("d2", share, 10_000).alias("edge")), "edges")
     return rows.join(small_side(edges), "grp")
 
 
@@ -195,14 +195,14 @@ def quality(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFra
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     counted = statistics(own).drop("text").withColumns(_vector()).withColumn("base_failed", failed)
-    rows = _grouped(materialize(counted, f"{TABLE_PREFIX}statistics"), params)
-    rows = materialize(rows, f"{TABLE_PREFIX}grouped")
+    rows = _grouped(materialize(counted, "statistics"), params)
+    rows = materialize(rows, "grouped")
     good = rows.filter("not base_failed").select(F.explode("feeds").alias("grp"), *names)
     middle = good.groupBy("grp").agg(*[F.percentile_approx(a, 0.5, 10_000).alias(f"c_{a}") for a in names])
-    middle = small_side(materialize(middle, f"{TABLE_PREFIX}medians"))
+    middle = small_side(materialize(middle, "medians"))
     away = good.join(middle, "grp")
     spread = away.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(a) - F.col(f"c_{a}")), 0.5, 10_000).alias(f"w_{a}") for a in names])
-    spread = small_side(materialize(spread, f"{TABLE_PREFIX}spreads"))
+    spread = small_side(materialize(spread, "spreads"))
     scaled = [((F.col(a) - F.col(f"c_{a}")) / F.greatest(1.4826 * F.col(f"w_{a}"), F.lit(VECTOR[a]))) for a in names]
     start = away.join(spread, "grp").select("grp", *names, sum((s * s for s in scaled), F.lit(0.0)).alias("d2"))
     current, k, before = start, len(names), None

@@ -5,12 +5,13 @@ from __future__ import annotations
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytebpe import encoder
-from .common import TABLE_PREFIX, documents, keep_only, materialize, sub_batches
+from .common import documents, keep_only, materialize, sub_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 50256
@@ -70,24 +71,33 @@ def write_flat(docs: DataFrame, path: str, end_id: int = END_ID, block: int = BL
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return materialize(
         rows.mapInArrow(lambda it: _flat(it, path, end_id, block), "file long, kind int, block long, payload binary"),
-        f"{TABLE_PREFIX}tokens",
+        "tokens",
     )
 
 
-def _cut(batches, block: int):
+def _ranges(batches):
     for batch in batches:
-        for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for number, start in enumerate(range(0, len(content), block)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path]), pa.array([number], pa.int64()), pa.array([content[start : start + block]], pa.binary())],
-                    names=["file", "block", "payload"],
-                )
+        for path, number, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            files, where = fs.FileSystem.from_uri(path)
+            with files.open_input_file(where) as file:
+                payload = file.read_at(length, offset)
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([number], pa.int64()), pa.array([payload], pa.binary())], names=["file", "block", "payload"])
 
 
 def read_flat_files(spark: SparkSession, path: str, block: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks ``(file string, block, payload)`` of raw token files of up to 2 GB each, by Spark's own reader."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(lambda it: _cut(it, block), "file string, block long, payload binary")
+    """Blocks ``(file string, block, payload)`` of raw token files of any size: Spark lists the files, and tasks read ranges of them.
+
+    A file is cut into ranges of ``block`` bytes that are dealt over all tasks, so a large file is no task of its own. Paths need a
+    scheme that ``pyarrow.fs`` can read.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")  # the contents stay unread
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {block}"))).alias("block")
+    cut = files.select("path", "length", starts).select(
+        F.regexp_replace("path", "^file:/(?!/)", "file:///").alias("file"), "block", (F.col("block") * block).alias("offset"),
+        F.least(F.lit(block), F.col("length") - F.col("block") * block).alias("size"),
+    )
+    spread = cut.repartition("file", "block").select("file", "block", "offset", F.col("size").cast("long"))
+    return spread.mapInArrow(_ranges, "file string, block long, payload binary")
 
 
 def _scan(batches, end_id: int, dtype: str):
@@ -119,7 +129,7 @@ def count_tokens(blocks: DataFrame, end_id: int = END_ID, dtype: str = "<u2") ->
     scanned = materialize(
         blocks.select("file", F.col("block").cast("long").alias("block"), "payload")
         .mapInArrow(lambda it: _scan(it, end_id, dtype), schema).withColumn("run", (F.col("block") / RUN).cast("long")),
-        f"{TABLE_PREFIX}scan",
+        "scan",
     )
     runs = scanned.groupBy("file", "run").agg(F.sum("n").alias("n"), F.sum(F.size("ends")).alias("docs"))
     upto = Window.partitionBy("file").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)

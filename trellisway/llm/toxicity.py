@@ -127,6 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
         known.filter("toxic = 0").orderBy("h").limit(params.train_rows)
     )
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked.select("doc_id", "toxic", "h")), "doc_id")
+    rows = rows.groupBy("doc_id", "h", "toxic").agg(F.min("text").alias("text"))  # rows that repeat a doc_id count once
     ordered = rows.select("text", F.col("toxic").cast("double").alias("toxic"), "h").repartition(1).sortWithinPartitions("h")
     model = ordered.select("text", "toxic").mapInArrow(lambda it: _train(it, params), "feature long, weight double")
     found = model.orderBy("feature").toPandas()
@@ -178,6 +179,7 @@ def fit_on_labels(spark: SparkSession, sf_dir: str, params: ToxicityParams = Tox
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by the model of the rows that aren't held out; null and empty texts score by the intercept alone."""
     scored = score(documents(spark, sf_dir), fit_on_labels(spark, sf_dir))
     return scored.select(
         "doc_id", F.coalesce(crc_bucket("doc_id", MOD) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")

@@ -229,6 +229,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and digests of every document's ids and of their decoded text; null and empty texts have no ids."""
     path = public_tokenizers.path(VOCABULARY)
     return decode(encode(documents(spark, sf_dir), path), path).select(
         "doc_id",
