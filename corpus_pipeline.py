@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellisway.llm import lines, minhash, packing, pii, toxicity
-from trellisway.llm.common import TABLE_PREFIX, documents, materialize
+from trellisway.llm.common import documents, new_path, scratch, written
 
 
 def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5. Each row is scored once, beside its own columns."""
+    """Documents whose toxicity score is below 0.5. Each row is scored once, beside its own columns; null and empty texts
+    score by the intercept alone."""
     model = toxicity.fit_on_labels(spark, sf_dir)
     return toxicity.scored_rows(docs, model).filter("toxicity < 0.5").drop("toxicity")
 
@@ -42,7 +43,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
+    """Pieces of the documents in sequences of 2048 tokens; null and empty texts are the end id alone."""
     return packing.pack(docs, public_tokenizers.path(packing.VOCABULARY))
 
 
@@ -61,5 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"{TABLE_PREFIX}stage-{name}")
+        path = new_path(spark, f"stage-{name}")
+        with scratch(spark):  # what a stage writes on its way goes when its rows are written
+            docs = written(stage(spark, docs, sf_dir), path)
     return docs
