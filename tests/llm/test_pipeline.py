@@ -4,6 +4,8 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline", exc_type=ModuleNotFoundError)
 
+from trellisway.llm.common import materialize  # noqa: E402
+
 from .helpers import ODD, frame, prose  # noqa: E402
 
 
@@ -12,7 +14,7 @@ def test_stages_one_by_one(spark, sf_dir):
     columns, before = docs.columns, docs.count()
     seen = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.materialize(stage(spark, docs, sf_dir), f"llm-test-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"test-{name}")
         assert docs.columns == columns
         seen[name] = docs.count()
     assert before >= seen["toxicity"] >= seen["line_dedup"] >= seen["near_dedup"] == seen["pii"] > 0.5 * before
@@ -26,7 +28,7 @@ def test_odd_rows_pass_through_every_stage(spark, sf_dir):
     rows = ODD + [(i, prose(i, 40)) for i in range(20)] + [(30, prose(3, 40) + " extra"), (31, "mail me at a.b@example.org about " + prose(9, 20))]
     docs = frame(spark, rows)
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.materialize(stage(spark, docs, sf_dir), f"llm-odd-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"odd-{name}")
     left = {r.doc_id: r for r in docs.collect()}
     assert set(range(20)) <= set(left) and 31 in left and 30 not in left
     assert "[EMAIL]" in left[31].text and left[31].n_chars == len(left[31].text)
@@ -36,5 +38,5 @@ def test_odd_rows_pass_through_every_stage(spark, sf_dir):
 def test_no_documents(spark, sf_dir):
     docs = frame(spark, [])
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.materialize(stage(spark, docs, sf_dir), f"llm-none-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"none-{name}")
     assert docs.count() == 0
