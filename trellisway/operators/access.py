@@ -2,11 +2,77 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.decay import Decay
-from .paths import tree
+from .paths import _links, over_blocks, send, tree
+
+#: Access points, after places with the same ones are counted together, that are sent to every task.
+MAX_BROADCAST_POINTS = 2_000_000
+
+
+def _place_classes(locations: DataFrame) -> DataFrame:
+    """``(set, nodes array, weight)``: places of a set with the same access points count as one place of their summed weight."""
+    places = locations.groupBy("set", "id").agg(F.array_sort(F.collect_set("node")).alias("nodes"), F.max("weight").alias("weight"))
+    return places.groupBy("set", "nodes").agg(F.sum("weight").alias("weight"))
+
+
+def _cost_limit(links: DataFrame, decay: Decay) -> float | None:
+    """The cost beyond which no place counts, where the cost is the distance or the time that is cut off."""
+    cuts = {"dist": decay.cut_dist, "time": decay.cut_time}
+    return min((v for c, v in cuts.items() if v is not None and c not in links.columns), default=None)
+
+
+def accessibility(links: DataFrame, origins: DataFrame, locations: DataFrame, decay: Decay, max_points: int = MAX_BROADCAST_POINTS) -> DataFrame:
+    """A02 from the links: ``(origin, set, accessibility)`` of every origin, 0 where nothing is reached; see :func:`node_accessibility`.
+
+    A task searches a block of origins up to the cutoff and sums the decayed weights of each destination set at once, so trees are
+    never written out. Graph and places are counted first; beyond what is sent to the tasks the trees are joined with the
+    places. With several access points the least cost within the cutoffs counts.
+    """
+    own, limit = _links(links), _cost_limit(links, decay)
+    classes = _place_classes(locations).filter("size(nodes) > 0")
+    points = classes.agg(F.coalesce(F.sum(F.size("nodes")), F.lit(0)).alias("n")).first()["n"]
+    asked = origins.select(F.col("origin").cast("long").alias("origin")).dropna().distinct()
+    table = classes.orderBy("set", "nodes").toArrow() if points <= max_points else None
+    nodes = np.unique(table.column("nodes").combine_chunks().flatten().to_numpy()) if table is not None else None
+    graph = send(own, more_nodes=nodes) if table is not None else None
+    if graph is None:
+        return node_accessibility(tree(links, asked, limit=limit), locations, decay, asked)
+    kind = locations.schema["set"].dataType.simpleString()
+    lists = table.column("nodes").combine_chunks()
+    sets = table.column("set").combine_chunks()
+    names = sets.unique()
+    of_set = np.searchsorted(np.array([v.as_py() for v in names]), np.array(sets.to_pylist())) if len(sets) else np.empty(0, np.int64)
+    shared = (
+        graph, np.searchsorted(graph.nodes, lists.flatten().to_numpy()), lists.value_lengths().to_numpy(), table.column("weight").to_numpy(), of_set, names,
+    )
+    most = np.inf if limit is None else limit
+
+    def work(rows, sent):
+        g, at, sizes, weight, owner, labels = sent
+        seeds = [[(o, 0.0, 0.0, 0.0)] if (o := g.place(r[0])) >= 0 else [] for r in rows]
+        found = g.trees(seeds, most)
+        value = decay.of_arrays(found.cost, found.dist, found.time)
+        inside = np.where(value > 0, found.cost, np.inf)[:, at]
+        start = np.cumsum(sizes) - sizes
+        least = np.minimum.reduceat(inside, start, axis=1) if len(at) else inside
+        shares = Decay(decay.kind, decay.beta, decay.a, decay.v, np.inf).of_arrays(least, least, least) * weight
+        sums = np.zeros((len(rows), len(labels)))
+        if len(at):
+            cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            sums[:, owner[cut]] = np.add.reduceat(shares, cut, axis=1)
+        names_of = pa.array(np.tile(np.arange(len(labels)), len(rows)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.array([r[0] for r in rows], np.int64), len(labels))), labels.take(names_of), pa.array(sums.reshape(-1))],
+            names=["origin", "set", "accessibility"],
+        )
+
+    size = max(1, min(graph.blocks(), 4_000_000 // max(1, points)))
+    return over_blocks(asked, f"origin long, set {kind}, accessibility double", shared, size, work)
 
 
 def node_accessibility(reached: DataFrame, locations: DataFrame, decay: Decay, origins: DataFrame | None = None) -> DataFrame:
@@ -17,8 +83,12 @@ def node_accessibility(reached: DataFrame, locations: DataFrame, decay: Decay, o
     that reach nothing get 0.
     """
     inside = reached.filter(decay.within(F.col("dist"), F.col("time"))).select("origin", "node", "cost")
-    nearest = inside.join(locations, "node").groupBy("origin", "set", "id").agg(F.min("cost").alias("cost"), F.max("weight").alias("weight"))
-    found = nearest.groupBy("origin", "set").agg(F.sum(decay(F.col("cost")) * F.col("weight")).alias("accessibility"))
+    classes = _place_classes(locations)
+    single = classes.filter("size(nodes) = 1").select("set", F.get("nodes", 0).alias("node"), "weight")
+    several = classes.filter("size(nodes) > 1").select("set", "nodes", "weight", F.explode("nodes").alias("node"))
+    nearest = inside.join(several, "node").groupBy("origin", "set", "nodes").agg(F.min("cost").alias("cost"), F.max("weight").alias("weight"))
+    parts = inside.join(single, "node").select("origin", "set", "cost", "weight").unionByName(nearest.select("origin", "set", "cost", "weight"))
+    found = parts.groupBy("origin", "set").agg(F.sum(decay(F.col("cost")) * F.col("weight")).alias("accessibility"))
     if origins is None:
         return found
     sets = locations.select("set").distinct()
@@ -52,13 +122,36 @@ def zone_accessibility(values: DataFrame, zones: DataFrame) -> DataFrame:
 def skim(links: DataFrame, zones: DataFrame, value: str = "cost") -> DataFrame:
     """Mean over all node pairs of two zones: ``(o, d, value)``; any pair without a path makes it infinite.
 
-    zones: ``(node, zone)``. The tree's rows join the destination's zone; the origin's follows. Sums are partial.
+    zones: ``(node, zone)``. A task sums its origins' trees by zone of the node, so trees are never written out; a graph too large
+    to send is joined with the zones. Sums are partial.
     """
-    found = tree(links, zones.select(F.col("node").alias("origin")))
+    o = zones.select(F.col("node").cast("long").alias("origin"), F.col("zone").alias("o"))
+    d = zones.select(F.col("node").cast("long").alias("node"), F.col("zone").alias("d"))
     sizes = zones.groupBy("zone").agg(F.count("*").alias("n"))
-    o = zones.select(F.col("node").alias("origin"), F.col("zone").alias("o"))
-    d = zones.select("node", F.col("zone").alias("d"))
-    sums = found.join(d, "node").join(o, "origin").groupBy("o", "d").agg(F.sum(value).alias("total"), F.count("*").alias("pairs"))
+    graph = send(_links(links))
+    if graph is None:
+        found = tree(links, o.select("origin")).join(d, "node").groupBy("origin", "d").agg(F.sum(value).alias("total"), F.count("*").alias("pairs"))
+    else:
+        known = d.join(F.broadcast(links.sparkSession.createDataFrame(pa.table({"node": graph.nodes}))), "node").orderBy("d", "node").toArrow()  # as many rows as the sent graph has nodes
+        labels, at = known.column("d").combine_chunks(), np.searchsorted(graph.nodes, known.column("node").to_numpy())
+
+        def work(rows, sent):
+            g, names, place = sent
+            found = g.trees([[(p, 0.0, 0.0, 0.0)] if (p := g.place(r[0])) >= 0 else [] for r in rows])
+            values, reached = getattr(found, value)[:, place], np.isfinite(found.cost)[:, place]
+            cut = np.flatnonzero(np.array([True, *(x != y for x, y in zip(names[1:].to_pylist(), names[:-1].to_pylist(), strict=True))]))[: len(names)]
+            if len(names):
+                total, pairs = np.add.reduceat(np.where(reached, values, 0.0), cut, axis=1), np.add.reduceat(reached.astype(np.int64), cut, axis=1)
+                origin = np.repeat(np.array([r[0] for r in rows], np.int64), len(cut))
+                columns = [pa.array(origin), names.take(pa.array(np.tile(cut, len(rows)))), pa.array(total.reshape(-1)), pa.array(pairs.reshape(-1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["origin", "d", "total", "pairs"])
+
+        kind = zones.schema["zone"].dataType.simpleString()
+        asked = o.select("origin").dropna().distinct()
+        found = over_blocks(asked, f"origin long, d {kind}, total double, pairs long", (graph, labels, at), graph.blocks(), work)
+        alone = o.join(asked.join(F.broadcast(links.sparkSession.createDataFrame(pa.table({"origin": graph.nodes}))), "origin", "left_anti"), "origin")
+        found = found.unionByName(alone.select("origin", F.col("o").alias("d"), F.lit(0.0).alias("total"), F.lit(1).cast("long").alias("pairs")))  # a node without links reaches itself
+    sums = found.join(o, "origin").groupBy("o", "d").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
     all_pairs = sizes.agg(F.collect_list(F.struct("zone", "n")).alias("zs"))  # one row: zones are far fewer than nodes
     grid = sizes.join(F.broadcast(all_pairs)).select(F.col("zone").alias("o"), F.col("n").alias("no"), F.explode("zs").alias("z")).select(
         "o", "no", F.col("z.zone").alias("d"), F.col("z.n").alias("nd")

@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A graph of at most this many links is sent to every task (about 32 bytes a link); larger ones take `tree_by_joins`.
 MAX_BROADCAST_LINKS = 8_000_000
 
+#: Labels (origins times nodes) that a task holds at once, and links that it relaxes in one step.
+LABELS, STEP = 1_000_000, 1_000_000
+
+
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all the ranges, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+@dataclass(frozen=True)
+class Trees:
+    """Labels of a block of origins: arrays (origins, nodes), infinite or -1 where a node is not reached."""
+
+    cost: np.ndarray
+    time: np.ndarray
+    dist: np.ndarray
+    parent: np.ndarray
+
 
 @dataclass(frozen=True)
 class Csr:
@@ -26,38 +45,71 @@ class Csr:
     dist: np.ndarray
 
     @classmethod
-    def of(cls, links, reverse: bool) -> Csr:
+    def of(cls, links, reverse: bool, more_nodes: np.ndarray | None = None) -> Csr:
         tail, head = (links["b"], links["a"]) if reverse else (links["a"], links["b"])
-        nodes = np.unique(np.concatenate([tail, head]))
+        nodes = np.unique(np.concatenate([tail, head] if more_nodes is None else [tail, head, more_nodes]))
         t, h = np.searchsorted(nodes, tail), np.searchsorted(nodes, head)
         order = np.lexsort((h, t))
         start = np.searchsorted(t[order], np.arange(len(nodes) + 1))
         return cls(nodes, start, h[order], links["cost"][order], links["time"][order], links["dist"][order])
 
-    def tree(self, seeds: list[tuple[int, float, float, float]], limit: float = np.inf):
-        """Settled ``(node, cost, time, dist, parent)`` of least cost from the seeds, up to ``limit``; numbers are dense."""
-        best = {}
-        label = {}
-        heap = []
-        for node, cost, time, dist in seeds:
-            if node not in label or cost < label[node][0]:
-                label[node] = (cost, time, dist, -1)
-                heap.append((cost, node))
-        heapq.heapify(heap)
-        while heap:
-            cost, node = heapq.heappop(heap)
-            if node in best:
-                continue
-            if cost > limit:
-                break
-            best[node] = label[node]
-            _, time, dist, _ = label[node]
-            for i in range(self.start[node], self.start[node + 1]):
-                to, c = self.head[i], cost + self.cost[i]
-                if to not in best and (to not in label or c < label[to][0]):
-                    label[to] = (c, time + self.time[i], dist + self.dist[i], node)
-                    heapq.heappush(heap, (c, to))
-        return best
+    def place(self, node: int) -> int:
+        """Dense number of a node, or -1."""
+        at = int(np.searchsorted(self.nodes, node))
+        return at if at < len(self.nodes) and self.nodes[at] == node else -1
+
+    def trees(self, seeds: list[list[tuple[int, float, float, float]]], limit: float = np.inf) -> Trees:
+        """Least costs from the seeds ``(node, cost, time, dist)`` of each origin, up to ``limit``; numbers are dense.
+
+        All origins of the block are relaxed together. Each takes those of its open labels that are within a band above its
+        least one, so that few labels are relaxed again, and keeps for each node the cheapest of a step, from the least
+        parent. Only a lower cost replaces a label, and what an origin finds does not depend on the rest of the block.
+        """
+        n, k = len(self.nodes), len(seeds)
+        cost, time, dist = np.full(k * n, np.inf), np.zeros(k * n), np.zeros(k * n)
+        parent = np.full(k * n, -1, np.int64)
+        for o, own in enumerate(seeds):
+            for node, c, t, d in own:
+                at = o * n + node
+                if c <= limit and c < cost[at]:
+                    cost[at], time[at], dist[at] = c, t, d
+        degree = np.diff(self.start)
+        band = 8 * self.cost.mean() * n / len(self.cost) if len(self.cost) else 0.0
+        active = np.flatnonzero(np.isfinite(cost))
+        while len(active):
+            owner = active // n
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            low = np.minimum.reduceat(cost[active], first)
+            now = cost[active] <= np.repeat(low + band, np.diff(np.append(first, len(active))))
+            changed, turn = [active[~now]], active[now]
+            work = np.cumsum(degree[turn % n])
+            for part in np.split(turn, np.searchsorted(work, np.arange(STEP, work[-1], STEP), "right")):
+                node = part % n
+                edge = spans(self.start[node], degree[node])
+                source = np.repeat(part, degree[node])
+                to, c = source - source % n + self.head[edge], cost[source] + self.cost[edge]
+                better = np.flatnonzero((c < cost[to]) & (c <= limit))
+                to, c, source, edge = to[better], c[better], source[better], edge[better]
+                order = np.lexsort((source, c, to))
+                order = order[np.concatenate([[True], to[order][1:] != to[order][:-1]])] if len(order) else order
+                to, source, edge = to[order], source[order], edge[order]
+                cost[to], time[to], dist[to], parent[to] = c[order], time[source] + self.time[edge], dist[source] + self.dist[edge], source % n
+                changed.append(to)
+            active = np.unique(np.concatenate(changed))
+        shape = (k, n)
+        return Trees(cost.reshape(shape), time.reshape(shape), dist.reshape(shape), parent.reshape(shape))
+
+    def blocks(self) -> int:
+        """Origins whose labels a task holds at once."""
+        return max(1, LABELS // max(1, len(self.nodes)))
+
+    def path(self, parent: np.ndarray, at: int) -> list[int]:
+        """Nodes from the seed to a reached node, by one origin's parents."""
+        out = []
+        while at >= 0:
+            out.append(int(self.nodes[at]))
+            at = parent[at]
+        return out[::-1]
 
 
 def _links(links: DataFrame) -> DataFrame:
@@ -74,60 +126,91 @@ def _links(links: DataFrame) -> DataFrame:
     )
 
 
-def _kernel(batches, sent, limit):
-    graph = sent.value
-    index = {int(n): i for i, n in enumerate(graph.nodes)}
-    for batch in batches:
-        for origin, seeds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own = [(index[s["node"]], s["cost"], s["time"], s["dist"]) for s in seeds if s["node"] in index]
-            best = graph.tree(own, limit)
-            at = np.fromiter(best, np.int64, len(best))
-            values = list(zip(*best.values(), strict=True)) or [[], [], [], []]
-            parent = np.array(values[3], np.int64)
-            if not own:  # an origin outside the graph reaches itself
-                at_nodes = np.array([s["node"] for s in seeds[:1]], np.int64)
-                values, parent = [[s[k]] for s in seeds[:1] for k in ("cost", "time", "dist")], np.array([-1])
-            else:
-                at_nodes = graph.nodes[at]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(at_nodes), origin)), pa.array(at_nodes), pa.array(values[0], pa.float64()),
-                    pa.array(values[1], pa.float64()), pa.array(values[2], pa.float64()),
-                    pa.array(graph.nodes[np.maximum(parent, 0)], mask=parent < 0),
-                ],
-                names=["origin", "node", "cost", "time", "dist", "parent"],
-            )
+def send(links: DataFrame, reverse: bool = False, more_nodes: np.ndarray | None = None, max_links: int | None = None) -> Csr | None:
+    """The graph of ``(a, b, cost, time, dist)`` as arrays, or None if it has more links than are sent. Links are counted first."""
+    most = MAX_BROADCAST_LINKS if max_links is None else max_links
+    if links.limit(most + 1).count() > most:
+        return None
+    table = links.toArrow()
+    return Csr.of({c: table.column(c).to_numpy() for c in table.column_names}, reverse, more_nodes)
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def over_blocks(origins: DataFrame, schema: str, shared, size: int, work: Callable) -> DataFrame:
+    """Spread rows over the tasks and give them to ``work(rows, shared)``, blocks of ``size`` rows as tuples; it yields record batches."""
+    spark = origins.sparkSession
+    sent = spark.sparkContext.broadcast(shared)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            while len(held) >= size:
+                yield from work(held[:size], sent.value)
+                held = held[size:]
+        if held:
+            yield from work(held, sent.value)
+
+    return origins.repartition(_tasks(spark), origins.columns[0]).mapInArrow(run, schema)
+
+
+def _tree_rows(rows: list[tuple], graph: Csr, limit: float) -> Iterator[pa.RecordBatch]:
+    seeds = [[(at, s["cost"], s["time"], s["dist"]) for s in own if (at := graph.place(s["node"])) >= 0] for _, own in rows]
+    found = graph.trees(seeds, limit)
+    o, at = np.nonzero(np.isfinite(found.cost))
+    parent = found.parent[o, at]
+    names = np.array([r[0] for r in rows], np.int64)
+    columns = [names[o], graph.nodes[at], found.cost[o, at], found.time[o, at], found.dist[o, at]]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(graph.nodes[np.maximum(parent, 0)], mask=parent < 0)], names=_TREE_NAMES)
+    yield from (batch.slice(i, 100_000) for i in range(0, batch.num_rows, 100_000))
+    lost = [(name, s) for (name, own), known in zip(rows, seeds, strict=True) if not known for s in own[:1]]  # outside of the graph: itself
+    if lost:
+        columns = [[x[0] for x in lost], *([x[1][c] for x in lost] for c in ("node", "cost", "time", "dist")), [None] * len(lost)]
+        types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_TREE_NAMES)
+
+
+_TREE_NAMES = ["origin", "node", "cost", "time", "dist", "parent"]
 TREE = "origin long, node long, cost double, time double, dist double, parent long"
 
 
-def tree(links: DataFrame, origins: DataFrame, reverse: bool = False, limit: float | None = None, max_links: int = MAX_BROADCAST_LINKS) -> DataFrame:
+def tree(
+    links: DataFrame, origins: DataFrame, reverse: bool = False, limit: float | None = None, max_links: int | None = None,
+    max_time: float | None = None, max_dist: float | None = None,
+) -> DataFrame:
     """Least-cost tree of every origin: ``(origin, node, cost, time, dist, parent)``.
 
     links: ``(a, b, cost[, time, dist])``; time and distance are carried along the cheapest path. origins: a column
-    ``origin``. With ``reverse`` costs are those into the origin. ``limit`` keeps nodes of at most that cost. Nodes that
-    cannot be reached have no row. The links are counted first: a graph within ``max_links`` is sent to the tasks, and
-    origins are spread over them; a larger one is relaxed by joins, which gives costs only.
+    ``origin``. With ``reverse`` costs are those into the origin. ``limit`` keeps nodes of at most that cost, ``max_time`` and
+    ``max_dist`` those whose cheapest path is within them; the search itself stops there where the cost is the time or the
+    distance. Nodes that cannot be reached have no row. The links are counted first: a graph within ``max_links`` is sent to
+    the tasks, and origins are spread over them; a larger one is relaxed by joins.
     """
     seeds = F.array(F.struct(F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("time"), F.lit(0.0).alias("dist")))
     own = origins.select(F.col("origin").cast("long").alias("origin")).dropna().distinct()
-    return seeded_tree(links, own.select("origin", seeds.alias("seeds")), reverse, limit, max_links)
+    bounds = {"time": max_time, "dist": max_dist}
+    limits = [x for x in (limit, *(v for c, v in bounds.items() if c not in links.columns)) if x is not None]
+    found = seeded_tree(links, own.select("origin", seeds.alias("seeds")), reverse, min(limits, default=None), max_links)
+    for c, v in bounds.items():
+        if v is not None:
+            found = found.filter(F.col(c) <= v)
+    return found
 
 
-def seeded_tree(links: DataFrame, seeds: DataFrame, reverse: bool = False, limit: float | None = None, max_links: int = MAX_BROADCAST_LINKS) -> DataFrame:
+def seeded_tree(links: DataFrame, seeds: DataFrame, reverse: bool = False, limit: float | None = None, max_links: int | None = None) -> DataFrame:
     """Trees that start from several nodes with costs of their own: ``seeds (origin, seeds array<struct>)``.
 
     Where two seeds are the same node the cheaper counts.
     """
-    spark, own = links.sparkSession, _links(links)
-    if own.limit(max_links + 1).count() > max_links:
+    own = _links(links)
+    graph = send(own, reverse, max_links=max_links)
+    if graph is None:
         return tree_by_joins(own, seeds, reverse, limit)
-    table = own.toPandas()
-    graph = Csr.of({c: table[c].to_numpy() for c in table}, reverse)
-    sent, most = spark.sparkContext.broadcast(graph), np.inf if limit is None else limit
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return seeds.repartition(tasks, "origin").mapInArrow(lambda it: _kernel(it, sent, most), TREE)
+    most = np.inf if limit is None else limit
+    return over_blocks(seeds, TREE, graph, graph.blocks(), lambda rows, g: _tree_rows(rows, g, most))
 
 
 def tree_by_joins(links: DataFrame, seeds: DataFrame, reverse: bool = False, limit: float | None = None, rounds: int = 10_000) -> DataFrame:
@@ -147,94 +230,122 @@ def tree_by_joins(links: DataFrame, seeds: DataFrame, reverse: bool = False, lim
     for _ in range(rounds):
         reached = best.filter("fresh").join(step, "node").select(
             "origin", F.col("to").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("time") + F.col("t")).alias("time"),
-            (F.col("dist") + F.col("d")).alias("dist"), F.col("node").alias("parent"), F.lit(True).alias("fresh"),
+            (F.col("dist") + F.col("d")).alias("dist"), F.col("node").alias("parent"),
         )
         if limit is not None:
             reached = reached.filter(F.col("cost") <= limit)
-        if reached.isEmpty():
-            break
-        all_ = best.withColumn("fresh", F.lit(False)).unionByName(reached)
-        pick = F.struct("cost", "fresh", "time", "dist", "parent")  # an equal cost that was there before stays
-        best = all_.groupBy("origin", "node").agg(F.min(pick).alias("m")).select(
-            "origin", "node", "m.cost", "m.time", "m.dist", "m.parent", "m.fresh"
-        ).checkpoint()
-    return best.select("origin", "node", "cost", "time", "dist", "parent")
-
-
-def two_way_tree(links: DataFrame, origins: DataFrame) -> DataFrame:
-    """Mean of the costs there and back, for nodes that are reached both ways."""
-    there, back = tree(links, origins), tree(links, origins, reverse=True)
-    mean = lambda c: ((there[c] + back[c]) / 2).alias(c)
-    return there.join(back, (there["origin"] == back["origin"]) & (there["node"] == back["node"])).select(
-        there["origin"], there["node"], mean("cost"), mean("time"), mean("dist")
-    )
+        least = reached.groupBy("origin", "node").agg(F.min(label).alias("m"))  # partial minima before the shuffle
+        old = best.select("origin", "node", F.struct("cost", "time", "dist", "parent").alias("old"))
+        both = old.join(least, ["origin", "node"], "full").withColumn("fresh", F.col("old").isNull() | F.coalesce(F.col("m.cost") < F.col("old.cost"), F.lit(False)))
+        best = both.select("origin", "node", F.when(F.col("fresh"), F.col("m")).otherwise(F.col("old")).alias("l"), "fresh").select("origin", "node", "l.*", "fresh").checkpoint()
+        if best.filter("fresh").isEmpty():
+            return best.select("origin", "node", "cost", "time", "dist", "parent")
+    raise RuntimeError("trees did not end")
+
+
+def two_way_tree(links: DataFrame, origins: DataFrame, limit: float | None = None, max_links: int | None = None) -> DataFrame:
+    """Mean of the costs there and back, for nodes that are reached both ways; ``limit`` keeps those of at most that mean."""
+    own = _links(links)
+    graph = send(own, max_links=max_links)
+    if graph is None:
+        there, back = tree(links, origins, max_links=max_links), tree(links, origins, reverse=True, max_links=max_links)
+        mean = lambda c: ((there[c] + back[c]) / 2).alias(c)
+        both = there.join(back, (there["origin"] == back["origin"]) & (there["node"] == back["node"])).select(
+            there["origin"], there["node"], mean("cost"), mean("time"), mean("dist")
+        )
+        return both if limit is None else both.filter(F.col("cost") <= limit)
+    tail = np.repeat(np.arange(len(graph.nodes)), np.diff(graph.start))
+    ends = {"a": graph.nodes[tail], "b": graph.nodes[graph.head], "cost": graph.cost, "time": graph.time, "dist": graph.dist}
+    most = np.inf if limit is None else limit
+
+    def work(rows, graphs):
+        out, inn = graphs
+        seeds = [[(at, 0.0, 0.0, 0.0)] if (at := out.place(o)) >= 0 else [] for (o,) in rows]
+        there, back = out.trees(seeds, 2 * most), inn.trees(seeds, 2 * most)
+        cost = (there.cost + back.cost) / 2
+        o, at = np.nonzero(np.isfinite(cost) & (cost <= most))
+        mean = [((getattr(there, c) + getattr(back, c)) / 2)[o, at] for c in ("time", "dist")]
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(np.array([r[0] for r in rows], np.int64)[o]), pa.array(out.nodes[at]), pa.array(cost[o, at]), *map(pa.array, mean)], names=_TREE_NAMES[:5]
+        )
+        yield from (batch.slice(i, 100_000) for i in range(0, batch.num_rows, 100_000))
+        lost = [r[0] for r, s in zip(rows, seeds, strict=True) if not s]  # outside of the graph: itself
+        if lost:
+            yield pa.RecordBatch.from_arrays([pa.array(lost, pa.int64())] * 2 + [pa.array(np.zeros(len(lost)))] * 3, names=_TREE_NAMES[:5])
 
+    own = origins.select(F.col("origin").cast("long").alias("origin")).dropna().distinct()
+    return over_blocks(own, "origin long, node long, cost double, time double, dist double", (graph, Csr.of(ends, True)), graph.blocks(), work)
 
-def _path_kernel(batches, sent):
-    graph = sent.value
-    index = {int(n): i for i, n in enumerate(graph.nodes)}
-    for batch in batches:
-        out = []
-        for origin, targets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if origin not in index:
-                continue
-            best = graph.tree([(index[origin], 0.0, 0.0, 0.0)])
-            for target in sorted(set(targets)):
-                at = index.get(target)
-                if at in best:
-                    nodes, place = [], at
-                    while place >= 0:
-                        nodes.append(int(graph.nodes[place]))
-                        place = best[place][3]
-                    out.append((origin, target, *best[at][:3], nodes[::-1]))
-        if out:
-            cols = list(zip(*out, strict=True))
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["origin", "target", "cost", "time", "dist", "nodes"])
-
-
-def paths(links: DataFrame, pairs: DataFrame) -> DataFrame:
+
+def _asked(pairs: DataFrame) -> DataFrame:
+    asked = pairs.select(F.col("origin").cast("long").alias("origin"), F.col("target").cast("long").alias("target")).dropna()
+    return asked.groupBy("origin").agg(F.collect_set("target").alias("targets"))
+
+
+_PATH = "origin long, target long, cost double, time double, dist double"
+
+
+def _path_rows(rows: list[tuple], graph: Csr, with_nodes: bool) -> Iterator[pa.RecordBatch]:
+    rows = [(at, *r) for r in rows if (at := graph.place(r[0])) >= 0]
+    found = graph.trees([[(at, 0.0, 0.0, 0.0)] for at, *_ in rows])
+    for k, (_, origin, targets) in enumerate(rows):
+        asked = np.array(sorted(set(targets)), np.int64)
+        at = np.minimum(np.searchsorted(graph.nodes, asked), len(graph.nodes) - 1)
+        at = at[(graph.nodes[at] == asked) & np.isfinite(found.cost[k, at])]
+        if len(at):
+            columns = [pa.array(np.full(len(at), origin)), pa.array(graph.nodes[at]), *(pa.array(x[k, at]) for x in (found.cost, found.time, found.dist))]
+            if with_nodes:
+                columns.append(pa.array([graph.path(found.parent[k], i) for i in at], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=["origin", "target", "cost", "time", "dist", "nodes"][: len(columns)])
+
+
+def paths(links: DataFrame, pairs: DataFrame, max_links: int | None = None) -> DataFrame:
     """Cheapest path of every ``(origin, target)``: cost, time, distance and its nodes. Pairs without a path have no row.
 
-    Pairs are grouped by origin, so a tree serves all its targets. The links must be within MAX_BROADCAST_LINKS.
+    Pairs are grouped by origin, so a tree serves all its targets. A graph of more than ``max_links`` links is relaxed by
+    joins, and the paths are followed back by joins too.
     """
-    spark, own = links.sparkSession, _links(links)
-    if own.limit(MAX_BROADCAST_LINKS + 1).count() > MAX_BROADCAST_LINKS:
-        raise ValueError("the graph is too large to send; use tree_by_joins")
-    table = own.toPandas()
-    sent = spark.sparkContext.broadcast(Csr.of({c: table[c].to_numpy() for c in table}, False))
-    asked = pairs.select(F.col("origin").cast("long"), F.col("target").cast("long")).dropna()
-    grouped = asked.groupBy("origin").agg(F.collect_set("target").alias("targets"))
-    return grouped.mapInArrow(
-        lambda it: _path_kernel(it, sent), "origin long, target long, cost double, time double, dist double, nodes array<long>"
-    )
+    graph = send(own := _links(links), max_links=max_links)
+    if graph is None:
+        return _paths_by_joins(own, pairs)
+    return over_blocks(_asked(pairs), f"{_PATH}, nodes array<long>", graph, graph.blocks(), lambda rows, g: _path_rows(rows, g, True))
 
 
-def _sampled_kernel(batches, sent):
-    graph, attributes = sent.value
-    index = {int(n): i for i, n in enumerate(graph.nodes)}
-    drawn, priced = None, None
-    for batch in batches:
-        out = []
-        for draw, weights, origin, targets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if origin not in index:
-                continue
-            if draw != drawn:
-                drawn, priced = draw, replace(graph, cost=graph.time * (1 + np.array(weights) @ attributes))
-            best = priced.tree([(index[origin], 0.0, 0.0, 0.0)])
-            for target in sorted(set(targets)):
-                at = index.get(target)
-                if at in best:
-                    nodes, place = [], at
-                    while place >= 0:
-                        nodes.append(int(graph.nodes[place]))
-                        place = best[place][3]
-                    out.append((draw, origin, target, *best[at][:3], nodes[::-1]))
-        if out:
-            cols = list(zip(*out, strict=True))
-            types = [*[pa.int64()] * 3, *[pa.float64()] * 3, pa.list_(pa.int64())]
-            names = ["draw", "origin", "target", "cost", "time", "dist", "nodes"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+def costs(links: DataFrame, pairs: DataFrame, max_links: int | None = None) -> DataFrame:
+    """G08 without the paths: ``(origin, target, cost, time, dist)`` of every pair that has one."""
+    graph = send(own := _links(links), max_links=max_links)
+    if graph is None:
+        return _paths_by_joins(own, pairs).drop("nodes")
+    return over_blocks(_asked(pairs), _PATH, graph, graph.blocks(), lambda rows, g: _path_rows(rows, g, False))
+
+
+def _paths_by_joins(links: DataFrame, pairs: DataFrame, rounds: int = 1_000_000) -> DataFrame:
+    """Trees by joins, then one join a hop from every target back to its origin; what has arrived waits in a table of its own."""
+    asked = pairs.select(F.col("origin").cast("long").alias("origin"), F.col("target").cast("long").alias("target")).dropna().distinct()
+    seeds = F.array(F.struct(F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("time"), F.lit(0.0).alias("dist")))
+    known = links.select(F.explode(F.array("a", "b")).alias("origin")).distinct()
+    found = tree_by_joins(links, asked.select("origin").distinct().join(known, "origin", "left_semi").select("origin", seeds.alias("seeds"))).checkpoint()
+    ends = asked.join(found.withColumnRenamed("node", "target"), ["origin", "target"])
+    open_ = ends.select(*ends.columns[:5], F.array("target").alias("nodes"), F.col("parent").alias("at")).checkpoint()
+    steps, done = found.select("origin", F.col("node").alias("at"), "parent"), None
+    for _ in range(rounds):
+        arrived = open_.filter("at is null").drop("at")
+        done = arrived if done is None else done.unionByName(arrived).checkpoint()
+        open_ = open_.filter("at is not null")
+        if open_.isEmpty():
+            return done.select("origin", "target", "cost", "time", "dist", F.reverse("nodes").alias("nodes"))
+        open_ = open_.join(steps, ["origin", "at"]).withColumn("nodes", F.concat("nodes", F.array("at"))).drop("at").withColumnRenamed("parent", "at").checkpoint()
+    raise RuntimeError("paths did not end")
+
+
+def _sampled_rows(rows: list[tuple], shared) -> Iterator[pa.RecordBatch]:
+    graph, attributes = shared
+    for draw in dict.fromkeys(r[0] for r in rows):
+        own = [(r[2], r[3]) for r in rows if r[0] == draw]
+        weights = next(r[1] for r in rows if r[0] == draw)
+        priced = replace(graph, cost=graph.time * (1 + np.array(weights) @ attributes))
+        for batch in _path_rows(own, priced, True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, draw)), *batch.columns], names=["draw", *batch.schema.names])
 
 
 def sampled_paths(links: DataFrame, pairs: DataFrame, draws: DataFrame, attributes: list[str]) -> DataFrame:
@@ -248,21 +359,38 @@ def sampled_paths(links: DataFrame, pairs: DataFrame, draws: DataFrame, attribut
     ends = [F.col(c).cast("long").alias(c) for c in ("a", "b")]
     own = links.select(*ends, *(F.col(c).cast("double").alias(c) for c in ("time", "dist", *attributes))).dropna()
     if own.limit(MAX_BROADCAST_LINKS + 1).count() > MAX_BROADCAST_LINKS:
-        raise ValueError("the graph is too large to send")
+        return _sampled_by_joins(own, pairs, draws, attributes)
     table = own.toPandas()
     place = np.arange(len(table), dtype=float)  # carried through the sort, to bring the attributes into the same order
     graph = Csr.of({"a": table["a"].to_numpy(), "b": table["b"].to_numpy(), "cost": place, "time": table["time"].to_numpy(), "dist": table["dist"].to_numpy()}, False)
     values = table[attributes].to_numpy(float)[graph.cost.astype(np.int64)].T
-    sent = spark.sparkContext.broadcast((graph, values))
-    asked = pairs.select(F.col("origin").cast("long"), F.col("target").cast("long")).dropna()
-    grouped = asked.groupBy("origin").agg(F.collect_set("target").alias("targets"))
     listed = draws.select(F.col("draw").cast("long").alias("draw"), F.col("weights").cast("array<double>").alias("weights"))
     packed = F.broadcast(listed.agg(F.collect_list(F.struct("draw", "weights")).alias("ds")))  # one row: the draws are a parameter
-    work = grouped.join(packed).select(F.explode("ds").alias("d"), "origin", "targets").select("d.draw", "d.weights", "origin", "targets")
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return work.repartition(tasks, "draw", "origin").sortWithinPartitions("draw").mapInArrow(
-        lambda it: _sampled_kernel(it, sent), "draw long, origin long, target long, cost double, time double, dist double, nodes array<long>"
-    )
+    work = _asked(pairs).join(packed).select(F.explode("ds").alias("d"), "origin", "targets").select("d.draw", "d.weights", "origin", "targets")
+    work = work.repartition(_tasks(spark), "draw", "origin").sortWithinPartitions("draw")
+    sent, size = spark.sparkContext.broadcast((graph, values)), graph.blocks()
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            while len(held) >= size:
+                yield from _sampled_rows(held[:size], sent.value)
+                held = held[size:]
+        if held:
+            yield from _sampled_rows(held, sent.value)
+
+    return work.mapInArrow(run, f"draw long, {_PATH}, nodes array<long>")
+
+
+def _sampled_by_joins(links: DataFrame, pairs: DataFrame, draws: DataFrame, attributes: list[str]) -> DataFrame:
+    """The same for a graph too large to send: one draw after the other; draws are a parameter."""
+    out = None
+    for r in draws.select("draw", "weights").collect():
+        factor = sum((F.lit(float(w)) * F.col(c) for w, c in zip(r["weights"], attributes, strict=True)), F.lit(1.0))
+        found = paths(links.withColumn("cost", F.col("time") * factor), pairs).select(F.lit(r["draw"]).cast("long").alias("draw"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def path_links(found: DataFrame) -> DataFrame:

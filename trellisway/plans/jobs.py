@@ -96,8 +96,10 @@ def accessibility(links: DataFrame, origins: DataFrame, locations: DataFrame, de
     """``(origin, set, accessibility, normalised_accessibility)``; ``alpha`` is the power of the weights by set, 1 if not given."""
     power = F.create_map(*(x for s, a in (alpha or {"": 1.0}).items() for x in (F.lit(s), F.lit(float(a)))))
     weighed = locations.withColumn("weight", F.pow("weight", F.coalesce(power[F.col("set")], F.lit(1.0))))
-    reached = P.two_way_tree(links, origins) if two_way else P.tree(links, origins)
-    return A.normalised(A.node_accessibility(reached, A.check_weights(weighed), decay, origins))
+    weighed = A.check_weights(weighed)
+    if not two_way:
+        return A.normalised(A.accessibility(links, origins, weighed, decay))
+    return A.normalised(A.node_accessibility(P.two_way_tree(links, origins), weighed, decay, origins))
 
 
 def intervention(links: DataFrame, candidates: DataFrame, population: DataFrame, locations: DataFrame, decay: Decay, places: int) -> DataFrame:

@@ -54,8 +54,7 @@ def q_two_seed(spark, sf_dir):
 
 def _access(decay: Decay):
     def query(spark, sf_dir):
-        reached = P.tree(graph(spark, sf_dir), origins(spark, sf_dir))
-        found = A.node_accessibility(reached, D.locations(spark, sf_dir), decay, origins(spark, sf_dir))
+        found = A.accessibility(D.links(spark, sf_dir).withColumnRenamed("length", "cost"), origins(spark, sf_dir), D.locations(spark, sf_dir), decay)
         return found.select("origin", "set", F.round("accessibility", 6).alias("accessibility"))
 
     return query
@@ -121,7 +120,7 @@ def q_detour_histogram(spark, sf_dir):
 def _straight(spark, sf_dir, reached):
     n = D.nodes(spark, sf_dir)
     o, d = n.select(F.col("node").alias("origin"), F.col("x").alias("ox"), F.col("y").alias("oy")), n.select("node", "x", "y")
-    line = (F.abs(F.col("x") - F.col("ox")) + F.abs(F.col("y") - F.col("oy"))) / 100
+    line = (F.abs(F.col("x") - F.col("ox")) + F.abs(F.col("y") - F.col("oy"))) / 2000
     return reached.join(o, "origin").join(d, "node").filter("origin <> node").select(
         "origin", "node", F.when(line > 0, F.greatest(F.lit(1.0), F.col("cost") / line)).alias("detour")
     ).dropna()
@@ -132,15 +131,15 @@ def q_large_detours(spark, sf_dir):
     return _straight(spark, sf_dir, reached).filter("detour > 6").select("origin", "node", F.round("detour", 6).alias("detour"))
 
 
-_DETOUR = _TREE + ", " + D.SQL["nodes"] + """, ratio AS (SELECT origin, t.node, cost, (abs(d.x - o.x) + abs(d.y - o.y)) / 100 AS line FROM tree t
+_DETOUR = _TREE + ", " + D.SQL["nodes"] + """, ratio AS (SELECT origin, t.node, cost, (abs(d.x - o.x) + abs(d.y - o.y)) / 2000 AS line FROM tree t
   JOIN nodes o ON o.node = t.origin JOIN nodes d ON d.node = t.node WHERE origin <> t.node),
 detour AS (SELECT origin, node, greatest(1.0, cost / line) AS detour FROM ratio WHERE line > 0)
 """
 
 
 def _trip_costs(spark, sf_dir):
-    reached = P.tree(graph(spark, sf_dir), origins(spark, sf_dir)).select("origin", F.col("node").alias("target"), "cost")
-    return D.trips(spark, sf_dir).join(reached, ["origin", "target"])
+    trips = D.trips(spark, sf_dir)
+    return trips.join(P.costs(graph(spark, sf_dir), trips).select("origin", "target", "cost"), ["origin", "target"])
 
 
 _TRIPS = _TREE + ", " + D.SQL["trips"] + ", costed AS (SELECT t.*, cost FROM trips t JOIN tree ON tree.origin = t.origin AND tree.node = t.target)\n"
@@ -212,13 +211,13 @@ _NEAR = Decay("exponential", beta=0.01, cut_dist=300.0)
 
 
 def q_demand(spark, sf_dir):
-    both = P.two_way_tree(graph(spark, sf_dir), origins(spark, sf_dir))
+    both = P.two_way_tree(graph(spark, sf_dir), origins(spark, sf_dir), limit=_NEAR.cut_dist)
     out = A.intervention_demand(both, _population(spark, sf_dir), _supply(spark, sf_dir), 5.0, _NEAR)
     return out.select("node", F.round("demand", 6).alias("demand"))
 
 
 def q_allocate(spark, sf_dir):
-    both = P.two_way_tree(graph(spark, sf_dir), origins(spark, sf_dir)).checkpoint()
+    both = P.two_way_tree(graph(spark, sf_dir), origins(spark, sf_dir), limit=_NEAR.cut_dist).checkpoint()
     out = A.allocate(both, _population(spark, sf_dir), _supply(spark, sf_dir), 5.0, _NEAR, 3)
     return out.select("iteration", "node", F.round("demand", 6).alias("demand"))
 

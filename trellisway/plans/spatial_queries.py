@@ -83,9 +83,8 @@ def q_random_points(spark, sf_dir):
 
 
 def q_corridors(spark, sf_dir):
-    """From the first node of every nation to that of the next nation, at most 25 pairs."""
-    first = D.nodes(spark, sf_dir).groupBy("zone").agg(F.min("node").alias("origin"))
-    pairs = first.withColumn("target", F.lead("origin").over(Window.orderBy("zone")))
+    """The corridor of every pair of ends that a trip has."""
+    pairs = D.trips(spark, sf_dir).select("origin", "target").distinct()
     out = C.corridors(D.links(spark, sf_dir).withColumn("cost", F.col("length")), pairs)
     return out.select("origin", "target", "a", "b", F.round("detour", 6).alias("detour"))
 

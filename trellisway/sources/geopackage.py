@@ -86,6 +86,8 @@ def wkb(points: list[tuple[float, float]], kind: str) -> bytes:
         return struct.pack("<BI", 1, 1) + flat(points[:1])
     if kind == "line":
         return struct.pack("<BII", 1, 2, len(points)) + flat(points)
+    if kind != "polygon":
+        raise ValueError(f"unknown kind of geometry {kind}")
     ring = points if points[0] == points[-1] else [*points, points[0]]
     return struct.pack("<BIII", 1, 3, 1, len(ring)) + flat(ring)
 

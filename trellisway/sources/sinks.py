@@ -113,3 +113,36 @@ def append_samples(rows: DataFrame, path: str) -> None:
 def write_plans(trips: DataFrame, path: str) -> None:
     """Plans and networks as Parquet."""
     trips.write.mode("overwrite").parquet(path)
+
+
+def write_network_xml(nodes: DataFrame, links: DataFrame, path: str, mode: str | None = None) -> None:
+    """A network in XML, folders ``nodes`` and ``links`` of it; with ``mode`` only that mode's links, and their nodes.
+
+    nodes: ``(node, x, y)``; links: ``(link_id, a, b, length, freespeed, capacity, lanes, modes array, attributes map)``.
+    """
+    if mode is not None:
+        links = links.filter(F.array_contains("modes", mode)).withColumn("modes", F.array(F.lit(mode)))
+        nodes = nodes.join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    named = F.transform(F.map_entries("attributes"), lambda e: F.struct(e["key"].alias("_name"), e["value"].alias("_VALUE")))
+    nodes.select(F.col("node").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y")).write.format("xml").options(rootTag="nodes", rowTag="node").mode(
+        "overwrite"
+    ).save(f"{path}/nodes")
+    links.select(
+        F.col("link_id").alias("_id"), F.col("a").alias("_from"), F.col("b").alias("_to"), F.col("length").alias("_length"), F.col("freespeed").alias("_freespeed"),
+        F.col("capacity").alias("_capacity"), F.col("lanes").alias("_permlanes"), F.array_join("modes", ",").alias("_modes"), F.struct(named.alias("attribute")).alias("attributes"),
+    ).write.format("xml").options(rootTag="links", rowTag="link").mode("overwrite").save(f"{path}/links")
+
+
+def write_routes(routes: DataFrame, path: str, modes: list[str], attributes: list[str]) -> None:
+    """Static route data: the id, minutes by mode and attributes, as :func:`trellisway.sources.tables.read_routes` reads them.
+
+    routes: ``(id, <mode>_time in seconds, <attributes>)``. A route that is not there stays empty.
+    """
+    minutes = [(F.col(f"{m}_time") / 60).alias(f"{m}_time") for m in modes]
+    routes.select(F.col("id").alias("ID"), *minutes, *attributes).write.csv(path, mode="overwrite", header=True)
+
+
+def histogram_table(histogram: DataFrame, bins: int = 500) -> DataFrame:
+    """Every bin of a detour histogram ``(bin, n)``, 0 where it is empty, with the detour at which the bin starts."""
+    every = histogram.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(histogram, "bin", "left").select("bin", (1 + F.col("bin") / 100).alias("detour"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -173,10 +173,10 @@ def read_minutes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes ``(node, x, y)`` and links of a network in XML; attributes of a link come as a map."""
-    nodes = spark.read.format("xml").option("rowTag", "node").schema("_id string, _x double, _y double").load(path)
+    nodes = spark.read.format("xml").option("rowTag", "node").schema("_id string, _x double, _y double").option("recursiveFileLookup", "true").load(path)
     fields = "_id string, _from string, _to string, _length double, _freespeed double, _capacity double, _permlanes double, _modes string"
     inner = "attributes struct<attribute: array<struct<_name: string, _VALUE: string>>>"
-    links = spark.read.format("xml").option("rowTag", "link").schema(f"{fields}, {inner}").load(path)
+    links = spark.read.format("xml").option("rowTag", "link").schema(f"{fields}, {inner}").option("recursiveFileLookup", "true").load(path)
     named = F.map_from_entries(F.transform("attributes.attribute", lambda a: F.struct(a["_name"], a["_VALUE"])))
     return (
         nodes.select(F.col("_id").alias("node"), F.col("_x").alias("x"), F.col("_y").alias("y")),
@@ -200,6 +200,32 @@ def read_vehicles(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_id").alias("vehicle"), F.col("_type").alias("type"))
 
 
+def read_gtfs(spark: SparkSession, *folders: str) -> tuple[DataFrame, DataFrame]:
+    """``(stops, times)`` of the day on which most trips run, of one feed or of several side by side.
+
+    A feed's services run on the dates of calendar_dates.txt with exception 1. Of days with as many trips the first counts, for each
+    feed by itself. Ids get the feed's number in front where there are several. stops: ``(stop, lat, lon)``; times: see
+    :func:`read_gtfs_stop_times`.
+    """
+    stops = times = None
+    for number, folder in enumerate(folders):
+        trips = spark.read.csv(f"{folder}/trips.txt", header=True).select(F.col("trip_id").alias("trip"), "service_id")
+        dates = spark.read.csv(f"{folder}/calendar_dates.txt", header=True).filter("exception_type = '1'").select("service_id", "date").distinct()
+        runs = trips.join(dates, "service_id")
+        by_day = runs.groupBy("date").agg(F.count("*").alias("n"))
+        busiest = by_day.agg(F.max_by("date", F.struct("n", (-F.col("date").cast("long")).alias("early"))).alias("date"))
+        today = runs.join(F.broadcast(busiest), "date").select("trip")  # one date
+        here = spark.read.csv(f"{folder}/stops.txt", header=True)
+        own = here.select(F.col("stop_id").alias("stop"), F.col("stop_lat").cast("double").alias("lat"), F.col("stop_lon").cast("double").alias("lon"))
+        run = read_gtfs_stop_times(spark, folder).join(today, "trip", "left_semi")
+        if len(folders) > 1:
+            named = lambda c: F.concat(F.lit(f"{number}:"), c).alias(c)  # noqa: B023, E731
+            own, run = own.select(named("stop"), "lat", "lon"), run.select(named("trip"), "seq", named("stop"), "arrival", "departure")
+        stops = own if stops is None else stops.unionByName(own)
+        times = run if times is None else times.unionByName(run)
+    return stops, times
+
+
 def read_gtfs_stop_times(spark: SparkSession, folder: str) -> DataFrame:
     """``(trip, seq, stop, arrival, departure)`` in seconds; times may pass midnight."""
     raw = spark.read.csv(f"{folder}/stop_times.txt", header=True)
@@ -264,6 +290,25 @@ def read_zones(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
     return raw.select(F.col("id").alias("zone"), ring_of("wkt").alias("ring"))
 
 
+def read_feature_table(rows: DataFrame, sets: list[str]) -> DataFrame:
+    """Features ``(id, points[, description, ...])`` with the columns that accessibility fills.
+
+    The centroid is the mean of a polygon's corners where none is given; a point is its own. ``radius`` comes from a
+    description ``grid_<n>m``. Features without points are an error.
+    """
+    bad = F.raise_error(F.lit("a feature is neither a point nor a polygon")).cast("double")
+    ring = F.when((F.size("points") > 1) & (F.get("points", 0) == F.element_at("points", -1)), F.slice("points", 1, F.size("points") - 1)).otherwise(F.col("points"))
+
+    def middle(axis: str) -> Column:
+        total = F.aggregate(F.transform(ring, lambda p: p[axis]), F.lit(0.0), lambda a, v: a + v)
+        own = F.when(F.col("points").isNull() | (F.size("points") == 0), bad).otherwise(total / F.size(ring))
+        return F.coalesce(F.col(f"centroid_{axis}"), own) if f"centroid_{axis}" in rows.columns else own
+
+    size = F.regexp_extract("description", r"^grid_(\d+)m$", 1).try_cast("double") if "description" in rows.columns else F.lit(None).cast("double")
+    empty = {f"{kind}_{s}": F.lit(None).cast("double") for s in sets for kind in ("accessibility", "normalised")}
+    return rows.withColumns({"centroid_x": middle("x"), "centroid_y": middle("y"), "radius": size, "nodes_within": F.lit(0)} | empty)
+
+
 def ring_of(wkt: str | Column) -> Column:
     """Outer ring of a WKT polygon, or of the first polygon of several; an error for other kinds."""
     c = F.col(wkt) if isinstance(wkt, str) else wkt
