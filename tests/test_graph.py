@@ -5,7 +5,9 @@ import random
 
 import numpy as np
 
+from trellisway.functions.decay import Decay
 from trellisway.operators import paths as P
+from trellisway.operators.access import accessibility, detour_sweep, skim
 from trellisway.operators.corridor import corridors
 from trellisway.operators.transit import connections, earliest_arrivals, leg_summary
 
@@ -97,3 +99,65 @@ def test_legs(spark):
     one, two = leg_summary(legs).orderBy("trip").collect()
     assert (one.seconds, one.access_seconds, one.egress_seconds, one.changes, one.modes) == (1010.0, 60.0, 50.0, 1, "walk-bus-train-walk")
     assert (two.access_seconds, two.egress_metres, two.changes, two.modes) == (0.0, 0.0, 0, "walk")
+
+
+def test_detour_sweep_by_paths(spark):
+    draw = random.Random(3)
+    rows = {(a, b): (float(draw.randrange(1, 30)), draw.random(), draw.random()) for a, b, _ in random_links(4) if a != b}
+    links = spark.createDataFrame([(a, b, *v) for (a, b), v in rows.items()], "a long, b long, time double, x double, y double")
+    settings = spark.createDataFrame([(0, [0.0, 0.0]), (1, [2.0, 0.5]), (2, [0.0, 5.0])], "setting long, weights array<double>")
+    origins = spark.createDataFrame([(i,) for i in range(14)], "origin long")
+    want = {}
+    for setting, (wx, wy) in ((0, (0.0, 0.0)), (1, (2.0, 0.5)), (2, (0.0, 5.0))):
+        for origin in range(14):
+            best, fast = {origin: (0.0, 0.0)}, bellman_ford([(a, b, v[0]) for (a, b), v in rows.items()], origin)
+            for _ in range(14):
+                for (a, b), (t, x, y) in rows.items():
+                    if a in best and best[a][0] + t * (1 + wx * x + wy * y) < best.get(b, (np.inf,))[0]:
+                        best[b] = (best[a][0] + t * (1 + wx * x + wy * y), best[a][1] + t)
+            for node, (_, time) in best.items():
+                if node != origin:
+                    cell = min(int((time / fast[node] - 1) * 100 + 1e-9), 499)
+                    want[setting, cell] = want.get((setting, cell), 0) + 1
+    found = detour_sweep(links, origins, settings, ["x", "y"]).collect()
+    assert {(r.setting, r.bin): r.n for r in found} == want
+
+
+def test_fused_accessibility_and_joins_agree(spark):
+    draw = random.Random(6)
+    links, origins = graph(spark, random_links(5)), spark.createDataFrame([(i,) for i in [*range(14), 77]], "origin long")
+    places = spark.createDataFrame([(f"s{i % 3}", i, float(i % 4), draw.randrange(16)) for i in range(30) for _ in range(1 + i % 2)], "set string, id long, weight double, node long")
+    for decay in (Decay("exponential", beta=0.1), Decay("cumulative", cut_dist=25.0), Decay("gaussian", v=300.0, cut_time=30.0), Decay("cumulative_gaussian", a=5.0, v=90.0)):
+        one = {(r.origin, r.set): r.accessibility for r in accessibility(links, origins, places, decay).collect()}
+        two = {(r.origin, r.set): r.accessibility for r in accessibility(links, origins, places, decay, max_points=0).collect()}
+        assert one.keys() == two.keys() and len(one) == 45
+        assert all(abs(v - two[k]) < 1e-9 for k, v in one.items())
+
+
+def test_skim_of_graphs_sent_and_joined(spark, monkeypatch):
+    links = graph(spark, random_links(7))
+    zones = spark.createDataFrame([(i, i % 3) for i in range(14)] + [(50, 1)], "node long, zone int")
+    sent = sorted(map(tuple, skim(links, zones).collect()))
+    monkeypatch.setattr(P, "MAX_BROADCAST_LINKS", 0)
+    assert sorted(map(tuple, skim(links, zones).collect())) == sent and len(sent) == 9
+
+
+def test_paths_by_joins_agree(spark):
+    links = graph(spark, random_links(8))
+    pairs = spark.createDataFrame(list(itertools.product(range(14), repeat=2)), "origin long, target long")
+    one, two = ({(r.origin, r.target): r.cost for r in P.paths(links, pairs, max_links=m).collect()} for m in (None, 0))
+    assert one == two
+
+
+def test_many_origins_in_one_block():
+    draw = np.random.default_rng(9)
+    a, b, w = draw.integers(0, 60, 400), draw.integers(0, 60, 400), draw.random(400) * 100
+    g = P.Csr.of({"a": a, "b": b, "cost": w, "time": w * 2, "dist": w * 3}, False)
+    found = g.trees([[(i, 0.0, 0.0, 0.0)] for i in range(len(g.nodes))])
+    rows = list(zip(a.tolist(), b.tolist(), w.tolist()))
+    for i, node in enumerate(g.nodes.tolist()):
+        want = bellman_ford(rows, node, 60)
+        got = dict(zip(g.nodes[np.isfinite(found.cost[i])].tolist(), found.cost[i][np.isfinite(found.cost[i])].tolist()))
+        assert got.keys() == want.keys() and all(abs(got[n] - c) < 1e-9 for n, c in want.items())
+        assert np.allclose(found.time[i], np.where(np.isfinite(found.cost[i]), found.cost[i] * 2, 0)) and np.allclose(found.dist[i] * 2, found.time[i] * 3)
+        assert all(g.path(found.parent[i], int(k))[0] == node for k in np.flatnonzero(np.isfinite(found.cost[i])))

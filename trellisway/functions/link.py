@@ -250,3 +250,48 @@ def congested_capacity(capacity: Col, road: Col, length: Col) -> Column:
     """F30. 70 % on primary and secondary roads, and twice on links under 100 m."""
     scaled = F.when(_c(road).isin("primary", "secondary"), 0.7 * _c(capacity)).otherwise(_c(capacity))
     return F.when(_c(length) < 100, 2 * scaled).otherwise(scaled)
+
+
+def urban_freespeed(freespeed: Col, urban: Col) -> Column:
+    """F30. Three quarters of the free speed on urban links; an unknown place is not urban."""
+    return F.when(F.coalesce(_c(urban), F.lit(False)), 0.75 * _c(freespeed)).otherwise(_c(freespeed))
+
+
+def street_attributes(
+    gradient: Col = "gradient", vgvi: Col = "vgvi", stress_link: Col = "stress_link", stress_jct: Col = "stress_jct", cross_width: Col = "cross_width",
+    length: Col = "length", limit_mph: Col | None = "limit_mph", freespeed: Col = "freespeed",
+) -> dict[str, Column]:
+    """F32. What a mode-choice model sees of a street: steepness up, missing greenery, stresses, and speed as a share of 50 mph.
+
+    Without a speed limit the free speed in m/s stands for it.
+    """
+    speed = _c(freespeed) / 22.35 if limit_mph is None else _c(limit_mph) / 50
+    return {
+        "grad": clamp(_c(gradient), 0.0, 0.5), "vgvi": F.greatest(F.lit(0.0), 0.81 - _c(vgvi)), "stress_link": _c(stress_link),
+        "stress_jct": junction_share(cross_width, length, stress_jct), "speed": F.least(F.lit(1.0), speed),
+    }
+
+
+#: Factors of the plain set of route attributes, and of the two weighted sets.
+PLAIN_FACTORS = ("vgvi", "darkness", "shannon_factor", "crime", "poi", "neg_poi", "freight_poi", "ambience", "stress_link")
+WEIGHTED_FACTORS = ("comfort", "vgvi", "darkness", "shannon_factor", "shannon", "crime", "poi", "neg_poi", "ambience", "stress_link")
+
+
+def attribute_set(kind: str) -> dict[str, Column]:
+    """F28. Route attributes of a link by name, to be summed over a path's links: ``plain``, ``time`` or ``distance``.
+
+    plain: factors times length, and the junction's stress. The two others weigh factors and the steepness up by the time or
+    the length, count places as they are, and weigh a junction's stress by the crossed part of the link, nothing where no
+    vehicles are crossed. Columns: length, time, gradient, those of the factors, pois, neg_pois, stress_jct, crosses, cross_width.
+    """
+    if kind == "plain":
+        return {name: _c(name) * _c("length") for name in PLAIN_FACTORS} | {"stress_jct": _c("stress_jct")}
+    if kind not in ("time", "distance"):
+        raise ValueError(f"unknown set {kind}")
+    weight = _c("time" if kind == "time" else "length")
+    part = F.least(_c("cross_width") / F.nullif(_c("length"), F.lit(0.0)), F.lit(1.0))
+    crossed = F.when(_c("crosses"), _c("stress_jct") * weight * F.coalesce(part, F.lit(0.0))).otherwise(0.0)
+    return {
+        "gradient": clamp(_c("gradient"), 0.0, 0.5) * weight, **{name: _c(name) * weight for name in WEIGHTED_FACTORS},
+        "poi_count": _c("pois"), "neg_poi_count": _c("neg_pois"), "stress_jct": crossed,
+    }

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.decay import Decay
-from .paths import _links, over_blocks, send, tree
+from .paths import MAX_BROADCAST_LINKS, Csr, _links, over_blocks, seeded_tree, send, tree
 
 #: Access points, after places with the same ones are counted together, that are sent to every task.
 MAX_BROADCAST_POINTS = 2_000_000
@@ -97,6 +99,77 @@ def node_accessibility(reached: DataFrame, locations: DataFrame, decay: Decay, o
     return every.join(found, ["origin", "set"], "left").select("origin", "set", F.coalesce("accessibility", F.lit(0.0)).alias("accessibility"))
 
 
+def constant(origins: DataFrame, locations: DataFrame, value: float = 1.0) -> DataFrame:
+    """``(origin, set, accessibility)``, the same value for every origin and set."""
+    sets = F.broadcast(locations.agg(F.array_sort(F.collect_set("set")).alias("sets")))  # one row: the handful of destination sets
+    return origins.select("origin").distinct().join(sets).select("origin", F.explode("sets").alias("set"), F.lit(value).alias("accessibility"))
+
+
+def point_accessibility(links: DataFrame, points: DataFrame, locations: DataFrame, decay: Decay) -> DataFrame:
+    """A04 for places off the network: ``(point, set, accessibility)``, 0 where nothing is reached.
+
+    points: ``(point, node_a, dist_a, node_b, dist_b, radius, marginal_cost, marginal_time)``: the ends of the nearest link, how far
+    they are, and cost and time a metre of the way to them beyond the radius. A tree starts at both ends.
+    """
+    def seed(end: str) -> Column:
+        away = F.greatest(F.lit(0.0), F.col(f"dist_{end}") - F.coalesce("radius", F.lit(0.0)))
+        return F.struct(F.col(f"node_{end}").alias("node"), (away * F.col("marginal_cost")).alias("cost"), (away * F.col("marginal_time")).alias("time"), away.alias("dist"))
+
+    starts = points.select(F.col("point").cast("long").alias("origin"), F.array(seed("a"), seed("b")).alias("seeds"))
+    reached = seeded_tree(links, starts)
+    return node_accessibility(reached, locations, decay, starts).withColumnRenamed("origin", "point")
+
+
+def feature_accessibility(values: DataFrame, zones: DataFrame, members: DataFrame, points: DataFrame, links: DataFrame, locations: DataFrame, decay: Decay) -> DataFrame:
+    """``(zone, set, accessibility, nodes_within)``: the mean of the nodes in a zone, and from its centre where it has none.
+
+    values: :func:`node_accessibility` of nodes; zones: ``(zone)``; members: ``(zone, node)``; points: those of
+    :func:`point_accessibility`, by zone, of which only zones without nodes are used.
+    """
+    means = zone_accessibility(values, members.select("zone", "node")).withColumnRenamed("n_nodes", "nodes_within")
+    empty = zones.select("zone").join(members.select("zone").distinct(), "zone", "left_anti")
+    lone = points.join(empty.withColumnRenamed("zone", "point"), "point", "left_semi")
+    own = point_accessibility(links, lone, locations, decay).select(F.col("point").alias("zone"), "set", "accessibility", F.lit(0).cast("long").alias("nodes_within"))
+    return means.unionByName(own)
+
+
+def detour_sweep(links: DataFrame, origins: DataFrame, settings: DataFrame, attributes: list[str], bins: int = 500) -> DataFrame:
+    """``(setting, bin, n)``: the detour histogram of every setting of cost weights over all origins and nodes.
+
+    links: a, b, time and the attribute columns; settings: ``(setting, weights array<double>)`` in the attributes' order, under which a
+    link costs ``time * (1 + sum of weight * attribute)``. A path's detour is its time over the least time. Every task
+    counts its origins' detours, so no pair is written; a few counts a task and setting are summed.
+    """
+    ends = [F.col(c).cast("long").alias(c) for c in ("a", "b")]
+    own = links.select(*ends, *(F.col(c).cast("double").alias(c) for c in ("time", *attributes))).dropna()
+    if own.limit(MAX_BROADCAST_LINKS + 1).count() > MAX_BROADCAST_LINKS:
+        raise ValueError("the graph is too large to send: cut it to a region first")
+    table = own.toArrow()
+    column = {c: table.column(c).to_numpy() for c in table.column_names}
+    place = np.arange(len(table), dtype=float)  # carried through the sort, to bring the attributes into the same order
+    graph = Csr.of({"a": column["a"], "b": column["b"], "cost": place, "time": column["time"], "dist": column["time"]}, False)
+    order = graph.cost.astype(np.int64)
+    graph = replace(graph, cost=graph.time)
+    weights = {r["setting"]: list(r["weights"]) for r in settings.collect()}  # a parameter
+
+    def work(rows, sent):
+        g, values, asked = sent
+        seeds = [[(at, 0.0, 0.0, 0.0)] for r in rows if (at := g.place(r[0])) >= 0]
+        starts = np.array([s[0][0] for s in seeds], np.int64)
+        fast = g.trees(seeds).time
+        for name, w in asked.items():
+            other = replace(g, cost=g.time * (1 + np.array(w) @ values)).trees(seeds)
+            known = np.isfinite(other.cost) & (fast > 0)
+            known[np.arange(len(starts)), starts] = False
+            cell = np.minimum(np.floor((other.time[known] / fast[known] - 1) * 100 + 1e-9), bins - 1).astype(np.int64)
+            found, n = np.unique(cell, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.int64()), pa.array(found.astype(np.int32)), pa.array(n)], names=["setting", "bin", "n"])
+
+    asked = origins.select(F.col("origin").cast("long").alias("origin")).dropna().distinct()
+    shared = (graph, np.stack([column[c][order] for c in attributes]), weights)
+    return over_blocks(asked, "setting long, bin int, n long", shared, graph.blocks(), work).groupBy("setting", "bin").agg(F.sum("n").alias("n"))
+
+
 def check_weights(locations: DataFrame) -> DataFrame:
     """Fails where access points of one location have different weights."""
     low, high = F.min("weight"), F.max("weight")

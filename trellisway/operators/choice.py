@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .paths import sampled_paths
+
 
 @dataclass(frozen=True)
 class Specification:
@@ -231,3 +233,72 @@ def short_trip(mode: str, dist: str | Column | None, ox, oy, dx, dy, longest: fl
     own = F.col(dist) if isinstance(dist, str) else dist
     length = F.least(F.greatest(line if own is None else F.coalesce(own, line), F.lit(10.0)), F.lit(longest))
     return length, length / speed
+
+
+def encode_classes(data: DataFrame, label: str, code: str = "code") -> DataFrame:
+    """Adds ``code``, the place of a label among the sorted different labels, from 0; a null label has none."""
+    names = data.select(label).dropna().distinct()
+    coded = names.withColumn(code, F.row_number().over(Window.orderBy(label)) - 1)  # as many rows as classes
+    return data.join(F.broadcast(coded), label, "left")
+
+
+@dataclass(frozen=True)
+class StreetAttribute:
+    """A route attribute of a model: ``name`` is its coefficient and column; one with a ``base`` counts the base's value where
+    ``when`` (SQL on the person) holds."""
+
+    name: str
+    base: str | None = None
+    when: str | None = None
+
+
+def street_columns(attributes: list[StreetAttribute]) -> dict[str, Column]:
+    """Columns of the attributes on rows with the base attributes' values, precomputed or of rerouted paths.
+
+    A base must come before what builds on it, a name counts once, and a negative value of a base is an error.
+    """
+    out: dict[str, Column] = {}
+    for a in attributes:
+        if a.name in out:
+            raise ValueError(f"{a.name} is there twice")
+        if a.base is None:
+            bad = F.raise_error(F.concat(F.lit(f"{a.name} is negative: "), F.col(a.name).cast("string"))).cast("double")
+            out[a.name] = F.when(F.col(a.name) < 0, bad).otherwise(F.col(a.name))
+        elif a.base not in out:
+            raise ValueError(f"{a.base} must come before {a.name}")
+        else:
+            out[a.name] = F.when(F.coalesce(F.expr(a.when), F.lit(False)), out[a.base]).otherwise(0.0)
+    return out
+
+
+def rerouted(links: DataFrame, trips: DataFrame, data: DataFrame, attributes: list[StreetAttribute], values: dict[str, float]) -> DataFrame:
+    """``(id, time, <base attributes>)`` in minutes of the cheapest paths at the present coefficients, one search for each persona.
+
+    links: a, b, time, dist and the base attributes' columns; trips: ``(id, origin, target)``; data: ``(id, ...)`` with what the
+    conditions see. A persona weighs a base attribute with its coefficient and those of the interactions that hold, 0 if the
+    sum is negative. Trips of a persona and pair share a path; those without one have no row.
+    """
+    bases = [a.name for a in attributes if a.base is None]
+    conditions = {a.name: a.when or "true" for a in attributes}
+    found = personas(data, conditions).drop("n")
+    known = {a.name: i for i, a in enumerate(attributes)}
+
+    def weight(base: str) -> Column:
+        total = F.lit(0.0)
+        for a in attributes:
+            if base in (a.name, a.base):
+                total = total + F.when(F.get("valid", known[a.name]), float(values[a.name])).otherwise(0.0)
+        return F.greatest(F.lit(0.0), total)
+
+    draws = found.select(F.col("persona").cast("long").alias("draw"), F.array(*map(weight, bases)).alias("weights"))
+    valid = F.array(*(F.coalesce(F.expr(c), F.lit(False)) for c in conditions.values()))
+    whose = data.select("id", valid.alias("valid")).join(F.broadcast(found.select("valid", F.col("persona").cast("long").alias("draw"))), "valid").drop("valid")
+    asked = trips.join(whose, "id")
+    routes = sampled_paths(links, asked, draws, bases).join(asked.select("draw", "origin", "target").distinct(), ["draw", "origin", "target"])
+    steps = routes.select("draw", "origin", "target", F.posexplode("nodes").alias("k", "a"), "nodes").select("draw", "origin", "target", "a", F.get("nodes", F.col("k") + 1).alias("b"))
+    priced = links.select("a", "b", "time", *bases)
+    sums = steps.dropna(subset=["b"]).join(priced, ["a", "b"]).groupBy("draw", "origin", "target").agg(
+        (F.sum("time") / 60).alias("time"), *((F.sum(F.col("time") * F.col(c)) / 60).alias(c) for c in bases)
+    )
+    known = routes.select("draw", "origin", "target").join(sums, ["draw", "origin", "target"], "left").na.fill(0.0, ["time", *bases])  # no link where the ends are one node
+    return asked.join(known, ["draw", "origin", "target"]).select("id", "time", *bases)

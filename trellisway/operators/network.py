@@ -156,7 +156,7 @@ def mark_disconnected(links: DataFrame, mode: str) -> DataFrame:
 
 
 def upgrade_cycle_network(links: DataFrame, edge_ids: DataFrame) -> DataFrame:
-    """the listed edges become off-road cycleways with parallel crossings."""
+    """the listed edges become off-road cycleways. Their crossings are rated by that class; no attribute of its own is set."""
     hit = links.join(edge_ids, "edge_id", "left_semi").select("link_id", F.lit(True).alias("_up"))
     up = F.col("_up").isNotNull()
     return links.join(hit, "link_id", "left").withColumn("cycleosm", F.when(up, "offroad").otherwise(F.col("cycleosm"))).drop("_up")

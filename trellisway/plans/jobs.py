@@ -131,10 +131,11 @@ def hourly_table(spark: SparkSession, events: str, vehicles: str, links: DataFra
     return N.volumes_dense(links, N.volumes_hourly(seen, R.read_vehicles(spark, vehicles), scale))
 
 
-def plans(flows: DataFrame, zones: DataFrame, minutes: DataFrame, scale: float = 1.0) -> DataFrame:
+def plans(flows: DataFrame, zones: DataFrame, minutes: DataFrame, scale: float = 1.0, region_contains=None) -> DataFrame:
     """Trips with points inside their zones and a time of the day, from flows ``(period, uc, o, d, trips)``.
 
-    All trips of a flow share its two points. The start is the drawn middle of the trip less half its free time, at 50 km/h in a
+    All trips of a flow share its two points. Flows of external classes keep only trips that leave or enter the region, where its
+    ``(x, y) -> Column`` predicate is given (A25). The start is the drawn middle of the trip less half its free time, at 50 km/h in a
     straight line.
     """
     daily = Q.period_factors(flows)
@@ -146,7 +147,11 @@ def plans(flows: DataFrame, zones: DataFrame, minutes: DataFrame, scale: float =
     to = to.select(F.expr("substring(id, 1, length(id) - 3)").alias("id"), F.col("x").alias("target_x"), F.col("y").alias("target_y"))
     timed = Q.sample_times(made.withColumn("id", F.concat_ws("|", "period", "uc", "o", "d")), minutes, "id", "n")
     free = F.hypot(F.col("target_x") - F.col("origin_x"), F.col("target_y") - F.col("origin_y")) / 13.9
-    return timed.join(from_, "id").join(to, "id").withColumn("start", Q.departure(F.col("seconds"), free))
+    placed = timed.join(from_, "id").join(to, "id")
+    if region_contains is not None:
+        inside = region_contains(F.col("origin_x"), F.col("origin_y")) & region_contains(F.col("target_x"), F.col("target_y"))
+        placed = placed.filter(~(F.col("external_only") & inside))
+    return placed.withColumn("start", Q.departure(F.col("seconds"), free))
 
 
 def estimate_or_predict(data: DataFrame, spec: M.Specification, results: str, alternatives: list[str], *keys: str) -> DataFrame:

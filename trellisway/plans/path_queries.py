@@ -236,6 +236,17 @@ demand AS (SELECT node, round(sum(d), 6) AS demand FROM pull GROUP BY 1)
 """
 
 
+def _allocation_sql(places: int) -> str:
+    out = _TWO + """, population AS (SELECT o_custkey % n AS node, count(*) AS population FROM orders, (SELECT count(*) AS n FROM supplier) GROUP BY 1),
+near AS (SELECT origin, node, 5 * exp(-0.01 * cost) AS pull FROM two WHERE cost <= 300),
+s0 AS (SELECT s_suppkey AS node, CAST(s_suppkey % 7 AS DOUBLE) AS access FROM supplier)"""
+    for i in range(places):
+        out += f""",
+p{i} AS (SELECT origin AS node, sum(population * pull / (pull + access)) AS demand FROM near JOIN population USING (node) JOIN s{i} USING (node) GROUP BY 1 ORDER BY demand DESC, node LIMIT 1),
+s{i + 1} AS (SELECT s.node, access + coalesce(pull, 0) AS access FROM s{i} s LEFT JOIN (SELECT near.node, pull FROM near JOIN p{i} ON origin = p{i}.node) g ON g.node = s.node)"""
+    return out + "\n" + " UNION ALL ".join(f"SELECT {i} AS iteration, node, round(demand, 6) AS demand FROM p{i}" for i in range(places))
+
+
 def q_new_weight(spark, sf_dir):
     out = A.new_destination_weight(D.locations(spark, sf_dir), 0.5)
     return out.select("set", F.round("weight", 6).alias("weight"))
@@ -305,6 +316,7 @@ JOIN nodes o ON o.node = origin JOIN nodes d ON d.node = target""",
     "unique_paths": _TRIPS + "SELECT min(trip) AS trip, count(*) AS routes, 1 AS paths FROM costed GROUP BY origin, target",
     "intervention_demand": _DEMAND + "SELECT node, demand FROM demand",
     "intervention_pick": _DEMAND + "SELECT node, demand FROM demand ORDER BY demand DESC, node LIMIT 1",
+    "intervention_allocation": _allocation_sql(3),
     "new_destination_weight": D.with_sql("locations") + """, p AS (SELECT DISTINCT set, id, sqrt(weight) AS w FROM locations)
 SELECT set, round(list_sort(list(w))[count(*) // 2 + 1], 6) AS weight FROM p GROUP BY 1""",
 }
