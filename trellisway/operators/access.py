@@ -281,15 +281,24 @@ def overlap(routes: DataFrame, initial: DataFrame, link_times: DataFrame) -> Dat
     )
 
 
-def summary(values: DataFrame, value: str) -> DataFrame:
-    """Min, quartiles and max by index ``n div 4``, and the mean, one row.
+def running_counts(counts: DataFrame, value: str, *by: str) -> DataFrame:
+    """Adds ``upto``, the sum of ``n`` up to each value within its group, and ``total``; ``(<by>, value, n)`` has each value once.
 
-    The order statistics are exact: ranks are counted by an ordered window over distinct values with their counts, so
-    the window sees each value once.
+    Values are dealt into ranges, counted within each, and a group's ranges are summed up: no task sees more than a range and
+    the totals of ranges. The ranges are checkpointed, since they are drawn from a sample.
     """
-    counts = values.groupBy(value).agg(F.count("*").alias("n"))
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
+    placed = counts.repartitionByRange(*by, value).withColumn("_p", F.spark_partition_id()).checkpoint()
+    earlier = Window.partitionBy(*by or [F.lit(0)]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*by or [F.lit(0)])
+    ranges = placed.groupBy(*by, "_p").agg(F.sum("n").alias("_n"))
+    ranges = ranges.select(*by, "_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(group).alias("total"))
+    within = Window.partitionBy(*by, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.withColumn("upto", F.sum("n").over(within)).join(ranges, [*by, "_p"]).withColumn("upto", F.col("upto") + F.col("_before")).drop("_p", "_before")
+
+
+def summary(values: DataFrame, value: str) -> DataFrame:
+    """Min, quartiles and max by index ``n div 4``, and the mean, one row. The order statistics are exact."""
+    ranked = running_counts(values.groupBy(value).agg(F.count("*").alias("n")), value)
     at = lambda k: F.min(F.when(F.col("upto") > F.floor(F.col("total") * k / 4), F.col(value)))
     return ranked.agg(
         F.min(value).alias("min"), at(1).alias("q25"), at(2).alias("median"),
@@ -300,9 +309,8 @@ def summary(values: DataFrame, value: str) -> DataFrame:
 def new_destination_weight(locations: DataFrame, alpha: float = 1.0) -> DataFrame:
     """Upper median of the transformed weights per set: ``(set, weight)``, found by rank."""
     powered = locations.select("set", "id", F.pow("weight", F.lit(alpha)).alias("weight")).distinct()
-    rank = Window.partitionBy("set").orderBy("weight", "id")
-    ranked = powered.withColumn("r", F.row_number().over(rank) - 1).withColumn("n", F.count("*").over(Window.partitionBy("set")))
-    return ranked.filter(F.col("r") == F.floor(F.col("n") / 2)).select("set", "weight")
+    ranked = running_counts(powered.groupBy("set", "weight").agg(F.count("*").alias("n")), "weight", "set")
+    return ranked.groupBy("set").agg(F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("weight"))).alias("weight"))
 
 
 def intervention_demand(two_way: DataFrame, population: DataFrame, supply: DataFrame, weight: float, decay: Decay) -> DataFrame:

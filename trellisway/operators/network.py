@@ -118,6 +118,8 @@ def strong_component(links: DataFrame, max_rounds: int = 1000) -> DataFrame:
         open_ = open_.join(found, "node", "left_anti").checkpoint()
         if best[0] >= open_.count():
             break
+    else:
+        raise RuntimeError(f"the largest component was not found in {max_rounds} rounds")
     return best[2] if best else open_
 
 

@@ -97,12 +97,13 @@ def assign_zones(points: DataFrame, zones: DataFrame, cell: float, keep_outside:
     empty = F.when(F.col("ring").isNull(), F.raise_error("a zone has no geometry").cast("boolean")).otherwise(F.size("ring") > 0)
     b = bounds("ring")
     listed = zones.filter(empty).select("zone", "ring", F.explode(_cells(b["x0"], b["y0"], b["x1"], b["y1"], cell)).alias("c")).select("zone", "ring", "c.*")
-    numbered = points.withColumn("_p", F.monotonically_increasing_id())
+    spots = points.select(F.col("x").alias("_x"), F.col("y").alias("_y")).dropna().distinct()  # points of one place share the answer
     hits = (
-        numbered.select("_p", F.col("x").alias("_x"), F.col("y").alias("_y"), *_cell_of(size=cell)).join(listed, ["cx", "cy"])
-        .filter(contains("ring", "_x", "_y")).groupBy("_p").agg(F.min("zone").alias("zone"))
+        spots.select("_x", "_y", F.floor(F.col("_x") / cell).alias("cx"), F.floor(F.col("_y") / cell).alias("cy")).join(listed, ["cx", "cy"])
+        .filter(contains("ring", "_x", "_y")).groupBy("_x", "_y").agg(F.min("zone").alias("zone"))
     )
-    return numbered.drop("zone").join(hits, "_p", "left" if keep_outside else "inner").drop("_p")
+    met = (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))
+    return points.drop("zone").join(hits, met, "left" if keep_outside else "inner").drop("_x", "_y")
 
 
 def inside_boundary(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:

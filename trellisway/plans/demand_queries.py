@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import choice as M
 from ..operators import demand as Q
+from ..sources.shared import new_folder
 from ..streaming import volumes as V
 from . import derived as D
 
@@ -119,9 +118,7 @@ def q_stream(spark, sf_dir):
     raw = V.entries(spark, f"{sf_dir}/events*.parquet", schema)
     kind = F.when(F.col("event_type").isin("view", "click"), "car").when(F.col("event_type") == "purchase", "truck").otherwise("other")
     result = V.hourly(raw.select(F.col("ts").cast("timestamp").alias("ts"), F.expr("user_id % 50").alias("link"), kind.alias("type")), late="45 days")
-    name = f"volumes_{uuid.uuid4().hex}"
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/trellisway-streams"
-    return V.run_once(result, name, f"{folder}/{name}").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    return V.run_once(result, new_folder(spark, "volumes"), new_folder(spark, "volume-state")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
 QUERIES = {

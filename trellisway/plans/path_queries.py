@@ -193,7 +193,8 @@ def q_volumes(spark, sf_dir):
 def q_unique_paths(spark, sf_dir):
     t = D.trips(spark, sf_dir).groupBy("origin", "target").agg(F.min("trip").alias("trip"), F.count("*").alias("n"))
     found = P.paths(graph(spark, sf_dir), t).join(t, ["origin", "target"])
-    routes = found.select("trip", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("seq"), "dist", F.col("nodes").alias("links"))
+    routes = found.select("trip", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("seq"), "dist", "nodes")
+    routes = routes.select("trip", "seq", "dist", F.when(F.col("seq") % 3 == 0, F.reverse("nodes")).otherwise(F.col("nodes")).alias("links"))  # each third turned
     return A.unique_paths(routes).groupBy("trip").agg(F.count("*").alias("routes"), (F.max("path_id") + 1).cast("int").alias("paths"))
 
 
@@ -313,7 +314,7 @@ JOIN nodes o ON o.node = origin JOIN nodes d ON d.node = target""",
     "trip_boundary_counts": D.with_sql("nodes", "trips") + """SELECT purpose, mode, count(*) AS n, count(*) FILTER (o.x < 5000) AS n_origin, count(*) FILTER (d.x < 5000) AS n_target,
   count(*) FILTER (o.x < 5000 AND d.x < 5000) AS n_both FROM trips JOIN nodes o ON o.node = origin JOIN nodes d ON d.node = target GROUP BY 1, 2""",
     "path_volume_metres": _TRIPS + "SELECT sum(cost) AS metres FROM costed",
-    "unique_paths": _TRIPS + "SELECT min(trip) AS trip, count(*) AS routes, 1 AS paths FROM costed GROUP BY origin, target",
+    "unique_paths": _TRIPS + "SELECT min(trip) AS trip, count(*) AS routes, CASE WHEN count(*) >= 3 AND origin <> target THEN 2 ELSE 1 END AS paths FROM costed GROUP BY origin, target",
     "intervention_demand": _DEMAND + "SELECT node, demand FROM demand",
     "intervention_pick": _DEMAND + "SELECT node, demand FROM demand ORDER BY demand DESC, node LIMIT 1",
     "intervention_allocation": _allocation_sql(3),

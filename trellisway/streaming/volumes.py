@@ -29,11 +29,14 @@ def hourly(stream: DataFrame, late: str = "1 hour", scale: float = 1.0) -> DataF
     return counts.select("link", F.col("w.start").alias("hour"), "car", "truck")
 
 
-def run_once(result: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Process what is there and return the result's table, held in memory; for results of a small, known size."""
-    query = result.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(result: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process what is there and return the result's table at ``path``, which the tasks of each batch write anew."""
+    spark = result.sparkSession
+    spark.createDataFrame([], result.schema).write.parquet(path)
+    sink = result.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    query = sink.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return result.sparkSession.table(name)
+    return spark.read.schema(result.schema).parquet(path)
 
 
 def write_closed(result: DataFrame, path: str, checkpoint: str):
