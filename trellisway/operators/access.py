@@ -149,7 +149,7 @@ def detour_sweep(links: DataFrame, origins: DataFrame, settings: DataFrame, attr
     place = np.arange(len(table), dtype=float)  # carried through the sort, to bring the attributes into the same order
     graph = Csr.of({"a": column["a"], "b": column["b"], "cost": place, "time": column["time"], "dist": column["time"]}, False)
     order = graph.cost.astype(np.int64)
-    graph = replace(graph, cost=graph.time)
+    graph = replace(graph, cost=graph.time, ordered=False)
     weights = {r["setting"]: list(r["weights"]) for r in settings.collect()}  # a parameter
 
     def work(rows, sent):

@@ -43,13 +43,14 @@ class Csr:
     cost: np.ndarray
     time: np.ndarray
     dist: np.ndarray
+    ordered: bool = True  # the links of a node are in order of their cost
 
     @classmethod
     def of(cls, links, reverse: bool, more_nodes: np.ndarray | None = None) -> Csr:
         tail, head = (links["b"], links["a"]) if reverse else (links["a"], links["b"])
         nodes = np.unique(np.concatenate([tail, head] if more_nodes is None else [tail, head, more_nodes]))
         t, h = np.searchsorted(nodes, tail), np.searchsorted(nodes, head)
-        order = np.lexsort((h, t))
+        order = np.lexsort((h, links["cost"], t))
         start = np.searchsorted(t[order], np.arange(len(nodes) + 1))
         return cls(nodes, start, h[order], links["cost"][order], links["time"][order], links["dist"][order])
 
@@ -74,6 +75,12 @@ class Csr:
                 if c <= limit and c < cost[at]:
                     cost[at], time[at], dist[at] = c, t, d
         degree = np.diff(self.start)
+        # Once an origin has reached every node, links that lead beyond its largest label are of no use: a node's links
+        # are in order of cost, so those before that point are found by one search in the costs with the nodes in front.
+        prunes = self.ordered and len(self.cost) > 0
+        if prunes:
+            scale = 2.0 ** np.ceil(np.log2(1 + self.cost.max()))
+            keys = np.repeat(np.arange(n) * scale, degree) + self.cost
         band = 8 * self.cost.mean() * n / len(self.cost) if len(self.cost) else 0.0
         active = np.flatnonzero(np.isfinite(cost))
         while len(active):
@@ -82,11 +89,18 @@ class Csr:
             low = np.minimum.reduceat(cost[active], first)
             now = cost[active] <= np.repeat(low + band, np.diff(np.append(first, len(active))))
             changed, turn = [active[~now]], active[now]
-            work = np.cumsum(degree[turn % n])
-            for part in np.split(turn, np.searchsorted(work, np.arange(STEP, work[-1], STEP), "right")):
-                node = part % n
-                edge = spans(self.start[node], degree[node])
-                source = np.repeat(part, degree[node])
+            use = degree[turn % n]
+            if prunes:
+                first = np.flatnonzero(np.concatenate([[True], turn[1:] // n != turn[:-1] // n]))
+                most = cost.reshape(k, n)[turn[first] // n].max(axis=1)
+                room = np.repeat(most, np.diff(np.append(first, len(turn)))) - cost[turn]
+                key = (turn % n) * scale + np.minimum(room, scale)
+                use = np.minimum(use, np.searchsorted(keys, key + 4 * np.spacing(key), "right") - self.start[turn % n])
+            work = np.cumsum(use)
+            cuts = np.searchsorted(work, np.arange(STEP, work[-1], STEP), "right")
+            for part, count in zip(np.split(turn, cuts), np.split(use, cuts), strict=True):
+                edge = spans(self.start[part % n], count)
+                source = np.repeat(part, count)
                 to, c = source - source % n + self.head[edge], cost[source] + self.cost[edge]
                 better = np.flatnonzero((c < cost[to]) & (c <= limit))
                 to, c, source, edge = to[better], c[better], source[better], edge[better]
@@ -343,7 +357,7 @@ def _sampled_rows(rows: list[tuple], shared) -> Iterator[pa.RecordBatch]:
     for draw in dict.fromkeys(r[0] for r in rows):
         own = [(r[2], r[3]) for r in rows if r[0] == draw]
         weights = next(r[1] for r in rows if r[0] == draw)
-        priced = replace(graph, cost=graph.time * (1 + np.array(weights) @ attributes))
+        priced = replace(graph, cost=graph.time * (1 + np.array(weights) @ attributes), ordered=False)
         for batch in _path_rows(own, priced, True):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, draw)), *batch.columns], names=["draw", *batch.schema.names])
 

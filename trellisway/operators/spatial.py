@@ -213,15 +213,20 @@ def segments_cross(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
 def links_in_zones(links: DataFrame, zones: DataFrame, cell: float) -> DataFrame:
     """``(zone, link)`` of straight links ``(link, ax, ay, bx, by)`` that touch a polygon, within it or across its edge."""
     b = bounds("ring")
-    zone_cells = zones.select("zone", "ring", F.explode(_cells(b["x0"], b["y0"], b["x1"], b["y1"], cell)).alias("c")).select("zone", "ring", "c.*")
+    zone_cells = zones.select("zone", "ring", F.floor(b["x0"] / cell).alias("zx"), F.floor(b["y0"] / cell).alias("zy"), F.explode(_cells(b["x0"], b["y0"], b["x1"], b["y1"], cell)).alias("c"))
     box = (F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"))
-    link_cells = links.select("link", "ax", "ay", "bx", "by", F.explode(_cells(*box, cell)).alias("c")).select("link", "ax", "ay", "bx", "by", "c.*")
+    link_cells = links.select(
+        "link", "ax", "ay", "bx", "by", F.floor(box[0] / cell).alias("lx"), F.floor(box[1] / cell).alias("ly"), F.explode(_cells(*box, cell)).alias("c")
+    )
+    zone_cells, link_cells = (df.select("*", "c.*").drop("c") for df in (zone_cells, link_cells))
+    first = (F.col("cx") == F.greatest("lx", "zx")) & (F.col("cy") == F.greatest("ly", "zy"))  # a pair is looked at in the first cell that both have
     a = [F.col(c) for c in ("ax", "ay", "bx", "by")]
     edge = F.exists(
         F.transform("ring", lambda p, i: F.struct(p.alias("p"), _next(F.col("ring"), i).alias("q"))),
         lambda e: segments_cross(*a, e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"]),
     )
-    return link_cells.join(zone_cells, ["cx", "cy"]).filter(contains("ring", "ax", "ay") | edge).select("zone", "link").distinct()
+    pairs = link_cells.join(zone_cells, ["cx", "cy"]).filter(first)
+    return pairs.filter(contains("ring", "ax", "ay") | edge).select("zone", "link")
 
 
 def hex_grid(spark: SparkSession, ring: list[tuple[float, float]], side: float) -> DataFrame:
