@@ -204,7 +204,18 @@ def _solve(batches, sets_of: Callable, num: int, den: int):
                 groups.setdefault(p, set()).add(i)
             yield from ((i, least) for g in groups.values() if len(g) > 1 for least in [min(g)] for i in g)
 
-    def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    def sections(rows: list[tuple]) -> Iterator[list[tuple]]:
+        """Whole clusters of a few million characters, so that long texts are not hashed all at once."""
+        start = chars = 0
+        for i, row in enumerate(rows):
+            if chars > 4_000_000 and row[0] != rows[i - 1][0]:
+                yield rows[start:i]
+                start, chars = i, 0
+            chars += len(row[2] or "")
+        yield rows[start:]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        found = [pair for part in sections(rows) for pair in components(part)]
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["id", "component"])
 
     for batch in sub_batches(batches):
@@ -213,10 +224,10 @@ def _solve(batches, sets_of: Callable, num: int, den: int):
         while whole and held[whole - 1][0] == held[-1][0]:
             whole -= 1
         if whole:
-            yield out(list(components(held[:whole])))
+            yield out(held[:whole])
             held = held[whole:]
     if held:
-        yield out(list(components(held)))
+        yield out(held)
 
 
 def _verified(batches, sets_of: Callable, num: int, den: int):
