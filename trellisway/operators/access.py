@@ -36,10 +36,13 @@ def accessibility(links: DataFrame, origins: DataFrame, locations: DataFrame, de
     places. With several access points the least cost within the cutoffs counts.
     """
     own, limit = _links(links), _cost_limit(links, decay)
-    classes = _place_classes(locations).filter("size(nodes) > 0")
-    points = classes.agg(F.coalesce(F.sum(F.size("nodes")), F.lit(0)).alias("n")).first()["n"]
+    classes = _place_classes(locations).filter("size(nodes) > 0").persist()  # counted, then fetched
+    try:
+        points = classes.agg(F.coalesce(F.sum(F.size("nodes")), F.lit(0)).alias("n")).first()["n"]
+        table = classes.orderBy("set", "nodes").toArrow() if points <= max_points else None
+    finally:
+        classes.unpersist()
     asked = origins.select(F.col("origin").cast("long").alias("origin")).dropna().distinct()
-    table = classes.orderBy("set", "nodes").toArrow() if points <= max_points else None
     nodes = np.unique(table.column("nodes").combine_chunks().flatten().to_numpy()) if table is not None else None
     graph = send(own, more_nodes=nodes) if table is not None else None
     if graph is None:

@@ -143,9 +143,15 @@ def _links(links: DataFrame) -> DataFrame:
 def send(links: DataFrame, reverse: bool = False, more_nodes: np.ndarray | None = None, max_links: int | None = None) -> Csr | None:
     """The graph of ``(a, b, cost, time, dist)`` as arrays, or None if it has more links than are sent. Links are counted first."""
     most = MAX_BROADCAST_LINKS if max_links is None else max_links
-    if links.limit(most + 1).count() > most:
+    if most <= 0:
         return None
-    table = links.toArrow()
+    kept = links.persist()  # counted, then fetched
+    try:
+        if kept.count() > most:
+            return None
+        table = kept.toArrow()
+    finally:
+        kept.unpersist()
     return Csr.of({c: table.column(c).to_numpy() for c in table.column_names}, reverse, more_nodes)
 
 
