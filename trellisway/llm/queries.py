@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .importance import OP13_SQL, op13_importance_resampling
 from .language import op3_language_id
 from .lines import op6_line_dedup
 from .media import op10_media
@@ -10,6 +11,7 @@ from .packing import op9_packing
 from .pii import op4_pii
 from .quality import op5_quality
 from .tokencount import op2_token_counts
+from .topk import OP11_SQL, op11_topk_search
 from .toxicity import op7_toxicity
 from .wordbpe import op8_bpe
 
@@ -24,8 +26,12 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_packing": op9_packing,
     "op10_media": op10_media,
+    "op11_topk_search": op11_topk_search,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL = {
     "op1_minhash_dedup": OP1_SQL,
+    "op11_topk_search": OP11_SQL,
+    "op13_importance_resampling": OP13_SQL,
 }
