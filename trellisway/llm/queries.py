@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_token_alignment
 from .importance import OP13_SQL, op13_importance_resampling
 from .language import op3_language_id
 from .lines import op6_line_dedup
@@ -27,11 +28,13 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_media": op10_media,
     "op11_topk_search": op11_topk_search,
+    "op12_token_alignment": op12_token_alignment,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL = {
     "op1_minhash_dedup": OP1_SQL,
     "op11_topk_search": OP11_SQL,
+    "op12_token_alignment": op12_token_alignment,
     "op13_importance_resampling": OP13_SQL,
 }
