@@ -37,11 +37,11 @@ def ngrams(found: Column, least: int, most: int) -> Column:
     """All runs of ``least`` to ``most`` consecutive words, joined by a space, repeats included."""
 
     def runs(n: int) -> Column:
-        if n == 1:
-            return found
-        starts = F.sequence(F.lit(1), F.size(found) - (n - 1))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(found, i, F.lit(n)), " "))
-        return F.when(F.size(found) >= n, joined).otherwise(F.array().cast("array<string>"))
+        length = F.greatest(F.size(found) - (n - 1), F.lit(0))
+        joined = F.slice(found, F.lit(1), length)
+        for after in range(2, n + 1):
+            joined = F.zip_with(joined, F.slice(found, F.lit(after), length), lambda a, b: F.concat_ws(" ", a, b))
+        return joined
 
     return runs(least) if least == most else F.concat(*(runs(n) for n in range(least, most + 1)))
 

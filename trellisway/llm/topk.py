@@ -87,12 +87,13 @@ def _search(candidates: pa.Table, queries: pa.Table, params: TopKParams) -> pa.T
     postings = Postings(values, ends)
     place = {row: i for i, row in enumerate(candidates["_row"].to_pylist())}
     ids = candidates["vec_id"].combine_chunks()
-    scores = np.zeros(postings.rows, values.dtype)
+    sums = np.zeros(postings.rows, values.dtype)
     found_at, found, counts = [], [], []
     for i, row in enumerate(queries["_row"].to_pylist()):
         own = weights[stops[i - 1] if i else 0 : stops[i]]
         terms = np.flatnonzero(own != 0)
-        postings.accumulate(terms, own[terms], scores)
+        postings.accumulate(terms, own[terms], sums)
+        scores = sums if sums.dtype == np.int64 else np.array([max(-_LONG - 1, min(_LONG, s)) for s in sums.tolist()], np.int64)
         at = place.get(row)
         top = select(scores, params.k + (at is not None))
         if at is not None:  # the query itself is among the candidates of this block
@@ -105,12 +106,10 @@ def _search(candidates: pa.Table, queries: pa.Table, params: TopKParams) -> pa.T
         counts.append(len(top))
     if not sum(counts):
         return none
-    score = np.concatenate(found)
-    score = score if score.dtype == np.int64 else np.array([max(-_LONG - 1, min(_LONG, int(s))) for s in score], np.int64)
     who = pa.array(np.repeat(np.arange(len(counts)), counts))
     return pa.table({
         "_query_row": queries["_row"].take(who), "query_id": queries["vec_id"].take(who),
-        "vec_id": ids.take(pa.array(np.concatenate(found_at))), "score": pa.array(score),
+        "vec_id": ids.take(pa.array(np.concatenate(found_at))), "score": pa.array(np.concatenate(found)),
     })
 
 
@@ -119,8 +118,8 @@ def top_k(vectors: DataFrame, is_query, params: TopKParams = TopKParams()) -> Da
 
     Returns query_id, rank (from 1), vec_id and score; candidates are all rows but the query's own, all of them if there are fewer
     than ``k``, and ties go to the smaller vec_id. A component x counts as ``floor(scale * x)``; of vectors of different length
-    the common components count. Vectors that are null, empty of meaning (a null or non-finite component) take no part, neither as query nor
-    as candidate; a vector without components scores 0 everywhere. Scores beyond 64 bits are kept at the ends of their range.
+    the common components count. Vectors that are null or hold a null or non-finite component take no part, neither as query nor
+    as candidate; a vector without components scores 0 everywhere. Scores beyond 64 bits count as the ends of that range.
 
     Queries and candidates are dealt into blocks of a bounded number of rows, and a task holds one block of each: the candidates as
     postings by component, into whose dense score array the weights of one query after another are scattered. It hands on ``k``
