@@ -34,15 +34,13 @@ def corpus():
 
 
 def expected(rows):
-    sets = {}
-    for i, t in rows:
-        if i is not None:
-            sets.setdefault(i, shingles(t))
-    linked = [
-        (a, b) for a, b in combinations(sorted(sets), 2)
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
-    ]
-    return components(sets, linked), {i: len(s) for i, s in sets.items()}
+    """Component of each doc_id, whose rows are one vertex, and the set sizes of each."""
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    linked = [(a, b) for (a, s), (b, t) in combinations(sets, 2) if a != b and s and t and 100 * len(s & t) >= 85 * len(s | t)]
+    sizes = {}
+    for i, s in sets:
+        sizes.setdefault(i, []).append(len(s))
+    return components(sizes, linked), sizes
 
 
 def test_against_all_pairs(spark):
@@ -54,7 +52,20 @@ def test_against_all_pairs(spark):
         if r.doc_id is None:
             assert r.component_id is None and r.kept
             continue
-        assert (r.n_shingles, r.component_id, r.kept) == (sizes[r.doc_id], own[r.doc_id], own[r.doc_id] == r.doc_id), r
+        assert (r.component_id, r.kept) == (own[r.doc_id], own[r.doc_id] == r.doc_id), r
+    got = {}
+    for r in found:
+        got.setdefault(r.doc_id, []).append(r.n_shingles)
+    assert {i: sorted(n) for i, n in got.items() if i is not None} == {i: sorted(n) for i, n in sizes.items()}
+
+
+def test_doc_ids_of_several_texts(spark):
+    texts = [prose(600 + i, 50) for i in range(4)]
+    rows = [(3, texts[0]), (5, texts[0]), (5, texts[1]), (7, texts[1]), (7, ""), (8, texts[2]), (9, texts[3]), (9, texts[2] + " end"), (10, texts[3])]
+    own, _ = expected(rows)
+    assert own == {3: 3, 5: 3, 7: 3, 8: 8, 9: 8, 10: 8}
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()} == set(own.items())
+    assert {r.doc_id for r in near_dedup(frame(spark, rows)).collect()} == {3, 8}
 
 
 def test_one_of_each_group_stays(spark):

@@ -45,6 +45,13 @@ def test_numbers_that_are_no_matches():
         assert base_spans(text) == plain(text)
 
 
+def test_long_runs_of_digits():
+    zeros = "0" * 5000
+    for text, spans in [(f"{zeros}1.2.3.4", [("ip", 0, 5007)]), (f"{zeros}256.2.3.4", []), (f"1.2.3.{zeros}", [("ip", 0, 5006)]), (f"+{zeros}", []), ("7" * 5000, [])]:
+        assert [s for s in base_spans(text) if s[0] == "ip"] == spans
+        candidates(text, base_spans(text))
+
+
 def planted():
     rows = [(i, prose(i, 30)) for i in range(60)]
     rows += [(100 + i, f"{prose(i, 5)} ssn: {100 + i}-45-67{10 + i % 80} {prose(i, 4)}") for i in range(30)]

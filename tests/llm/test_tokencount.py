@@ -61,10 +61,18 @@ def test_query(spark, sf_dir):
         assert r.n_tokens == len(encode.encode(texts[r.doc_id], add_special_tokens=False).ids)
 
 
-def test_odd_rows(spark):
+def test_odd_rows(spark, tmp_path):
     rows = [*ODD, (950, "a <|endoftext|> inside")]
-    flat = T.write_flat(frame(spark, rows), public_tokenizers.path(T.VOCABULARY), block=1000)
-    counted = T.count_tokens(flat.filter("kind = 0").select("file", "block", "payload"))
+    manifest = T.write_flat(frame(spark, rows).repartition(4), public_tokenizers.path(T.VOCABULARY), folder=f"file://{tmp_path}/own")
+    counted = T.count_tokens(T.read_flat_files(spark, str(tmp_path / "own"), 1000))  # blocks that cut documents anywhere
     assert counted.filter("closed").count() == len(rows) == counted.count()
     encode = lib()
     assert sorted(r.n_tokens for r in counted.collect()) == sorted(len(encode.encode(t or "", add_special_tokens=False).ids) for _, t in rows)
+    ids = [i for r in manifest.filter("ids is not null").collect() for i in r.ids]
+    assert sorted(ids, key=str) == sorted((i for i, _ in rows), key=str)
+
+
+def test_no_documents(spark):
+    manifest = T.write_flat(frame(spark, []), public_tokenizers.path(T.VOCABULARY))
+    assert manifest.count() == 0
+    assert T.count_tokens(T.read_ranges(manifest.select("file", manifest["bytes"].alias("length")))).count() == 0

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BoundedCache, documents, keep_only, materialize, small_side, sub_batches
+from .components import connected_components
 from .lsh import Bound, band_keys, linked_components, mix, odd_constants, one_permutation
 
 
@@ -120,10 +121,18 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams(), bo
         .join(copied, ["d1", "d2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     )
     named = small_side(components.select(F.col("id").alias("rep"), "component"))
-    component = F.coalesce("component", "rep")
-    return with_rep.join(named, "rep", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+    placed = with_rep.join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    component = F.col("component")
+    text_of = F.struct(F.coalesce("d1", F.lit(0)), F.coalesce("d2", F.lit(0)))
+    several = sketched.filter("doc_id is not null").groupBy("doc_id").agg(F.min(text_of).alias("least"), F.max(text_of).alias("most"))
+    several = materialize(several.filter("least <> most").select("doc_id"), "several")
+    if not several.isEmpty():  # the components of all texts of a doc_id are one
+        own = placed.join(small_side(several), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
+        merged = small_side(connected_components(own).select(F.col("id").alias("component"), F.col("component").alias("merged")))
+        placed = placed.join(merged, "component", "left")
+        component = F.coalesce("merged", "component")
+    return placed.select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
 
 

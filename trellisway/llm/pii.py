@@ -92,7 +92,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if not _DIGIT.search(text):
         return found
-    found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(g.lstrip("0")) <= 3 and int(g) <= 255 for g in m.groups())]
+    found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(d := g.lstrip("0")) <= 3 and int(d or 0) <= 255 for g in m.groups())]
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytebpe import encoder
-from .common import documents, keep_only, materialize, sub_batches
+from .common import documents, keep_only, materialize, new_path, sub_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 50256
@@ -20,59 +20,53 @@ BLOCK_BYTES = 1 << 20
 RUN = 4096
 
 
-def _flat(batches, path: str, end_id: int, block: int):
-    """A partition's token stream in blocks, cut without regard to documents, and its doc_ids in order."""
-    bpe, file = encoder(path, special_as_text=True), TaskContext.get().partitionId()
+def _flat(batches, path: str, folder: str, end_id: int):
+    """Write a partition's token stream as one raw file, and hand on its doc_ids in order, then its size."""
+    task = TaskContext.get()
+    bpe = encoder(path, special_as_text=True)
     keep_only(bpe.chunks)
-    end = np.array([end_id], "<u2").tobytes()
-    stream, ids, made = bytearray(), [], [0, 0]
+    part, end = task.partitionId(), np.array([end_id], "<u2").tobytes()
+    where = f"{folder}/tokens-{part:06d}-{task.taskAttemptId()}.bin"  # attempts never share a file
+    files, at = fs.FileSystem.from_uri(where)
+    size = first = 0
 
-    def rows(kind: int, pieces: list[bytes]) -> pa.RecordBatch:
-        n = len(pieces)
-        first = made[kind]
-        made[kind] += n
+    def row(ids: list | None, bytes_written: int | None) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([file] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(range(first, first + n), pa.int64()),
-             pa.array(pieces, pa.binary())], names=["file", "kind", "block", "payload"])
-
-    for batch in sub_batches(batches):
-        for doc_id, text in zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True):
-            if text:
-                stream += np.frombuffer(bpe.encode(text), "<u4").astype("<u2").tobytes()
-            stream += end
-            ids.append(doc_id)
-        whole = len(stream) // block * block
-        if whole:
-            yield rows(0, [bytes(stream[i : i + block]) for i in range(0, whole, block)])
-            del stream[:whole]
-        while len(ids) >= 65536:
-            yield rows(1, [_id_bytes(ids[:65536])])
-            del ids[:65536]
-    if stream:
-        yield rows(0, [bytes(stream)])
-    if ids:
-        yield rows(1, [_id_bytes(ids)])
-
+            [pa.array([part], pa.int64()), pa.array([where]), pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([bytes_written], pa.int64())],
+            names=[c.split()[0] for c in MANIFEST.split(", ")],
+        )
 
-_NULL_ID = -(1 << 63)
+    with files.open_output_stream(at) as out:
+        for batch in sub_batches(batches):
+            ids, texts = (c.to_pylist() for c in batch.columns[:2])
+            stream = b"".join(np.frombuffer(bpe.encode(t), "<u4").astype("<u2").tobytes() + end if t else end for t in texts)
+            out.write(stream)
+            size += len(stream)
+            yield row(ids, None)
+            first += len(ids)
+    if size:
+        yield row(None, size)
+    else:
+        files.delete_file(at)
 
 
-def _id_bytes(ids: list) -> bytes:
-    return np.array([_NULL_ID if i is None else i for i in ids], "<i8").tobytes()
+#: Rows of a writer: its doc_ids, numbered from ``first``, and at the end the bytes of its file.
+MANIFEST = "part long, file string, first long, ids array<long>, bytes long"
 
 
-def write_flat(docs: DataFrame, path: str, end_id: int = END_ID, block: int = BLOCK_BYTES) -> DataFrame:
-    """Encode ``docs`` (doc_id, text) as flat 16-bit token streams, one per partition, kept in the shared folder.
+def write_flat(docs: DataFrame, path: str, end_id: int = END_ID, folder: str | None = None) -> DataFrame:
+    """Encode ``docs`` (doc_id, text) as raw files of 16-bit tokens, one per partition, in ``folder`` (a new one in the shared folder).
 
-    Rows are ``(file, kind, block, payload)``: kind 0 holds the stream, every document followed by ``end_id`` and no
-    index; kind 1 holds the doc_ids in the stream's order. Strings of special tokens in a text are ordinary text, so
-    ``end_id`` only ends documents. Blocks end anywhere. Null and empty texts are the end id alone.
+    A file is the tokens of its documents, each followed by ``end_id``, without any index. Returns the manifest, written after
+    the files (:data:`MANIFEST`), which names the files of attempts that ended well and keeps the doc_ids in the files' order. Strings
+    of special tokens in a text are ordinary text, so ``end_id`` only ends documents. Null and empty texts are the end
+    id alone. The folder needs a scheme that ``pyarrow.fs`` can write. An empty table writes no file.
     """
+    folder = folder or new_path(docs.sparkSession, "tokens")
+    files, where = fs.FileSystem.from_uri(folder)
+    files.create_dir(where, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(
-        rows.mapInArrow(lambda it: _flat(it, path, end_id, block), "file long, kind int, block long, payload binary"),
-        "tokens",
-    )
+    return materialize(rows.mapInArrow(lambda it: _flat(it, path, folder, end_id), MANIFEST), "manifest")
 
 
 def _ranges(batches):
@@ -84,20 +78,22 @@ def _ranges(batches):
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([number], pa.int64()), pa.array([payload], pa.binary())], names=["file", "block", "payload"])
 
 
-def read_flat_files(spark: SparkSession, path: str, block: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks ``(file string, block, payload)`` of raw token files of any size: Spark lists the files, and tasks read ranges of them.
+def read_ranges(files: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks ``(file, block, payload)`` of the raw files ``(file, length)``: ranges of ``block`` bytes, dealt over all tasks, that tasks read.
 
-    A file is cut into ranges of ``block`` bytes that are dealt over all tasks, so a large file is no task of its own. Paths need a
-    scheme that ``pyarrow.fs`` can read.
+    A large file is no task of its own. Paths need a scheme that ``pyarrow.fs`` can read; files without bytes have no block.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")  # the contents stay unread
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {block}"))).alias("block")
-    cut = files.select("path", "length", starts).select(
-        F.regexp_replace("path", "^file:/(?!/)", "file:///").alias("file"), "block", (F.col("block") * block).alias("offset"),
-        F.least(F.lit(block), F.col("length") - F.col("block") * block).alias("size"),
+    cut = files.filter("length > 0").select("file", "length", starts).select(
+        "file", "block", (F.col("block") * block).alias("offset"), F.least(F.lit(block), F.col("length") - F.col("block") * block).cast("long").alias("size")
     )
-    spread = cut.repartition("file", "block").select("file", "block", "offset", F.col("size").cast("long"))
-    return spread.mapInArrow(_ranges, "file string, block long, payload binary")
+    return cut.repartition("file", "block").mapInArrow(_ranges, "file string, block long, payload binary")
+
+
+def read_flat_files(spark: SparkSession, path: str, block: int = BLOCK_BYTES) -> DataFrame:
+    """The same of all raw token files under ``path``, which Spark lists."""
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/(?!/)", "file:///").alias("file"), "length")
+    return read_ranges(files, block)  # the contents stay unread by the listing
 
 
 def _scan(batches, end_id: int, dtype: str):
@@ -167,20 +163,14 @@ def count_tokens(blocks: DataFrame, end_id: int = END_ID, dtype: str = "<u2") ->
     return ended.unionByName(open_end)
 
 
-def _doc_ids(batches):
-    for batch in batches:
-        for file, block, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ids = np.frombuffer(payload, "<i8")
-            ordinal = block * 65536 + np.arange(len(ids))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([file] * len(ids), pa.int64()), pa.array(ordinal), pa.array(ids, mask=ids == _NULL_ID)],
-                names=["file", "ordinal", "doc_id"],
-            )
-
-
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document, counted in the flat streams that its encoder writes: doc_id, n_tokens, file, ordinal, start."""
-    flat = write_flat(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
-    counted = count_tokens(flat.filter("kind = 0").select("file", "block", "payload"))
-    names = flat.filter("kind = 1").select("file", "block", "payload").mapInArrow(_doc_ids, "file long, ordinal long, doc_id long")
-    return names.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
+    """Tokens of every document, counted in raw files of the tokens of all documents: doc_id, n_tokens, file, ordinal, start.
+
+    file is the number of the writing partition, ordinal the place of the document in it, start its first token there. Null and empty
+    texts have no tokens; repeated rows and null doc_ids are counted row by row.
+    """
+    manifest = write_flat(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+    counted = count_tokens(read_ranges(manifest.filter("bytes is not null").select("file", F.col("bytes").alias("length"))))
+    names = manifest.filter("ids is not null").select("part", "file", "first", F.posexplode("ids").alias("i", "doc_id"))
+    names = names.select("doc_id", "part", "file", (F.col("first") + F.col("i")).alias("ordinal"))
+    return names.join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens", F.col("part").alias("file"), "ordinal", "start")
