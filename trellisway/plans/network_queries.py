@@ -66,12 +66,18 @@ def rated_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def _rated(**columns):
-    """A query of rounded ratings: name -> (Column or None for the column itself)."""
+def _rated(digits=None, **columns):
+    """A query of ratings: name -> (Column or None for the column itself).
+
+    Plain arithmetic stays unrounded, as a tie at the last digit may go either way; exponentials and decimal constants are rounded.
+    """
+
+    def one(c):
+        return c if digits is None else F.round(c, digits)
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = rated_links(spark, sf_dir)
-        return df.select("a", "b", *(F.round(c() if c else F.col(n), 6).alias(n) for n, c in columns.items()))
+        return df.select("a", "b", *(one(c() if c else F.col(n)).alias(n) for n, c in columns.items()))
 
     return query
 
@@ -173,11 +179,11 @@ def q_connectors(spark, sf_dir):
 QUERIES = {
     "derived_links": D.links,
     "link_gradient": _rated(grad=None),
-    "walk_time": _rated(walk_s=None),
-    "bike_speed": _rated(bike_mps=None),
-    "bike_time": _rated(bike_s=None),
+    "walk_time": _rated(6, walk_s=None),
+    "bike_speed": _rated(6, bike_mps=None),
+    "bike_time": _rated(6, bike_s=None),
     "bike_speed_gradient_only": _rated(speed=lambda: L.bike_speed_gradient_only(5.5, "grad", "freespeed")),
-    "surface_comfort": _rated(rough=None),
+    "surface_comfort": _rated(6, rough=None),
     "protection_type": _text("kind"),
     "crossing_type": _text("crossing_kind"),
     "link_stress": _rated(walk_stress=None, bike_stress=None),
@@ -189,9 +195,9 @@ QUERIES = {
     "ambience_night": _rated(
         ambient=lambda: L.ambience("vgvi", "shannon", "pois", "neg_pois", "crime", "length", True, L.darkness(F.coalesce(F.col("road") == "primary", F.lit(False)), "lights", "length"))
     ),
-    "composite_cost_v3": _rated(walk_cost=lambda: _cost("walk"), bike_cost=lambda: _cost("bike")),
+    "composite_cost_v3": _rated(6, walk_cost=lambda: _cost("walk"), bike_cost=lambda: _cost("bike")),
     "composite_cost_v4": _rated(
-        cost=lambda: L.weighted_cost("walk_s", [(F.greatest(F.lit(0.0), 0.81 - F.col("vgvi")), 0.3307472), (F.least(F.lit(1.0), F.col("v") / 50), 0.4479527), (L.junction_share("cross_width", "length", "jct"), 4.988739)])
+        6, cost=lambda: L.weighted_cost("walk_s", [(F.greatest(F.lit(0.0), 0.81 - F.col("vgvi")), 0.3307472), (F.least(F.lit(1.0), F.col("v") / 50), 0.4479527), (L.junction_share("cross_width", "length", "jct"), 4.988739)])
     ),
     "marginal_cost": q_marginal,
     "directed_links": q_directed_links,
@@ -229,15 +235,15 @@ _JUNCTION = "junction_nodes AS (SELECT node, count(DISTINCT edge_id) AS n_edges
 
 ORACLE_SQL = {
     "derived_links": D.with_sql("links") + "SELECT a, b, length FROM links",
-    "link_gradient": _from("round(grad, 6) AS grad"),
+    "link_gradient": _from("grad"),
     "walk_time": _from("round(walk_s, 6) AS walk_s"),
     "bike_speed": _from("round(bike_mps, 6) AS bike_mps"),
     "bike_time": _from("round(bike_s, 6) AS bike_s"),
-    "bike_speed_gradient_only": _from(f"round(least(5.5 * ({_UP}), freespeed), 6) AS speed"),
+    "bike_speed_gradient_only": _from(f"least(5.5 * ({_UP}), freespeed) AS speed"),
     "surface_comfort": _from("CAST(round(rough, 6) AS DOUBLE) AS rough"),
     "protection_type": _from("kind"),
     "crossing_type": _from("crossing_kind"),
-    "link_stress": _from("round(walk_stress, 6) AS walk_stress, round(bike_stress, 6) AS bike_stress"),
+    "link_stress": _from("walk_stress, bike_stress"),
     "link_stress_discrete": _from(
         """CASE WHEN NOT allows_bike THEN NULL WHEN NOT allows_car THEN 'GREEN' WHEN junction = 'roundabout' THEN 'RED'
   WHEN v <= 21.75 THEN CASE WHEN kind = 'LANE' AND aadt * 0.865 >= 4000 THEN 'AMBER' WHEN kind = 'MIXED' AND aadt * 0.865 >= 4000 THEN 'RED'
@@ -247,9 +253,9 @@ ORACLE_SQL = {
   WHEN v <= 40.39 THEN CASE WHEN kind IN ('LANE', 'MIXED') THEN 'RED' WHEN kind = 'PROTECTED' THEN 'AMBER' ELSE 'GREEN' END
   ELSE CASE WHEN kind = 'KERBED' THEN 'GREEN' ELSE 'RED' END END AS level"""
     ),
-    "junction_stress": _from("round(jct, 6) AS jct, round(least(length, cross_width) / length * jct, 6) AS jct_share"),
-    "ambience_day": _from("round(ambient, 6) AS ambient"),
-    "ambience_night": _from(f"round({_NIGHT}, 6) AS ambient"),
+    "junction_stress": _from("jct, least(length, cross_width) / length * jct AS jct_share"),
+    "ambience_day": _from("ambient"),
+    "ambience_night": _from(f"{_NIGHT} AS ambient"),
     "composite_cost_v3": _from(f"round({_COST_SQL['walk']}, 6) AS walk_cost, round({_COST_SQL['bike']}, 6) AS bike_cost"),
     "composite_cost_v4": _from(
         "round(walk_s * (1 + 0.3307472 * greatest(0.0, 0.81 - vgvi) + 0.4479527 * least(1.0, v / 50) + 4.988739 * (least(length, cross_width) / length * jct)), 6) AS cost"
@@ -279,7 +285,7 @@ SELECT n AS node FROM mutual WHERE s = (SELECT s FROM size ORDER BY c DESC, leas
 SELECT 'connector_' || p.id || '_' || q.id AS link_id, p.b AS a, q.a AS b, round(sqrt((nb.x - na.x) ** 2 + (nb.y - na.y) ** 2), 6) AS length,
   greatest(p.capacity, q.capacity) AS capacity, greatest(p.lanes, q.lanes) AS lanes FROM p, q JOIN nodes nb ON nb.node = q.a JOIN nodes na ON na.node = p.b""",
     "congested_capacity": _from(
-        "round(CASE WHEN road IN ('primary', 'secondary') THEN 0.7 * capacity ELSE capacity END * CASE WHEN length < 100 THEN 2 ELSE 1 END, 6) AS capacity"
+        "CASE WHEN road IN ('primary', 'secondary') THEN 0.7 * capacity ELSE capacity END * CASE WHEN length < 100 THEN 2 ELSE 1 END AS capacity"
     ),
     "link_volumes_daily": D.with_sql("events") + """SELECT link, CAST(3 * count(*) FILTER (type = 'car') AS BIGINT) AS car, CAST(3 * count(*) FILTER (type = 'truck') AS BIGINT) AS truck,
   CAST(3 * count(*) FILTER (type = 'car') + 18 * count(*) FILTER (type = 'truck') AS BIGINT) AS pcu FROM ev WHERE type <> 'other' GROUP BY 1""",
