@@ -29,6 +29,7 @@ def test_odd_rows_pass_through_every_stage(spark, sf_dir):
     docs = frame(spark, rows)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"odd-{name}")
+        assert docs.columns == frame(spark, []).columns  # a column named toxicity among them
     left = {r.doc_id: r for r in docs.collect()}
     assert set(range(20)) <= set(left) and 31 in left and 30 not in left
     assert "[EMAIL]" in left[31].text and left[31].n_chars == len(left[31].text)

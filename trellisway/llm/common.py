@@ -24,11 +24,14 @@ OUT_ROWS = 1000
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors and the driver share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (tests on one machine) a temporary folder is made once per application.
+    Where it is unset a temporary folder is made once per application, with a local master only; executors on other machines
+    would not see it, so a cluster without the setting is an error.
     """
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='trellisway-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -69,7 +72,12 @@ def remove_tables(spark: SparkSession) -> None:
 
     Call it when the results that read them have been written.
     """
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_table_folder(spark))
+    remove_path(spark, _table_folder(spark))
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete one table."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, documents, sub_batches
+from .common import crc_bucket, documents, materialize, small_side, sub_batches
 from .lsh import mix
 
 #: Code point ranges of scripts (first, last, name).
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams(), usable=None)
     share = known.groupBy("lang").agg(F.count("*").alias("n"))
     share = share.select("lang", F.least(F.lit(1.0), F.lit(float(params.train_docs)) / F.col("n")).alias("share"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = known.join(F.broadcast(share), "lang").filter(place < F.col("share")).select("text", "lang")
+    picked = known.join(small_side(materialize(share, "shares")), "lang").filter(place < F.col("share")).select("text", "lang")
     counts = picked.mapInArrow(lambda it: _counts(it, params.bits), "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
     rows = counts.toArrow()
     langs = rows.column("lang").to_pylist()

@@ -129,4 +129,5 @@ def pack(docs: DataFrame, path: str, params: PackingParams = PackingParams()) ->
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens by :func:`pack`; null and empty texts are the end id alone."""
     return pack(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))

@@ -116,13 +116,14 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     """Sparse weights ``(feature, weight)`` from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     usable: condition on doc_id that training rows meet. At most ``train_rows`` rows of each label are used, those with
-    the least hash of doc_id, in one task. Rows with a null label or doc_id are not learned from. Without any row the weights
+    the least hash of doc_id, in one task. Rows with a null label or doc_id are not learned from; of
+    labels that differ for a doc_id the higher counts. Without any row the weights
     are empty, and every score is 0.5 or less.
     """
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null")
     if usable is not None:
         known = known.filter(usable)
-    known = known.dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id", F.lit(3)))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id", F.lit(3)))
     picked = known.filter("toxic = 1").orderBy("h").limit(params.train_rows).unionByName(
         known.filter("toxic = 0").orderBy("h").limit(params.train_rows)
     )
@@ -134,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     return found["feature"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
 
 
-def _score(batches, sent, params: ToxicityParams, text_at: int):
+def _score(batches, sent, params: ToxicityParams, text_at: int, name: str):
     keep_only(_words)
     at, weights = sent.value
     size = 1 << params.bits
@@ -147,19 +148,19 @@ def _score(batches, sent, params: ToxicityParams, text_at: int):
         both = np.unique(owner[hit].astype(np.uint64) << np.uint64(params.bits) | ids[hit])
         total = np.bincount((both >> np.uint64(params.bits)).astype(np.int64), table[(both & np.uint64(size - 1)).astype(np.int64)], batch.num_rows)
         score = 1 / (1 + np.exp(-np.clip(total + table[size], -30, 30)))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "toxicity"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
 
 
-def scored_rows(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], params: ToxicityParams = ToxicityParams()) -> DataFrame:
-    """The rows of ``docs`` with ``toxicity``, the chance of label 1 of the whole ``text`` (a string column).
+def scored_rows(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], params: ToxicityParams = ToxicityParams(), name: str = "toxicity") -> DataFrame:
+    """The rows of ``docs`` with a column ``name``, the chance of label 1 of the whole ``text`` (a string column).
 
     The model sent to the tasks has at most 2**bits + 1 weights. Null and empty texts score by the intercept alone.
     Repeated rows and null doc_ids are scored row by row, and other columns stay; a column of the same name is replaced.
     """
-    docs = docs.drop("toxicity")
+    docs = docs.drop(name)
     sent, text_at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(lambda it: _score(it, sent, params, text_at), f"{fields}, toxicity double")
+    return docs.mapInArrow(lambda it: _score(it, sent, params, text_at, name), f"{fields}, `{name}` double")
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], params: ToxicityParams = ToxicityParams()) -> DataFrame:
