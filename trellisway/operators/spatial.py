@@ -191,6 +191,20 @@ def nearest_link(points: DataFrame, links: DataFrame, cell: float) -> DataFrame:
     return _nearest(points, listed, far, F.col("link"), cell, _extent(points, ends))
 
 
+def within(points: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
+    """``(point, node, distance)`` of all ``nodes (node, x, y)`` within ``reach`` of ``points (point, x, y)``, in a straight line.
+
+    Cells are as wide as the reach, so a point looks into nine. Features without coordinates have no row.
+    """
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    own = points.select("point", "x", "y").dropna().withColumn("_d", around)
+    own = own.select("point", "x", "y", (F.floor(F.col("x") / reach) + F.col("_d.i")).alias("cx"), (F.floor(F.col("y") / reach) + F.col("_d.j")).alias("cy"))
+    listed = nodes.select("node", F.col("x").alias("nx"), F.col("y").alias("ny"), *_cell_of(size=reach)).dropna()
+    dx, dy = F.col("x") - F.col("nx"), F.col("y") - F.col("ny")
+    met = own.join(listed, ["cx", "cy"]).withColumn("distance", F.sqrt(dx * dx + dy * dy))
+    return met.filter(F.col("distance") <= reach).select("point", "node", "distance")
+
+
 def zone_nodes(nodes: DataFrame, zones: DataFrame, cell: float) -> DataFrame:
     """``(zone, node)`` of the nodes in each zone; a zone without nodes gets the one nearest to its centroid."""
     inside = assign_zones(nodes, zones, cell).select("zone", "node")
