@@ -182,19 +182,26 @@ def stars(p: float | None) -> str:
     return "" if p is None else "***" if p < 0.001 else "**" if p < 0.01 else "*" if p < 0.05 else "." if p < 0.1 else ""
 
 
-def estimate(data: DataFrame, spec: Specification, start: dict[str, float] | None = None, max_rounds: int = 500) -> Estimate:
-    """Fit the free coefficients. The data are cached for the repeated aggregates and released at the end.
-
-    A singular Hessian leaves the standard errors empty.
+def estimate(
+    data: DataFrame, spec: Specification, start: dict[str, float] | None = None, max_rounds: int = 500, routings: list[Routing] | None = None, tolerance: float = 1e-10
+) -> Estimate:
+    """Fit the free coefficients. The data are cached for the repeated aggregates and released at the end.
+
+    With ``routings`` (data then has an ``id``) every trial point of a line search takes the times and attributes of the paths that are
+    cheapest at its coefficients; the gradient is that of the accepted point's paths, and the Hessian that of the last ones. A trip without
+    a path cannot choose that mode. A singular Hessian leaves the standard errors empty.
     """
     needed = data.cache()
     try:
         names = spec.coefficients()
-        evaluate = lambda b: likelihood(needed, spec, b)
+        routes = [Routes(r, needed) for r in routings or []]
+        at = lambda b: routed(needed, routes, spec.values(b))
+        evaluate = lambda b: likelihood(at(b), spec, b)
         zero, _ = evaluate(np.zeros(len(names)))
         first = np.array([(start or {}).get(n, 0.0) for n in names])
-        x, f, _, rounds = minimise(evaluate, first, max_rounds=max_rounds)
-        second = hessian(lambda points: [g for _, g in likelihoods(needed, spec, points)], x)
+        x, f, _, rounds = minimise(evaluate, first, tolerance, max_rounds)
+        last = at(x).checkpoint() if routes else needed
+        second = hessian(lambda points: [g for _, g in likelihoods(last, spec, points)], x)
     finally:
         needed.unpersist()
     values = np.linalg.eigvalsh(second)
@@ -271,34 +278,153 @@ def street_columns(attributes: list[StreetAttribute]) -> dict[str, Column]:
     return out
 
 
+def route_sums(links: DataFrame, asked: DataFrame, draws: DataFrame, bases: list[str]) -> DataFrame:
+    """``(draw, origin, target, time, <bases>)`` in minutes along the cheapest path of every pair of ``asked (draw, origin, target)``.
+
+    draws: ``(draw, weights)`` as in :func:`paths.sampled_paths`. A base is the sum of a link's minutes times its value. Pairs without a path
+    have no row; where the ends are one node all is 0.
+    """
+    pairs = asked.select("draw", "origin", "target").distinct()
+    routes = sampled_paths(links, pairs, draws, bases).join(pairs, ["draw", "origin", "target"])
+    steps = routes.select("draw", "origin", "target", F.posexplode("nodes").alias("k", "a"), "nodes").select("draw", "origin", "target", "a", F.get("nodes", F.col("k") + 1).alias("b"))
+    priced = links.select("a", "b", "time", *bases)
+    sums = steps.dropna(subset=["b"]).join(priced, ["a", "b"]).groupBy("draw", "origin", "target").agg(
+        (F.sum("time") / 60).alias("time"), *((F.sum(F.col("time") * F.col(c)) / 60).alias(c) for c in bases)
+    )
+    known = routes.select("draw", "origin", "target").join(sums, ["draw", "origin", "target"], "left")
+    return known.na.fill(0.0, ["time", *bases])  # no link where the ends are one node
+
+
+def base_weights(attributes: list[StreetAttribute], valid: list[bool], values: dict[str, float]) -> tuple[float, ...]:
+    """The weight of each base attribute for a persona: its coefficient and those of the interactions that hold; a negative sum counts as 0."""
+    total = {a.name: 0.0 for a in attributes if a.base is None}
+    for a, holds in zip(attributes, valid, strict=True):
+        if holds:
+            total[a.base or a.name] += float(values[a.name])
+    return tuple(max(0.0, v) for v in total.values())
+
+
 def rerouted(links: DataFrame, trips: DataFrame, data: DataFrame, attributes: list[StreetAttribute], values: dict[str, float]) -> DataFrame:
     """``(id, time, <base attributes>)`` in minutes of the cheapest paths at the present coefficients, one search for each persona.
 
     links: a, b, time, dist and the base attributes' columns; trips: ``(id, origin, target)``; data: ``(id, ...)`` with what the
-    conditions see. A persona weighs a base attribute with its coefficient and those of the interactions that hold, 0 if the
-    sum is negative. Trips of a persona and pair share a path; those without one have no row.
+    conditions see. A persona weighs a base attribute by :func:`base_weights`. Trips of a persona and pair share a path; those without one
+    have no row.
     """
-    bases = [a.name for a in attributes if a.base is None]
-    conditions = {a.name: a.when or "true" for a in attributes}
-    found = personas(data, conditions).drop("n")
-    known = {a.name: i for i, a in enumerate(attributes)}
+    return Routes(Routing(links, trips, attributes, {a.name: a.name for a in attributes}), data).at(values)
 
-    def weight(base: str) -> Column:
-        total = F.lit(0.0)
-        for a in attributes:
-            if base in (a.name, a.base):
-                total = total + F.when(F.get("valid", known[a.name]), float(values[a.name])).otherwise(0.0)
-        return F.greatest(F.lit(0.0), total)
 
-    draws = found.select(F.col("persona").cast("long").alias("draw"), F.array(*map(weight, bases)).alias("weights"))
-    valid = F.array(*(F.coalesce(F.expr(c), F.lit(False)) for c in conditions.values()))
-    whose = data.select("id", valid.alias("valid")).join(F.broadcast(found.select("valid", F.col("persona").cast("long").alias("draw"))), "valid").drop("valid")
-    asked = trips.join(whose, "id")
-    routes = sampled_paths(links, asked, draws, bases).join(asked.select("draw", "origin", "target").distinct(), ["draw", "origin", "target"])
-    steps = routes.select("draw", "origin", "target", F.posexplode("nodes").alias("k", "a"), "nodes").select("draw", "origin", "target", "a", F.get("nodes", F.col("k") + 1).alias("b"))
-    priced = links.select("a", "b", "time", *bases)
-    sums = steps.dropna(subset=["b"]).join(priced, ["a", "b"]).groupBy("draw", "origin", "target").agg(
-        (F.sum("time") / 60).alias("time"), *((F.sum(F.col("time") * F.col(c)) / 60).alias(c) for c in bases)
+@dataclass(frozen=True)
+class Routing:
+    """A mode whose time and attributes are those of the paths that its coefficients make cheapest.
+
+    links and trips: see :func:`rerouted`. ``coefficients``: attribute -> name of its coefficient. Where utilities hold products ``c = b g``
+    with a cost coefficient b, ``scale`` names b, and an attribute weighs c over b; while b is 0 all weigh nothing. The paths' minutes become
+    column ``time`` of the data, an attribute the column of its name behind ``prefix``. ``short``: ``(id, time, <base attributes>)`` of
+    trips too short to be routed (:func:`short_trips`).
+    """
+
+    links: DataFrame
+    trips: DataFrame
+    attributes: list[StreetAttribute]
+    coefficients: dict[str, str]
+    scale: str | None = None
+    time: str = "time"
+    prefix: str = ""
+    short: DataFrame | None = None
+
+
+class Routes:
+    """Paths of a mode at changing coefficients. A persona's paths are kept, and searched anew only for weights that it has not had."""
+
+    def __init__(self, routing: Routing, data: DataFrame):
+        self.routing, self.bases = routing, [a.name for a in routing.attributes if a.base is None]
+        conditions = {a.name: a.when or "true" for a in routing.attributes}
+        found = personas(data, conditions).drop("n").checkpoint()
+        self.valid = {r["persona"]: r["valid"] for r in found.collect()}  # at most two to the number of conditions
+        holds = F.array(*(F.coalesce(F.expr(c), F.lit(False)) for c in conditions.values()))
+        whose = data.select("id", holds.alias("valid")).join(F.broadcast(found), "valid").drop("valid")
+        trips = routing.trips if routing.short is None else routing.trips.join(routing.short.select("id"), "id", "left_anti")
+        self.asked = trips.select("id", "origin", "target").join(whose, "id").checkpoint()
+        self.known: dict[tuple, tuple[DataFrame, int]] = {}  # (persona, weights) -> a table of sums and the draw in it
+        self.searches = 0
+
+    def weights(self, values: dict[str, float]) -> dict[int, tuple[float, ...]]:
+        """The present weights of each persona."""
+        own = {a: values[c] for a, c in self.routing.coefficients.items()}
+        if self.routing.scale is not None:
+            b = values[self.routing.scale]
+            own = {a: v / b if b else 0.0 for a, v in own.items()}
+        return {p: base_weights(self.routing.attributes, valid, own) for p, valid in self.valid.items()}
+
+    def _search(self, wanted: dict[int, tuple[float, ...]]) -> None:
+        spark = self.asked.sparkSession
+        rows = [(p, float(p), list(w)) for p, w in wanted.items()]
+        draws = spark.createDataFrame([(p, w) for p, _, w in rows], "draw long, weights array<double>")
+        pairs = self.asked.filter(F.col("persona").isin(list(wanted))).select(F.col("persona").cast("long").alias("draw"), "origin", "target")
+        found = route_sums(self.routing.links, pairs, draws, self.bases).checkpoint()
+        self.searches += len(wanted)
+        self.known |= {(p, w): (found, p) for p, w in wanted.items()}
+
+    def at(self, values: dict[str, float]) -> DataFrame:
+        """``(id, time, <base attributes>)`` of every trip that has a path at these coefficients."""
+        now = self.weights(values)
+        if fresh := {p: w for p, w in now.items() if (p, w) not in self.known}:
+            self._search(fresh)
+        tables: dict[int, tuple[DataFrame, list[int]]] = {}
+        for p, w in now.items():
+            table, draw = self.known[p, w]
+            tables.setdefault(id(table), (table, []))[1].append(draw)
+        parts = [table.filter(F.col("draw").isin(drawn)) for table, drawn in tables.values()]
+        out = self.asked.limit(0).select("id", *(F.lit(0.0).alias(c) for c in ("time", *self.bases)))
+        if parts:
+            sums = parts[0]
+            for part in parts[1:]:
+                sums = sums.unionByName(part)
+            out = self.asked.withColumnRenamed("persona", "draw").join(sums, ["draw", "origin", "target"]).select("id", "time", *self.bases)
+        return out if self.routing.short is None else out.unionByName(self.routing.short.select("id", "time", *self.bases))
+
+    def columns(self, data: DataFrame, values: dict[str, float]) -> DataFrame:
+        """``data (id, ...)`` with the columns of the routing; they are null for trips without a path, which makes the mode unavailable."""
+        r = self.routing
+        own = self.at(values)
+        named = own.select("id", F.col("time").alias("_time"), *(F.col(c).alias(f"_{c}") for c in self.bases))
+        out = data.join(named, "id", "left")
+        whole = {a.name: F.col(f"_{a.base or a.name}") for a in r.attributes}
+        made = {r.prefix + a.name: whole[a.name] if a.when is None else F.when(F.coalesce(F.expr(a.when), F.lit(False)), whole[a.name]).otherwise(whole[a.name] * 0) for a in r.attributes}
+        return out.withColumns({r.time: F.col("_time"), **made}).drop("_time", *(f"_{c}" for c in self.bases))
+
+
+def routed(data: DataFrame, routes: list[Routes], values: dict[str, float]) -> DataFrame:
+    """The data at a trial point, with the columns of every routing."""
+    for r in routes:
+        data = r.columns(data, values)
+    return data
+
+
+def short_trips(trips: DataFrame, reference: DataFrame, links: DataFrame, bases: list[str], mode: str) -> DataFrame:
+    """``(id, time, <bases>)`` in minutes of trips whose ends snap to one node, from the links around them.
+
+    trips: ``(id, ox, oy, dx, dy[, dist])``; reference: ``(id, link)``, see :func:`short_trip_links`; links: ``(link, length, <bases>)``. A trip
+    is as long as it says or 1.2 straight lines, from 10 m on and at most as long as its links together; it takes the mode's mean speed,
+    and meets an attribute as its links do on average by length. Trips without a link have no row.
+    """
+    around = reference.select("id", "link").distinct().join(links, "link").groupBy("id").agg(
+        F.sum("length").alias("_total"), *(F.sum(F.col("length") * F.col(c)).alias(c) for c in bases)
     )
-    known = routes.select("draw", "origin", "target").join(sums, ["draw", "origin", "target"], "left").na.fill(0.0, ["time", *bases])  # no link where the ends are one node
-    return asked.join(known, ["draw", "origin", "target"]).select("id", "time", *bases)
+    own = trips.join(around.filter("_total > 0"), "id")
+    length, seconds = short_trip(mode, "dist" if "dist" in trips.columns else None, *(F.col(c) for c in ("ox", "oy", "dx", "dy")), F.col("_total"))
+    minutes = seconds / 60
+    return own.select("id", minutes.alias("time"), *((F.col(c) * minutes / F.col("_total")).alias(c) for c in bases))
+
+
+def short_trip_links(trips: DataFrame, zone_links: DataFrame | None = None) -> DataFrame:
+    """``(id, link)``: the links of the zone that holds both ends of a trip, or else those nearest to its ends.
+
+    trips: ``(id, origin_link, target_link[, origin_zone, target_zone])``; zone_links: ``(zone, link)``.
+    """
+    nearest = trips.select("id", F.explode(F.array_distinct(F.array("origin_link", "target_link"))).alias("link")).dropna()
+    if zone_links is None:
+        return nearest
+    inside = trips.filter("origin_zone = target_zone").select("id", F.col("origin_zone").alias("zone")).join(zone_links, "zone").select("id", "link")
+    return inside.unionByName(nearest.join(inside.select("id").distinct(), "id", "left_anti"))
