@@ -21,7 +21,7 @@ def test_geopackage_round_trip(spark, tmp_path):
     back = {r.nodeID: r for r in G.read_features(spark, path, "nodeID").collect()}
     assert (back[5].name, back[5].z, back[5].flag) == ("a", 1.5, True) and (back[9].name, back[9].z, back[9].flag) == (None, None, False)
     assert [(p.x, p.y) for p in back[5].points] == [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 0.0)] and not back[11].points
-    assert G.read_boundary(spark, path)[1] == (2.0, 0.0)
+    assert G.read_boundary(spark, path)[0][0][1] == (2.0, 0.0)
     twice = f"{tmp_path}/twice.gpkg"
     G.write_features(rows.unionByName(rows), twice, "zones", "line")
     with pytest.raises(Exception, match="repeated feature id"):
@@ -123,7 +123,7 @@ def test_tables(spark, tmp_path):
     (tmp_path / "stop_times.txt").write_text("trip_id,arrival_time,departure_time,stop_id,stop_sequence\nt,25:00:10,25:01:00,s,1\n")
     assert tuple(R.read_gtfs_stop_times(spark, str(tmp_path)).first()) == ("t", 1, "s", 90010.0, 90060.0)
     (tmp_path / "z.csv").write_text("id;wkt\n1;POLYGON ((0 0, 2 0, 2 2, 0 0), (1 1, 1.2 1, 1 1))\n2;MULTIPOLYGON (((5 5, 6 5, 6 6)))\n")
-    assert [[(p.x, p.y) for p in r.ring] for r in R.read_zones(spark, f"{tmp_path}/z.csv").orderBy("zone").collect()] == [[(0, 0), (2, 0), (2, 2), (0, 0)], [(5, 5), (6, 5), (6, 6)]]
+    assert [[(p.x, p.y) for p in r.parts[0][0]] for r in R.read_zones(spark, f"{tmp_path}/z.csv").orderBy("zone").collect()] == [[(0, 0), (2, 0), (2, 2), (0, 0)], [(5, 5), (6, 5), (6, 6)]]
 
 
 def test_sinks(spark, tmp_path):
@@ -163,3 +163,24 @@ def test_stream_drops_late_events(spark, tmp_path):
     assert (0, 1, 0) in got or (0, 2, 0) in got  # the late entry counts only if its file came first
     batch = V.hourly(spark.read.schema(schema).parquet(f"{tmp_path}/in*"))
     assert {(r.hour.hour, r.car, r.truck) for r in batch.collect()} == {(0, 2, 0), (4, 1, 0), (5, 0, 1)}
+
+
+def test_polygons_of_several_parts(spark, tmp_path):
+    hook = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
+    hole, island = [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 1.0)], [(6.0, 6.0), (7.0, 6.0), (7.0, 7.5), (6.0, 6.0)]
+    parts = [[hook, hole], [island]]
+    assert G.polygons(G.parts_wkb(parts)) == parts and G.polygons(G.parts_wkb(parts[:1])) == parts[:1]
+    assert G.polygons(b"GP\x00\x01\x00\x00\x00\x00" + G.parts_wkb(parts)) == parts and G.polygons(G.wkb([(1.0, 2.0)], "point")) is None
+    kind = "zone long, parts array<array<array<struct<x:double,y:double>>>>"
+    rows = [(1, [[[{"x": x, "y": y} for x, y in r] for r in part] for part in parts]), (2, None), (3, [[[{"x": x, "y": y} for x, y in island]]])]
+    path = str(tmp_path / "a.gpkg")
+    assert G.write_features(spark.createDataFrame(rows, kind), path, "areas", "polygon") == 3
+    found = {r.zone: r.parts for r in G.read_features(spark, path, "zone", areas=True).collect()}
+    assert [[[(p.x, p.y) for p in r] for r in part] for part in found[1]] == parts and not found[2]
+    wkt = "MULTIPOLYGON (((0 0, 4 0, 4 4, 0 4, 0 0), (1 1,2 1, 2 2,1 1)),((6 6, 7 6, 7 7.5, 6 6)))"
+    texts = [("a", wkt), ("b", "POLYGON EMPTY"), ("c", "polygon ((0 0,1 0,1 1))".upper()), ("d", None), ("e", "MULTIPOLYGON Z (((0 0 5, 1 0 5, 1 1 5)))")]
+    made = {r.id: r.p for r in spark.createDataFrame(texts, "id string, wkt string").select("id", R.parts_of("wkt").alias("p")).collect()}
+    assert [[[(p.x, p.y) for p in r] for r in part] for part in made["a"]] == parts
+    assert made["b"] == [] and made["d"] is None and len(made["c"][0][0]) == len(made["e"][0][0]) == 3
+    with pytest.raises(Exception, match="no polygon"):
+        spark.createDataFrame([("LINESTRING (0 0, 1 1)",)], "wkt string").select(R.parts_of("wkt")).collect()

@@ -98,3 +98,61 @@ def test_hexagons_and_nesting(spark):
     with pytest.raises(ValueError):
         S.check_nested([(1.0, 1.0), (2.0, 8.0)], HOOK)
     assert [r.r for r in spark.createDataFrame([("grid_250m",), ("other",)], "d string").select(S.grid_radius("d").alias("r")).collect()] == [250.0, 0.0]
+
+
+#: A hook with a hole, and an island that lies apart.
+PARTS = [[HOOK, [(1.0, 1.0), (4.0, 1.0), (4.0, 3.0), (1.0, 3.0)]], [[(1.0, 6.0), (4.0, 6.0), (1.0, 9.0)]]]
+
+
+def parts_frame(spark, zones):
+    rows = [(i, [[[{"x": x, "y": y} for x, y in r] for r in part] for part in parts]) for i, parts in zones]
+    return spark.createDataFrame(rows, "zone long, parts array<array<array<struct<x:double,y:double>>>>")
+
+
+def in_parts(x, y):
+    return any(inside(part[0], x, y) and not any(inside(h, x, y) for h in part[1:]) for part in PARTS)
+
+
+def test_parts_and_holes(spark):
+    zones = parts_frame(spark, [(4, PARTS), (5, [])])
+    rows, df = points(spark, 500)
+    assert {r.point for r in S.assign_zones(df, zones, 1.5).collect()} == {i for i, x, y in rows if in_parts(x, y)} == {r.point for r in S.inside_boundary(df, PARTS).collect()}
+    turned = parts_frame(spark, [(4, [[r[::-1] for r in part] for part in PARTS])])  # the way round does not matter
+    for own in (zones, turned):
+        r = own.filter("zone = 4").select(S.parts_area("parts").alias("a"), S.parts_centroid("parts").alias("c")).first()
+        assert abs(r.a - (64 - 6 + 4.5)) < 1e-9
+        assert abs(r.c.x - (40 * 5 + 24 * 8 - 6 * 2.5 + 4.5 * 2) / 62.5) < 1e-9 and abs(r.c.y - (40 * 2 + 24 * 7 - 6 * 2 + 4.5 * 7) / 62.5) < 1e-9
+    links = [(1, 2.0, 1.5, 3.0, 2.5), (2, 2.0, 2.0, 5.0, 2.0), (3, 0.5, 7.0, 1.5, 7.0), (4, 4.5, 8.0, 5.5, 8.0), (5, 1.2, 6.1, 1.3, 6.2), (6, -1.0, -3.0, -1.0, 20.0), (7, 5.0, -3.0, 5.0, 20.0)]
+    for cell in (0.7, 30.0):
+        found = S.links_in_zones(spark.createDataFrame(links, "link long, ax double, ay double, bx double, by double"), zones, cell)
+        assert {r.link for r in found.collect()} == {2, 3, 5, 7}
+
+
+def test_cells_along_a_segment(spark):
+    draw = random.Random(9)
+    rows = [tuple(draw.choice([draw.uniform(-5, 5), float(draw.randrange(-5, 5))]) for _ in range(4)) for _ in range(300)] + [(1.0, 1.0, 1.0, 4.0), (2.0, 2.0, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "ax double, ay double, bx double, by double")
+    for r in df.select("*", S._crossed(*(F.col(c) for c in df.columns), 0.5).alias("cells")).collect():
+        cells = [(c.cx, c.cy) for c in r.cells]
+        assert len(cells) == len(set(cells)) <= 4 * (abs(r.bx - r.ax) + abs(r.by - r.ay)) / 0.5 + 12
+        for k in range(101):
+            t = k / 100
+            assert (math.floor((r.ax + t * (r.bx - r.ax)) / 0.5), math.floor((r.ay + t * (r.by - r.ay)) / 0.5)) in cells or 0 < t < 1
+
+
+def test_points_are_uniform_over_parts(spark):
+    sliver = [[[(0.0, 0.0), (1e-9, 0.0), (10.0, 10.0)]]]
+    zones = parts_frame(spark, [(1, PARTS), (2, sliver), (3, [[[(0.0, 0.0), (1.0, 1.0)]]])])
+    wanted = spark.range(24_000).select("id", (F.when(F.col("id") < 20_000, 1).when(F.col("id") < 22_000, 2).otherwise(3)).alias("zone"))
+    one, two = (sorted(S.random_points(wanted.repartition(n), zones).collect()) for n in (1, 5))
+    assert one == two and [r.id for r in one] == list(range(22_000))
+    assert all(abs(r.x - r.y) < 1e-6 and 0 <= r.x <= 10 for r in one if r.zone == 2)
+    own = [(r.x, r.y) for r in one if r.zone == 1]
+    assert all(in_parts(x, y) for x, y in own)
+    seen = {}
+    for x, y in own:
+        seen[int(x), int(y)] = seen.get((int(x), int(y)), 0) + 1
+    whole = [(i, j) for i in range(10) for j in range(10) if all(in_parts(i + a, j + b) for a in (0.001, 0.999) for b in (0.001, 0.999)) and not (i + j == 9 and i < 4)]
+    mean = 20_000 / 62.5
+    chi = sum((seen.get(c, 0) - mean) ** 2 / mean for c in whole)
+    assert len(whole) > 50 and abs(chi - len(whole)) < 4 * math.sqrt(2 * len(whole))

@@ -1,7 +1,8 @@
 """Polygons, nearest features, grids and zone assignment, as column expressions and cell joins.
 
-A polygon is an ``array<struct<x:double,y:double>>`` of its ring's corners, closed or not. Points and features meet through
-equi-joins on the cells of a square grid, so nothing is compared with everything.
+A polygon is an ``array<struct<x:double,y:double>>`` of its ring's corners, closed or not, or a column ``parts`` of several polygons
+with holes: a list of polygons, each a list of rings, the outer one first. Points and features meet through equi-joins on the cells
+of a square grid, so nothing is compared with everything.
 """
 
 from __future__ import annotations
@@ -28,6 +29,18 @@ def _next(ring: Column, i: Column) -> Column:
     return F.element_at(ring, (i + 1) % F.size(ring) + 1)
 
 
+def _crossings(ring: Column, x: Column, y: Column) -> Column:
+    """How many edges of a ring lie to the right of a point."""
+
+    def crosses(p: Column, i: Column) -> Column:
+        q = _next(ring, i)
+        spans = (p["y"] > y) != (q["y"] > y)
+        at = p["x"] + (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) * (q["x"] - p["x"])
+        return F.when(spans & (x < at), 1).otherwise(0)
+
+    return F.aggregate(F.transform(ring, crosses), F.lit(0), lambda a, b: a + b)
+
+
 def contains(ring: str | Column, x: str | Column, y: str | Column) -> Column:
     """Whether a point is inside a polygon, by the parity of edges to its right. NULL for null arguments.
 
@@ -35,17 +48,31 @@ def contains(ring: str | Column, x: str | Column, y: str | Column) -> Column:
     points.
     """
     ring, x, y = _col(ring), _col(x), _col(y)
+    return F.when(x.isNotNull() & y.isNotNull(), _crossings(ring, x, y) % 2 == 1)
 
-    def crosses(p: Column, i: Column) -> Column:
-        q = _next(ring, i)
-        spans = (p["y"] > y) != (q["y"] > y)
-        at = p["x"] + (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) * (q["x"] - p["x"])
-        return F.when(spans & (x < at), 1).otherwise(0)
 
-    count = F.aggregate(F.transform(ring, crosses), F.lit(0), lambda a, b: a + b)
+def contains_rings(rings: str | Column, x: str | Column, y: str | Column) -> Column:
+    """The same for all rings of a feature: a point in a hole, or outside of every part, has an even number of edges to its right."""
+    rings, x, y = _col(rings), _col(x), _col(y)
+    count = F.aggregate(F.transform(rings, lambda r: _crossings(r, x, y)), F.lit(0), lambda a, b: a + b)
     return F.when(x.isNotNull() & y.isNotNull(), count % 2 == 1)
 
 
+def _with_rings(zones: DataFrame) -> DataFrame:
+    """``(zone, rings)`` of zones with ``parts`` or a ``ring``; a null geometry is an error, an empty one goes."""
+    rings = F.flatten("parts") if "parts" in zones.columns else F.when(F.col("ring").isNotNull(), F.array("ring"))
+    bad = F.raise_error(F.lit("a zone has no geometry")).cast("array<array<struct<x:double,y:double>>>")
+    own = zones.select("zone", F.filter(F.when(rings.isNull(), bad).otherwise(rings), lambda r: F.size(r) > 0).alias("rings"))
+    return own.filter(F.size("rings") > 0)
+
+
+def edges_of(zones: DataFrame) -> DataFrame:
+    """``(zone, ax, ay, bx, by)``, the edges of all rings; those of no length are left out."""
+    ring = _with_rings(zones).select("zone", F.explode("rings").alias("r"))
+    corner = ring.select("zone", "r", F.posexplode("r").alias("i", "p")).select("zone", "p", _next(F.col("r"), F.col("i")).alias("q"))
+    return corner.select("zone", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by")).filter("ax <> bx or ay <> by")
+
+
 def area(ring: str | Column) -> Column:
     """Signed area of a polygon, positive for rings against the clock."""
     ring = _col(ring)
@@ -67,6 +94,28 @@ def centroid(ring: str | Column) -> Column:
     return F.when(area(ring) != 0, F.struct(part("x").alias("x"), part("y").alias("y")))
 
 
+def _signed(parts: Column, of) -> Column:
+    """Sum over rings of ``of(ring)``, with the sign that makes outer rings count and holes count against them."""
+
+    def polygon(rings: Column) -> Column:
+        own = F.transform(rings, lambda r, i: F.when(i == 0, 1.0).otherwise(-1.0) * F.signum(area(r)) * of(r))
+        return F.aggregate(own, F.lit(0.0), lambda a, b: a + b)
+
+    return F.aggregate(F.transform(parts, polygon), F.lit(0.0), lambda a, b: a + b)
+
+
+def parts_area(parts: str | Column) -> Column:
+    """Area of several polygons without that of their holes."""
+    return _signed(_col(parts), area)
+
+
+def parts_centroid(parts: str | Column) -> Column:
+    """Centre of mass of several polygons with holes ``struct<x, y>``; NULL without area."""
+    parts, whole = _col(parts), parts_area(parts)
+    mass = lambda axis: _signed(parts, lambda r: F.coalesce(centroid(r)[axis] * area(r), F.lit(0.0)))
+    return F.when(whole != 0, F.struct((mass("x") / F.nullif(whole, F.lit(0.0))).alias("x"), (mass("y") / F.nullif(whole, F.lit(0.0))).alias("y")))
+
+
 def bounds(ring: str | Column) -> Column:
     """``struct<x0, y0, x1, y1>`` around a polygon."""
     ring = _col(ring)
@@ -74,6 +123,10 @@ def bounds(ring: str | Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+def _zone_centre(zones: DataFrame) -> Column:
+    return parts_centroid("parts") if "parts" in zones.columns else centroid("ring")
+
+
 def _cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column:
     """All cells ``struct<cx, cy>`` that a box touches."""
     low = lambda c: F.floor(c / size)
@@ -83,35 +136,56 @@ def _cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Colum
     return F.when(fits, found).otherwise(F.raise_error("a feature covers too many cells; choose larger ones").cast("array<struct<cx:bigint,cy:bigint>>"))
 
 
+def _crossed(ax: Column, ay: Column, bx: Column, by: Column, size: float) -> Column:
+    """The cells ``struct<cx, cy>`` that a straight segment passes, column by column; as many as it is long, not as its bounds are large."""
+    low = lambda c: F.floor(c / size)
+    x0, x1, slack = F.least(ax, bx), F.greatest(ax, bx), 1e-9 * size
+
+    def column(i: Column) -> Column:
+        at = lambda x: F.when(ax == bx, ay).otherwise(ay + (x - ax) * (by - ay) / F.nullif(bx - ax, F.lit(0.0)))
+        left, right = at(F.greatest(x0, i * size)), at(F.least(x1, (i + 1) * size))
+        bottom = F.when(ax == bx, F.least(ay, by)).otherwise(F.least(left, right)) - slack
+        top = F.when(ax == bx, F.greatest(ay, by)).otherwise(F.greatest(left, right)) + slack
+        return F.transform(F.sequence(low(bottom), low(top)), lambda j: F.struct(i.alias("cx"), j.alias("cy")))
+
+    fits = low(x1) - low(x0) + low(F.greatest(ay, by)) - low(F.least(ay, by)) <= MAX_CELLS
+    found = F.flatten(F.transform(F.sequence(low(x0 - slack), low(x1 + slack)), column))
+    return F.when(fits, found).otherwise(F.raise_error("a segment crosses too many cells; choose larger ones").cast("array<struct<cx:bigint,cy:bigint>>"))
+
+
 def _cell_of(x: str = "x", y: str = "y", size: float = 1.0) -> tuple[Column, Column]:
     return F.floor(F.col(x) / size).alias("cx"), F.floor(F.col(y) / size).alias("cy")
 
 
 def assign_zones(points: DataFrame, zones: DataFrame, cell: float, keep_outside: bool = False) -> DataFrame:
-    """Adds ``zone`` to points ``(x, y, ...)``, the least zone ``(zone, ring)`` that contains each.
+    """Adds ``zone`` to points ``(x, y, ...)``, the least zone ``(zone, ring)`` or ``(zone, parts)`` that contains each.
 
     Points outside of all zones go unless ``keep_outside``. Each zone is listed under the cells of its bounds, and a point
-    looks into its own cell only. Points without coordinates are outside. An empty ring contains nothing; a null ring is
+    looks into its own cell only. Points without coordinates are outside. An empty geometry contains nothing; a null one is
     an error.
     """
-    empty = F.when(F.col("ring").isNull(), F.raise_error("a zone has no geometry").cast("boolean")).otherwise(F.size("ring") > 0)
-    b = bounds("ring")
-    listed = zones.filter(empty).select("zone", "ring", F.explode(_cells(b["x0"], b["y0"], b["x1"], b["y1"], cell)).alias("c")).select("zone", "ring", "c.*")
+    own = _with_rings(zones)
+    b = bounds(F.flatten("rings"))
+    listed = own.select("zone", "rings", F.explode(_cells(b["x0"], b["y0"], b["x1"], b["y1"], cell)).alias("c")).select("zone", "rings", "c.*")
     spots = points.select(F.col("x").alias("_x"), F.col("y").alias("_y")).dropna().distinct()  # points of one place share the answer
     hits = (
         spots.select("_x", "_y", F.floor(F.col("_x") / cell).alias("cx"), F.floor(F.col("_y") / cell).alias("cy")).join(listed, ["cx", "cy"])
-        .filter(contains("ring", "_x", "_y")).groupBy("_x", "_y").agg(F.min("zone").alias("zone"))
+        .filter(contains_rings("rings", "_x", "_y")).groupBy("_x", "_y").agg(F.min("zone").alias("zone"))
     )
     met = (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))
     return points.drop("zone").join(hits, met, "left" if keep_outside else "inner").drop("_x", "_y")
 
 
-def inside_boundary(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
-    """Points ``(x, y, ...)`` inside one polygon, first by its bounds and then by its edges, all in the scan's stage."""
-    xs, ys = zip(*ring, strict=True)
-    corner = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ring))
+def inside_boundary(points: DataFrame, ring: list) -> DataFrame:
+    """Points ``(x, y, ...)`` inside one region, first by its bounds and then by its edges, all in the scan's stage.
+
+    ring: corners ``(x, y)`` of one polygon, or parts: a list of polygons, each a list of rings.
+    """
+    rings = [r for part in ring for r in part] if isinstance(ring[0][0], (list, tuple)) and not isinstance(ring[0][0][0], (int, float)) else [ring]
+    xs, ys = zip(*(p for r in rings for p in r), strict=True)
+    corners = F.array(*(F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in r)) for r in rings))
     box = F.col("x").between(min(xs), max(xs)) & F.col("y").between(min(ys), max(ys))
-    return points.filter(box).filter(contains(corner, "x", "y"))
+    return points.filter(box).filter(contains_rings(corners, "x", "y"))
 
 
 def check_nested(inner: list[tuple[float, float]], outer: list[tuple[float, float]]) -> None:
@@ -209,7 +283,7 @@ def zone_nodes(nodes: DataFrame, zones: DataFrame, cell: float) -> DataFrame:
     """``(zone, node)`` of the nodes in each zone; a zone without nodes gets the one nearest to its centroid."""
     inside = assign_zones(nodes, zones, cell).select("zone", "node")
     empty = zones.join(inside.select("zone").distinct(), "zone", "left_anti")
-    centres = empty.select(F.col("zone").alias("point"), centroid("ring").alias("c")).select("point", "c.x", "c.y")
+    centres = empty.select(F.col("zone").alias("point"), _zone_centre(zones).alias("c")).select("point", "c.x", "c.y")
     return inside.unionByName(nearest_node(centres, nodes, cell).select(F.col("point").alias("zone"), F.col("best").alias("node")))
 
 
@@ -225,22 +299,23 @@ def segments_cross(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
 
 
 def links_in_zones(links: DataFrame, zones: DataFrame, cell: float) -> DataFrame:
-    """``(zone, link)`` of straight links ``(link, ax, ay, bx, by)`` that touch a polygon, within it or across its edge."""
-    b = bounds("ring")
-    zone_cells = zones.select("zone", "ring", F.floor(b["x0"] / cell).alias("zx"), F.floor(b["y0"] / cell).alias("zy"), F.explode(_cells(b["x0"], b["y0"], b["x1"], b["y1"], cell)).alias("c"))
-    box = (F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"))
-    link_cells = links.select(
-        "link", "ax", "ay", "bx", "by", F.floor(box[0] / cell).alias("lx"), F.floor(box[1] / cell).alias("ly"), F.explode(_cells(*box, cell)).alias("c")
-    )
-    zone_cells, link_cells = (df.select("*", "c.*").drop("c") for df in (zone_cells, link_cells))
-    first = (F.col("cx") == F.greatest("lx", "zx")) & (F.col("cy") == F.greatest("ly", "zy"))  # a pair is looked at in the first cell that both have
-    a = [F.col(c) for c in ("ax", "ay", "bx", "by")]
-    edge = F.exists(
-        F.transform("ring", lambda p, i: F.struct(p.alias("p"), _next(F.col("ring"), i).alias("q"))),
-        lambda e: segments_cross(*a, e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"]),
-    )
-    pairs = link_cells.join(zone_cells, ["cx", "cy"]).filter(first)
-    return pairs.filter(contains("ring", "ax", "ay") | edge).select("zone", "link")
+    """``(zone, link)`` of straight links ``(link, ax, ay, bx, by)`` that touch a zone ``(zone, ring or parts)``, within it or across its edge.
+
+    A link touches a zone if it starts there or meets an edge. Links and edges are listed under the cells that they cross, so a long
+    link meets the few edges along its way.
+    """
+    own = links.select("link", "ax", "ay", "bx", "by")
+    rings = _with_rings(zones)
+    b = bounds(F.flatten("rings"))
+    listed = rings.select("zone", "rings", F.explode(_cells(b["x0"], b["y0"], b["x1"], b["y1"], cell)).alias("c")).select("zone", "rings", "c.*")
+    starts = own.select("link", "ax", "ay", F.floor(F.col("ax") / cell).alias("cx"), F.floor(F.col("ay") / cell).alias("cy"))
+    inside = starts.join(listed, ["cx", "cy"]).filter(contains_rings("rings", "ax", "ay")).select("zone", "link")
+    ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
+    passed = own.select("link", *ends, F.explode(_crossed(*ends, cell)).alias("c")).select("link", *ends, "c.*")
+    edges = edges_of(zones)
+    walls = edges.select("zone", *ends, F.explode(_crossed(*ends, cell)).alias("c")).select("zone", *(e.alias(f"e_{n}") for e, n in zip(ends, ("ax", "ay", "bx", "by"), strict=True)), "c.*")
+    across = passed.join(walls, ["cx", "cy"]).filter(segments_cross(*ends, *(F.col(f"e_{c}") for c in ("ax", "ay", "bx", "by")))).select("zone", "link")
+    return inside.unionByName(across).distinct()
 
 
 def hex_grid(spark: SparkSession, ring: list[tuple[float, float]], side: float) -> DataFrame:
@@ -277,21 +352,52 @@ def uniform(*keys: str | Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def random_points(wanted: DataFrame, zones: DataFrame, tries: int = 64) -> DataFrame:
-    """Adds ``x, y`` inside its zone's polygon to rows ``(id, zone, ...)``, by rejection from the polygon's bounds.
+def trapezoids(zones: DataFrame) -> DataFrame:
+    """Zones cut into trapezoids between the heights of their corners: ``(zone, y0, y1, l0, l1, r0, r1, area)``, left and right ends below and above.
 
-    The draws are numbered by the row's id, so the same id gets the same point. The first of ``tries`` draws that is
-    inside counts; a sliver that all of them miss gets its centroid. Zones without a polygon drop their rows.
+    Of the edges that span a slab, ordered from left to right, each two in turn enclose a piece, whatever the holes and parts.
     """
-    b = bounds("ring")
-    draw = lambda name, k: uniform(F.col("id"), F.lit(name), k)
-    boxed = wanted.join(zones.select("zone", "ring", b.alias("b")), "zone")
-
-    def attempt(k):
-        x = F.col("b.x0") + draw("x", k) * (F.col("b.x1") - F.col("b.x0"))
-        y = F.col("b.y0") + draw("y", k) * (F.col("b.y1") - F.col("b.y0"))
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    hits = F.filter(F.transform(F.sequence(F.lit(1), F.lit(tries)), attempt), lambda p: contains("ring", p["x"], p["y"]))
-    spot = F.coalesce(F.get(hits, 0), centroid("ring"))
-    return boxed.select(*wanted.columns, spot.alias("_at")).select(*wanted.columns, "_at.x", "_at.y")
+    edges = edges_of(zones).filter("ay <> by")
+    up = F.col("ay") < F.col("by")
+    own = edges.select("zone", *(F.when(up, F.col(a)).otherwise(F.col(b)).alias(n) for a, b, n in (("ax", "bx", "px"), ("ay", "by", "py"), ("bx", "ax", "qx"), ("by", "ay", "qy"))))
+    heights = own.select("zone", F.explode(F.array("py", "qy")).alias("y0")).distinct()
+    slabs = heights.withColumn("y1", F.lead("y0").over(Window.partitionBy("zone").orderBy("y0"))).dropna()
+    at = lambda y: F.col("px") + (F.col(y) - F.col("py")) * (F.col("qx") - F.col("px")) / (F.col("qy") - F.col("py"))
+    met = own.join(slabs, "zone").filter("py <= y0 and qy >= y1").select("zone", "y0", "y1", at("y0").alias("x0"), at("y1").alias("x1"))
+    turn = F.row_number().over(Window.partitionBy("zone", "y0").orderBy(F.col("x0") + F.col("x1"), "x0"))
+    pair = met.withColumn("_n", turn - 1).withColumn("_k", F.floor(F.col("_n") / 2))
+    side = lambda c, odd: F.max(F.when(F.col("_n") % 2 == odd, F.col(c)))
+    both = pair.groupBy("zone", "y0", "y1", "_k").agg(side("x0", 0).alias("l0"), side("x1", 0).alias("l1"), side("x0", 1).alias("r0"), side("x1", 1).alias("r1"))
+    size = (F.col("r0") - F.col("l0") + F.col("r1") - F.col("l1")) / 2 * (F.col("y1") - F.col("y0"))
+    return both.withColumn("area", size).filter("area > 0").drop("_k")
+
+
+def random_points(wanted: DataFrame, zones: DataFrame) -> DataFrame:
+    """Adds ``x, y``, uniform over its zone ``(zone, ring or parts)``, to rows ``(id, zone, ...)``.
+
+    The zone is cut into trapezoids; a number drawn for the row chooses one by area, and two more a point in it, so each row takes one draw,
+    slivers and holes included. The numbers come from the row's id, so the same id gets the same point. Zones without area drop their rows.
+    Trapezoids are listed under shares of the zone's area, so that a row meets those of its own share only.
+    """
+    cut = trapezoids(zones)
+    upto = Window.partitionBy("zone").orderBy("y0", "l0", "l1")
+    whole = Window.partitionBy("zone")
+    own = cut.withColumns({"_to": F.sum("area").over(upto), "_all": F.sum("area").over(whole), "_n": F.count("*").over(whole), "_i": F.row_number().over(upto)})
+    own = own.withColumns({"_to": F.when(F.col("_i") == F.col("_n"), 1.0).otherwise(F.col("_to") / F.col("_all"))})
+    own = own.withColumn("_from", F.coalesce(F.lag("_to").over(upto), F.lit(0.0))).filter("_from < _to")
+    last = F.least(F.floor(F.col("_to") * F.col("_n")), F.col("_n") - 1)
+    listed = own.withColumn("_share", F.explode(F.sequence(F.least(F.floor(F.col("_from") * F.col("_n")), F.col("_n") - 1), last)))
+    rows = wanted.withColumn("_u", uniform("id", F.lit("zone")))
+    rows = rows.join(own.groupBy("zone").agg(F.max("_n").alias("_m")), "zone").withColumn("_share", F.least(F.floor(F.col("_u") * F.col("_m")), F.col("_m") - 1))
+    names = ["_from", "_to", "y0", "y1", "l0", "l1", "r0", "r1"]
+    met = rows.join(listed.select("zone", "_share", *(F.col(c).alias(f"_t{c}") for c in names)), ["zone", "_share"])
+    met = met.filter((F.col("_u") >= F.col("_t_from")) & (F.col("_u") < F.col("_t_to")))
+    w0, w1, v = F.col("_tr0") - F.col("_tl0"), F.col("_tr1") - F.col("_tl1"), uniform("id", F.lit("y"))
+    root = w0 + F.sqrt(w0 * w0 + v * (w1 * w1 - w0 * w0))
+    up = F.when(root > 0, v * (w0 + w1) / F.nullif(root, F.lit(0.0))).otherwise(0.0)
+    placed = met.withColumn("_s", up)
+    left = F.col("_tl0") + F.col("_s") * (F.col("_tl1") - F.col("_tl0"))
+    wide = w0 + F.col("_s") * (w1 - w0)
+    return placed.select(
+        *wanted.columns, (left + uniform("id", F.lit("x")) * wide).alias("x"), (F.col("_ty0") + F.col("_s") * (F.col("_ty1") - F.col("_ty0"))).alias("y")
+    )

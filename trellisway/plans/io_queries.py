@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import access as A
 from ..operators import paths as P
+from ..operators import spatial as S
 from ..sources import geopackage as G
 from ..sources import sinks as K
 from ..sources import tables as R
@@ -209,7 +210,7 @@ def q_zone_file(spark, sf_dir):
     path = new_folder(spark, "zones")
     points = ", ".join(f"concat(s_suppkey + {dx}, ' ', s_nationkey + {dy})" for dx, dy in ((0, 0), (2, 0), (2, 2), (0, 2), (0, 0)))
     D.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", f"concat('MULTIPOLYGON (((', concat_ws(', ', {points}), ')))') AS wkt").write.csv(path, header=True, sep=";")
-    found = R.read_zones(spark, path).withColumnsRenamed({"zone": "id", "ring": "points"}).withColumn("description", F.concat(F.lit("grid_"), F.col("id"), F.lit("m")))
+    found = R.read_zones(spark, path).select(F.col("zone").alias("id"), F.get(F.get("parts", 0), 0).alias("points")).withColumn("description", F.concat(F.lit("grid_"), F.col("id"), F.lit("m")))
     return R.read_feature_table(found, ["shops"]).select("id", F.size("points").alias("n"), "centroid_x", "centroid_y", "radius", "nodes_within", "accessibility_shops")
 
 
@@ -224,11 +225,9 @@ def q_geopackage(spark, sf_dir):
 def q_boundary(spark, sf_dir):
     """The features of one layer; the ring of the first is the boundary that the second query's points are held against."""
     path = f"{_local(spark, 'gpkg')}/boundary.gpkg"
-    own = D.table(spark, sf_dir, "region").orderBy("r_regionkey").selectExpr("r_regionkey", f"{_square('r_regionkey * 100', '50', 3000)} AS points")
+    own = D.table(spark, sf_dir, "region").orderBy("r_regionkey").selectExpr("r_regionkey", f"{_square('r_regionkey * 100 + 0.5D', '50.5D', 3000)} AS points")
     G.write_features(own, path, "boundary", "polygon")
-    xs, ys = zip(*G.read_boundary(spark, path), strict=True)
-    inside = (F.col("x") > min(xs)) & (F.col("x") < max(xs)) & (F.col("y") > min(ys)) & (F.col("y") < max(ys))
-    return D.nodes(spark, sf_dir).filter(inside).select("node")
+    return S.inside_boundary(D.nodes(spark, sf_dir), G.read_boundary(spark, path)).select("node")
 
 
 def q_network_file(spark, sf_dir):
@@ -392,7 +391,7 @@ ORACLE_SQL = {
     "zone_file": """SELECT CAST(s_suppkey AS VARCHAR) AS id, 5 AS n, CAST(s_suppkey + 1 AS DOUBLE) AS centroid_x, CAST(s_nationkey + 1 AS DOUBLE) AS centroid_y, CAST(s_suppkey AS DOUBLE) AS radius, 0 AS nodes_within,
       CAST(NULL AS DOUBLE) AS accessibility_shops FROM supplier""",
     "geopackage_nodes": D.with_sql("nodes") + 'SELECT node AS "nodeID", CAST(zone AS BIGINT) AS zone, round(z, 3) AS z, x, y FROM nodes',
-    "boundary_filter": D.with_sql("nodes") + "SELECT node FROM nodes WHERE x > 0 AND x < 3000 AND y > 50 AND y < 3050",
+    "boundary_filter": D.with_sql("nodes") + "SELECT node FROM nodes WHERE x > 0.5 AND x < 3000.5 AND y > 50.5 AND y < 3050.5",
     "geopackage_network": _FULL + """SELECT a, b, length, round(greatest(0.0, 0.81 - vgvi), 6) AS vgvi_gap, 2 AS n, nb.x AS bx FROM full_links JOIN nodes nb ON nb.node = b
       WHERE h % 29 <> 0""",
     "trip_table": """WITH own AS (SELECT l_orderkey, l_returnflag, round(sum(l_quantity) FILTER (l_linestatus = 'F'), 2) AS f, round(sum(l_quantity) FILTER (l_linestatus = 'O'), 2) AS o

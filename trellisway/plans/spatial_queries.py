@@ -69,19 +69,6 @@ def q_links_in_zones(spark, sf_dir):
     return S.links_in_zones(segments(spark, sf_dir), zones(spark), CELL)
 
 
-def q_hex_grid(spark, sf_dir):
-    return S.hex_grid(spark, DIAMOND, 250.0).select("cell", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
-
-
-def q_centroid(spark, sf_dir):
-    return zones(spark).select("zone", S.centroid("ring").alias("c"), S.area("ring").alias("area")).select("zone", "c.x", "c.y", "area")
-
-
-def q_random_points(spark, sf_dir):
-    wanted = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 25).alias("zone"))
-    return S.random_points(wanted, zones(spark), tries=8).select("id", "zone", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
-
-
 def q_corridors(spark, sf_dir):
     """The corridor of every pair of ends that a trip has."""
     pairs = D.trips(spark, sf_dir).select("origin", "target").distinct()
@@ -149,9 +136,6 @@ QUERIES = {
     "nearest_link": q_nearest_link,
     "zone_nodes": q_zone_nodes,
     "links_in_zones": q_links_in_zones,
-    "hex_grid": q_hex_grid,
-    "zone_centroid": q_centroid,
-    "random_point_sampling": q_random_points,
     "corridor_links": q_corridors,
     "pt_earliest_arrival": q_arrivals,
     "pt_skim": q_transit_skim,
@@ -203,12 +187,6 @@ SELECT zone, node FROM own UNION ALL SELECT zone, node FROM lone""",
     least((x0 - ax) / (cx - ax), (x0 + 2002 - ax) / (cx - ax)) AS p, greatest((x0 - ax) / (cx - ax), (x0 + 2002 - ax) / (cx - ax)) AS q,
     least((y0 - ay) / (cy - ay), (y0 + 2002 - ay) / (cy - ay)) AS r, greatest((y0 - ay) / (cy - ay), (y0 + 2002 - ay) / (cy - ay)) AS s FROM segments CROSS JOIN zones)
 SELECT zone, link FROM t WHERE greatest(0.0, p, r) <= least(1.0, q, s)""",
-    "hex_grid": """WITH c AS (SELECT r, c, 999.5 + sqrt(3) * 250 * (c + CASE WHEN r % 2 = 1 THEN 0.5 ELSE 0.0 END) AS x, 999.5 + 1.5 * 250 * r AS y
-  FROM range(CAST(floor(8001 / 375.0) + 2 AS BIGINT)) a(r), range(CAST(floor(8001 / (sqrt(3) * 250)) + 2 AS BIGINT)) b(c))
-SELECT row_number() OVER (ORDER BY r, c) AS cell, round(x, 4) AS x, round(y, 4) AS y FROM c WHERE abs(x - 5000) + abs(y - 5000) < 4000.5""",
-    "zone_centroid": "WITH " + _ZONES + " SELECT zone, CAST(x0 + 1001 AS DOUBLE) AS x, CAST(y0 + 1001 AS DOUBLE) AS y, CAST(2002.0 * 2002.0 AS DOUBLE) AS area FROM zones",
-    "random_point_sampling": "WITH " + _ZONES + f""" SELECT o_orderkey AS id, zone, round(x0 + {_U.format("o_orderkey || ':x:1'")} * 2002, 6) AS x,
-  round(y0 + {_U.format("o_orderkey || ':y:1'")} * 2002, 6) AS y FROM orders JOIN zones ON zone = o_custkey % 25""",
     "pt_earliest_arrival": _ARRIVE.format("(28800.0::DOUBLE)") + "SELECT origin, stop, arrival FROM best",
     "pt_skim": _ARRIVE.format("(28800.0::DOUBLE), (30600.0::DOUBLE)") + """SELECT o.s_nationkey AS o, d.s_nationkey AS d, round(avg(arrival - departure), 6) AS seconds, count(*) AS n
 FROM best JOIN supplier o ON o.s_suppkey = origin JOIN supplier d ON d.s_suppkey = stop GROUP BY 1, 2""",

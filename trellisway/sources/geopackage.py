@@ -69,6 +69,74 @@ def corners(data: bytes | None) -> list[tuple[float, float]] | None:
     return _geometry(data, at)[0] or None
 
 
+Rings = list[list[list[tuple[float, float]]]]
+PARTS = f"array<array<{POINTS}>>"
+
+
+def polygons(data: bytes | None) -> Rings | None:
+    """Polygons of a geometry in (GeoPackage) WKB, each with its outer ring and its holes; those of a collection follow one another.
+
+    Null and empty geometries give null; points and lines have no polygon.
+    """
+    if not data:
+        return None
+    at = 0
+    if data[:2] == b"GP":
+        if data[3] & 0x10:
+            return None
+        at = 8 + (0, 32, 48, 48, 64)[data[3] >> 1 & 7]
+    found: Rings = []
+    _collect(data, at, found)
+    return found or None
+
+
+def _collect(data: bytes, at: int, found: Rings) -> int:
+    """Add the polygons of one geometry; returns where it ends."""
+    order = "<" if data[at] else ">"
+    (code,) = struct.unpack_from(f"{order}I", data, at + 1)
+    at += 9 if code & 0x20000000 else 5
+    kind = code & 0xFFFF
+    dims = 2 + bool(code & 0x80000000 or kind // 1000 in (1, 3)) + bool(code & 0x40000000 or kind // 1000 in (2, 3))
+    kind %= 1000
+    if kind == 1:
+        return at + 8 * dims
+    (n,) = struct.unpack_from(f"{order}I", data, at)
+    at += 4
+    if kind == 2:
+        return at + 8 * dims * n
+    rings = []
+    for _ in range(n):
+        if kind == 3:
+            (m,) = struct.unpack_from(f"{order}I", data, at)
+            ring, at = _points(data, at + 4, order, m, dims)
+            rings.append(ring)
+        else:
+            at = _collect(data, at, found)
+    if kind == 3 and rings:
+        found.append(rings)
+    return at
+
+
+def as_parts(geometry: Column) -> Column:
+    """A WKB column as polygons with all their parts and holes."""
+
+    @F.pandas_udf(PARTS)
+    def convert(values):
+        return values.map(lambda v: [[[{"x": x, "y": y} for x, y in ring] for ring in part] for part in polygons(bytes(v)) or []] if v is not None else None)
+
+    return convert(geometry)
+
+
+def parts_wkb(parts: Rings) -> bytes:
+    """WKB of one polygon with its holes, or of several."""
+
+    def polygon(rings):
+        closed = [r if r[0] == r[-1] else [*r, r[0]] for r in rings]
+        return struct.pack("<BII", 1, 3, len(closed)) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<2d", *p) for p in r) for r in closed)
+
+    return polygon(parts[0]) if len(parts) == 1 else struct.pack("<BII", 1, 6, len(parts)) + b"".join(map(polygon, parts))
+
+
 def as_points(geometry: Column) -> Column:
     """A WKB column as an array of points."""
 
@@ -166,8 +234,11 @@ class GeoPackage(DataSource):
         return _Reader(schema, self.options["path"], self._layer())
 
 
-def read_features(spark: SparkSession, path: str, id_column: str | None = None, layer: str | None = None) -> DataFrame:
-    """Features with ``points`` beside their attributes; ids that repeat are an error where ``id_column`` is given."""
+def read_features(spark: SparkSession, path: str, id_column: str | None = None, layer: str | None = None, areas: bool = False) -> DataFrame:
+    """Features with ``points`` beside their attributes, or with the ``parts`` of polygons where ``areas`` is asked for.
+
+    Ids that repeat are an error where ``id_column`` is given.
+    """
     spark.dataSource.register(GeoPackage)
     reader = spark.read.format("geopackage").option("path", path)
     if layer:
@@ -175,7 +246,7 @@ def read_features(spark: SparkSession, path: str, id_column: str | None = None,
     rows = reader.load()
     geometry = next((f.name for f in rows.schema if isinstance(f.dataType, T.BinaryType)), None)
     if geometry:
-        rows = rows.withColumn("points", as_points(F.col(geometry))).drop(geometry)
+        rows = (rows.withColumn("parts", as_parts(F.col(geometry))) if areas else rows.withColumn("points", as_points(F.col(geometry)))).drop(geometry)
     if id_column:
         n = F.count("*").over(Window.partitionBy(id_column))
         bad = F.raise_error(F.concat(F.lit("repeated feature id "), F.col(id_column).cast("string")))
@@ -183,16 +254,16 @@ def read_features(spark: SparkSession, path: str, id_column: str | None = None,
     return rows
 
 
-def read_boundary(spark: SparkSession, path: str) -> list[tuple[float, float]]:
-    """The ring of the first feature, one row."""
-    row = read_features(spark, path).select("points").first()
+def read_boundary(spark: SparkSession, path: str) -> Rings:
+    """The parts of the first feature, one row; what :func:`spatial.inside_boundary` takes."""
+    row = read_features(spark, path, areas=True).select("parts").first()
     if row is None or not row[0]:
         raise ValueError("no boundary")
-    return [(p.x, p.y) for p in row[0]]
+    return [[[(p.x, p.y) for p in ring] for ring in part] for part in row[0]]
 
 
 def write_features(rows: DataFrame, path: str, layer: str, kind: str, max_rows: int = 1_000_000) -> int:
-    """One GeoPackage file from rows with ``points``, through the driver, for results of a checked size.
+    """One GeoPackage file from rows with ``points`` or ``parts``, through the driver, for results of a checked size.
 
     A GeoPackage is one SQLite file with one writer. Rows beyond ``max_rows`` are an error before any is fetched: write Parquet
     with a WKB column by :func:`with_wkb` instead. Returns the number of rows.
@@ -200,7 +271,7 @@ def write_features(rows: DataFrame, path: str, layer: str, kind: str, max_rows:
     n = rows.count()
     if n > max_rows:
         raise ValueError(f"{n} rows are too many for one file; write Parquet")
-    names = [c for c in rows.columns if c != "points"]
+    names, areas = [c for c in rows.columns if c not in ("points", "parts")], "parts" in rows.columns
     kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "boolean": "BOOLEAN"}
     declared = "".join(f", {_name(c)} {kinds.get(dict(rows.dtypes)[c], 'TEXT')}" for c in names)
     Path(path).unlink(missing_ok=True)
@@ -214,17 +285,22 @@ def write_features(rows: DataFrame, path: str, layer: str, kind: str, max_rows:
         marks = ", ".join("?" * (len(names) + 1))
         head = b"GP\x00\x01\x00\x00\x00\x00"
         for row in rows.toLocalIterator():
-            points = row["points"]
-            shape = head + wkb([(p["x"], p["y"]) for p in points], kind) if points else None
+            found = row["parts"] if areas else row["points"]
+            body = None if not found else parts_wkb([[[(p["x"], p["y"]) for p in r] for r in part] for part in found]) if areas else wkb([(p["x"], p["y"]) for p in found], kind)
+            shape = None if body is None else head + body
             con.execute(f"INSERT INTO {_name(layer)} (geom{''.join(f', {_name(c)}' for c in names)}) VALUES ({marks})", (shape, *(row[c] for c in names)))
     return n
 
 
-def with_wkb(rows: DataFrame, kind: str) -> DataFrame:
-    """Adds ``geometry`` in WKB to rows with ``points``, for Parquet sinks of any size."""
+def with_wkb(rows: DataFrame, kind: str = "polygon") -> DataFrame:
+    """Adds ``geometry`` in WKB to rows with ``points`` or ``parts``, for Parquet sinks of any size."""
 
     @F.pandas_udf("binary")
     def convert(values):
         return values.map(lambda ps: wkb([(p["x"], p["y"]) for p in ps], kind) if ps is not None and len(ps) else None)
 
-    return rows.withColumn("geometry", convert("points"))
+    @F.pandas_udf("binary")
+    def convert_parts(values):
+        return values.map(lambda v: parts_wkb([[[(p["x"], p["y"]) for p in r] for r in part] for part in v]) if v is not None and len(v) else None)
+
+    return rows.withColumn("geometry", convert_parts("parts") if "parts" in rows.columns else convert("points"))

@@ -285,9 +285,9 @@ def read_edge_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_zones(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """``(zone, ring)`` from a delimited file with ``id`` and polygon ``wkt``; shapefile zones are exported to it first."""
+    """``(zone, parts)`` from a delimited file with ``id`` and polygon ``wkt``, with all parts and holes."""
     raw = spark.read.csv(path, header=True, sep=sep)
-    return raw.select(F.col("id").alias("zone"), ring_of("wkt").alias("ring"))
+    return raw.select(F.col("id").alias("zone"), parts_of("wkt").alias("parts"))
 
 
 def read_feature_table(rows: DataFrame, sets: list[str]) -> DataFrame:
@@ -317,3 +317,18 @@ def ring_of(wkt: str | Column) -> Column:
     ring = F.transform(F.split(first, ","), lambda p: F.struct(number(p, 0).alias("x"), number(p, 1).alias("y")))
     bad = F.raise_error(F.concat(F.lit("no polygon: "), F.substring(c, 1, 40))).cast("array<struct<x:double,y:double>>")
     return F.when(c.isNull(), F.lit(None)).when(first != "", ring).otherwise(bad)
+
+
+PARTS = "array<array<array<struct<x:double,y:double>>>>"
+
+
+def parts_of(wkt: str | Column) -> Column:
+    """Polygons, rings and corners of a WKT polygon or several; an empty one has none, and other kinds are an error."""
+    c = F.col(wkt) if isinstance(wkt, str) else wkt
+    kind = r"^\s*(?:MULTI)?POLYGON\s*[ZM]{0,2}\s*"
+    body = F.regexp_replace(F.regexp_replace(c, kind, ""), r"^[\s(]+|[\s)]+$", "")
+    number = lambda p, i: F.get(F.split(F.trim(p), r"\s+"), i).cast("double")
+    corners = lambda r: F.transform(F.split(r, ","), lambda p: F.struct(number(p, 0).alias("x"), number(p, 1).alias("y")))
+    polygons = F.transform(F.split(body, r"\)\s*\)\s*,\s*\(\s*\("), lambda p: F.transform(F.split(p, r"\)\s*,\s*\("), corners))
+    bad = F.raise_error(F.concat(F.lit("no polygon: "), F.substring(c, 1, 40))).cast(PARTS)
+    return F.when(c.isNull(), F.lit(None)).when(c.rlike(kind + "EMPTY"), F.array().cast(PARTS)).when(c.rlike(kind + r"\("), polygons).otherwise(bad)
