@@ -161,3 +161,28 @@ def test_many_origins_in_one_block():
         assert got.keys() == want.keys() and all(abs(got[n] - c) < 1e-9 for n, c in want.items())
         assert np.allclose(found.time[i], np.where(np.isfinite(found.cost[i]), found.cost[i] * 2, 0)) and np.allclose(found.dist[i] * 2, found.time[i] * 3)
         assert all(g.path(found.parent[i], int(k))[0] == node for k in np.flatnonzero(np.isfinite(found.cost[i])))
+
+
+def test_crossings_against_pairs(spark):
+    import random
+
+    from trellisway.operators.network import crossing_attributes
+
+    draw = random.Random(12)
+    rows = [
+        (f"l{i}", i // 2, draw.randrange(6), draw.randrange(4), draw.choice([-1, 1, 2, 3, None]), draw.choice([None, "", "a", "b", "c"]), draw.random() < 0.7,
+         float(draw.randrange(9)), float(draw.randrange(4)), draw.choice([None, 100.0 * draw.randrange(9)]), draw.choice([20.0, 30.0, 40.0, 50.0, 60.0, None]))
+        for i in range(160)
+    ]
+    names = "link_id string, edge_id long, a long, b long, osm_id int, name string, allows_car boolean, width double, lanes double, aadt_fwd double, limit_mph double"
+    found = {r.link_id: r for r in crossing_attributes(spark.createDataFrame(rows, names)).collect()}
+    edges = {}
+    for r in rows:
+        for n in r[2:4]:
+            edges.setdefault(n, set()).add(r[1])
+    for r in rows:
+        met = [o for o in rows if len(edges[r[3]]) > 2 and o[3] == r[3] and o[6] and None not in (r[4], o[4]) and r[4] != o[4] and not (r[5] and r[5] == o[5])]
+        got, speeds = found[r[0]], [o[10] for o in met if o[10] is not None]
+        assert got.crosses == bool(met)
+        assert (got.cross_width, got.cross_lanes, got.cross_aadt) == tuple(sum(o[k] or 0.0 for o in met) for k in (7, 8, 9))
+        assert got.cross_speed == (max(speeds) if speeds else None)

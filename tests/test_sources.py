@@ -184,3 +184,23 @@ def test_polygons_of_several_parts(spark, tmp_path):
     assert made["b"] == [] and made["d"] is None and len(made["c"][0][0]) == len(made["e"][0][0]) == 3
     with pytest.raises(Exception, match="no polygon"):
         spark.createDataFrame([("LINESTRING (0 0, 1 1)",)], "wkt string").select(R.parts_of("wkt")).collect()
+
+
+def test_services_of_weeks_and_exceptions(spark, tmp_path):
+    head = "service_id,monday,tuesday,wednesday,thursday,friday,saturday,sunday,start_date,end_date\n"
+    rows = ["week,1,1,1,1,1,0,0,20240226,20240303", "sunday,0,0,0,0,0,0,1,20240225,20240310", "none,0,0,0,0,0,0,0,20240101,20241231", "back,1,1,1,1,1,1,1,20240310,20240301"]
+    (tmp_path / "both").mkdir()
+    (tmp_path / "both" / "calendar.txt").write_text(head + "\n".join(rows) + "\n")
+    exceptions = "service_id,date,exception_type\nweek,20240228,2\nweek,20240302,1\nother,20240301,1\nother,20240302,1\nother,20240302,2\nsunday,20240225,1\n"
+    (tmp_path / "both" / "calendar_dates.txt").write_text(exceptions)
+    week = {("week", d) for d in ("20240226", "20240227", "20240229", "20240301", "20240302")}
+    sunday = {("sunday", d) for d in ("20240225", "20240303", "20240310")}
+    found = R.read_services(spark, str(tmp_path / "both")).collect()
+    assert {tuple(r) for r in found} == week | sunday | {("other", "20240301")} and len(found) == 9
+    for name, text in (("weeks", "calendar.txt"), ("dates", "calendar_dates.txt")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / text).write_text((tmp_path / "both" / text).read_text())
+    assert {tuple(r) for r in R.read_services(spark, str(tmp_path / "weeks")).collect()} == (week | {("week", "20240228")} | sunday) - {("week", "20240302")}
+    assert {tuple(r) for r in R.read_services(spark, str(tmp_path / "dates")).collect()} == {("week", "20240302"), ("other", "20240301"), ("sunday", "20240225")}
+    with pytest.raises(ValueError, match="calendar"):
+        R.read_services(spark, str(tmp_path))

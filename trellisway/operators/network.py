@@ -66,20 +66,30 @@ def crossing_attributes(links: DataFrame) -> DataFrame:
     """What a link crosses at the junction it ends in: ``(link_id, cross_width, cross_lanes, cross_aadt, cross_speed, crosses)``.
 
     links: link_id, edge_id, b, osm_id, name, allows_car, width, lanes, aadt_fwd, limit_mph. Crossed are the other links
-    that enter the same junction, allow cars and belong to another road. A join on the shared end node; roads are told
-    apart inside it, so the rows made are the pairs at a junction.
+    that enter the same junction, allow cars and belong to another road by :func:`same_road`; an unknown (null) osm_id crosses nothing.
+
+    What a link crosses depends on its junction, id and name only. Sums are those of the junction without those of the same id and of the same
+    name, and with those of both back, so a junction of n links makes n rows and not their pairs. The top speed is that of the first of
+    five candidates that is of another road: of an id and of a name the two fastest are enough, and they hide four at most.
     """
     at = junctions(links.select("edge_id", F.col("a"), F.col("b"))).select(F.col("node").alias("b"))
-    ends = links.join(at, "b", "left_semi")
-    other = ends.filter("allows_car").select(
-        "b", F.col("osm_id").alias("o"), F.col("name").alias("n"), F.col("width").alias("w"), F.col("lanes").alias("l"),
-        F.col("aadt_fwd").alias("t"), F.col("limit_mph").alias("v"),
-    )
-    met = ends.join(other, "b").filter(~same_road(F.col("osm_id"), F.col("o"), F.col("name"), F.col("n")))
-    crossed = met.groupBy("link_id").agg(
-        F.sum("w").alias("cross_width"), F.sum("l").alias("cross_lanes"), F.sum("t").alias("cross_aadt"), F.max("v").alias("cross_speed")
-    )
-    return links.select("link_id").join(crossed, "link_id", "left").select(
+    road = F.coalesce("name", F.lit("")).alias("road")
+    ends = links.join(at, "b", "left_semi").filter("osm_id is not null").select("b", "osm_id", road, "allows_car", "width", "lanes", "aadt_fwd", "limit_mph")
+    car = lambda c: F.sum(F.when(F.col("allows_car"), F.coalesce(c, F.lit(0.0))).otherwise(F.lit(0.0)))
+    measures = {"cross_width": car("width"), "cross_lanes": car("lanes"), "cross_aadt": car("aadt_fwd"), "_n": F.count_if("allows_car")}
+    groups = ends.groupBy("b", "osm_id", "road").agg(*(m.alias(n) for n, m in measures.items()), F.max(F.when(F.col("allows_car"), F.col("limit_mph"))).alias("_v"))
+
+    def others(name: str) -> Column:
+        whole, same_id, same_name = (F.sum(name).over(Window.partitionBy(*keys)) for keys in (["b"], ["b", "osm_id"], ["b", "road"]))
+        return whole - same_id - F.when(F.col("road") != "", same_name - F.col(name)).otherwise(F.lit(0))
+
+    turn = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_v").desc(), "osm_id", "road"))
+    fast = groups.filter("_v is not null").withColumn("_r", turn("b", "osm_id")).filter("_r <= 2").withColumn("_r", turn("b", "road")).filter("_r <= 2").withColumn("_r", turn("b")).filter("_r <= 5")
+    fast = fast.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("_r", "_v", "osm_id", "road"))).alias("_fast"))
+    met = groups.select("b", "osm_id", "road", *(others(n).alias(n) for n in measures)).filter("_n > 0").join(fast, "b", "left")
+    other = F.filter("_fast", lambda f: (f["osm_id"] != F.col("osm_id")) & ((F.col("road") == "") | (f["road"] != F.col("road"))))
+    found = met.withColumn("cross_speed", F.get(other, 0)["_v"]).drop("_fast", "_n")
+    return links.select("link_id", "b", "osm_id", road).join(found, ["b", "osm_id", "road"], "left").select(
         "link_id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("cross_width", "cross_lanes", "cross_aadt")), "cross_speed",
         F.col("cross_width").isNotNull().alias("crosses"),
     )

@@ -149,12 +149,22 @@ def q_event_log(spark, sf_dir):
     return J.hourly_table(spark, f"{path}/log", f"{path}/vehicles", links, 0.1)
 
 
+#: Events of whose service and date a feed says that the service runs, or does not.
+_ADDED, _REMOVED = "event_type = 'purchase' AND day(ts) % 7 = 0", "event_type = 'error' AND day(ts) % 5 = 0"
+
+
 def q_gtfs(spark, sf_dir):
+    """Calls by stop on the busiest day of a feed with weekly services and exceptions, read twice side by side."""
     path = new_folder(spark, "feed")
     runs = D.table(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 2")
     runs.selectExpr("concat('t', o_orderkey) AS trip_id", "'r' AS route_id", "concat('s', o_orderkey % 5) AS service_id").write.csv(f"{path}/trips.txt", header=True)
-    dates = D.table(spark, sf_dir, "events").selectExpr("concat('s', user_id % 5) AS service_id", "date_format(ts, 'yyyyMMdd') AS date", "'1' AS exception_type")
-    dates.filter("user_id % 13 < 2").distinct().unionByName(dates.withColumn("exception_type", F.lit("2"))).write.csv(f"{path}/calendar_dates.txt", header=True)
+    seen = D.table(spark, sf_dir, "events")
+    weeks = [f"cast((n_nationkey + {i}) % 3 > 0 as int) AS {day}" for i, day in enumerate(R.WEEKDAYS)]
+    D.table(spark, sf_dir, "nation").filter("n_nationkey < 4").selectExpr(
+        "concat('s', n_nationkey) AS service_id", *weeks, "20240103 + n_regionkey AS start_date", "20240125 + n_regionkey AS end_date"
+    ).write.csv(f"{path}/calendar.txt", header=True)
+    dates = lambda kind, which: seen.filter(which).selectExpr("concat('s', user_id % 5) AS service_id", "date_format(ts, 'yyyyMMdd') AS date", f"{kind} AS exception_type").distinct()
+    dates(1, _ADDED).unionByName(dates(2, _REMOVED)).write.csv(f"{path}/calendar_dates.txt", header=True)
     D.table(spark, sf_dir, "supplier").selectExpr("concat('p', s_suppkey) AS stop_id", "s_suppkey / 2 AS stop_lat", "s_suppkey / 4 AS stop_lon").write.csv(f"{path}/stops.txt", header=True)
     clock = "concat(lpad(20 + l_linenumber, 2, '0'), ':', lpad(l_orderkey % 60, 2, '0'), ':05')"
     D.table(spark, sf_dir, "lineitem").selectExpr(
@@ -377,8 +387,10 @@ ORACLE_SQL = {
       CAST(dismount AS VARCHAR) AS dismount FROM full_links""",
     "network_xml_mode": _FULL + """SELECT CAST(node AS VARCHAR) AS node, x, y, (SELECT count(*) FROM full_links WHERE a = node AND h % 11 <> 0) AS out FROM nodes
       WHERE node IN (SELECT unnest([a, b]) FROM full_links WHERE h % 11 <> 0)""",
-    "gtfs_day": f"""WITH runs AS (SELECT DISTINCT o_orderkey AS trip, strftime(ts, '%Y%m%d') AS date FROM orders JOIN events ON user_id % 5 = o_orderkey % 5
-        WHERE o_orderkey % 3 <> 2 AND user_id % 13 < 2),
+    "gtfs_day": f"""WITH weeks AS (SELECT n_nationkey AS service, CAST(range AS DATE) AS date FROM nation, range(DATE '2024-01-01', DATE '2024-02-10', INTERVAL 1 DAY)
+        WHERE n_nationkey < 4 AND CAST(range AS DATE) BETWEEN DATE '2024-01-03' + n_regionkey AND DATE '2024-01-25' + n_regionkey AND (n_nationkey + isodow(range) - 1) % 3 > 0),
+      services AS (SELECT * FROM weeks UNION SELECT user_id % 5, CAST(ts AS DATE) FROM events WHERE {_ADDED} EXCEPT SELECT user_id % 5, CAST(ts AS DATE) FROM events WHERE {_REMOVED}),
+      runs AS (SELECT o_orderkey AS trip, date FROM orders JOIN services ON service = o_orderkey % 5 WHERE o_orderkey % 3 <> 2),
       day AS (SELECT date FROM runs GROUP BY date ORDER BY count(*) DESC, date LIMIT 1),
       calls AS (SELECT l_suppkey, CAST((20 + l_linenumber) * 3600 + (l_orderkey % 60) * 60 + 5 AS DOUBLE) AS t FROM lineitem JOIN runs ON trip = l_orderkey JOIN day USING (date))
       SELECT f || ':p' || l_suppkey AS stop, count(*) AS calls, min(t) AS first, max(t) AS last, max(l_suppkey / 2) AS lat FROM calls, (VALUES (0), (1)) v(f) GROUP BY 1""",

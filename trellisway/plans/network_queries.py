@@ -125,7 +125,7 @@ def _crossing_input(spark, sf_dir):
 
 
 def q_crossing(spark, sf_dir):
-    return N.crossing_attributes(_crossing_input(spark, sf_dir))
+    return N.crossing_attributes(_crossing_input(spark, sf_dir).checkpoint())  # derived once, read three times
 
 
 def q_opposite(spark, sf_dir):

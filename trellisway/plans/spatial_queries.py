@@ -66,7 +66,7 @@ def q_zone_nodes(spark, sf_dir):
 
 
 def q_links_in_zones(spark, sf_dir):
-    return S.links_in_zones(segments(spark, sf_dir), zones(spark), CELL)
+    return S.links_in_zones(segments(spark, sf_dir).checkpoint(), zones(spark), CELL)
 
 
 def q_corridors(spark, sf_dir):

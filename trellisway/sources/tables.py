@@ -200,18 +200,54 @@ def read_vehicles(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_id").alias("vehicle"), F.col("_type").alias("type"))
 
 
+WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+
+
+def service_dates(calendar: DataFrame | None, exceptions: DataFrame | None) -> DataFrame:
+    """``(service_id, date)`` on which services run, dates as yyyyMMdd.
+
+    calendar: ``(service_id, monday, ..., sunday, start_date, end_date)``, whose weeks are written out from first to last date;
+    exceptions: ``(service_id, date, exception_type)``, where 1 adds a date and 2 takes it away, which holds if both are said. A
+    service may stand in either or both.
+    """
+    found = None
+    if calendar is not None:
+        day = lambda c: F.to_date(F.col(c).cast("string"), "yyyyMMdd")
+        runs = F.array(*(F.col(d).cast("string") == "1" for d in WEEKDAYS))
+        days = calendar.filter(day("start_date") <= day("end_date")).select("service_id", runs.alias("_runs"), F.explode(F.sequence(day("start_date"), day("end_date"))).alias("_day"))
+        found = days.filter(F.get("_runs", F.weekday("_day"))).select("service_id", F.date_format("_day", "yyyyMMdd").alias("date"))
+    if exceptions is not None:
+        own = exceptions.select("service_id", F.col("date").cast("string").alias("date"), F.col("exception_type").cast("string").alias("kind"))
+        added = own.filter("kind = '1'").select("service_id", "date")
+        found = (added if found is None else found.unionByName(added)).distinct()
+        found = found.join(own.filter("kind = '2'").select("service_id", "date"), ["service_id", "date"], "left_anti")
+    if found is None:
+        raise ValueError("a feed needs calendar.txt or calendar_dates.txt")
+    return found.distinct()
+
+
+def _optional_csv(spark: SparkSession, path: str) -> DataFrame | None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.csv(path, header=True) if there else None
+
+
+def read_services(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`service_dates` of a feed's calendar.txt and calendar_dates.txt, of which one may be missing."""
+    return service_dates(_optional_csv(spark, f"{folder}/calendar.txt"), _optional_csv(spark, f"{folder}/calendar_dates.txt"))
+
+
 def read_gtfs(spark: SparkSession, *folders: str) -> tuple[DataFrame, DataFrame]:
     """``(stops, times)`` of the day on which most trips run, of one feed or of several side by side.
 
-    A feed's services run on the dates of calendar_dates.txt with exception 1. Of days with as many trips the first counts, for each
+    A feed's services run on the dates of :func:`read_services`. Of days with as many trips the first counts, for each
     feed by itself. Ids get the feed's number in front where there are several. stops: ``(stop, lat, lon)``; times: see
     :func:`read_gtfs_stop_times`.
     """
     stops = times = None
     for number, folder in enumerate(folders):
         trips = spark.read.csv(f"{folder}/trips.txt", header=True).select(F.col("trip_id").alias("trip"), "service_id")
-        dates = spark.read.csv(f"{folder}/calendar_dates.txt", header=True).filter("exception_type = '1'").select("service_id", "date").distinct()
-        runs = trips.join(dates, "service_id")
+        runs = trips.join(read_services(spark, folder), "service_id")
         by_day = runs.groupBy("date").agg(F.count("*").alias("n"))
         busiest = by_day.agg(F.max_by("date", F.struct("n", (-F.col("date").cast("long")).alias("early"))).alias("date"))
         today = runs.join(F.broadcast(busiest), "date").select("trip")  # one date
