@@ -186,3 +186,17 @@ def test_crossings_against_pairs(spark):
         assert got.crosses == bool(met)
         assert (got.cross_width, got.cross_lanes, got.cross_aadt) == tuple(sum(o[k] or 0.0 for o in met) for k in (7, 8, 9))
         assert got.cross_speed == (max(speeds) if speeds else None)
+
+
+def test_sweep_by_joins_is_the_same(spark):
+    import random
+
+    from trellisway.operators.access import detour_sweep
+
+    draw = random.Random(3)
+    rows = [(draw.randrange(12), draw.randrange(12), float(draw.randrange(1, 90)), draw.randrange(1 << 16) / 65536, draw.randrange(1 << 16) / 65536) for _ in range(60)]
+    links = spark.createDataFrame([r for r in {r[:2]: r for r in rows}.values() if r[0] != r[1]], "a long, b long, time double, green double, stress double")
+    origins = spark.range(13).select("id").withColumnRenamed("id", "origin")
+    settings = spark.createDataFrame([(0, [0.0, 0.0]), (1, [2.0, 0.5]), (2, [0.0, 5.0])], "setting long, weights array<double>")
+    one, two = (sorted(detour_sweep(links, origins, settings, ["green", "stress"], **kw).collect()) for kw in ({}, {"max_links": 0}))
+    assert one == two and len(one) > 5

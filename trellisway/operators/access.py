@@ -136,17 +136,18 @@ def feature_accessibility(values: DataFrame, zones: DataFrame, members: DataFram
     return means.unionByName(own)
 
 
-def detour_sweep(links: DataFrame, origins: DataFrame, settings: DataFrame, attributes: list[str], bins: int = 500) -> DataFrame:
+def detour_sweep(links: DataFrame, origins: DataFrame, settings: DataFrame, attributes: list[str], bins: int = 500, max_links: int = MAX_BROADCAST_LINKS) -> DataFrame:
     """``(setting, bin, n)``: the detour histogram of every setting of cost weights over all origins and nodes.
 
     links: a, b, time and the attribute columns; settings: ``(setting, weights array<double>)`` in the attributes' order, under which a
     link costs ``time * (1 + sum of weight * attribute)``. A path's detour is its time over the least time. Every task
-    counts its origins' detours, so no pair is written; a few counts a task and setting are summed.
+    counts its origins' detours, so no pair is written; a few counts a task and setting are summed. Beyond ``max_links``
+    the trees of one setting after another are relaxed by joins.
     """
     ends = [F.col(c).cast("long").alias(c) for c in ("a", "b")]
     own = links.select(*ends, *(F.col(c).cast("double").alias(c) for c in ("time", *attributes))).dropna()
-    if own.limit(MAX_BROADCAST_LINKS + 1).count() > MAX_BROADCAST_LINKS:
-        raise ValueError("the graph is too large to send: cut it to a region first")
+    if own.limit(max_links + 1).count() > max_links:
+        return _sweep_by_joins(own, origins, settings, attributes, bins)
     table = own.toArrow()
     column = {c: table.column(c).to_numpy() for c in table.column_names}
     place = np.arange(len(table), dtype=float)  # carried through the sort, to bring the attributes into the same order
@@ -173,6 +174,20 @@ def detour_sweep(links: DataFrame, origins: DataFrame, settings: DataFrame, attr
     return over_blocks(asked, "setting long, bin int, n long", shared, graph.blocks(), work).groupBy("setting", "bin").agg(F.sum("n").alias("n"))
 
 
+def _sweep_by_joins(links: DataFrame, origins: DataFrame, settings: DataFrame, attributes: list[str], bins: int) -> DataFrame:
+    """The same for a graph of any size; only counts are kept of each setting's trees."""
+    fast = tree(links.select("a", "b", F.col("time").alias("cost")), origins, max_links=0).filter("cost > 0 and origin <> node").select("origin", "node", F.col("cost").alias("fast")).checkpoint()
+    out = None
+    for r in settings.collect():  # a parameter
+        factor = sum((F.lit(float(w)) * F.col(c) for w, c in zip(r["weights"], attributes, strict=True)), F.lit(0.0))
+        found = tree(links.select("a", "b", (F.col("time") * (1 + factor)).alias("cost"), "time"), origins, max_links=0)
+        bin_ = F.least(F.floor((F.col("time") / F.col("fast") - 1) * 100 + 1e-9), F.lit(bins - 1)).cast("int")
+        counts = found.join(fast, ["origin", "node"]).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
+        counts = counts.select(F.lit(r["setting"]).cast("long").alias("setting"), "bin", "n").checkpoint()
+        out = counts if out is None else out.unionByName(counts)
+    return out if out is not None else settings.limit(0).select(F.col("setting").cast("long").alias("setting"), F.lit(0).alias("bin"), F.lit(0).cast("long").alias("n"))
+
+
 def check_weights(locations: DataFrame) -> DataFrame:
     """Fails where access points of one location have different weights."""
     low, high = F.min("weight"), F.max("weight")

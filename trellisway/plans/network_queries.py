@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import link as L
@@ -170,8 +170,12 @@ def q_marginal(spark, sf_dir):
 
 
 def q_connectors(spark, sf_dir):
-    base = D.full_links(spark, sf_dir).select(F.concat_ws("-", "a", "b").alias("link_id"), "a", "b", "freespeed", "capacity", "lanes")
-    ends = base.groupBy().agg(F.min_by("link_id", F.struct("a", "b")).alias("from_link"), F.max_by("link_id", F.struct("a", "b")).alias("to_link"))
+    """From the first to the last link of every order's way, for each pair of links once."""
+    base = D.full_links(spark, sf_dir).select(F.concat_ws("-", "a", "b").alias("link_id"), "a", "b", "freespeed", "capacity", "lanes").checkpoint()
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    steps = D.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("a"), F.lead("l_suppkey").over(order).alias("b"), F.row_number().over(order).alias("k"))
+    steps = steps.filter("b is not null and a <> b").withColumn("link", F.concat_ws("-", "a", "b"))
+    ends = steps.groupBy("l_orderkey").agg(F.min_by("link", "k").alias("from_link"), F.max_by("link", "k").alias("to_link")).select("from_link", "to_link").distinct()
     out = N.connectors(base, D.nodes(spark, sf_dir), ends)
     return out.select("link_id", "a", "b", F.round("length", 6).alias("length"), "capacity", "lanes")
 
@@ -281,9 +285,10 @@ FROM full_links f LEFT JOIN full_links o ON o.a = f.b AND o.b = f.a""",
     ) + """, mutual AS (SELECT x.s, x.n FROM r x JOIN r y ON y.s = x.n AND y.n = x.s), size AS (SELECT s, count(*) AS c, min(n) AS least FROM mutual GROUP BY 1)
 SELECT n AS node FROM mutual WHERE s = (SELECT s FROM size ORDER BY c DESC, least, s LIMIT 1)""",
     "vehicle_connectors": _FULL + """, f AS (SELECT *, CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR) AS id FROM full_links),
-  p AS (SELECT * FROM f ORDER BY a, b LIMIT 1), q AS (SELECT * FROM f ORDER BY a DESC, b DESC LIMIT 1)
+  st AS (SELECT l_orderkey, l_suppkey AS a, lead(l_suppkey) OVER o AS b, row_number() OVER o AS k FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)),
+  en AS (SELECT DISTINCT arg_min(a || '-' || b, k) AS one, arg_max(a || '-' || b, k) AS two FROM st WHERE b IS NOT NULL AND a <> b GROUP BY l_orderkey)
 SELECT 'connector_' || p.id || '_' || q.id AS link_id, p.b AS a, q.a AS b, round(sqrt((nb.x - na.x) ** 2 + (nb.y - na.y) ** 2), 6) AS length,
-  greatest(p.capacity, q.capacity) AS capacity, greatest(p.lanes, q.lanes) AS lanes FROM p, q JOIN nodes nb ON nb.node = q.a JOIN nodes na ON na.node = p.b""",
+  greatest(p.capacity, q.capacity) AS capacity, greatest(p.lanes, q.lanes) AS lanes FROM en JOIN f p ON p.id = one JOIN f q ON q.id = two JOIN nodes nb ON nb.node = q.a JOIN nodes na ON na.node = p.b""",
     "congested_capacity": _from(
         "CASE WHEN road IN ('primary', 'secondary') THEN 0.7 * capacity ELSE capacity END * CASE WHEN length < 100 THEN 2 ELSE 1 END AS capacity"
     ),
