@@ -4,11 +4,13 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from trellisway.functions.decay import Decay
 from trellisway.operators import paths as P
 from trellisway.operators.access import accessibility, detour_sweep, skim
 from trellisway.operators.corridor import corridors
+from trellisway.operators.network import crossing_attributes
 from trellisway.operators.transit import connections, earliest_arrivals, leg_summary
 
 TINY = [(1, 2, 100.0), (2, 3, 100.0), (1, 3, 250.0), (3, 1, 80.0), (3, 4, 50.0)]
@@ -93,6 +95,18 @@ def test_timetable(spark):
     assert found == {(50.0, 10): 50.0, (50.0, 11): 200.0, (50.0, 12): 300.0, (50.0, 13): 250.0, (150.0, 10): 150.0}
 
 
+@pytest.mark.parametrize("most", [40, 9])
+def test_slices_of_a_timetable_hand_on_their_arrivals(spark, most):
+    draw = random.Random(8)
+    rows = [(draw.randrange(9), draw.randrange(9), float(t), float(t + draw.randrange(0, 900))) for t in (draw.randrange(0, 7200) for _ in range(150))]
+    hops = spark.createDataFrame([r for r in rows if r[0] != r[1]], "u long, v long, dep double, arr double")
+    origins = spark.createDataFrame([(o, d) for o in range(10) for d in (0.0, 3000.0)], "origin long, departure double")
+    whole, cut = (sorted(earliest_arrivals(hops, origins, 6000.0, max_connections=n).collect()) for n in (10_000, most))
+    assert whole == cut and len(whole) > 100
+    with pytest.raises(ValueError, match="minute"):
+        earliest_arrivals(hops, origins, max_connections=1)
+
+
 def test_legs(spark):
     rows = [(1, 0, "walk", 60.0, 80.0, 0.0), (1, 1, "bus", 300.0, 2000.0, 120.0), (1, 2, "train", 600.0, 9000.0, 30.0), (1, 3, "walk", 50.0, 70.0, 0.0), (2, 0, "walk", 500.0, 600.0, 0.0)]
     legs = spark.createDataFrame(rows, "trip long, seq int, mode string, seconds double, metres double, wait double")
@@ -164,10 +178,6 @@ def test_many_origins_in_one_block():
 
 
 def test_crossings_against_pairs(spark):
-    import random
-
-    from trellisway.operators.network import crossing_attributes
-
     draw = random.Random(12)
     rows = [
         (f"l{i}", i // 2, draw.randrange(6), draw.randrange(4), draw.choice([-1, 1, 2, 3, None]), draw.choice([None, "", "a", "b", "c"]), draw.random() < 0.7,
@@ -189,10 +199,6 @@ def test_crossings_against_pairs(spark):
 
 
 def test_sweep_by_joins_is_the_same(spark):
-    import random
-
-    from trellisway.operators.access import detour_sweep
-
     draw = random.Random(3)
     rows = [(draw.randrange(12), draw.randrange(12), float(draw.randrange(1, 90)), draw.randrange(1 << 16) / 65536, draw.randrange(1 << 16) / 65536) for _ in range(60)]
     links = spark.createDataFrame([r for r in {r[:2]: r for r in rows}.values() if r[0] != r[1]], "a long, b long, time double, green double, stress double")
