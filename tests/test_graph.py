@@ -79,6 +79,15 @@ def test_corridor_by_enumeration(spark):
     assert found == {(1, 2): 0.0, (2, 3): 0.0, (1, 4): 0.05, (4, 3): 0.05, (3, 6): 0.0}
 
 
+def test_corridors_by_ellipses_are_the_same(spark):
+    draw = random.Random(21)
+    rows = {(draw.randrange(25), draw.randrange(25)): 1 + draw.random() for _ in range(110)}
+    links = spark.createDataFrame([(a, b, c) for (a, b), c in rows.items() if a != b], "a long, b long, cost double")
+    pairs = spark.createDataFrame([(draw.randrange(26), draw.randrange(26)) for _ in range(40)] + [(None, 3)], "origin long, target long")
+    one, two = (sorted((*r[:4], round(r.detour, 9)) for r in corridors(links, pairs, 1.4, **kw).collect()) for kw in ({}, {"max_links": 0}))
+    assert one == two and len(one) > 100
+
+
 def test_corridor_looks_at_every_part(spark):
     """The whole way is 9 % longer, but one part of it is 50 % longer than the shortest between its ends."""
     rows = [(1, 2, 50.0), (2, 3, 10.0), (2, 4, 10.0), (4, 3, 5.0), (3, 5, 10.0)]
