@@ -7,6 +7,7 @@ import random
 
 import pytest
 
+from trellisway.operators.demand import gated_plans
 from trellisway.operators.mapping import MappingParams, candidate_links, map_routes, patterns, route_links
 
 
@@ -101,3 +102,21 @@ def test_patterns(spark):
     named, routes = patterns(spark.createDataFrame(calls, "vehicle long, seq long, stop long"))
     assert {tuple(r) for r in named.collect()} == {(7, 2), (2, 2), (3, 3), (4, 4)}
     assert {tuple(r) for r in routes.collect()} == {(2, 1, 5), (2, 2, 6), (3, 1, 6), (3, 2, 5), (4, 1, 5)}
+
+
+def test_gates(spark):
+    inside = lambda x, y: (x >= 0) & (x <= 100)
+    links = [  # two streets inside, one in, one out
+        (1, 1, 2, 40.0, 10.0, 0.0, 50.0, 0.0, True, False, False), (2, 2, 3, 60.0, 50.0, 0.0, 90.0, 0.0, True, False, False),
+        (3, 0, 1, 20.0, -50.0, 0.0, 10.0, 0.0, False, True, False), (4, 3, 9, 30.0, 90.0, 0.0, 150.0, 0.0, False, False, True),
+        (5, 50, 51, 1.0, 40.0, 80.0, 60.0, 80.0, True, False, False),
+    ]
+    frame = spark.createDataFrame
+    link_frame = frame(links, "link long, a long, b long, time double, ax double, ay double, bx double, by double, internal boolean, entry boolean, exit boolean")
+    trips = [(1, 1000.0, 20.0, 5.0, 80.0, -5.0), (2, 30.0, -90.0, 3.0, 170.0, 3.0), (3, 1000.0, 80.0, 1.0, 20.0, 1.0), (4, 1000.0, 20.0, 5.0, -70.0, 0.0), (5, 1000.0, None, 5.0, 20.0, 1.0), (6, 1000.0, 50.0, 80.0, 20.0, 5.0)]
+    found = gated_plans(frame(trips, "id long, seconds double, ox double, oy double, dx double, dy double"), link_frame, inside, 30.0)
+    assert {r.id: (r.origin_link, r.target_link, r.start) for r in found.collect()} == {
+        1: (1, 2, 950.0), 2: (3, 4, 86_355.0), 3: (2, 1, 1000.0), 4: (1, 4, 935.0), 5: (None, 1, None), 6: (5, 1, None),
+    }
+    none = gated_plans(frame(trips[:1], "id long, seconds double, ox double, oy double, dx double, dy double"), link_frame.filter("not internal"), inside, 30.0).first()
+    assert (none.origin_link, none.start) == (None, None)

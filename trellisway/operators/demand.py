@@ -5,10 +5,13 @@ Draws are :func:`..operators.spatial.uniform` numbers of the rows' own keys, so
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import uniform
+from .paths import costs
+from .spatial import nearest_link, uniform
 
 #: Trips a day per trip of the period, and what a truck's trip counts against a car's.
 PERIOD_FACTORS = {"AM": 2.58, "IP": 9.159, "PM": 2.75}
@@ -92,6 +95,35 @@ def gate(trips: DataFrame) -> DataFrame:
     return trips.withColumn("kind", F.when(o & t, "internal").when(t, "entry").when(o, "exit").otherwise("through"))
 
 
+def gated_plans(trips: DataFrame, links: DataFrame, inside: Callable[[Column, Column], Column], cell: float, max_links: int | None = None) -> DataFrame:
+    """Adds ``origin_link``, ``target_link`` and ``start`` to trips ``(id, seconds, ox, oy, dx, dy, ...)``.
+
+    links: ``(link, a, b, time, ax, ay, bx, by, internal, entry, exit)``. An end inside the network's boundary lies on the nearest internal link;
+    an origin outside comes in by the nearest entry link, and a target outside is left for by the nearest exit link. ``inside(x, y)``
+    says what is inside. The trip's middle is at ``seconds``: it starts half its time on the network earlier, from the start of its first
+    link to the end of its last, wrapped into the day. Without a way, or a link of the kind, ``start`` is null; so are the links of an end
+    without coordinates. Ends at one place are looked up once, and ways between one pair of nodes are searched once.
+    """
+    place = lambda x, y: F.concat_ws(",", F.col(x).cast("string"), F.col(y).cast("string"))
+    kind = lambda x, y, outside: F.when(inside(F.col(x), F.col(y)), "internal").otherwise(outside)
+    own = trips.withColumns({"_o": place("ox", "oy"), "_d": place("dx", "dy"), "_ok": kind("ox", "oy", "entry"), "_dk": kind("dx", "dy", "exit")})
+    ends = own.select(F.col("_o").alias("point"), F.col("ox").alias("x"), F.col("oy").alias("y"), F.col("_ok").alias("kind")).unionByName(
+        own.select(F.col("_d").alias("point"), F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("_dk").alias("kind"))
+    ).dropna().distinct().checkpoint()
+    found = None
+    for name in ("internal", "entry", "exit"):
+        near = nearest_link(ends.filter(F.col("kind") == name), links.filter(F.col(name)), cell).select("point", F.lit(name).alias("kind"), F.col("best").alias("link"))
+        found = near if found is None else found.unionByName(near)
+    found = found.checkpoint()
+    side = lambda p, k, link: found.select(F.col("point").alias(p), F.col("kind").alias(k), F.col("link").alias(link))
+    placed = own.join(side("_o", "_ok", "origin_link"), ["_o", "_ok"], "left").join(side("_d", "_dk", "target_link"), ["_d", "_dk"], "left").select(*trips.columns, "origin_link", "target_link").checkpoint()
+    pairs = placed.select("origin_link", "target_link").dropna().distinct()
+    pairs = pairs.join(links.select(F.col("link").alias("origin_link"), F.col("a").alias("origin")), "origin_link").join(links.select(F.col("link").alias("target_link"), F.col("b").alias("target")), "target_link")
+    times = costs(links.select("a", "b", F.col("time").alias("cost")), pairs.select("origin", "target"), max_links)
+    known = pairs.join(times.select("origin", "target", F.col("cost").alias("_free")), ["origin", "target"]).select("origin_link", "target_link", "_free")
+    return placed.join(known, ["origin_link", "target_link"], "left").select(*trips.columns, "origin_link", "target_link", departure("seconds", "_free").alias("start"))
+
+
 def sample_population(people: DataFrame, share: float, *keys: str) -> DataFrame:
     """Rows kept with a probability, by their keys."""
     return people.filter(uniform(*keys, F.lit("population")) < share)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import mapping as M
+from ..operators.demand import gated_plans
 from . import derived as D
 from .journey_queries import calls
 
@@ -43,7 +44,18 @@ def q_mapping_links(spark, sf_dir):
     return M.route_links(M.map_routes(routes, stops(spark, sf_dir), links, PARAMS).checkpoint(), links)
 
 
-QUERIES = {"stop_candidates": q_candidates, "stop_mapping": q_mapping, "stop_mapping_links": q_mapping_links}
+def q_gated(spark, sf_dir):
+    """First and last link and departure of every trip, by gates around the diamond: links inside, into and out of it."""
+    inside = lambda x, y: F.abs(x - 5000) + F.abs(y - 5000) < 4000.5
+    a, b = inside(F.col("ax"), F.col("ay")), inside(F.col("bx"), F.col("by"))
+    links = roads(spark, sf_dir).select("*", (F.col("length") / 2).alias("time"), (a & b).alias("internal"), (~a & b).alias("entry"), (a & ~b).alias("exit")).checkpoint()
+    at = stops(spark, sf_dir)
+    trips = D.trips(spark, sf_dir).select(F.col("trip").alias("id"), F.col("start").cast("double").alias("seconds"), "origin", "target")
+    trips = trips.join(at.select(F.col("stop").alias("origin"), F.col("x").alias("ox"), F.col("y").alias("oy")), "origin").join(at.select(F.col("stop").alias("target"), F.col("x").alias("dx"), F.col("y").alias("dy")), "target")
+    return gated_plans(trips.select("id", "seconds", "ox", "oy", "dx", "dy"), links, inside, 400.0).select("id", "origin_link", "target_link", F.round("start", 4).alias("start"))
+
+
+QUERIES = {"gated_plans": q_gated, "stop_candidates": q_candidates, "stop_mapping": q_mapping, "stop_mapping_links": q_mapping_links}
 
 _CANDIDATES = "WITH RECURSIVE " + ",\n".join([
     D.SQL["links"], D.SQL["nodes"],
@@ -55,7 +67,19 @@ _CANDIDATES = "WITH RECURSIVE " + ",\n".join([
     "c AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY stop ORDER BY away > 200, away, link) <= CASE WHEN min(away) OVER (PARTITION BY stop) <= 200 THEN 3 ELSE 1 END AND (away <= 200 OR min(away) OVER (PARTITION BY stop) > 200))",
 ])
 
+_DIAMOND = "abs({0}x - 5000) + abs({0}y - 5000) < 4000.5"
+
 ORACLE_SQL = {
+    "gated_plans": _CANDIDATES + f""",
+    e AS (SELECT a, b, length / 2 AS w FROM links), seeds AS (SELECT s_suppkey AS node FROM supplier), {D.SQL["tree"]}, {D.SQL["trips"]},
+    g AS (SELECT link, a, b, {_DIAMOND.format("a")} AS fa, {_DIAMOND.format("e")} AS fb FROM r),
+    near AS (SELECT d.stop, k.kind, arg_min(d.link, (d.away, d.link)) AS link FROM d JOIN g USING (link) JOIN (VALUES ('internal', true, true), ('entry', false, true), ('exit', true, false)) k(kind, fa, fb)
+      ON k.fa = g.fa AND k.fb = g.fb GROUP BY 1, 2),
+    w AS (SELECT stop, {_DIAMOND.format("")} AS inside FROM s),
+    p AS (SELECT trip AS id, start, o.link AS origin_link, t.link AS target_link FROM trips JOIN w wo ON wo.stop = origin JOIN w wt ON wt.stop = target
+      LEFT JOIN near o ON o.stop = origin AND o.kind = CASE WHEN wo.inside THEN 'internal' ELSE 'entry' END LEFT JOIN near t ON t.stop = target AND t.kind = CASE WHEN wt.inside THEN 'internal' ELSE 'exit' END)
+    SELECT id, origin_link, target_link, round((CAST(start AS DOUBLE) - cost / 2 + 86400) % 86400, 4) AS start FROM p LEFT JOIN r x ON x.link = origin_link LEFT JOIN r y ON y.link = target_link
+      LEFT JOIN tree ON tree.origin = x.a AND tree.node = y.b""",
     "stop_candidates": _CANDIDATES + " SELECT stop, round(away, 6) AS away FROM c",
     "stop_mapping": _CANDIDATES + """,
     e AS (SELECT a, b, length AS w FROM links), seeds AS (SELECT s_suppkey AS node FROM supplier), """ + D.SQL["tree"] + """,
