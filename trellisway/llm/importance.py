@@ -37,6 +37,8 @@ def ngrams(found: Column, least: int, most: int) -> Column:
     """All runs of ``least`` to ``most`` consecutive words, joined by a space, repeats included."""
 
     def runs(n: int) -> Column:
+        if n == 1:
+            return found
         length = F.greatest(F.size(found) - (n - 1), F.lit(0))
         joined = F.slice(found, F.lit(1), length)
         for after in range(2, n + 1):
