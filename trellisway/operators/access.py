@@ -223,24 +223,25 @@ def skim(links: DataFrame, zones: DataFrame, value: str = "cost") -> DataFrame:
     if graph is None:
         found = tree(links, o.select("origin")).join(d, "node").groupBy("origin", "d").agg(F.sum(value).alias("total"), F.count("*").alias("pairs"))
     else:
-        known = d.join(F.broadcast(links.sparkSession.createDataFrame(pa.table({"node": graph.nodes}))), "node").orderBy("d", "node").toArrow()  # as many rows as the sent graph has nodes
+        known = d.join(links.sparkSession.createDataFrame(pa.table({"node": graph.nodes})), "node").orderBy("d", "node").toArrow()  # as many rows as the sent graph has nodes
         labels, at = known.column("d").combine_chunks(), np.searchsorted(graph.nodes, known.column("node").to_numpy())
+        plain = labels.to_pylist()
+        cuts = np.flatnonzero(np.array([True, *(x != y for x, y in zip(plain[1:], plain[:-1], strict=True))]))[: len(plain)]
 
         def work(rows, sent):
-            g, names, place = sent
+            g, names, place, cut = sent
             found = g.trees([[(p, 0.0, 0.0, 0.0)] if (p := g.place(r[0])) >= 0 else [] for r in rows])
             values, reached = getattr(found, value)[:, place], np.isfinite(found.cost)[:, place]
-            cut = np.flatnonzero(np.array([True, *(x != y for x, y in zip(names[1:].to_pylist(), names[:-1].to_pylist(), strict=True))]))[: len(names)]
-            if len(names):
+            if len(cut):
                 total, pairs = np.add.reduceat(np.where(reached, values, 0.0), cut, axis=1), np.add.reduceat(reached.astype(np.int64), cut, axis=1)
                 origin = np.repeat(np.array([r[0] for r in rows], np.int64), len(cut))
-                columns = [pa.array(origin), names.take(pa.array(np.tile(cut, len(rows)))), pa.array(total.reshape(-1)), pa.array(pairs.reshape(-1))]
+                columns = [pa.array(origin), names.take(pa.array(np.tile(np.arange(len(cut)), len(rows)))), pa.array(total.reshape(-1)), pa.array(pairs.reshape(-1))]
                 yield pa.RecordBatch.from_arrays(columns, names=["origin", "d", "total", "pairs"])
 
         kind = zones.schema["zone"].dataType.simpleString()
         asked = o.select("origin").dropna().distinct()
-        found = over_blocks(asked, f"origin long, d {kind}, total double, pairs long", (graph, labels, at), graph.blocks(), work)
-        alone = o.join(asked.join(F.broadcast(links.sparkSession.createDataFrame(pa.table({"origin": graph.nodes}))), "origin", "left_anti"), "origin")
+        found = over_blocks(asked, f"origin long, d {kind}, total double, pairs long", (graph, labels.take(pa.array(cuts)), at, cuts), graph.blocks(), work)
+        alone = o.join(asked.join(links.sparkSession.createDataFrame(pa.table({"origin": graph.nodes})), "origin", "left_anti"), "origin")
         found = found.unionByName(alone.select("origin", F.col("o").alias("d"), F.lit(0.0).alias("total"), F.lit(1).cast("long").alias("pairs")))  # a node without links reaches itself
     sums = found.join(o, "origin").groupBy("o", "d").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
     all_pairs = sizes.agg(F.collect_list(F.struct("zone", "n")).alias("zs"))  # one row: zones are far fewer than nodes

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from .paths import sampled_paths
 
 
+#: Class codes of at most so many labels are broadcast.
+MAX_CLASSES = 100_000
+
+
 @dataclass(frozen=True)
 class Specification:
     """Alternatives with their linear utilities, ``alternative -> [(coefficient, column expression in SQL)]``.
@@ -245,8 +249,8 @@ def short_trip(mode: str, dist: str | Column | None, ox, oy, dx, dy, longest: fl
 def encode_classes(data: DataFrame, label: str, code: str = "code") -> DataFrame:
     """Adds ``code``, the place of a label among the sorted different labels, from 0; a null label has none."""
     names = data.select(label).dropna().distinct()
-    coded = names.withColumn(code, F.row_number().over(Window.orderBy(label)) - 1)  # as many rows as classes
-    return data.join(F.broadcast(coded), label, "left")
+    coded = names.withColumn(code, F.row_number().over(Window.orderBy(label)) - 1).checkpoint()  # as many rows as classes
+    return data.join(F.broadcast(coded) if coded.count() <= MAX_CLASSES else coded, label, "left")
 
 
 @dataclass(frozen=True)
