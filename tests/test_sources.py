@@ -204,3 +204,16 @@ def test_services_of_weeks_and_exceptions(spark, tmp_path):
     assert {tuple(r) for r in R.read_services(spark, str(tmp_path / "dates")).collect()} == {("week", "20240302"), ("other", "20240301"), ("sunday", "20240225")}
     with pytest.raises(ValueError, match="calendar"):
         R.read_services(spark, str(tmp_path))
+
+
+def test_stream_keeps_the_last_count_of_an_hour(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    for i, rows in enumerate([[(at(8, 5), 1, "car"), (at(9, 1), 2, "truck")], [(at(8, 50), 1, "car"), (at(9, 59), 1, "car"), (at(9, 2), 2, "bus")]]):
+        spark.createDataFrame(rows, "ts timestamp, link long, type string").coalesce(1).write.parquet(f"{tmp_path}/in{i}")
+    schema = spark.read.parquet(f"{tmp_path}/in0").schema
+    stream = V.hourly(V.entries(spark, f"{tmp_path}/in*", schema, files_per_trigger=1), late="3 hours")
+    found = V.run_once(stream, f"{tmp_path}/out", f"{tmp_path}/check", ["link", "hour"])
+    assert {(r.link, r.hour.hour, r.car, r.truck) for r in found.collect()} == {(1, 8, 2, 0), (2, 9, 0, 1), (1, 9, 1, 0)}
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]) >= 3

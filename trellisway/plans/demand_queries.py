@@ -118,7 +118,7 @@ def q_stream(spark, sf_dir):
     raw = V.entries(spark, f"{sf_dir}/events*.parquet", schema)
     kind = F.when(F.col("event_type").isin("view", "click"), "car").when(F.col("event_type") == "purchase", "truck").otherwise("other")
     result = V.hourly(raw.select(F.col("ts").cast("timestamp").alias("ts"), F.expr("user_id % 50").alias("link"), kind.alias("type")), late="45 days")
-    return V.run_once(result, new_folder(spark, "volumes"), new_folder(spark, "volume-state")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    return V.run_once(result, new_folder(spark, "volumes"), new_folder(spark, "volume-state"), ["link", "hour"]).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
 QUERIES = {

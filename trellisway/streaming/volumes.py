@@ -29,14 +29,20 @@ def hourly(stream: DataFrame, late: str = "1 hour", scale: float = 1.0) -> DataF
     return counts.select("link", F.col("w.start").alias("hour"), "car", "truck")
 
 
-def run_once(result: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Process what is there and return the result's table at ``path``, which the tasks of each batch write anew."""
+def run_once(result: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Process what is there and return the result's table, one row for each of ``keys``.
+
+    A batch writes the rows that it has changed into a folder of its number, which a repeated batch writes anew; of a key's rows the last batch
+    counts. So nothing is rewritten as the table grows, and the watermark frees the state of hours that it has closed.
+    """
     spark = result.sparkSession
-    spark.createDataFrame([], result.schema).write.parquet(path)
-    sink = result.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
-    query = sink.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark.createDataFrame([], result.schema).write.parquet(f"{path}/batch=-1")
+    sink = result.writeStream.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"))
+    query = sink.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(result.schema).parquet(path)
+    rows = spark.read.schema(T.StructType([*result.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    values = F.struct(*(c for c in result.columns if c not in keys))
+    return rows.groupBy(*keys).agg(F.max_by(values, "batch").alias("v")).select(*keys, "v.*").select(*result.columns)
 
 
 def write_closed(result: DataFrame, path: str, checkpoint: str):
