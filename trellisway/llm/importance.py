@@ -64,11 +64,17 @@ def bucket_counts(rows: DataFrame, params: ResamplingParams) -> DataFrame:
     return exploded.groupBy(_bucket("feature", params).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def _files(params: ResamplingParams) -> int:
+    """Files of a table with a row or two for each bucket: a few, however many partitions the shuffle has."""
+    return 1 + params.buckets // 1_000_000
+
+
 def gain_table(source: DataFrame, target: DataFrame, params: ResamplingParams = ResamplingParams()) -> DataFrame:
     """``(bucket, gain)`` of every bucket: 1000 times the log ratio of its smoothed shares in ``target`` and ``source``, rounded down."""
     counted = materialize(
         bucket_counts(source, params).select("bucket", F.col("n").alias("s"), F.lit(0).cast("long").alias("t"))
-        .unionByName(bucket_counts(target, params).select("bucket", F.lit(0).cast("long").alias("s"), F.col("n").alias("t"))),
+        .unionByName(bucket_counts(target, params).select("bucket", F.lit(0).cast("long").alias("s"), F.col("n").alias("t")))
+        .repartition(_files(params)),
         "bucket-counts",
     )
     total = counted.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
@@ -95,7 +101,7 @@ def ranked(rows: DataFrame, by: list[Column], drawn: Column) -> DataFrame:
     ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
     ordered = materialize(ordered, "ordered").withColumn("_part", F.shiftright("_at", 33))
     sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"), F.count(F.when(drawn, 1)).alias("_d"))
-    sizes = materialize(sizes, "sizes")  # a row for each partition of the shuffle
+    sizes = materialize(sizes.repartition(1), "sizes")  # a row for each partition of the shuffle
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     n_drawn = sizes.agg(F.coalesce(F.sum("_d"), F.lit(0)).alias("n")).first()["n"]
@@ -117,7 +123,7 @@ def importance_resample(source: DataFrame, target: DataFrame, params: Resampling
     Other columns are ignored.
     """
     rows = source.select("doc_id", "text")
-    gains = small_side(materialize(gain_table(rows, target.select("text"), params), "gains"))
+    gains = small_side(materialize(gain_table(rows, target.select("text"), params).repartition(_files(params)), "gains"))
     keyed = rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
     keys = ["_row", "doc_id", "n_words", "n_features"]
     exploded = _features(keyed, params, "_row", "doc_id").select(
