@@ -137,6 +137,23 @@ def specification(city: str, purpose: str, times: dict[str, str] | None = None)
     return Specification(utilities, available={m: f"av_{m} = 1" for m in ALTERNATIVES}, fixed=dict.fromkeys(sorted(zero), 0.0))
 
 
+def intercity(stated: bool) -> Specification:
+    """The two small examples of four alternatives between cities, of revealed choices or, with classes of service, of stated ones.
+
+    Columns: ``time_<alternative>``, ``cost_<alternative>``, ``access_<alternative>`` but for the car, ``av_<alternative>``, and for stated choices
+    ``service_air`` and ``service_rail``, where 1 is no frills, 2 wifi and 3 food. The choice is the alternative's number from 0; the published
+    data count from 1.
+    """
+    service = {"b_no_frills": 1, "b_wifi": 2, "b_food": 3} if stated else {}
+    utilities = {}
+    for mode in ("car", "bus", "air", "rail"):
+        access = [("b_access", f"access_{mode}")] if mode != "car" else []
+        served = [(b, f"CAST(service_{mode} = {level} AS DOUBLE)") for b, level in service.items()] if mode in ("air", "rail") else []
+        utilities[mode] = [(f"asc_{mode}", "1"), (f"b_tt_{mode}", f"time_{mode}"), *access, ("b_cost", f"cost_{mode}"), *served]
+    fixed = {"asc_car": 0.0} | ({"b_no_frills": 0.0} if stated else {})
+    return Specification(utilities, available={m: f"av_{m} = 1" for m in utilities}, fixed=fixed)
+
+
 def trip_key(household: str, person: str, trip: str) -> Column:
     """Household, P and T with two digits each."""
     return F.concat(F.col(household).cast("string"), F.format_string("P%02dT%02d", F.col(person).cast("int"), F.col(trip).cast("int")))
