@@ -56,3 +56,16 @@ def test_places_at_the_origin_can_be_left_out(spark, links, origins, points):
             costs = [tree[r.origin, n] for n in ns if 0 < tree.get((r.origin, n), 0) <= 800]
             want += (1.0 + i) / min(costs) if costs else 0.0
         assert r.accessibility == pytest.approx(want)
+
+
+def test_few_draws_are_searched_over_their_own_links(spark, links, origins, monkeypatch):
+    own = links.selectExpr("a", "b", "cost AS time", "cost AS dist", "cast(a % 3 as double) AS green")
+    pairs = origins.selectExpr("origin", "(origin + 7) % 30 AS target")
+    draws = spark.createDataFrame([(0, [0.0]), (1, [0.5])], "draw long, weights array<double>")
+    ask = lambda: {(r.draw, r.origin, r.target): r.cost for r in P.sampled_paths(own, pairs, draws, ["green"]).collect()}
+    want, sent = ask(), []
+    monkeypatch.setattr(P, "WHOLE_LINKS", 0)
+    send = P.send
+    monkeypatch.setattr(P, "send", lambda *args, **kw: sent.append(send(*args, **kw)) or sent[-1])
+    assert ask() == want
+    assert len(sent) == 2 and all(len(g.cost) < 1000 for g in sent)
