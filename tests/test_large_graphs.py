@@ -8,6 +8,7 @@ from trellisway.functions.decay import Decay
 from trellisway.operators import access as A
 from trellisway.operators import paths as P
 from trellisway.operators.corridor import corridors
+from trellisway.sources import sinks, tables
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +70,14 @@ def test_few_draws_are_searched_over_their_own_links(spark, links, origins, monk
     monkeypatch.setattr(P, "send", lambda *args, **kw: sent.append(send(*args, **kw)) or sent[-1])
     assert ask() == want
     assert len(sent) == 2 and all(len(g.cost) < 1000 for g in sent)
+
+
+def test_xml_files_hold_a_bounded_number_of_elements(spark, tmp_path):
+    nodes = spark.range(25, numPartitions=1).selectExpr("cast(id as string) AS node", "cast(id as double) AS x", "0D AS y")
+    links = spark.range(25, numPartitions=1).selectExpr(
+        "concat('l', id) AS link_id", "cast(id as string) AS a", "'0' AS b", "1D AS length", "1D AS freespeed", "1D AS capacity", "1D AS lanes", "array('walk') AS modes", "map('k', 'v') AS attributes",
+    )
+    sinks.write_network_xml(nodes, links, str(tmp_path / "net"), rows_per_file=10)
+    assert all(len(list((tmp_path / "net" / part).glob("part-*"))) == 3 for part in ("nodes", "links"))
+    n, found = tables.read_network(spark, str(tmp_path / "net"))
+    assert n.count() == 25 and sorted(r.link_id for r in found.collect()) == sorted(f"l{i}" for i in range(25))

@@ -115,22 +115,24 @@ def write_plans(trips: DataFrame, path: str) -> None:
     trips.write.mode("overwrite").parquet(path)
 
 
-def write_network_xml(nodes: DataFrame, links: DataFrame, path: str, mode: str | None = None) -> None:
+def write_network_xml(nodes: DataFrame, links: DataFrame, path: str, mode: str | None = None, rows_per_file: int = 100_000) -> None:
     """A network in XML, folders ``nodes`` and ``links`` of it; with ``mode`` only that mode's links, and their nodes.
 
+    A task reads a file of XML as a whole, so a file holds at most ``rows_per_file`` elements, about 400 bytes each.
+
     nodes: ``(node, x, y)``; links: ``(link_id, a, b, length, freespeed, capacity, lanes, modes array, attributes map)``.
     """
     if mode is not None:
         links = links.filter(F.array_contains("modes", mode)).withColumn("modes", F.array(F.lit(mode)))
         nodes = nodes.join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     named = F.transform(F.map_entries("attributes"), lambda e: F.struct(e["key"].alias("_name"), e["value"].alias("_VALUE")))
-    nodes.select(F.col("node").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y")).write.format("xml").options(rootTag="nodes", rowTag="node").mode(
+    nodes.select(F.col("node").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y")).write.format("xml").options(rootTag="nodes", rowTag="node", maxRecordsPerFile=rows_per_file).mode(
         "overwrite"
     ).save(f"{path}/nodes")
     links.select(
         F.col("link_id").alias("_id"), F.col("a").alias("_from"), F.col("b").alias("_to"), F.col("length").alias("_length"), F.col("freespeed").alias("_freespeed"),
         F.col("capacity").alias("_capacity"), F.col("lanes").alias("_permlanes"), F.array_join("modes", ",").alias("_modes"), F.struct(named.alias("attribute")).alias("attributes"),
-    ).write.format("xml").options(rootTag="links", rowTag="link").mode("overwrite").save(f"{path}/links")
+    ).write.format("xml").options(rootTag="links", rowTag="link", maxRecordsPerFile=rows_per_file).mode("overwrite").save(f"{path}/links")
 
 
 def write_routes(routes: DataFrame, path: str, modes: list[str], attributes: list[str]) -> None:
