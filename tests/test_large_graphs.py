@@ -81,3 +81,11 @@ def test_xml_files_hold_a_bounded_number_of_elements(spark, tmp_path):
     assert all(len(list((tmp_path / "net" / part).glob("part-*"))) == 3 for part in ("nodes", "links"))
     n, found = tables.read_network(spark, str(tmp_path / "net"))
     assert n.count() == 25 and sorted(r.link_id for r in found.collect()) == sorted(f"l{i}" for i in range(25))
+
+
+def test_volumes_of_paths_shuffle_no_single_steps(spark, links, origins):
+    trips = origins.selectExpr("origin", "explode(array((origin + 7) % 30, (origin + 7) % 30, 104)) AS target")
+    found = P.paths(links, trips)
+    assert sorted(A.path_volumes(found, trips).collect()) == sorted(A.link_volumes(P.path_links(found), trips).collect())
+    plan = A.path_volumes(found, trips)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_sum") < plan.index("Generate") < plan.index("Join")  # from the sums down to the join

@@ -186,7 +186,7 @@ def q_volumes(spark, sf_dir):
     """Total trip length by two ways that must agree: over paths' links, and over paths."""
     trips = D.trips(spark, sf_dir)
     found = P.paths(graph(spark, sf_dir), trips.filter("origin <> target"))
-    over = A.link_volumes(P.path_links(found), trips).join(D.links(spark, sf_dir), ["a", "b"])
+    over = A.path_volumes(found, trips).join(D.links(spark, sf_dir), ["a", "b"])
     return over.agg(F.sum(F.col("trips") * F.col("length")).alias("metres"))
 
 
