@@ -436,6 +436,48 @@ def costs(links: DataFrame, pairs: DataFrame, max_links: int | None = None) -> D
     return over_blocks(_asked(pairs), _PATH, graph, graph.blocks(), lambda rows, g: _path_rows(rows, g, False))
 
 
+def trip_paths(links: DataFrame, trips: DataFrame, with_nodes: bool = False, max_links: int | None = None) -> DataFrame:
+    """G08 for whole trips ``(origin, target, ...)``: their rows with ``cost, time, dist`` added, and ``nodes`` if asked for.
+
+    Trips are dealt by origin and take their other columns through the search, so they are not joined with what it finds. A
+    trip within one node costs 0; others without a path, or with an unknown end, have no row.
+    """
+    asked = trips.withColumns({c: F.col(c).cast("long") for c in ("origin", "target")}).dropna(subset=["origin", "target"])
+    graph = send(own := _links(links), max_links=max_links)
+    if graph is None:
+        stays = F.col("origin") == F.col("target")
+        values = {c: F.coalesce(c, F.when(stays, 0.0)) for c in ("cost", "time", "dist")} | {"nodes": F.coalesce("nodes", F.when(stays, F.array("origin")))}
+        found = asked.join(_paths_by_joins(own, asked), ["origin", "target"], "left").withColumns(values).dropna(subset=["cost"])
+        return found.select(*trips.columns, "cost", "time", "dist", *(["nodes"] if with_nodes else []))
+    names = ["cost", "time", "dist", *(["nodes"] if with_nodes else [])]
+    sent = asked.sparkSession.sparkContext.broadcast(graph)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        g = sent.value
+        for batch in batches:
+            origin, target = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("origin", "target"))
+            starts, whose = np.unique(origin, return_inverse=True)
+            for low in range(0, len(starts), g.blocks()):
+                mine = np.flatnonzero((whose >= low) & (whose < low + g.blocks()))
+                stays, row = origin[mine] == target[mine], whose[mine] - low
+                values = [np.where(stays, 0.0, np.inf), np.zeros(len(mine)), np.zeros(len(mine))]
+                at = np.minimum(np.searchsorted(g.nodes, target[mine]), max(0, len(g.nodes) - 1))
+                known = g.nodes[at] == target[mine] if len(g.nodes) else np.zeros(len(mine), bool)
+                found = g.trees([[(p, 0.0, 0.0, 0.0)] if (p := g.place(o)) >= 0 else [] for o in starts[low : low + g.blocks()].tolist()])
+                reached = np.flatnonzero(known)[np.isfinite(found.cost[row[known], at[known]])]
+                for v, labels in zip(values, (found.cost, found.time, found.dist), strict=True):
+                    v[reached] = labels[row[reached], at[reached]]
+                keep = np.flatnonzero(np.isfinite(values[0]))
+                columns = [*batch.take(pa.array(mine[keep])).columns, *(pa.array(v[keep]) for v in values)]
+                if with_nodes:
+                    ways = [[int(target[mine[i]])] if stays[i] else g.path(found.parent[row[i]], at[i]) for i in keep]
+                    columns.append(pa.array(ways, pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema) + ", cost double, time double, dist double" + (", nodes array<long>" if with_nodes else "")
+    return asked.repartition(_tasks(asked.sparkSession), "origin").sortWithinPartitions("origin").mapInArrow(run, schema).hint("merge")  # more than its input
+
+
 def _paths_by_joins(links: DataFrame, pairs: DataFrame, rounds: int = 1_000_000) -> DataFrame:
     """Trees by joins, then one join a hop from every target back to its origin; what has arrived waits in a table of its own."""
     asked = pairs.select(F.col("origin").cast("long").alias("origin"), F.col("target").cast("long").alias("target")).dropna().distinct()

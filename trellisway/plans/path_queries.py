@@ -137,16 +137,16 @@ detour AS (SELECT origin, node, greatest(1.0, cost / line) AS detour FROM ratio
 """
 
 
-def _trip_costs(spark, sf_dir):
-    trips = D.trips(spark, sf_dir)
-    return trips.join(P.costs(graph(spark, sf_dir), trips).select("origin", "target", "cost"), ["origin", "target"])
+def _trip_costs(spark, sf_dir, *columns):
+    """The named columns of trips, their ends and their costs."""
+    return P.trip_paths(graph(spark, sf_dir), D.trips(spark, sf_dir).select("origin", "target", *columns))
 
 
 _TRIPS = _TREE + ", " + D.SQL["trips"] + ", costed AS (SELECT t.*, cost FROM trips t JOIN tree ON tree.origin = t.origin AND tree.node = t.target)\n"
 
 
 def q_trip_indicators(spark, sf_dir):
-    return _trip_costs(spark, sf_dir).select("trip", "origin", "target", "mode", F.round("cost", 6).alias("cost"))
+    return _trip_costs(spark, sf_dir, "trip", "mode").select("trip", "origin", "target", "mode", F.round("cost", 6).alias("cost"))
 
 
 def q_beta(spark, sf_dir):
@@ -156,7 +156,8 @@ def q_beta(spark, sf_dir):
 
 def q_slope(spark, sf_dir):
     n = D.nodes(spark, sf_dir)
-    t = _trip_costs(spark, sf_dir).join(n.select(F.col("node").alias("origin"), F.col("x").alias("ox")), "origin").join(n.select(F.col("node").alias("target"), "x"), "target")
+    o, d = n.select(F.col("node").alias("origin"), F.col("x").alias("ox")), n.select(F.col("node").alias("target"), "x")
+    t = _trip_costs(spark, sf_dir).join(A.sent_if_small(o), "origin").join(A.sent_if_small(d), "target")
     return slope_through_origin(t.withColumn("dist", F.abs(F.col("x") - F.col("ox"))), "dist", "cost").select(F.round("slope", 9).alias("slope"))
 
 
@@ -192,7 +193,7 @@ def q_volumes(spark, sf_dir):
 
 def q_unique_paths(spark, sf_dir):
     t = D.trips(spark, sf_dir).groupBy("origin", "target").agg(F.min("trip").alias("trip"), F.count("*").alias("n"))
-    found = P.paths(graph(spark, sf_dir), t).join(t, ["origin", "target"])
+    found = P.trip_paths(graph(spark, sf_dir), t, with_nodes=True)
     routes = found.select("trip", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("seq"), "dist", "nodes")
     routes = routes.select("trip", "seq", "dist", F.when(F.col("seq") % 3 == 0, F.reverse("nodes")).otherwise(F.col("nodes")).alias("links"))  # each third turned
     return A.unique_paths(routes).groupBy("trip").agg(F.count("*").alias("routes"), (F.max("path_id") + 1).cast("int").alias("paths"))
