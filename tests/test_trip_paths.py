@@ -4,7 +4,7 @@ import pytest
 
 from trellisway.operators import access as A
 from trellisway.operators import paths as P
-from trellisway.plans import path_queries
+from trellisway.plans import model_queries, path_queries
 
 
 @pytest.mark.parametrize("max_links", [None, 0])
@@ -40,3 +40,15 @@ def test_routes_are_shuffled_once(spark):
     found = A.unique_paths(routes)
     assert sorted((r.trip, r.seq, r.path_id) for r in found.collect()) == [(1, 1, 0), (1, 2, 1), (1, 3, 0), (1, 4, 2), (2, 5, 0)]
     assert _exchanges(A.unique_paths(routes)) == 1
+
+
+@pytest.mark.parametrize("query", [path_queries.q_two_seed, model_queries.q_features])
+def test_links_are_derived_once(spark, sf_dir, query, monkeypatch):
+    kept = []
+    keep, names = P._links, path_queries.D.links
+    monkeypatch.setattr(path_queries.D, "links", lambda *args: kept.append(1) or names(*args))
+    seen = []
+    monkeypatch.setattr(P, "_links", lambda df: seen.append(df.is_cached) or keep(df))
+    monkeypatch.setattr(A, "_links", lambda df: seen.append(df.is_cached) or keep(df))
+    query(spark, sf_dir)
+    assert kept == [1] and seen and all(seen)
