@@ -11,6 +11,7 @@ from trellisway.operators import paths as P
 from trellisway.operators.access import accessibility, detour_sweep, skim
 from trellisway.operators.corridor import corridors
 from trellisway.operators.network import crossing_attributes
+from trellisway.operators import transit
 from trellisway.operators.transit import connections, earliest_arrivals, leg_summary
 
 TINY = [(1, 2, 100.0), (2, 3, 100.0), (1, 3, 250.0), (3, 1, 80.0), (3, 4, 50.0)]
@@ -215,3 +216,14 @@ def test_sweep_by_joins_is_the_same(spark):
     settings = spark.createDataFrame([(0, [0.0, 0.0]), (1, [2.0, 0.5]), (2, [0.0, 5.0])], "setting long, weights array<double>")
     one, two = (sorted(detour_sweep(links, origins, settings, ["green", "stress"], **kw).collect()) for kw in ({}, {"max_links": 0}))
     assert one == two and len(one) > 5
+
+
+def test_only_vehicles_that_can_be_met_are_sent(spark, monkeypatch):
+    rows = [(p + a, p + (a + 1) % 5, 100.0 * k, 100.0 * k + 50) for k in range(20) for p in (0, 10) for a in range(5)]
+    hops = spark.createDataFrame(rows, "u long, v long, dep double, arr double")
+    origins = spark.createDataFrame([(3, 1000.0), (12, 1400.0), (99, 0.0 + 1000)], "origin long, departure double")
+    sent, cut = [], transit._slices
+    monkeypatch.setattr(transit, "_slices", lambda df, most: sent.append(df) or cut(df, most))
+    found = {(r.origin, r.stop): r.arrival for r in earliest_arrivals(hops, origins, max_connections=60).collect()}
+    assert found == {(3, (3 + i) % 5): 1000.0 + (100 * i - 50 if i else 0) for i in range(5)} | {(12, 10 + (2 + i) % 5): 1400.0 + (100 * i - 50 if i else 0) for i in range(5)}
+    assert sent[0].count() == 100 and not sent[0].is_cached  # of 200, those from the first departure on
