@@ -51,9 +51,10 @@ def nodes_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(ends, "node", "left_semi")
 
 
-def junctions(links: DataFrame) -> DataFrame:
-    """Nodes where more than two distinct edges meet: ``(node, n_edges)``."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("node"), "edge_id").distinct()
+def junctions(links: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Nodes where more than two distinct edges meet: ``(node, n_edges)``. Ends are dealt over ``tasks``, or as Spark does."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node"), "edge_id")
+    ends = (ends if tasks is None else ends.repartition(tasks, "node")).distinct()
     return ends.groupBy("node").agg(F.count("*").alias("n_edges")).filter("n_edges > 2")
 
 
@@ -62,7 +63,7 @@ def same_road(osm: Column, other_osm: Column, name: Column, other_name: Column)
     return (osm == other_osm) | F.coalesce((F.length(name) > 0) & (name == other_name), F.lit(False))
 
 
-def crossing_attributes(links: DataFrame) -> DataFrame:
+def crossing_attributes(links: DataFrame, tasks: int | None = None) -> DataFrame:
     """What a link crosses at the junction it ends in: ``(link_id, cross_width, cross_lanes, cross_aadt, cross_speed, crosses)``.
 
     links: link_id, edge_id, b, osm_id, name, allows_car, width, lanes, aadt_fwd, limit_mph. Crossed are the other links
@@ -71,8 +72,10 @@ def crossing_attributes(links: DataFrame) -> DataFrame:
     What a link crosses depends on its junction, id and name only. Sums are those of the junction without those of the same id and of the same
     name, and with those of both back, so a junction of n links makes n rows and not their pairs. The top speed is that of the first of
     five candidates that is of another road: of an id and of a name the two fastest are enough, and they hide four at most.
+    Links are dealt by their junction over ``tasks``, or as Spark does.
     """
-    at = junctions(links.select("edge_id", F.col("a"), F.col("b"))).select(F.col("node").alias("b"))
+    at = junctions(links.select("edge_id", F.col("a"), F.col("b")), tasks).select(F.col("node").alias("b"))
+    links = links if tasks is None else links.repartition(tasks, "b")
     road = F.coalesce("name", F.lit("")).alias("road")
     ends = links.join(at, "b", "left_semi").filter("osm_id is not null").select("b", "osm_id", road, "allows_car", "width", "lanes", "aadt_fwd", "limit_mph")
     car = lambda c: F.sum(F.when(F.col("allows_car"), F.coalesce(c, F.lit(0.0))).otherwise(F.lit(0.0)))

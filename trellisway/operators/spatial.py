@@ -298,24 +298,30 @@ def segments_cross(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
     return ((s1 != s2) & (s3 != s4)) | touch
 
 
-def links_in_zones(links: DataFrame, zones: DataFrame, cell: float) -> DataFrame:
+def links_in_zones(links: DataFrame, zones: DataFrame, cell: float, tasks: int | None = None, unless: Column | None = None) -> DataFrame:
     """``(zone, link)`` of straight links ``(link, ax, ay, bx, by)`` that touch a zone ``(zone, ring or parts)``, within it or across its edge.
 
-    A link touches a zone if it starts there or meets an edge. Links and edges are listed under the cells that they cross, so a long
-    link meets the few edges along its way.
+    A link touches a zone if it starts there or meets an edge. Links, zones and edges are listed under the cells that they cross, so a long
+    link meets the few edges along its way. ``unless`` leaves out pairs by ``zone`` and the link's ends. Links are dealt over ``tasks``, where
+    each one's zones then meet without another shuffle, or as Spark does.
     """
-    own = links.select("link", "ax", "ay", "bx", "by")
+    ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
     rings = _with_rings(zones)
     b = bounds(F.flatten("rings"))
-    listed = rings.select("zone", "rings", F.explode(_cells(b["x0"], b["y0"], b["x1"], b["y1"], cell)).alias("c")).select("zone", "rings", "c.*")
-    starts = own.select("link", "ax", "ay", F.floor(F.col("ax") / cell).alias("cx"), F.floor(F.col("ay") / cell).alias("cy"))
-    inside = starts.join(listed, ["cx", "cy"]).filter(contains_rings("rings", "ax", "ay")).select("zone", "link")
-    ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
+    no_edge = [F.lit(None).cast("double").alias(f"e_{c}") for c in ("ax", "ay", "bx", "by")]
+    whole = rings.select("zone", "rings", *no_edge, F.explode(_cells(b["x0"], b["y0"], b["x1"], b["y1"], cell)).alias("c"))
+    walls = edges_of(zones).select(
+        "zone", F.lit(None).cast(rings.schema["rings"].dataType).alias("rings"), *(e.alias(f"e_{n}") for e, n in zip(ends, ("ax", "ay", "bx", "by"), strict=True)),
+        F.explode(_crossed(*ends, cell)).alias("c"),
+    )
+    listed = whole.unionByName(walls).select("zone", "rings", "e_ax", "e_ay", "e_bx", "e_by", "c.*")
+    own = links.select("link", *ends)
+    own = own if tasks is None else own.repartition(tasks, "link")
     passed = own.select("link", *ends, F.explode(_crossed(*ends, cell)).alias("c")).select("link", *ends, "c.*")
-    edges = edges_of(zones)
-    walls = edges.select("zone", *ends, F.explode(_crossed(*ends, cell)).alias("c")).select("zone", *(e.alias(f"e_{n}") for e, n in zip(ends, ("ax", "ay", "bx", "by"), strict=True)), "c.*")
-    across = passed.join(walls, ["cx", "cy"]).filter(segments_cross(*ends, *(F.col(f"e_{c}") for c in ("ax", "ay", "bx", "by")))).select("zone", "link")
-    return inside.unionByName(across).distinct()
+    starts = (F.floor(F.col("ax") / cell) == F.col("cx")) & (F.floor(F.col("ay") / cell) == F.col("cy"))
+    touches = F.when(F.col("rings").isNotNull(), starts & contains_rings("rings", "ax", "ay")).otherwise(segments_cross(*ends, *(F.col(f"e_{c}") for c in ("ax", "ay", "bx", "by"))))
+    met = passed.join(listed, ["cx", "cy"]).filter(touches)
+    return (met if unless is None else met.filter(~unless)).select("zone", "link").distinct()
 
 
 def hex_grid(spark: SparkSession, ring: list[tuple[float, float]], side: float) -> DataFrame:

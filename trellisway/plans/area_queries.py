@@ -58,7 +58,7 @@ def q_point_in_area(spark, sf_dir):
 
 
 def q_links_in_areas(spark, sf_dir):
-    return S.links_in_zones(segments(spark, sf_dir), areas(spark, sf_dir), CELL)
+    return S.links_in_zones(segments(spark, sf_dir), areas(spark, sf_dir), CELL, D.tasks(spark, sf_dir))
 
 
 def q_random_points(spark, sf_dir):

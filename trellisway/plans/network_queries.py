@@ -114,7 +114,7 @@ def q_directed_links(spark, sf_dir):
 
 
 def q_junctions(spark, sf_dir):
-    return N.junctions(edges(spark, sf_dir))
+    return N.junctions(edges(spark, sf_dir), D.tasks(spark, sf_dir))
 
 
 def _crossing_input(spark, sf_dir):
@@ -125,7 +125,7 @@ def _crossing_input(spark, sf_dir):
 
 
 def q_crossing(spark, sf_dir):
-    return N.crossing_attributes(_crossing_input(spark, sf_dir).checkpoint())  # derived once, read three times
+    return N.crossing_attributes(_crossing_input(spark, sf_dir).checkpoint(), D.tasks(spark, sf_dir))  # derived once, read three times
 
 
 def q_opposite(spark, sf_dir):
