@@ -4,6 +4,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from trellisway.operators import access as A
+from trellisway.operators import network as N
 from tests.test_oracle import TABLES, plain
 from trellisway.plans import derived as D
 from trellisway.plans.catalogue import ORACLE_SQL, QUERIES
@@ -45,7 +47,24 @@ def test_lines_are_dealt_over_more_tasks(spark, sf_dir, monkeypatch):
     assert links.rdd.getNumPartitions() == n and max(sizes) <= 4 * 400
 
 
-@pytest.mark.parametrize("name", ["links_in_zones", "links_in_areas", "junction_nodes", "crossing_attributes", "composite_cost_v3"])
+@pytest.mark.parametrize("name", ["links_in_zones", "links_in_areas", "junction_nodes", "crossing_attributes", "composite_cost_v3", "trip_table", "links_per_zone", "route_overlap", "disconnected_links"])
 def test_same_rows_over_more_tasks(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(D, "LINES_PER_TASK", 400)
     agree(spark, sf_dir, name)
+
+
+def test_disconnected_links_stay_as_they_are(spark):
+    """Links are marked by their ends: those with an equal id are neither joined with each other nor doubled."""
+    rows = [("x", 1, 2, ["car", "walk"]), ("x", 2, 1, ["car", "walk"]), ("y", 2, 3, ["car", "truck", "walk"]), ("z", 3, 1, ["walk"])]
+    links = spark.createDataFrame(rows, "link_id string, a long, b long, modes array<string>")
+    found = sorted((r.link_id, r.a, r.b, r.modes, r.disconnected_car) for r in N.mark_disconnected(links, "car").collect())
+    assert found == [("x", 1, 2, ["car", "walk"], False), ("x", 2, 1, ["car", "walk"], False), ("y", 2, 3, ["walk"], True), ("z", 3, 1, ["walk"], False)]
+
+
+def test_overlap_deals_trips_only(spark):
+    lists = "trip long, links array<long>"
+    new, old = spark.createDataFrame([(1, [1, 2, 3]), (2, [1]), (4, [])], lists), spark.createDataFrame([(1, [2, 3, 4]), (3, [2])], lists)
+    times = spark.createDataFrame([(k, float(k)) for k in range(1, 5)], "link long, time double")
+    found = A.overlap(new, old, times)
+    assert sorted((r.trip, r.detour, r.overlap) for r in found.collect()) == [(1, 6 / 9, 5 / 9), (2, None, None), (3, 0.0, 0.0)]
+    assert "hashpartitioning(trip" in (plan := found._jdf.queryExecution().toString()) and "link#" not in "".join(p.split(")")[0] for p in plan.split("hashpartitioning(")[1:])

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Labels of nodes that are sent to every task, where a round meets them with all links.
+MAX_BROADCAST_LABELS = 2_000_000
+
+
+def _sent(labels: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(labels) if n <= MAX_BROADCAST_LABELS else labels
+
 
 def directed_links(edges: DataFrame) -> DataFrame:
     """§1.3: two directed links per undirected edge, by the rules of the network build.
@@ -108,21 +115,27 @@ def strong_component(links: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """The nodes of the largest strongly connected component, the one with the least node among equals.
 
     Forward-backward colouring by joins: each round spreads the least node id along and against the links among the
-    nodes still open until it is stable; nodes that the same colour reaches both ways are one component.
+    nodes still open until it is stable; nodes that the same colour reaches both ways are one component. The links are read once, and
+    not shuffled where the labels of the open nodes are few enough to be sent.
     """
-    edges = links.select("a", "b").filter("a <> b").distinct().checkpoint()
-    open_ = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().checkpoint()
+    ends = links.select("a", "b").distinct().checkpoint()
+    edges = ends.filter("a <> b")
+    open_ = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().checkpoint()
     best = None
-    for _ in range(max_rounds):
-        if open_.isEmpty():
+    for turn in range(max_rounds):
+        n = open_.count()
+        if n == 0:
             break
-        inner = edges.join(open_.select(F.col("node").alias("a")), "a", "left_semi").join(open_.select(F.col("node").alias("b")), "b", "left_semi").checkpoint()
-        colour = _spread(inner, open_.select("node", F.col("node").alias("colour")), "a", "b")
+        few = lambda df: _sent(df, n)  # noqa: E731, B023
+        inner = edges  # all nodes are open at first
+        if turn:
+            inner = edges.join(few(open_.select(F.col("node").alias("a"))), "a", "left_semi").join(few(open_.select(F.col("node").alias("b"))), "b", "left_semi").checkpoint()
+        colour = _spread(inner, open_.select("node", F.col("node").alias("colour")), "a", "b", n)
         roots = colour.filter("node = colour").select("node")
-        same = inner.join(colour.select(F.col("node").alias("a"), F.col("colour").alias("ca")), "a").join(
-            colour.select(F.col("node").alias("b"), F.col("colour").alias("cb")), "b"
+        same = inner.join(few(colour.select(F.col("node").alias("a"), F.col("colour").alias("ca"))), "a").join(
+            few(colour.select(F.col("node").alias("b"), F.col("colour").alias("cb"))), "b"
         ).filter("ca = cb").select("a", "b")
-        back = _reach(same, roots, "b", "a")
+        back = _reach(same, roots, "b", "a", n)
         found = colour.join(back, "node", "left_semi").checkpoint()
         sizes = found.groupBy("colour").agg(F.count("*").alias("n"))
         top = sizes.orderBy(F.desc("n"), "colour").limit(1).collect()[0]
@@ -136,11 +149,11 @@ def strong_component(links: DataFrame, max_rounds: int = 1000) -> DataFrame:
     return best[2] if best else open_
 
 
-def _spread(edges: DataFrame, labels: DataFrame, tail: str, head: str) -> DataFrame:
-    """Least label that reaches each node along the edges."""
+def _spread(edges: DataFrame, labels: DataFrame, tail: str, head: str, n: int) -> DataFrame:
+    """Least label that reaches each of ``n`` nodes along the edges."""
     labels = labels.checkpoint()
     while True:
-        sent = edges.join(labels.select(F.col("node").alias(tail), "colour"), tail).select(F.col(head).alias("node"), "colour")
+        sent = edges.join(_sent(labels.select(F.col("node").alias(tail), "colour"), n), tail).select(F.col(head).alias("node"), "colour")
         after = labels.unionByName(sent).groupBy("node").agg(F.min("colour").alias("colour")).checkpoint()
         changed = after.join(labels.withColumnRenamed("colour", "old"), "node").filter("colour <> old")
         labels = after
@@ -148,11 +161,11 @@ def _spread(edges: DataFrame, labels: DataFrame, tail: str, head: str) -> DataFr
             return labels
 
 
-def _reach(edges: DataFrame, start: DataFrame, tail: str, head: str) -> DataFrame:
-    """Nodes reached from the start along the edges."""
+def _reach(edges: DataFrame, start: DataFrame, tail: str, head: str, n: int) -> DataFrame:
+    """Those of ``n`` nodes that are reached from the start along the edges."""
     seen = front = start.distinct().checkpoint()
     while not front.isEmpty():
-        front = edges.join(front.select(F.col("node").alias(tail)), tail, "left_semi").select(F.col(head).alias("node")).distinct()
+        front = edges.join(_sent(front.select(F.col("node").alias(tail)), n), tail, "left_semi").select(F.col(head).alias("node")).distinct()
         front = front.join(seen, "node", "left_anti").checkpoint()
         seen = seen.unionByName(front).checkpoint()
     return seen
@@ -161,13 +174,13 @@ def _reach(edges: DataFrame, start: DataFrame, tail: str, head: str) -> DataFram
 def mark_disconnected(links: DataFrame, mode: str) -> DataFrame:
     """Links of a mode outside the mode's largest strong component lose the mode and get ``disconnected_<mode>``."""
     core = strong_component(for_mode(links, mode))
-    inside = for_mode(links, mode).join(core.select(F.col("node").alias("a")), "a", "left_semi").join(
-        core.select(F.col("node").alias("b")), "b", "left_semi").select("link_id", F.lit(True).alias("_in"))
-    gone = F.array_contains("modes", mode) & F.col("_in").isNull()
+    n = core.count()
+    at = lambda c: _sent(core.select(F.col("node").alias(c), F.lit(True).alias(f"_in_{c}")), n)
+    gone = F.array_contains("modes", mode) & (F.col("_in_a").isNull() | F.col("_in_b").isNull())
     lost = F.array(*map(F.lit, ("car", "truck") if mode == "car" else (mode,)))
-    return links.join(inside, "link_id", "left").withColumn(f"disconnected_{mode}", gone).withColumn(
+    return links.join(at("a"), "a", "left").join(at("b"), "b", "left").withColumn(f"disconnected_{mode}", gone).withColumn(
         "modes", F.when(gone, F.array_except("modes", lost)).otherwise(F.col("modes"))
-    ).drop("_in")
+    ).select(*links.columns, f"disconnected_{mode}")
 
 
 def upgrade_cycle_network(links: DataFrame, edge_ids: DataFrame) -> DataFrame:
