@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tests.test_oracle import TABLES, plain
 from trellisway.operators import access as A
+from trellisway.operators import choice as M
 from trellisway.operators import network as N
+from trellisway.plans import demand_queries as Q
 from trellisway.plans import derived as D
 from trellisway.plans.catalogue import ORACLE_SQL, QUERIES
 
@@ -68,3 +70,18 @@ def test_overlap_deals_trips_only(spark):
     found = A.overlap(new, old, times)
     assert sorted((r.trip, r.detour, r.overlap) for r in found.collect()) == [(1, 6 / 9, 5 / 9), (2, None, None), (3, 0.0, 0.0)]
     assert "hashpartitioning(trip" in (plan := found._jdf.queryExecution().toString()) and "link#" not in "".join(p.split(")")[0] for p in plan.split("hashpartitioning(")[1:])
+
+
+def test_estimation_over_blocks(spark, sf_dir):
+    """Blocks give the sums of the rows, and are dealt over all tasks though the table is one file."""
+    spec = Q.SPEC
+    data = Q.choices(spark, sf_dir).withColumn("cust", F.when((F.col("id") % 11 == 0) & F.col("choice").isin(0, 1, 2), None).otherwise(F.col("cust")))
+    blocks = M.packed(data.repartition(40), spec)
+    points = [Q._beta(), Q._beta() * 0, Q._beta() * 900]
+    for (f, g), (want, slope) in zip(M.evaluated(blocks, spec, points), M.likelihoods(data, spec, points), strict=True):
+        assert f == pytest.approx(want, rel=1e-12) and g == pytest.approx(slope, rel=1e-9, abs=1e-7)
+    held = blocks.mapPartitions(lambda part: [sum(len(choice) for *_, choice in part)]).collect()
+    assert blocks.getNumPartitions() >= spark.sparkContext.defaultParallelism and sum(held) == data.count() and sum(n > 0 for n in held) > 4
+    blocks.unpersist()
+    with pytest.raises(Exception, match="none of the alternatives"):
+        M.evaluated(M.packed(data.withColumn("choice", F.lit(5)), spec), spec, points[:1])

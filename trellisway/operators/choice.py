@@ -1,19 +1,21 @@
 """Multinomial-logit mode choice: utilities as columns, likelihood and gradient as one aggregate, estimation, inference.
 
-The data stay in Spark. An evaluation is one aggregate job that returns one row: the log likelihood and the gradient, summed in the
-tasks. The optimiser and the small matrices live on the driver.
+The data stay in Spark. An evaluation is one job: the log likelihood and the gradient, summed in the tasks. The optimiser and the small matrices live on the driver.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .paths import sampled_paths
+from .paths import _tasks, sampled_paths
 
 
 #: Class codes of at most so many labels are broadcast.
@@ -102,6 +104,81 @@ def likelihood(data: DataFrame, spec: Specification, beta: np.ndarray) -> tuple[
     return likelihoods(data, spec, [beta])[0]
 
 
+def _constant(x: str) -> float | None:
+    try:
+        return float(x)
+    except ValueError:
+        return None
+
+
+def packed(data: DataFrame, spec: Specification) -> RDD:
+    """The data of an estimation in blocks of rows ``(values, available, choice)``, kept for the repeated evaluations; unpersist() releases them.
+
+    values: a row of numbers for each different expression of the utilities that is no constant, 0 for null; available: a row for
+    each alternative, false too where one of its expressions is null. Blocks are dealt over all tasks, however few files the data had.
+    """
+    terms = list(dict.fromkeys(x for own in spec.utilities.values() for _, x in own if _constant(x) is None))
+    known = lambda own: [F.expr(x).cast("double").isNotNull() for _, x in own if _constant(x) is None]
+    flags = []
+    for name, own in spec.utilities.items():
+        flag = F.coalesce(F.expr(spec.available[name]), F.lit(False)) if name in spec.available else F.lit(True)
+        for k in known(own):
+            flag = flag & k
+        flags.append(flag)
+    columns = [F.coalesce(F.expr(x).cast("double"), F.lit(0.0)) for x in terms] + [f.cast("boolean") for f in flags] + [F.coalesce(F.col(spec.choice).cast("int"), F.lit(-1))]
+    n, k = len(terms), len(flags)
+
+    def pack(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = b"".join(np.ascontiguousarray(c.to_numpy()).tobytes() for c in batch.columns[:n])
+            available = b"".join(c.to_numpy(zero_copy_only=False).tobytes() for c in batch.columns[n : n + k])
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (values, available, batch.columns[n + k].to_numpy().tobytes())], names=["v", "a", "c"])
+
+    def unpack(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        choice = np.frombuffer(r["c"], np.int32)
+        return np.frombuffer(r["v"], float).reshape(n, len(choice)), np.frombuffer(r["a"], bool).reshape(k, len(choice)), choice
+
+    blocks = data.select(*(c.alias(f"c{i}") for i, c in enumerate(columns))).mapInArrow(pack, "v binary, a binary, c binary")
+    return blocks.repartition(_tasks(data.sparkSession)).rdd.map(unpack).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def evaluated(blocks: RDD, spec: Specification, betas: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+    """:func:`likelihoods` over :func:`packed` data: a task goes over its blocks once for all points, and one row of sums a task is added up."""
+    names = spec.coefficients()
+    terms = list(dict.fromkeys(x for own in spec.utilities.values() for _, x in own if _constant(x) is None))
+    # For each alternative: (number of the free coefficient or -1, its fixed value, number of the expression or -1, its constant).
+    of = [[(names.index(c) if c in names else -1, spec.fixed.get(c, 0.0), -1 if _constant(x) is not None else terms.index(x), _constant(x)) for c, x in own] for own in spec.utilities.values()]
+    points = np.array(betas, float).reshape(len(betas), len(names))
+
+    def run(part) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        loss, slope = np.zeros(len(points)), np.zeros(points.shape)
+        for values, available, choice in part:
+            rows = np.arange(len(choice))
+            if ((choice < 0) | (choice >= len(of))).any() or not available.any(axis=0).all():
+                raise ValueError("the choice is none of the alternatives")
+            for i, beta in enumerate(points):
+                u = np.empty(available.shape)
+                for own, line in zip(of, u, strict=True):
+                    line[:] = 0.0
+                    for c, fixed, x, one in own:
+                        line += (beta[c] if c >= 0 else fixed) * (one if x < 0 else values[x])
+                u[~available] = -np.inf
+                p = np.exp(u - u.max(axis=0))
+                p /= p.sum(axis=0)
+                chosen = p[choice, rows]
+                loss[i] -= np.log(np.where(chosen == 0, 1e-300, chosen)).sum()
+                p[choice, rows] -= 1
+                for own, line in zip(of, p, strict=True):
+                    for c, _, x, one in own:
+                        if c >= 0:
+                            slope[i, c] += one * line.sum() if x < 0 else line @ values[x]
+        yield loss, slope
+
+    sums = blocks.mapPartitions(run).collect()
+    loss, slope = (np.sum([s[j] for s in sums], axis=0) for j in (0, 1))
+    return [(float(loss[i]), slope[i]) for i in range(len(points))]
+
+
 def minimise(evaluate, start: np.ndarray, tolerance: float = 1e-10, max_rounds: int = 500) -> tuple[np.ndarray, float, np.ndarray, int]:
     """Quasi-Newton steps (BFGS) with a backtracking line search; returns (point, value, gradient, rounds).
 
@@ -189,23 +266,24 @@ def stars(p: float | None) -> str:
 def estimate(
     data: DataFrame, spec: Specification, start: dict[str, float] | None = None, max_rounds: int = 500, routings: list[Routing] | None = None, tolerance: float = 1e-10
 ) -> Estimate:
-    """Fit the free coefficients. The data are cached for the repeated aggregates and released at the end.
+    """Fit the free coefficients. The data are kept in blocks for the repeated sums and released at the end.
 
     With ``routings`` (data then has an ``id``) every trial point of a line search takes the times and attributes of the paths that are
     cheapest at its coefficients; the gradient is that of the accepted point's paths, and the Hessian that of the last ones. A trip without
     a path cannot choose that mode. A singular Hessian leaves the standard errors empty.
     """
-    needed = data.cache()
+    names = spec.coefficients()
+    first = np.array([(start or {}).get(n, 0.0) for n in names])
+    needed = data.cache() if routings else packed(data, spec)
     try:
-        names = spec.coefficients()
         routes = [Routes(r, needed) for r in routings or []]
         at = lambda b: routed(needed, routes, spec.values(b))
-        evaluate = lambda b: likelihood(at(b), spec, b)
+        evaluate = lambda b: likelihood(at(b), spec, b) if routes else evaluated(needed, spec, [b])[0]
         zero, _ = evaluate(np.zeros(len(names)))
-        first = np.array([(start or {}).get(n, 0.0) for n in names])
         x, f, _, rounds = minimise(evaluate, first, tolerance, max_rounds)
         last = at(x).checkpoint() if routes else needed
-        second = hessian(lambda points: [g for _, g in likelihoods(last, spec, points)], x)
+        several = likelihoods if routes else evaluated
+        second = hessian(lambda points: [g for _, g in several(last, spec, points)], x)
     finally:
         needed.unpersist()
     values = np.linalg.eigvalsh(second)
