@@ -11,6 +11,7 @@ from trellisway.operators import network as N
 from trellisway.plans import demand_queries as Q
 from trellisway.plans import derived as D
 from trellisway.plans.catalogue import ORACLE_SQL, QUERIES
+from trellisway.sources import sinks as K
 
 
 def agree(spark, folder, name, tables=TABLES):
@@ -85,3 +86,11 @@ def test_estimation_over_blocks(spark, sf_dir):
     blocks.unpersist()
     with pytest.raises(Exception, match="none of the alternatives"):
         M.evaluated(M.packed(data.withColumn("choice", F.lit(5)), spec), spec, points[:1])
+
+
+def test_links_per_zone_derives_links_once(spark, sf_dir, monkeypatch):
+    made, derive, append, plans = [], D.links, K.append_samples, []
+    monkeypatch.setattr(D, "links", lambda *args: (made.append(args), derive(*args))[1])
+    monkeypatch.setattr(K, "append_samples", lambda rows, path: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), append(rows, path))[1])
+    agree(spark, sf_dir, "links_per_zone")
+    assert len(made) == 1 and len(plans) == 2 and all(p.count("InMemoryRelation") == 1 for p in plans)

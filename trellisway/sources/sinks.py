@@ -61,10 +61,14 @@ def iteration_table(rows: DataFrame, iterations: int, value: str = "demand", spa
     return rows.groupBy("node").pivot("iteration", kept).agg(F.first(value))
 
 
-def links_per_zone(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """``(zone, link, length, time, gradient, vgvi_gap, stress_link, stress_jct)`` of the links that touch each zone."""
+def links_per_zone(pairs: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``(zone, link, length, time, gradient, vgvi_gap, stress_link, stress_jct)`` of the links that touch each zone.
+
+    pairs: ``(zone, link)``; None where links stand with their zone already.
+    """
     gap = F.greatest(F.lit(0.0), F.lit(0.81) - F.col("vgvi"))
-    return pairs.join(links, "link").select("zone", "link", "length", "time", "gradient", gap.alias("vgvi_gap"), "stress_link", "stress_jct")
+    own = links if pairs is None else pairs.join(links, "link")
+    return own.select("zone", "link", "length", "time", "gradient", gap.alias("vgvi_gap"), "stress_link", "stress_jct")
 
 
 def network_table(links: DataFrame, ratings: dict[str, Column], drop_misaligned: bool | None = None) -> DataFrame:
