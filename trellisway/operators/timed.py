@@ -157,7 +157,7 @@ def timed_paths(
     if graph is None:
         return _by_joins(own, found.checkpoint(), asked, size)
     grouped = asked.groupBy("origin", "departure").agg(F.collect_list("target").alias("targets"))
-    return P.over_blocks(grouped, _FOUND, graph, max(1, P.LABELS // max(1, len(graph.nodes))), _rows)
+    return P.over_blocks(grouped, _FOUND, graph, lambda rows, g: [len(g.nodes)] * len(rows), _rows)
 
 
 def _by_joins(links: DataFrame, found: DataFrame, asked: DataFrame, size: float, rounds: int = 10_000) -> DataFrame:
