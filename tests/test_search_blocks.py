@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trellisway.operators import access as A
 from trellisway.operators import paths as P
+from trellisway.operators import transit as T
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +50,19 @@ def test_skim_counts_a_node_in_each_of_its_zones(spark, links):
         costs = [cost.get((a, b), float("inf")) for a in own[o] for b in own[d]]
         assert value == pytest.approx(sum(costs) / len(costs))
     assert len(found) == 9
+
+
+def test_arrivals_by_parts_and_by_slices(spark, monkeypatch):
+    """Parts of the network are scanned by themselves, in one or more blocks of origins, with the rows that slices of time give, and nothing is written between."""
+    rows = [(10 * p + i, 10 * p + (i + 1 + (i * t) % 3) % 6, 60.0 * t, 60.0 * t + 30.0 * (i + 1)) for p in range(7) for i in range(6) for t in range(0, 90, 7)]
+    hops = spark.createDataFrame([r for r in rows if r[0] != r[1]], "u long, v long, dep double, arr double")
+    starts = spark.createDataFrame([(10 * p + i, d) for p in range(8) for i in range(7) for d in (0.0, 1500.0, 9000.0)], "origin long, departure double")
+    want = sorted(T.earliest_arrivals(hops, starts, 4000.0, max_connections=90).collect())
+    monkeypatch.setattr(type(hops), "checkpoint", lambda self, *args: pytest.fail("state was written"))
+    for cells in (T.SCAN_CELLS, 50):
+        monkeypatch.setattr(T, "SCAN_CELLS", cells)
+        assert sorted(T.earliest_arrivals(hops, starts, 4000.0).collect()) == want
+    assert len(want) > 300
+    monkeypatch.undo()
+    monkeypatch.setattr(T, "SCAN_CELLS", 1)  # too large, so by slices
+    assert sorted(T.earliest_arrivals(hops, starts, 4000.0).collect()) == want
