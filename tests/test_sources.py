@@ -217,3 +217,16 @@ def test_stream_keeps_the_last_count_of_an_hour(spark, tmp_path):
     found = V.run_once(stream, f"{tmp_path}/out", f"{tmp_path}/check", ["link", "hour"])
     assert {(r.link, r.hour.hour, r.car, r.truck) for r in found.collect()} == {(1, 8, 2, 0), (2, 9, 0, 1), (1, 9, 1, 0)}
     assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]) >= 3
+
+
+def test_feature_files_of_any_number_of_rows(spark, tmp_path):
+    """A GeoPackage a task, read as one layer; a task without rows leaves an empty layer."""
+    rows = spark.range(25, numPartitions=3).selectExpr("id", "id % 2 = 0 AS even", "IF(id % 5 = 0, NULL, array(named_struct('x', id * 1D, 'y', 2D))) AS points")
+    rows = rows.unionByName(rows.limit(0))
+    assert G.write_feature_files(rows, str(tmp_path), "spots", "point") == 25
+    assert len(list(tmp_path.iterdir())) == rows.rdd.getNumPartitions() > 2
+    found = sorted(G.read_features(spark, str(tmp_path), "id", "spots").select("id", "even", "points").collect())
+    assert [(r.id, r.even, r.points and r.points[0].x) for r in found] == [(i, i % 2 == 0, None if i % 5 == 0 else float(i)) for i in range(25)]
+    (tmp_path / "none").mkdir()
+    assert G.write_feature_files(rows.limit(0), str(tmp_path / "none"), "spots", "point") == 0
+    assert G.read_features(spark, str(tmp_path / "none")).count() == 0

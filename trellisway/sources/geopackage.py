@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import re
 import sqlite3
 import struct
+from collections.abc import Iterable
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,9 +171,15 @@ def _name(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+def _files(path: str) -> list[str]:
+    """The GeoPackage itself, or those of a folder."""
+    path = path.removeprefix("file://")
+    return sorted(str(p) for p in Path(path).glob("*.gpkg")) if os.path.isdir(path) else [path]
+
+
 class _Rows(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+    def __init__(self, path: str, low: int, high: int):
+        self.path, self.low, self.high = path, low, high
 
 
 class _Reader(DataSourceReader):
@@ -178,16 +187,17 @@ class _Reader(DataSourceReader):
         self.schema, self.path, self.layer = schema, path, layer
 
     def partitions(self):
-        with _open(self.path) as con:
-            low, high = con.execute(f"SELECT min(rowid), max(rowid) FROM {_name(self.layer)}").fetchone()
-        if low is None:
-            return [_Rows(0, 0)]
-        return [_Rows(i, min(i + ROWS_PER_TASK, high + 1)) for i in range(low, high + 1, ROWS_PER_TASK)]
+        out = []
+        for path in _files(self.path):
+            with _open(path) as con:
+                low, high = con.execute(f"SELECT min(rowid), max(rowid) FROM {_name(self.layer)}").fetchone()
+            out += [] if low is None else [_Rows(path, i, min(i + ROWS_PER_TASK, high + 1)) for i in range(low, high + 1, ROWS_PER_TASK)]
+        return out or [_Rows(_files(self.path)[0], 0, 0)]
 
     def read(self, partition: _Rows):
         columns = ", ".join(_name(f.name) for f in self.schema)
         flags = [i for i, f in enumerate(self.schema) if isinstance(f.dataType, T.BooleanType)]
-        with _open(self.path) as con:
+        with _open(partition.path) as con:
             rows = con.execute(f"SELECT {columns} FROM {_name(self.layer)} WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high))
             while batch := rows.fetchmany(5000):
                 columns_of = [list(c) for c in zip(*batch, strict=True)]
@@ -202,8 +212,8 @@ _ARROW = {T.BooleanType: pa.bool_(), T.LongType: pa.int64(), T.DoubleType: pa.fl
 class GeoPackage(DataSource):
     """``spark.read.format("geopackage").load(path)``; the first feature layer unless option ``layer`` names one.
 
-    Attributes keep their names and the geometry is WKB. Tasks read ranges of row ids. The file must be where every executor can
-    open it, as with any SQLite file.
+    Attributes keep their names and the geometry is WKB. Tasks read ranges of row ids. A folder is read as one layer of all its files, which have the
+    same columns. Files must be where every executor can open them, as with any SQLite file.
     """
 
     @classmethod
@@ -213,7 +223,7 @@ class GeoPackage(DataSource):
     def _layer(self) -> str:
         if "layer" in self.options:
             return self.options["layer"]
-        with _open(self.options["path"]) as con:
+        with _open(_files(self.options["path"])[0]) as con:
             found = con.execute("SELECT table_name FROM gpkg_contents WHERE data_type = 'features' ORDER BY rowid LIMIT 1").fetchone()
         if not found:
             raise ValueError("no feature layer")
@@ -221,7 +231,7 @@ class GeoPackage(DataSource):
 
     def schema(self) -> T.StructType:
         layer = self._layer()
-        with _open(self.options["path"]) as con:
+        with _open(_files(self.options["path"])[0]) as con:
             geometry = con.execute("SELECT column_name FROM gpkg_geometry_columns WHERE table_name = ?", (layer,)).fetchone()
             found = con.execute(f"PRAGMA table_info({_name(layer)})").fetchall()
         fields = []
@@ -262,18 +272,9 @@ def read_boundary(spark: SparkSession, path: str) -> Rings:
     return [[[(p.x, p.y) for p in ring] for ring in part] for part in row[0]]
 
 
-def write_features(rows: DataFrame, path: str, layer: str, kind: str, max_rows: int = 1_000_000) -> int:
-    """One GeoPackage file from rows with ``points`` or ``parts``, through the driver, for results of a checked size.
-
-    A GeoPackage is one SQLite file with one writer. Rows beyond ``max_rows`` are an error before any is fetched: write Parquet
-    with a WKB column by :func:`with_wkb` instead. Returns the number of rows.
-    """
-    n = rows.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows are too many for one file; write Parquet")
-    names, areas = [c for c in rows.columns if c not in ("points", "parts")], "parts" in rows.columns
-    kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "boolean": "BOOLEAN"}
-    declared = "".join(f", {_name(c)} {kinds.get(dict(rows.dtypes)[c], 'TEXT')}" for c in names)
+def _write(path: str, layer: str, kind: str, declared: dict[str, str], areas: bool, rows: Iterable) -> None:
+    """One GeoPackage from rows by name; ``declared`` has the attributes' types."""
+    names = list(declared)
     Path(path).unlink(missing_ok=True)
     with sqlite3.connect(path) as con:
         con.execute("PRAGMA application_id = 1196444487")
@@ -281,14 +282,58 @@ def write_features(rows: DataFrame, path: str, layer: str, kind: str, max_rows:
         con.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT, geometry_type_name TEXT, srs_id INTEGER, z INTEGER, m INTEGER)")
         con.execute("INSERT INTO gpkg_contents VALUES (?, 'features', ?, 0)", (layer, layer))
         con.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', 'GEOMETRY', 0, 0, 0)", (layer,))
-        con.execute(f"CREATE TABLE {_name(layer)} (fid INTEGER PRIMARY KEY, geom BLOB{declared})")
+        con.execute(f"CREATE TABLE {_name(layer)} (fid INTEGER PRIMARY KEY, geom BLOB{''.join(f', {_name(c)} {t}' for c, t in declared.items())})")
         marks = ", ".join("?" * (len(names) + 1))
         head = b"GP\x00\x01\x00\x00\x00\x00"
-        for row in rows.toLocalIterator():
-            found = row["parts"] if areas else row["points"]
-            body = None if not found else parts_wkb([[[(p["x"], p["y"]) for p in r] for r in part] for part in found]) if areas else wkb([(p["x"], p["y"]) for p in found], kind)
-            shape = None if body is None else head + body
-            con.execute(f"INSERT INTO {_name(layer)} (geom{''.join(f', {_name(c)}' for c in names)}) VALUES ({marks})", (shape, *(row[c] for c in names)))
+
+        def values():
+            for row in rows:
+                found = row["parts"] if areas else row["points"]
+                body = None if not found else parts_wkb([[[(p["x"], p["y"]) for p in r] for r in part] for part in found]) if areas else wkb([(p["x"], p["y"]) for p in found], kind)
+                yield (None if body is None else head + body, *(row[c] for c in names))
+
+        con.executemany(f"INSERT INTO {_name(layer)} (geom{''.join(f', {_name(c)}' for c in names)}) VALUES ({marks})", values())
+
+
+def _declared(rows: DataFrame) -> dict[str, str]:
+    kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "boolean": "BOOLEAN"}
+    return {c: kinds.get(t, "TEXT") for c, t in rows.dtypes if c not in ("points", "parts")}
+
+
+def write_features(rows: DataFrame, path: str, layer: str, kind: str, max_rows: int = 1_000_000) -> int:
+    """One GeoPackage file from rows with ``points`` or ``parts``, through the driver, for results of a checked size.
+
+    A GeoPackage is one SQLite file with one writer. Rows beyond ``max_rows`` are an error before any is fetched: write a file a task by
+    :func:`write_feature_files`, or Parquet with a WKB column by :func:`with_wkb`. Returns the number of rows.
+    """
+    n = rows.count()
+    if n > max_rows:
+        raise ValueError(f"{n} rows are too many for one file; write Parquet")
+    _write(path, layer, kind, _declared(rows), "parts" in rows.columns, rows.toLocalIterator())
+    return n
+
+
+def write_feature_files(rows: DataFrame, folder: str, layer: str, kind: str) -> int:
+    """K02, K06 to K09 for results of any size: a GeoPackage a task in a folder that all executors share, read again as one layer. Returns the number of rows."""
+    declared, areas = _declared(rows), "parts" in rows.columns
+
+    def write(batches):
+        held, n = TaskContext.get(), 0
+
+        def listed():
+            nonlocal n
+            for batch in batches:
+                n += batch.num_rows
+                yield from batch.to_pylist()
+
+        path = f"{folder}/part-{held.partitionId():05d}.gpkg"
+        _write(f"{path}.{held.taskAttemptId()}", layer, kind, declared, areas, listed())
+        os.replace(f"{path}.{held.taskAttemptId()}", path)  # whole or not at all, and once for a task that is run again
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    n = rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    if not _files(folder):  # no task
+        _write(f"{folder}/part-00000.gpkg", layer, kind, declared, areas, [])
     return n
 
 
