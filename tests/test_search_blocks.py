@@ -1,11 +1,14 @@
 """Searches are spread over all tasks, and a block's labels are those of its origins' connected parts."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trellisway.operators import access as A
 from trellisway.operators import paths as P
+from trellisway.operators import spatial as S
 from trellisway.operators import transit as T
 
 
@@ -66,3 +69,31 @@ def test_arrivals_by_parts_and_by_slices(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(T, "SCAN_CELLS", 1)  # too large, so by slices
     assert sorted(T.earliest_arrivals(hops, starts, 4000.0).collect()) == want
+
+
+def test_nearest_links_meet_few_points(spark):
+    """Links are listed under the cells that they cross and are not shuffled on their way to the points; far points take wider cells."""
+    draw = random.Random(4)
+    at = lambda: float(draw.randint(0, 400)) / 4
+    lines = [(i, at(), at(), at(), at()) for i in range(60)] + [(60, 7.0, 7.0, 7.0, 7.0), (61, 0.0, 0.0, 100.0, 0.0), (62, 0.0, 0.0, 100.0, 0.0)]
+    spots = [(i, at(), at()) for i in range(80)] + [(80, 50.0, -0.25), (81, 900.0, 40.0), (82, None, 3.0)]
+    links, points = spark.createDataFrame(lines, "link long, ax double, ay double, bx double, by double"), spark.createDataFrame(spots, "point long, x double, y double")
+    found = {r.point: (r.best, r.distance) for r in S.nearest_link(points, links, 8.0).collect()}
+    assert found.keys() == set(range(82)) and found[80] == (61, 0.25)
+    for p, x, y in spots[:-1]:
+        def away(line):
+            _, ax, ay, bx, by = line
+            n = (bx - ax) ** 2 + (by - ay) ** 2
+            t = min(1.0, max(0.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / n)) if n else 0.0
+            return ((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by - ay)) ** 2) ** 0.5
+        assert found[p][1] == pytest.approx(min(map(away, lines)))
+    seen = []
+    crossed, cells = S._crossed, S._cells
+    try:
+        S._cells = lambda *args: seen.append(str(args[0])) or cells(*args)
+        S._crossed = lambda *args: seen.append("crossed") or crossed(*args)
+        S.nearest_link(points, links, 8.0)
+    finally:
+        S._crossed, S._cells = crossed, cells
+    assert "crossed" in seen and not any("ax" in c for c in seen)
+    assert S.nearest_link(points, links.limit(0), 8.0).count() == 0

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: A feature that covers more cells than this of a grid is a sign that the cells are too small for it.
 MAX_CELLS = 1_000_000
 
+#: Cells of points that are sent to every task to meet the cells of links.
+MAX_SENT_SPOTS = 1_000_000
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -251,18 +254,28 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: float) -> DataFrame:
 def nearest_link(points: DataFrame, links: DataFrame, cell: float) -> DataFrame:
     """``(point, x, y, best, distance)``, the exact nearest of straight ``links (link, ax, ay, bx, by)``; ties go to the least link.
 
-    A link is listed under all cells of its bounds.
+    No link's nearest is farther than the nearest end of a link, which is found first among the few different ends. Links are listed under the
+    cells that they cross, points under those within that reach, and a pair beyond it is dropped as soon as they meet. Few points are sent, so links are
+    not shuffled. Cells double until they are as wide as the reach.
     """
-    points = points.select("point", "x", "y")
-    low, high = F.least, F.greatest
-
-    def listed(size):
-        box = (low("ax", "bx"), low("ay", "by"), high("ax", "bx"), high("ay", "by"))
-        return links.select("*", F.explode(_cells(*box, size)).alias("c")).select("link", "ax", "ay", "bx", "by", "c.*")
-
-    far = segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
-    ends = links.select(F.col("ax").alias("x"), F.col("ay").alias("y")).unionByName(links.select(F.col("bx").alias("x"), F.col("by").alias("y")))
-    return _nearest(points, listed, far, F.col("link"), cell, _extent(points, ends))
+    ends = links.select(F.col("ax").alias("x"), F.col("ay").alias("y")).unionByName(links.select(F.col("bx").alias("x"), F.col("by").alias("y"))).dropna().distinct()
+    ends = ends.withColumn("node", F.struct("x", "y")).checkpoint()
+    left = nearest_node(points, ends, cell).select("point", "x", "y", (F.col("distance") * (1 + 1e-9) + 1e-9).alias("_most")).checkpoint()  # sums are rounded
+    segment, found, size = [F.col(c) for c in ("ax", "ay", "bx", "by")], None, cell
+    far = segment_distance(F.col("x"), F.col("y"), *segment)
+    widest = left.agg(F.max("_most").alias("m")).first()["m"] or 0.0
+    while True:
+        own = left.filter((F.col("_most") <= size) & (F.col("_most") > (0.0 if size == cell else size / 2)))
+        box = [F.col(c) + s * F.col("_most") for s in (-1, 1) for c in ("x", "y")]
+        spots = own.withColumn("_c", F.explode(_cells(*box, size))).select("point", "x", "y", "_most", "_c.cx", "_c.cy").checkpoint()
+        spots = F.broadcast(spots) if spots.count() <= MAX_SENT_SPOTS else spots
+        listed = links.select("link", *segment, F.explode(_crossed(*segment, size)).alias("_c")).select("link", *segment, "_c.cx", "_c.cy")
+        near = listed.join(spots, ["cx", "cy"]).select("point", "x", "y", "_most", "link", far.alias("distance")).filter(F.col("distance") <= F.col("_most"))
+        hits = near.groupBy("point", "x", "y").agg(F.min(F.struct("distance", F.col("link").alias("best"))).alias("m")).select("point", "x", "y", "m.best", "m.distance")
+        found = hits if found is None else found.unionByName(hits)
+        if size >= widest:
+            return found.checkpoint()
+        size *= 2
 
 
 def within(points: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
